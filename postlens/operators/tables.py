@@ -32,6 +32,17 @@ KEY = ["year_month", "tweet_id"]
 BROADCAST_TOP_N = 1000
 
 
+def _staged(rows: DataFrame, wordlist) -> DataFrame:
+    """Checkpoint the pre-redaction aggregate before it is read twice.
+
+    Redaction needs the table's distinct names and then the table again;
+    without a cut the whole build would run twice.  The aggregate is small
+    (≤ months × 25 × (N+2) rows) and goes to the shared checkpoint folder,
+    which also survives executor loss (never a local checkpoint).
+    """
+    return rows.checkpoint(eager=True) if wordlist is not None else rows
+
+
 def month_table(tweets: DataFrame, months: DataFrame | None = None) -> DataFrame:
     """Q01: one row per month; months listed in ``months`` but empty give 0/0/0."""
     agg = tweets.groupBy("year_month").agg(
@@ -101,7 +112,7 @@ def date_rows(tweets: DataFrame, entities: DataFrame, top_n: int = 100) -> DataF
 def date_table(tweets: DataFrame, entities: DataFrame, top_n: int = 100,
                wordlist: DataFrame | None = None, with_redactions: bool = False):
     """Q02 (flagship): the date table with ``redacted``/``classified`` flags."""
-    out, red = apply_redaction(date_rows(tweets, entities, top_n), wordlist)
+    out, red = apply_redaction(_staged(date_rows(tweets, entities, top_n), wordlist), wordlist)
     out = out.select("year_month", "positive_sentiment", "negative_sentiment", "entity",
                      "total_likes", "total_shares", "post_count", "redacted", "classified")
     return (out, red) if with_redactions else out
@@ -151,7 +162,7 @@ def entity_rows(tweets: DataFrame, entities: DataFrame, top_n: int = 10_000) ->
 def entity_table(tweets: DataFrame, entities: DataFrame, top_n: int = 10_000,
                  wordlist: DataFrame | None = None, with_redactions: bool = False):
     """Q03: the entity × month table with conditional sentiment means."""
-    out, red = apply_redaction(entity_rows(tweets, entities, top_n), wordlist)
+    out, red = apply_redaction(_staged(entity_rows(tweets, entities, top_n), wordlist), wordlist)
     out = out.select("entity", "year_month", "positive_sentiment", "negative_sentiment",
                      "total_likes", "total_shares", "post_count", "redacted", "classified")
     return (out, red) if with_redactions else out

@@ -58,3 +58,67 @@ QUERIES: dict[str, Query] = {
     "entity_table": q_entity_table,
     "redaction_table": q_redaction_table,
 }
+
+
+# ---------------------------------------------------------------- reports / explore
+from postlens.model import QuerySpec  # noqa: E402
+from postlens.plans import explore as X  # noqa: E402
+from postlens.plans import reports as R  # noqa: E402
+
+# Fixed fixture parameters (shared with postlens.plans.oracle).
+FX_GAP_MONTHS = ("1998-12", "1999-01")
+FX_MISSING_MONTHS = ("2000-06",)
+FX_CAL_START, FX_CAL_END = "1994-07", "2002-02"
+FX_SELECTED = ("brand#1 small", "brand#2 large", "brand#3 medium", "brand#4 promo",
+               "brand#5 economy")
+FX_NAME = "brand#7 economy"
+FX_LO, FX_HI = "1996-01", "1999-12"
+FX_GROUPS = {"economy": "economy", "standard": "standard"}
+FX_NEEDLE = "d#1"
+FX_YEARLY = ("brand#1 small", "brand#2 large", "brand#3 medium")
+FX_PARTIAL = {2001: 2}
+FX_SPEC = QuerySpec(entities=FX_SELECTED, lo=FX_LO, hi=FX_HI)
+
+
+def _spec(**kw):
+    base = dict(entities=FX_SELECTED, lo=FX_LO, hi=FX_HI)
+    base.update(kw)
+    return QuerySpec(**base)
+
+
+QUERIES.update({
+    "monthly_volume": lambda s, d: R.monthly_volume(gold_date(s, d), FX_GAP_MONTHS, FX_MISSING_MONTHS),
+    "monthly_volume_summary": lambda s, d: R.monthly_volume_summary(gold_date(s, d)),
+    "calendar_gaps": lambda s, d: R.calendar_gaps(gold_month(s, d), FX_CAL_START, FX_CAL_END),
+    "sentiment_trend": lambda s, d: R.sentiment_trend(gold_date(s, d), k=10),
+    "entity_spikiness": lambda s, d: R.entity_spikiness(gold_entity(s, d), top=50, k=20),
+    "entity_growth": lambda s, d: R.entity_growth(gold_entity(s, d), top=200, min_months=6, k=20),
+    "entity_sentiment": lambda s, d: R.entity_sentiment(gold_entity(s, d), top=100, k=10),
+    "top_entity_names": lambda s, d: X.top_entity_names(gold_entity(s, d)),
+    "entity_names_by_filter": lambda s, d: X.entity_names_by_filter(gold_entity(s, d)),
+    "search_entities": lambda s, d: X.search_entities(gold_entity(s, d), FX_NEEDLE),
+    "keyword_group": lambda s, d: X.keyword_group(gold_entity(s, d), FX_GROUPS),
+    "yearly_mentions": lambda s, d: X.yearly_mentions(gold_entity(s, d), FX_YEARLY, FX_PARTIAL),
+    "entity_timeline": lambda s, d: X.entity_timeline(gold_entity(s, d), FX_NAME),
+    "volume_and_net_sentiment": lambda s, d: X.volume_and_net_sentiment(gold_entity(s, d), FX_NAME),
+    "net_sentiment_ranking": lambda s, d: X.net_sentiment_ranking(gold_entity(s, d), top=200, k=10),
+    "normalized_growth": lambda s, d: X.normalized_growth(gold_entity(s, d), top=500, min_n=6, k=15),
+    "filter_entities": lambda s, d: X.filter_entities(gold_entity(s, d), FX_SELECTED, FX_LO, FX_HI),
+    "all_entities": lambda s, d: X.all_entities(gold_entity(s, d), FX_LO, FX_HI, cap=200),
+    "metric_timeseries": lambda s, d: X.metric_timeseries(gold_entity(s, d), _spec()),
+    "metric_timeseries_all": lambda s, d: X.metric_timeseries(
+        gold_entity(s, d), _spec(scope="all", metric="positive_sentiment")),
+    "metric_ranking": lambda s, d: X.metric_ranking(gold_entity(s, d), _spec(metric="total_likes")),
+    "metric_ranking_all": lambda s, d: X.metric_ranking(
+        gold_entity(s, d), _spec(scope="all", metric="negative_sentiment")),
+    "sentiment_space": lambda s, d: X.sentiment_space(gold_entity(s, d), _spec()),
+    "entity_summary": lambda s, d: X.entity_summary(gold_entity(s, d), _spec()),
+    "entity_summary_all": lambda s, d: X.entity_summary(gold_entity(s, d), _spec(scope="all")),
+    "sentiment_density": lambda s, d: X.sentiment_density(gold_entity(s, d), _spec(scope="all")),
+    "month_timeseries": lambda s, d: X.month_timeseries(gold_month(s, d), "total_likes", FX_LO, FX_HI),
+    "redacted_share": lambda s, d: X.redacted_share(gold_date(s, d), FX_LO, FX_HI),
+    "group_comparison_snapshot": lambda s, d: X.group_comparison_snapshot(
+        gold_entity(s, d), FX_GROUPS, FX_LO, FX_HI),
+    "group_comparison_frames": lambda s, d: X.group_comparison_frames(
+        gold_entity(s, d), FX_GROUPS, FX_LO, FX_HI),
+})

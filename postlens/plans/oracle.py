@@ -134,9 +134,10 @@ month_t AS (
   FROM fx_tweets GROUP BY year_month)"""
 
 
-def with_tables(body: str) -> str:
+def with_tables(body: str, ctes: str = "") -> str:
     """Wrap a final SELECT with every fixture/table CTE it may use."""
-    return f"WITH {FX},{DATE_CTE},{ENTITY_CTE},{MONTH_CTE}\n{body}"
+    extra = f",\n{ctes}" if ctes else ""
+    return f"WITH {FX},{DATE_CTE},{ENTITY_CTE},{MONTH_CTE}{extra}\n{body}"
 
 
 SQL: dict[str, str] = {
@@ -149,3 +150,203 @@ SELECT token, original FROM (
          row_number() OVER (PARTITION BY token ORDER BY entity) AS rn
   FROM (SELECT * FROM d_red UNION SELECT * FROM e_red)) WHERE rn = 1"""),
 }
+
+
+# ------------------------------------------------------------- reports / explore
+from postlens.plans import catalog as C  # noqa: E402
+
+
+def _in(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+CLEAN = "clean AS (SELECT * FROM entity_t WHERE classified AND NOT redacted)"
+
+
+def _tops(k: int, name: str = "tops") -> str:
+    return (f"{name} AS (SELECT entity, sum(post_count) AS total FROM clean GROUP BY entity "
+            f"ORDER BY total DESC, entity ASC LIMIT {k})")
+
+
+NZ = "coalesce(avg({c}) FILTER (WHERE {c} > 0), 0.0)"
+RANGE = f"year_month BETWEEN '{C.FX_LO}' AND '{C.FX_HI}'"
+SELECTED = f"entity IN ({_in(C.FX_SELECTED)})"
+F20 = f"f20 AS (SELECT * FROM entity_t WHERE {SELECTED} AND {RANGE} AND classified AND NOT redacted)"
+F21 = f"""f21_sub AS (SELECT * FROM entity_t WHERE {RANGE} AND classified AND NOT redacted),
+f21_top AS (SELECT entity, sum(post_count) AS total FROM f21_sub GROUP BY entity
+            ORDER BY total DESC, entity ASC LIMIT 200),
+f21 AS (SELECT * FROM f21_sub WHERE entity IN (SELECT entity FROM f21_top))"""
+GROUP_MATCH = " OR ".join(f"regexp_matches(lower(entity), '{kw}')" for kw in C.FX_GROUPS.values())
+SPACE = f"""SELECT entity, year_month, CAST(sum(post_count) AS BIGINT) AS post_count,
+       CAST(sum(total_likes) AS BIGINT) AS total_likes, CAST(sum(total_shares) AS BIGINT) AS total_shares,
+       round_even({NZ.format(c='positive_sentiment')}, 6) AS positive_sentiment,
+       round_even({NZ.format(c='negative_sentiment')}, 6) AS negative_sentiment
+FROM {{src}} GROUP BY entity, year_month"""
+GROUPS = (f"grp AS (SELECT * FROM entity_t WHERE ({GROUP_MATCH}) AND {RANGE} AND NOT redacted),\n"
+          f"space AS ({SPACE.format(src='grp')})")
+SUMMARY = f"""SELECT entity, CAST(count(DISTINCT year_month) AS BIGINT) AS months,
+       CAST(sum(post_count) AS BIGINT) AS posts, CAST(sum(total_likes) AS BIGINT) AS likes,
+       CAST(sum(total_shares) AS BIGINT) AS shares,
+       round_even({NZ.format(c='positive_sentiment')}, 6) AS pos_sentiment,
+       round_even({NZ.format(c='negative_sentiment')}, 6) AS neg_sentiment
+FROM {{src}} GROUP BY entity"""
+
+
+SQL.update({
+    "monthly_volume": with_tables(f"""
+SELECT year_month, CAST(sum(post_count) AS BIGINT) AS post_count,
+       CASE WHEN year_month IN ({_in(C.FX_GAP_MONTHS)}) THEN '<-- KNOWN DATA GAP (near-zero)'
+            WHEN year_month IN ({_in(C.FX_MISSING_MONTHS)}) THEN '<-- MISSING (corrupted gzip)'
+            ELSE '' END AS note
+FROM date_t GROUP BY year_month"""),
+    "monthly_volume_summary": with_tables("""
+SELECT CAST(count(*) AS BIGINT) AS n_months, CAST(sum(post_count) AS BIGINT) AS total_posts,
+       CAST(quantile_cont(post_count, 0.5) AS DOUBLE) AS median_posts,
+       first(year_month ORDER BY post_count DESC, year_month ASC) AS peak_month,
+       CAST(max(post_count) AS BIGINT) AS peak_posts
+FROM mv""", "mv AS (SELECT year_month, sum(post_count) AS post_count FROM date_t GROUP BY year_month)"),
+    "calendar_gaps": with_tables(f"""
+SELECT c.year_month, CAST(coalesce(m.post_count, 0) AS BIGINT) AS post_count,
+       CASE WHEN m.post_count IS NULL THEN 'missing'
+            WHEN m.post_count < (SELECT thr FROM gthr) THEN 'near_empty' ELSE 'ok' END AS status
+FROM cal c LEFT JOIN month_t m ON c.year_month = m.year_month""", f"""
+cal AS (SELECT strftime(d, '%Y-%m') AS year_month FROM generate_series(
+          DATE '{C.FX_CAL_START}-01', DATE '{C.FX_CAL_END}-01', INTERVAL 1 MONTH) g(d)),
+gthr AS (SELECT quantile_cont(post_count, 0.5) * 0.1 AS thr FROM month_t)"""),
+    "sentiment_trend": with_tables("""
+SELECT * FROM (SELECT 'positive' AS side, * FROM st ORDER BY avg_positive DESC, year_month LIMIT 10)
+UNION ALL
+SELECT * FROM (SELECT 'negative' AS side, * FROM st ORDER BY avg_negative DESC, year_month LIMIT 10)""", """
+st0 AS (SELECT year_month, CAST(sum(post_count) AS BIGINT) AS total_posts,
+               sum(positive_sentiment * post_count) / sum(post_count) AS avg_positive,
+               sum(negative_sentiment * post_count) / sum(post_count) AS avg_negative
+        FROM date_t WHERE classified AND NOT redacted GROUP BY year_month),
+st AS (SELECT year_month, avg_positive, avg_negative, avg_positive - avg_negative AS sentiment_net,
+              total_posts FROM st0)"""),
+    "entity_spikiness": with_tables("""
+SELECT *, peak_count / total_posts AS spikiness FROM sp ORDER BY spikiness DESC, entity LIMIT 20""",
+        f"""{CLEAN},
+{_tops(50)},
+sp AS (SELECT c.entity, CAST(sum(c.post_count) AS BIGINT) AS total_posts,
+              first(c.year_month ORDER BY c.post_count DESC, c.year_month ASC) AS peak_month,
+              CAST(max(c.post_count) AS BIGINT) AS peak_count
+       FROM clean c JOIN tops t ON c.entity = t.entity GROUP BY c.entity)"""),
+    "entity_growth": with_tables("""
+SELECT * FROM (SELECT 'growing' AS side, * FROM gr ORDER BY slope DESC, entity LIMIT 20)
+UNION ALL
+SELECT * FROM (SELECT 'declining' AS side, * FROM gr ORDER BY slope ASC, entity LIMIT 20)""",
+        f"""{CLEAN},
+{_tops(200)},
+sub AS (SELECT c.*, t.total FROM clean c JOIN tops t ON c.entity = t.entity),
+mi AS (SELECT year_month, dense_rank() OVER (ORDER BY year_month) - 1 AS idx
+       FROM (SELECT DISTINCT year_month FROM sub)),
+g AS (SELECT entity, CAST(max(total) AS BIGINT) AS total_posts, CAST(count(*) AS BIGINT) AS n_months,
+             regr_slope(post_count, idx) AS s, regr_r2(post_count, idx) AS r,
+             var_pop(post_count) AS vy, var_pop(idx) AS vx
+      FROM sub JOIN mi ON sub.year_month = mi.year_month GROUP BY entity HAVING count(*) >= 6),
+gr AS (SELECT entity, total_posts,
+              round_even(CASE WHEN vx = 0 THEN 0.0 ELSE s END, 6) AS slope,
+              round_even(CASE WHEN vx = 0 OR vy = 0 THEN 0.0 ELSE r END, 6) AS r_squared, n_months FROM g)"""),
+    "entity_sentiment": with_tables("""
+SELECT * FROM (SELECT 'positive' AS side, * FROM es ORDER BY avg_positive DESC, entity LIMIT 10)
+UNION ALL
+SELECT * FROM (SELECT 'negative' AS side, * FROM es ORDER BY avg_negative DESC, entity LIMIT 10)""",
+        f"""{CLEAN},
+{_tops(100)},
+es0 AS (SELECT c.entity, CAST(sum(c.post_count) AS BIGINT) AS total_posts,
+               sum(c.positive_sentiment * c.post_count) AS pw, sum(c.negative_sentiment * c.post_count) AS nw
+        FROM clean c JOIN tops t ON c.entity = t.entity GROUP BY c.entity),
+es AS (SELECT entity, total_posts, round_even(pw / total_posts, 6) AS avg_positive,
+              round_even(nw / total_posts, 6) AS avg_negative,
+              round_even((pw - nw) / total_posts, 6) AS sentiment_net FROM es0)"""),
+    "top_entity_names": with_tables("""
+SELECT entity, CAST(sum(post_count) AS BIGINT) AS post_count FROM entity_t
+WHERE classified AND NOT redacted GROUP BY entity ORDER BY post_count DESC, entity LIMIT 200"""),
+    "entity_names_by_filter": with_tables("\nUNION ALL\n".join(
+        f"SELECT {c} AS classified_only, {r} AS exclude_redacted, entity, "
+        f"CAST(sum(post_count) AS BIGINT) AS post_count FROM entity_t "
+        f"WHERE {'classified' if c == 'true' else 'true'} AND {'NOT redacted' if r == 'true' else 'true'} "
+        f"GROUP BY entity"
+        for c in ("false", "true") for r in ("false", "true"))),
+    "search_entities": with_tables(f"""
+SELECT entity, CAST(sum(post_count) AS BIGINT) AS post_count FROM entity_t
+WHERE classified AND NOT redacted GROUP BY entity
+HAVING contains(lower(entity), '{C.FX_NEEDLE.lower()}')
+ORDER BY post_count DESC, entity LIMIT 200"""),
+    "keyword_group": with_tables("\nUNION ALL\n".join(
+        f"SELECT '{label}' AS label, entity, CAST(sum(post_count) AS BIGINT) AS post_count "
+        f"FROM entity_t GROUP BY entity HAVING regexp_matches(lower(entity), '{kw}')"
+        for label, kw in C.FX_GROUPS.items())),
+    "yearly_mentions": with_tables(f"""
+SELECT entity, year,
+       CASE {' '.join(f"WHEN year = {y} THEN '{y} (Annualized)'" for y in C.FX_PARTIAL)}
+            ELSE CAST(year AS VARCHAR) END AS year_label,
+       CAST(pc * CASE {' '.join(f'WHEN year = {y} THEN {f}' for y, f in C.FX_PARTIAL.items())}
+                 ELSE 1 END AS BIGINT) AS post_count
+FROM (SELECT entity, CAST(substr(year_month, 1, 4) AS INTEGER) AS year, sum(post_count) AS pc
+      FROM entity_t WHERE classified AND NOT redacted AND entity IN ({_in(C.FX_YEARLY)})
+      GROUP BY entity, year)"""),
+    "entity_timeline": with_tables(f"""
+SELECT year_month, post_count FROM entity_t
+WHERE classified AND NOT redacted AND entity = '{C.FX_NAME}'"""),
+    "volume_and_net_sentiment": with_tables(f"""
+SELECT year_month, post_count, positive_sentiment - negative_sentiment AS net_sentiment FROM entity_t
+WHERE classified AND NOT redacted AND entity = '{C.FX_NAME}'"""),
+    "net_sentiment_ranking": with_tables("""
+SELECT * FROM (SELECT 'negative' AS side, entity, net, total FROM ns ORDER BY net ASC, entity ASC LIMIT 10)
+UNION ALL
+SELECT * FROM (SELECT 'positive' AS side, entity, net, total FROM ns ORDER BY net DESC, entity DESC LIMIT 10)""",
+        f"""{CLEAN},
+{_tops(200)},
+ns AS (SELECT c.entity,
+              round_even(sum((c.positive_sentiment - c.negative_sentiment) * c.post_count)
+                    / sum(c.post_count), 6) AS net,
+              CAST(sum(c.post_count) AS BIGINT) AS total
+       FROM clean c JOIN tops t ON c.entity = t.entity GROUP BY c.entity)"""),
+    "normalized_growth": with_tables("""
+SELECT * FROM (SELECT 'growing' AS side, entity, slope, n FROM ng ORDER BY slope DESC, entity LIMIT 15)
+UNION ALL
+SELECT * FROM (SELECT 'declining' AS side, entity, slope, n FROM ng ORDER BY slope ASC, entity LIMIT 15)""",
+        f"""{CLEAN},
+{_tops(500)},
+sub AS (SELECT c.* FROM clean c JOIN tops t ON c.entity = t.entity),
+x AS (SELECT entity, post_count,
+             CAST(date_diff('day', (SELECT min(CAST(year_month || '-01' AS DATE)) FROM sub),
+                            CAST(year_month || '-01' AS DATE)) AS DOUBLE) AS month_num,
+             post_count / avg(post_count) OVER (PARTITION BY entity) AS y_norm
+      FROM sub),
+g AS (SELECT entity, regr_slope(y_norm, month_num) AS s, var_pop(month_num) AS vx,
+             CAST(count(post_count) AS BIGINT) AS n FROM x GROUP BY entity),
+ng AS (SELECT entity, round_even(s * 365, 6) AS slope, n FROM g WHERE vx > 0 AND n >= 6)"""),
+    "filter_entities": with_tables("SELECT * FROM f20", F20),
+    "all_entities": with_tables("SELECT * FROM f21", F21),
+    "metric_timeseries": with_tables("""
+SELECT year_month, entity, round_even(CAST(sum(post_count) AS DOUBLE), 6) AS value
+FROM f20 GROUP BY year_month, entity""", F20),
+    "metric_timeseries_all": with_tables(f"""
+SELECT year_month, 'All entities' AS entity, round_even({NZ.format(c='positive_sentiment')}, 6) AS value
+FROM f21 GROUP BY year_month""", F21),
+    "metric_ranking": with_tables("""
+SELECT entity, round_even(CAST(sum(total_likes) AS DOUBLE), 6) AS value FROM f20 GROUP BY entity""", F20),
+    "metric_ranking_all": with_tables(f"""
+SELECT entity, round_even({NZ.format(c='negative_sentiment')}, 6) AS value FROM f21 GROUP BY entity""", F21),
+    "sentiment_space": with_tables(SPACE.format(src="f20"), F20),
+    "entity_summary": with_tables(SUMMARY.format(src="f20"), F20),
+    "entity_summary_all": with_tables(SUMMARY.format(src="f21"), F21),
+    "sentiment_density": with_tables("""
+SELECT CAST(least(floor(positive_sentiment * 4), 3) AS INTEGER) AS pos_bin,
+       CAST(least(floor(negative_sentiment * 4), 3) AS INTEGER) AS neg_bin,
+       CAST(count(*) AS BIGINT) AS n
+FROM f21 WHERE positive_sentiment > 0 OR negative_sentiment > 0 GROUP BY ALL""", F21),
+    "month_timeseries": with_tables(f"""
+SELECT year_month, CAST(total_likes AS DOUBLE) AS value FROM month_t WHERE {RANGE}"""),
+    "redacted_share": with_tables("""
+SELECT year_month, redacted, post_count, month_total, post_count / month_total * 100 AS pct
+FROM (SELECT *, CAST(sum(post_count) OVER (PARTITION BY year_month) AS BIGINT) AS month_total
+      FROM rs0)""", f"""
+rs0 AS (SELECT year_month, redacted, CAST(sum(post_count) AS BIGINT) AS post_count FROM date_t
+        WHERE {RANGE} GROUP BY year_month, redacted)"""),
+    "group_comparison_snapshot": with_tables(
+        "SELECT * FROM space WHERE year_month = (SELECT max(year_month) FROM space)", GROUPS),
+    "group_comparison_frames": with_tables("SELECT * FROM space", GROUPS),
+})
