@@ -122,3 +122,39 @@ QUERIES.update({
     "group_comparison_frames": lambda s, d: X.group_comparison_frames(
         gold_entity(s, d), FX_GROUPS, FX_LO, FX_HI),
 })
+
+
+# ------------------------------------------------------- logs / profile / checks
+from postlens.plans.profile import entity_sentiment_profile  # noqa: E402
+from postlens.plans.prompts import extract_prompts, prompt_log_summary  # noqa: E402
+from postlens.plans.quality import quality_checks  # noqa: E402
+from postlens.sources.fixtures import read_table  # noqa: E402
+from postlens.sources.logs import conversations_as_logs  # noqa: E402
+
+FX_MIN_CONFIDENCE = -2.0
+FX_PROFILE_MIN_POSTS = 3
+FX_AMBIVALENT_AT = 0.5
+
+
+def _logs(spark, sf_dir):
+    return conversations_as_logs(read_table(spark, sf_dir, "conversations"))
+
+
+def q_entity_sentiment_profile(spark, sf_dir):
+    c = load_corpus(spark, sf_dir)
+    return entity_sentiment_profile(c.tweets, c.entities, FX_MIN_CONFIDENCE, "month",
+                                    FX_PROFILE_MIN_POSTS, FX_AMBIVALENT_AT)
+
+
+def q_quality_checks(spark, sf_dir):
+    c = load_corpus(spark, sf_dir)
+    return quality_checks(c.tweets, c.entities, gold_month(spark, sf_dir), gold_date(spark, sf_dir),
+                          gold_entity(spark, sf_dir), DATE_TOP_N)
+
+
+QUERIES.update({
+    "extract_prompts": lambda s, d: extract_prompts(_logs(s, d)),
+    "prompt_log_summary": lambda s, d: prompt_log_summary(_logs(s, d)),
+    "entity_sentiment_profile": q_entity_sentiment_profile,
+    "quality_checks": q_quality_checks,
+})

@@ -350,3 +350,89 @@ rs0 AS (SELECT year_month, redacted, CAST(sum(post_count) AS BIGINT) AS post_cou
         "SELECT * FROM space WHERE year_month = (SELECT max(year_month) FROM space)", GROUPS),
     "group_comparison_frames": with_tables("SELECT * FROM space", GROUPS),
 })
+
+
+# ------------------------------------------------------- logs / profile / checks
+from postlens.plans.prompts import SKIP_PREFIXES  # noqa: E402
+
+_STRIP = "regexp_replace(text, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')"
+PROMPTS = f"""
+pr0 AS (SELECT printf('conv-%06d', conv_id) AS session_id, turn AS line_pos, {_STRIP} AS content
+        FROM conversations WHERE role = 'user'),
+pr AS (SELECT * FROM pr0 WHERE content <> ''
+         AND NOT ({' OR '.join(f"starts_with(content, '{p}')" for p in SKIP_PREFIXES)})
+         AND NOT (starts_with(content, '<') AND ends_with(content, '>')))"""
+
+SQL.update({
+    "extract_prompts": with_tables("""
+SELECT CAST(row_number() OVER (ORDER BY session_id, line_pos) AS BIGINT) AS n, session_id,
+       '' AS timestamp, content,
+       coalesce(lag(session_id) OVER (ORDER BY session_id, line_pos) <> session_id, true) AS new_session
+FROM pr""", PROMPTS),
+    "prompt_log_summary": with_tables("""
+SELECT CAST((SELECT count(DISTINCT conv_id) FROM conversations) AS BIGINT) AS n_sessions,
+       CAST((SELECT count(*) FROM pr) AS BIGINT) AS n_prompts""", PROMPTS),
+    "entity_sentiment_profile": with_tables(f"""
+SELECT entity, strftime(bin, '%Y-%m-%d') AS bin, CAST(n_posts AS BIGINT) AS n_posts,
+       round_even(fb, 6) AS frac_bearing, round_even(mp, 6) AS mean_pos,
+       round_even(mn, 6) AS mean_neg, round_even(fa, 6) AS frac_ambivalent
+FROM prof WHERE n_posts >= {C.FX_PROFILE_MIN_POSTS}""", f"""
+pn AS (SELECT DISTINCT year_month, tweet_id, detected_as AS entity FROM fx_entities
+       WHERE confidence >= {C.FX_MIN_CONFIDENCE} AND detected_as IS NOT NULL),
+pp AS (SELECT year_month, tweet_id, CAST(date_trunc('month', created_at) AS DATE) AS bin,
+              coalesce(CAST(positive_emotion AS DOUBLE), 0.0) AS pos,
+              coalesce(CAST(negative_emotion AS DOUBLE), 0.0) AS neg FROM fx_tweets),
+prof AS (SELECT pn.entity, pp.bin, count(*) AS n_posts,
+                avg(CASE WHEN pos > 0 OR neg > 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS fb,
+                coalesce(avg(pos) FILTER (WHERE pos > 0), 0.0) AS mp,
+                coalesce(avg(neg) FILTER (WHERE neg > 0), 0.0) AS mn,
+                avg(CASE WHEN pos >= {C.FX_AMBIVALENT_AT} AND neg >= {C.FX_AMBIVALENT_AT}
+                         THEN 1.0 ELSE 0.0 END::DOUBLE) AS fa
+         FROM pp JOIN pn ON pp.year_month = pn.year_month AND pp.tweet_id = pn.tweet_id
+         GROUP BY pn.entity, pp.bin)"""),
+    "quality_checks": with_tables("""
+SELECT check_name, year_month, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual,
+       CASE WHEN check_name = 'date_names_at_most_n_plus_2' THEN actual <= expected
+            ELSE expected = actual END AS ok
+FROM (
+  SELECT 'month_post_count' AS check_name, coalesce(pm.year_month, m.year_month) AS year_month,
+         coalesce(pm.expected, 0) AS expected, coalesce(m.post_count, 0) AS actual
+  FROM (SELECT year_month, count(*) AS expected FROM fx_tweets GROUP BY year_month) pm
+  FULL JOIN month_t m ON pm.year_month = m.year_month
+  UNION ALL
+  SELECT 'date_unique_keys', a.year_month, a.n, b.n
+  FROM (SELECT year_month, count(*) AS n FROM date_t GROUP BY year_month) a
+  JOIN (SELECT year_month, count(*) AS n FROM (SELECT DISTINCT year_month, positive_sentiment,
+          negative_sentiment, entity FROM date_t) GROUP BY year_month) b ON a.year_month = b.year_month
+  UNION ALL
+  SELECT 'date_names_at_most_n_plus_2', year_month, """ + str(DATE_TOP_N + 2) + """,
+         count(DISTINCT entity) FROM date_t GROUP BY year_month
+  UNION ALL
+  SELECT 'date_none_posts', coalesce(x.year_month, y.year_month), coalesce(x.n, 0), coalesce(y.n, 0)
+  FROM (SELECT t.year_month, count(*) AS n FROM fx_tweets t WHERE NOT EXISTS (
+          SELECT 1 FROM fx_entities e WHERE e.year_month = t.year_month AND e.tweet_id = t.tweet_id)
+        GROUP BY t.year_month) x
+  FULL JOIN (SELECT year_month, sum(post_count) AS n FROM date_t WHERE entity = 'None'
+             GROUP BY year_month) y ON x.year_month = y.year_month
+  UNION ALL
+  SELECT 'date_total_pairs', coalesce(x.year_month, y.year_month), coalesce(x.n, 0), coalesce(y.n, 0)
+  FROM (SELECT t.year_month, sum(greatest(coalesce(k.n_top, 0), 1)) AS n
+        FROM fx_tweets t LEFT JOIN (
+          SELECT p.year_month, p.tweet_id, count(*) AS n_top FROM d_pairs p
+          JOIN d_top tp ON p.year_month = tp.year_month AND p.name = tp.name
+          GROUP BY p.year_month, p.tweet_id) k ON t.year_month = k.year_month AND t.tweet_id = k.tweet_id
+        GROUP BY t.year_month) x
+  FULL JOIN (SELECT year_month, sum(post_count) AS n FROM date_t GROUP BY year_month) y
+    ON x.year_month = y.year_month
+  UNION ALL
+  SELECT 'entity_means_in_unit_range', year_month, 0,
+         count(*) FILTER (WHERE NOT (positive_sentiment BETWEEN 0 AND 1)
+                             OR NOT (negative_sentiment BETWEEN 0 AND 1))
+  FROM entity_t GROUP BY year_month
+  UNION ALL
+  SELECT 'date_vs_entity_posts', d.year_month, sum(d.d), sum(e.post_count)
+  FROM (SELECT year_month, entity, sum(post_count) AS d FROM date_t WHERE classified
+        GROUP BY year_month, entity) d
+  LEFT JOIN entity_t e ON d.year_month = e.year_month AND d.entity = e.entity
+  GROUP BY d.year_month)"""),
+})
