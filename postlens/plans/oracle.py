@@ -436,3 +436,18 @@ FROM (
   LEFT JOIN entity_t e ON d.year_month = e.year_month AND d.entity = e.entity
   GROUP BY d.year_month)"""),
 })
+
+SQL.update({
+    "rdf_tweets": with_tables("""
+SELECT tweet_id, created_at, user_id, likes, shares,
+       coalesce(positive_emotion, CAST(0 AS FLOAT)) AS positive_emotion,
+       coalesce(negative_emotion, CAST(0 AS FLOAT)) AS negative_emotion, year_month
+FROM fx_tweets"""),
+    "rdf_entities": with_tables("""
+SELECT tweet_id, detected_as, matched_uri, confidence, year_month FROM fx_entities"""),
+    "rdf_mentions": """
+SELECT CAST(o.o_orderkey AS VARCHAR) AS tweet_id,
+       lower(regexp_replace(c.c_name, '[^A-Za-z0-9]', '', 'g')) AS username,
+       strftime(o.o_orderdate, '%Y-%m') AS year_month
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
+})
