@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postlens.operators import tables as TB
 from postlens.operators.redaction import redaction_table
@@ -187,3 +188,55 @@ def _rdf(i):
 
 
 QUERIES.update({"rdf_tweets": _rdf(0), "rdf_entities": _rdf(1), "rdf_mentions": _rdf(2)})
+
+
+# ------------------------------------------------------- incremental / streaming
+import uuid  # noqa: E402
+
+from postlens.streaming import incremental as INC  # noqa: E402
+
+FX_FIRST_WAVE_END = "1998-07-15"     # posts up to this day arrive first
+
+
+def _waves(spark, sf_dir, root):
+    """Write the corpus as partitioned sources in two arrival waves.
+
+    Wave 1: posts created up to ``FX_FIRST_WAVE_END`` (so one month arrives
+    half-way), all mention files.  Wave 2: the remaining posts.
+    """
+    c = load_corpus(spark, sf_dir)
+    cut = F.col("created_at") <= F.to_timestamp(F.lit(FX_FIRST_WAVE_END + " 23:59:59"))
+    tw = c.tweets.select(*[f.name for f in INC.TWEETS_SOURCE.fields])
+    ent = c.entities.select(*[f.name for f in INC.ENTITIES_SOURCE.fields])
+    ent.write.mode("overwrite").partitionBy("year_month").parquet(f"{root}/entities")
+    return (lambda: tw.filter(cut).write.mode("append").partitionBy("year_month").parquet(f"{root}/tweets"),
+            lambda: tw.filter(~cut).write.mode("append").partitionBy("year_month").parquet(f"{root}/tweets"))
+
+
+def q_incremental_date_table(spark, sf_dir):
+    root = gold_path(spark, sf_dir, f"incremental/{uuid.uuid4().hex}")
+    wave1, wave2 = _waves(spark, sf_dir, root)
+    staging = f"{root}/staging"
+    wave1()
+    INC.run_incremental(spark, f"{root}/tweets", f"{root}/entities", staging, "date", DATE_TOP_N)
+    wave2()
+    # resume: new months are built, the half-arrived month is rebuilt
+    # because its new file is newer than its staged rows
+    INC.run_incremental(spark, f"{root}/tweets", f"{root}/entities", staging, "date", DATE_TOP_N)
+    return INC.assemble(spark, staging, "date", load_corpus(spark, sf_dir).words)
+
+
+def q_streaming_date_table(spark, sf_dir):
+    root = gold_path(spark, sf_dir, f"stream/{uuid.uuid4().hex}")
+    wave1, wave2 = _waves(spark, sf_dir, root)
+    staging, ckpt = f"{root}/staging", f"{root}/_stream_checkpoint"
+    for wave in (wave1, wave2):
+        wave()
+        INC.stream_months(spark, f"{root}/tweets", f"{root}/entities", staging, ckpt, "date", DATE_TOP_N)
+    return INC.assemble(spark, staging, "date", load_corpus(spark, sf_dir).words)
+
+
+QUERIES.update({
+    "incremental_date_table": q_incremental_date_table,
+    "streaming_date_table": q_streaming_date_table,
+})

@@ -451,3 +451,8 @@ SELECT CAST(o.o_orderkey AS VARCHAR) AS tweet_id,
        strftime(o.o_orderdate, '%Y-%m') AS year_month
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
 })
+
+SQL.update({
+    "incremental_date_table": SQL["date_table"],
+    "streaming_date_table": SQL["date_table"],
+})
