@@ -56,8 +56,14 @@ def month_table(tweets: DataFrame, months: DataFrame | None = None) -> DataFrame
 
 
 def post_names(entities: DataFrame) -> DataFrame:
-    """A5: one row per post with its distinct non-null names (array)."""
-    return entities.groupBy(*KEY).agg(F.collect_set("detected_as").alias("names"))
+    """A5: one row per post with its distinct non-null names (array).
+
+    Null keys can never join (trap 9); filtering them here also makes every
+    use of this frame the same plan, so its shuffle is reused (the joins
+    below would otherwise infer the filter on one branch only).
+    """
+    keyed = entities.filter(F.col("year_month").isNotNull() & F.col("tweet_id").isNotNull())
+    return keyed.groupBy(*KEY).agg(F.collect_set("detected_as").alias("names"))
 
 
 def name_post_counts(posts: DataFrame) -> DataFrame:
