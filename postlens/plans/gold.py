@@ -9,13 +9,22 @@ also cuts lineage so a lost executor never recomputes the whole build.
 from __future__ import annotations
 
 import hashlib
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from postlens.session import ensure_checkpoint_dir
 
-LAYOUT_VERSION = "v1"
+def _code_version() -> str:
+    """Hash of the package source: any code change gets fresh gold tables."""
+    h = hashlib.sha1()
+    for f in sorted(Path(__file__).resolve().parents[1].rglob("*.py")):
+        h.update(f.read_bytes())
+    return h.hexdigest()[:12]
+
+
+LAYOUT_VERSION = _code_version()
 
 
 def gold_path(spark: SparkSession, sf_dir: str, name: str) -> str:
