@@ -240,3 +240,15 @@ QUERIES.update({
     "incremental_date_table": q_incremental_date_table,
     "streaming_date_table": q_streaming_date_table,
 })
+
+
+# ------------------------------------------------------------ summaries / P17
+FX_LO_IDX, FX_HI_IDX = 12, 999      # hi beyond the axis: clamped to the last month
+
+QUERIES.update({
+    "date_run_summary": lambda s, d: R.run_summary(gold_date(s, d)),
+    "date_sample_rows": lambda s, d: R.sample_rows(
+        gold_date(s, d), ["year_month", "entity", "positive_sentiment", "negative_sentiment"]),
+    "filter_entities_by_index": lambda s, d: X.filter_entities_by_index(
+        gold_entity(s, d), FX_SELECTED, FX_LO_IDX, FX_HI_IDX),
+})

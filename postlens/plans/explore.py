@@ -241,3 +241,29 @@ def group_comparison_frames(t: DataFrame, groups: dict, lo=None, hi=None,
                             exclude_redacted: bool = True) -> DataFrame:
     """Q30 re-aimed: every month's frame, sparse (no entity × month grid densify)."""
     return _space(_group_rows(t, groups, lo, hi, exclude_redacted))
+
+
+def month_bounds(t: DataFrame, lo_idx, hi_idx):
+    """Slider indices -> inclusive month labels, clamped like the reference.
+
+    ``lo`` is clamped into [0, n-1] and ``hi`` into [lo, n-1] over the
+    table's sorted distinct months; both labels are scalar subqueries, so
+    the filter stays one plan (no driver round trip).  The month axis is a
+    calendar-sized frame, so its single ordering is bounded.
+    """
+    months = t.select("year_month").distinct()
+    n = months.select(F.count(F.lit(1))).scalar()
+    idx = months.select("year_month", (F.dense_rank().over(Window.orderBy("year_month")) - 1).alias("i"))
+    lo = F.least(F.greatest(F.lit(int(lo_idx)), F.lit(0)), n - 1)
+    hi = F.greatest(lo, F.least(F.lit(int(hi_idx)), n - 1))
+    lo_m = idx.filter(F.col("i") == lo).select("year_month").scalar()
+    hi_m = idx.filter(F.col("i") == hi).select("year_month").scalar()
+    return lo_m, hi_m
+
+
+def filter_entities_by_index(t: DataFrame, names, lo_idx, hi_idx, classified_only=True,
+                             exclude_redacted=True) -> DataFrame:
+    """Q20 with the dashboard's index range (P17 clamp)."""
+    lo_m, hi_m = month_bounds(t, lo_idx, hi_idx)
+    return t.filter(F.col("entity").isin(*names) & (F.col("year_month") >= lo_m)
+                    & (F.col("year_month") <= hi_m) & clean_filter(classified_only, exclude_redacted))

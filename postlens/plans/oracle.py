@@ -456,3 +456,22 @@ SQL.update({
     "incremental_date_table": SQL["date_table"],
     "streaming_date_table": SQL["date_table"],
 })
+
+SQL.update({
+    "date_run_summary": with_tables("""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, min(year_month) AS first_month, max(year_month) AS last_month,
+       CAST(sum(post_count) AS BIGINT) AS total_posts, CAST(sum(total_likes) AS BIGINT) AS total_likes,
+       CAST(sum(total_shares) AS BIGINT) AS total_shares
+FROM date_t"""),
+    "date_sample_rows": with_tables("""
+SELECT * FROM date_t ORDER BY year_month, entity, positive_sentiment, negative_sentiment LIMIT 16"""),
+    "filter_entities_by_index": with_tables(f"""
+SELECT * FROM entity_t
+WHERE entity IN ({_in(C.FX_SELECTED)}) AND classified AND NOT redacted
+  AND year_month BETWEEN (SELECT year_month FROM ax WHERE i = (SELECT lo FROM b))
+                     AND (SELECT year_month FROM ax WHERE i = (SELECT hi FROM b))""", f"""
+ax AS (SELECT year_month, dense_rank() OVER (ORDER BY year_month) - 1 AS i
+       FROM (SELECT DISTINCT year_month FROM entity_t)),
+b0 AS (SELECT least(greatest({C.FX_LO_IDX}, 0), count(*) - 1) AS lo, count(*) AS n FROM ax),
+b AS (SELECT lo, greatest(lo, least({C.FX_HI_IDX}, n - 1)) AS hi FROM b0)"""),
+})

@@ -154,3 +154,19 @@ def month_index_days(df: DataFrame) -> DataFrame:
     """Days since the first month of ``df`` (Q19 x axis), via a scalar subquery."""
     first = df.select(F.min(month_start())).scalar()
     return df.withColumn("month_num", F.datediff(month_start(), first).cast("double"))
+
+
+def run_summary(table: DataFrame) -> DataFrame:
+    """Rows, month range and totals of a built table, as one row."""
+    return table.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("year_month").alias("first_month"),
+        F.max("year_month").alias("last_month"),
+        F.sum("post_count").alias("total_posts"),
+        F.sum("total_likes").alias("total_likes"),
+        F.sum("total_shares").alias("total_shares"))
+
+
+def sample_rows(table: DataFrame, sort_cols, n: int = 16) -> DataFrame:
+    """The first ``n`` rows in the table's sort order (the console sample)."""
+    return top_k(table, sort_cols, n)

@@ -36,3 +36,36 @@ def test_parse_rules(spark):
     # entity before any header is dropped; a mentions-link line switches the id
     assert e == [("100", "alpha"), ("777", "beta")]
     assert [tuple(r) for r in men.select("tweet_id", "username").collect()] == [("777", "someone")]
+
+
+def test_convert_skips_done_months(spark):
+    from postlens.sources.rdf import convert_dump
+    src = tempfile.mkdtemp(prefix="postlens-src-")
+    out = tempfile.mkdtemp(prefix="postlens-out-")
+    for ym in ("2013-01", "2013-02"):
+        with gzip.open(os.path.join(src, f"month_{ym}.n3.gz"), "wt") as f:
+            f.write(DUMP)
+    assert len(convert_dump(spark, src, out)) == 2
+    assert convert_dump(spark, src, out) == []
+    tw = spark.read.parquet(f"{out}/tweets")
+    assert sorted((r.year_month, r.n) for r in tw.groupBy("year_month").count()
+                  .withColumnRenamed("count", "n").collect()) == [("2013-01", 2), ("2013-02", 2)]
+
+
+def test_month_files_reader(spark):
+    from postlens.sources.tables import paired_months, read_kind
+    d = tempfile.mkdtemp(prefix="postlens-mf-")
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    t = pa.table({"tweet_id": ["1"], "created_at": pa.array([None], pa.timestamp("us")),
+                  "user_id": ["u"], "likes": pa.array([1], pa.int32()), "shares": pa.array([0], pa.int32()),
+                  "positive_emotion": pa.array([0.0], pa.float32()),
+                  "negative_emotion": pa.array([0.0], pa.float32())})
+    e = pa.table({"tweet_id": ["1"], "detected_as": ["a"], "matched_uri": ["u"],
+                  "confidence": pa.array([0.0], pa.float32())})
+    pq.write_table(t, os.path.join(d, "month_2013-01_tweets.parquet"))
+    pq.write_table(t, os.path.join(d, "month_2013-02_tweets.parquet"))
+    pq.write_table(e, os.path.join(d, "month_2013-01_entities.parquet"))
+    assert [r.year_month for r in read_kind(spark, d, "tweets").orderBy("year_month").collect()] == \
+        ["2013-01", "2013-02"]
+    assert [r.year_month for r in paired_months(spark, d).collect()] == ["2013-01"]
