@@ -11,17 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.session import cut_lineage
+
 
 def global_row_number(df: DataFrame, order_cols, name: str = "n") -> DataFrame:
     """Add a 1-based ``name`` following ``order_cols`` (which must be a total order).
 
-    The sorted, id-tagged frame is checkpointed (reliable, shared folder) so
-    both uses read the same partitioning.
+    The sorted, id-tagged frame is written once to the shared checkpoint
+    folder so both uses read the same ids.
     """
     tagged = (df.orderBy(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = cut_lineage(tagged, "numbered")
     per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_base"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # ≤ #partitions rows
     offsets = per_part.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))

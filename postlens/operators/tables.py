@@ -24,6 +24,7 @@ from postlens.functions.columns import quantize, signal_mean, zero_if_null
 from postlens.model import NONE, OTHER
 from postlens.operators.ranking import top_n_per_group
 from postlens.operators.redaction import apply_redaction
+from postlens.session import cut_lineage
 
 KEY = ["year_month", "tweet_id"]
 
@@ -33,14 +34,14 @@ BROADCAST_TOP_N = 1000
 
 
 def _staged(rows: DataFrame, wordlist) -> DataFrame:
-    """Checkpoint the pre-redaction aggregate before it is read twice.
+    """Write the pre-redaction aggregate once before it is read twice.
 
     Redaction needs the table's distinct names and then the table again;
     without a cut the whole build would run twice.  The aggregate is small
     (≤ months × 25 × (N+2) rows) and goes to the shared checkpoint folder,
     which also survives executor loss (never a local checkpoint).
     """
-    return rows.checkpoint(eager=True) if wordlist is not None else rows
+    return cut_lineage(rows, "pre-redaction") if wordlist is not None else rows
 
 
 def month_table(tweets: DataFrame, months: DataFrame | None = None) -> DataFrame:

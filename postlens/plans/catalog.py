@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from postlens.operators import tables as TB
 from postlens.operators.redaction import redaction_table
-from postlens.plans.gold import materialize
+from postlens.plans.gold import gold_path, materialize
 from postlens.sources.fixtures import DATE_TOP_N, ENTITY_TOP_N, load_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,24 +33,35 @@ def q_entity_table(spark, sf_dir):
     return TB.entity_table(c.tweets, c.entities, top_n=ENTITY_TOP_N, wordlist=c.words)
 
 
-def q_redaction_table(spark, sf_dir):
-    c = load_corpus(spark, sf_dir)
-    _, red_d = TB.date_table(c.tweets, c.entities, DATE_TOP_N, c.words, with_redactions=True)
-    _, red_e = TB.entity_table(c.tweets, c.entities, ENTITY_TOP_N, c.words, with_redactions=True)
-    # the entity run appends to what the date run wrote (S9 upsert)
-    return redaction_table(red_e, existing=redaction_table(red_d))
-
-
 def gold_month(spark, sf_dir):
     return materialize(spark, sf_dir, "month", lambda: q_month_table(spark, sf_dir))
 
 
+def _gold_with_redactions(spark, sf_dir, kind):
+    """Build a table once and write it with its redaction list (as the builders do)."""
+    def build():
+        c = load_corpus(spark, sf_dir)
+        fn, n = (TB.date_table, DATE_TOP_N) if kind == "date" else (TB.entity_table, ENTITY_TOP_N)
+        table, red = fn(c.tweets, c.entities, n, c.words, with_redactions=True)
+        red.write.mode("overwrite").parquet(gold_path(spark, sf_dir, f"{kind}_redactions"))
+        return table
+    table = materialize(spark, sf_dir, kind, build)
+    return table, materialize(spark, sf_dir, f"{kind}_redactions", lambda: None)
+
+
 def gold_date(spark, sf_dir):
-    return materialize(spark, sf_dir, "date", lambda: q_date_table(spark, sf_dir))
+    return _gold_with_redactions(spark, sf_dir, "date")[0]
 
 
 def gold_entity(spark, sf_dir):
-    return materialize(spark, sf_dir, "entity", lambda: q_entity_table(spark, sf_dir))
+    return _gold_with_redactions(spark, sf_dir, "entity")[0]
+
+
+def q_redaction_table(spark, sf_dir):
+    """Q04: the side table after the date run, then the entity run (S9 upsert)."""
+    red_d = _gold_with_redactions(spark, sf_dir, "date")[1]
+    red_e = _gold_with_redactions(spark, sf_dir, "entity")[1]
+    return redaction_table(red_e, existing=redaction_table(red_d))
 
 
 QUERIES: dict[str, Query] = {
@@ -162,7 +173,6 @@ QUERIES.update({
 
 
 # ------------------------------------------------------------------ RDF dump
-from postlens.plans.gold import gold_path  # noqa: E402
 from postlens.sources import rdf as RDF  # noqa: E402
 from postlens.sources.fixtures import mentions_from_orders  # noqa: E402
 

@@ -51,3 +51,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df, tag: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Used instead of ``Dataset.checkpoint()``, whose eager mode runs the plan
+    twice (a count, then the checkpoint write).  The written table survives
+    executor loss; the folder is the cluster's ``spark.checkpoint.dir``.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/stage/{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

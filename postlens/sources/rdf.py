@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens.session import cut_lineage
+
 # The line patterns of the dump format, in match order.
 RE_HEADER = (r'^_:t(\d+)\s+rdf:type sioc:Post\s*;\s*'
              r'dc:created "([^"]+)"\^\^xsd:dateTime\s*;\s*'
@@ -209,8 +211,8 @@ def pending_dump_files(spark: SparkSession, src: str, out: str) -> list[str]:
 def convert_dump(spark: SparkSession, src: str, out: str, skip_existing: bool = True) -> list[str]:
     """Q05 end to end: parse pending dump files once, write the three tables.
 
-    The parsed records are checkpointed (shared folder) so the three writes
-    read one parse.  Returns the files converted.
+    The parsed records are written once to the shared checkpoint folder so
+    the three writes read one parse.  Returns the files converted.
     """
     files = pending_dump_files(spark, src, out) if skip_existing else \
         spark.read.option("recursiveFileLookup", "true").text(src).inputFiles()
@@ -220,7 +222,7 @@ def convert_dump(spark: SparkSession, src: str, out: str, skip_existing: bool =
              .select(F.xxhash64(F.col("_metadata.file_path")).alias("fid"),
                      _month_of(F.col("_metadata.file_path")).alias("year_month"),
                      F.monotonically_increasing_id().alias("line"), "value"))
-    parsed = parse_dump(lines).checkpoint(eager=True)
+    parsed = cut_lineage(parse_dump(lines), "parsed-dump")
     write_tables(*tables_from_parsed(parsed), out)
     return files
 

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from postlens.model import ENTITIES_SCHEMA, TWEETS_SCHEMA
 from postlens.operators import tables as TB
 from postlens.operators.redaction import apply_redaction
+from postlens.session import cut_lineage
 
 _MONTH_DIR = re.compile(r"year_month=([^/]+)")
 
@@ -140,7 +141,8 @@ def assemble(spark: SparkSession, staging: str, kind: str, wordlist: DataFrame |
 def run_incremental(spark: SparkSession, tweets_path: str, entities_path: str, staging: str,
                     kind: str = "date", top_n: int = 100, resume: bool = True) -> DataFrame:
     """Build the pending months and return a per-month status frame (M5)."""
-    pending = pending_months(spark, tweets_path, entities_path, staging, resume).checkpoint(eager=True)
+    pending = cut_lineage(pending_months(spark, tweets_path, entities_path, staging, resume),
+                          "pending-months")
     tweets = spark.read.schema(TWEETS_SOURCE).parquet(tweets_path)
     entities = spark.read.schema(ENTITIES_SOURCE).parquet(entities_path)
     write_months(build_rows(tweets, entities, pending, kind, top_n), staging)
