@@ -19,7 +19,7 @@ SCOPES = ("selected", "all")
 
 TWEETS_SCHEMA = T.StructType([
     T.StructField("tweet_id", T.StringType()),
-    T.StructField("created_at", T.TimestampType()),
+    T.StructField("created_at", T.TimestampNTZType()),   # wall clock, no zone
     T.StructField("user_id", T.StringType()),
     T.StructField("likes", T.IntegerType()),
     T.StructField("shares", T.IntegerType()),

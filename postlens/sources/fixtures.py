@@ -28,7 +28,7 @@ def tweets_from_orders(orders: DataFrame) -> DataFrame:
     return orders.select(
         k.cast("string").alias("tweet_id"),
         F.date_format("o_orderdate", "yyyy-MM").alias("year_month"),
-        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
         c.cast("string").alias("user_id"),
         (F.floor("o_totalprice").cast("bigint") % 1000).cast("int").alias("likes"),
         (c % 50).cast("int").alias("shares"),

@@ -153,6 +153,13 @@ def rdf_to_tables(spark: SparkSession, path: str):
     return tables_from_parsed(parse_dump(read_dump_lines(spark, path)))
 
 
+def _wall_clock(c: str):
+    """``…Z`` (UTC) stamps -> TIMESTAMP_NTZ without a zone shift; other offsets via the session zone."""
+    s = F.col(c)
+    return F.when(s.endswith("Z"), F.to_timestamp_ntz(F.regexp_replace(s, "Z$", ""))) \
+            .otherwise(F.to_timestamp(s).cast("timestamp_ntz"))
+
+
 def tables_from_parsed(p: DataFrame):
     """Split carried-forward records into the three model tables."""
     # one aggregation per post: header fields + "last value wins" attributes
@@ -168,7 +175,7 @@ def tables_from_parsed(p: DataFrame):
                  F.max(F.when(k == "header", F.col("c"))).alias("user_id"),
                  *[last(x).alias(x) for x in ("like", "share", "pos", "neg")]))
     tweets = posts.filter(F.col("tweet_id").isNotNull()).select(
-        "tweet_id", F.to_timestamp("created").alias("created_at"), "user_id",
+        "tweet_id", _wall_clock("created").alias("created_at"), "user_id",
         F.coalesce(F.col("like").cast("int"), F.lit(0)).alias("likes"),
         F.coalesce(F.col("share").cast("int"), F.lit(0)).alias("shares"),
         F.coalesce(F.col("pos").cast("float"), F.lit(0.0).cast("float")).alias("positive_emotion"),

@@ -11,7 +11,7 @@ def tweets(spark, rows):
     """rows: (ym, tweet_id, likes, shares, pos, neg)."""
     return spark.createDataFrame(
         [(tid, None, "u", lk, sh, _f(p), _f(n), ym) for ym, tid, lk, sh, p, n in rows],
-        "tweet_id string, created_at timestamp, user_id string, likes int, shares int, "
+        "tweet_id string, created_at timestamp_ntz, user_id string, likes int, shares int, "
         "positive_emotion float, negative_emotion float, year_month string")
 
 

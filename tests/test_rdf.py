@@ -57,7 +57,7 @@ def test_month_files_reader(spark):
     d = tempfile.mkdtemp(prefix="postlens-mf-")
     import pyarrow as pa
     import pyarrow.parquet as pq
-    t = pa.table({"tweet_id": ["1"], "created_at": pa.array([None], pa.timestamp("us")),
+    t = pa.table({"tweet_id": ["1"], "created_at": pa.array([None], pa.timestamp("us")),  # no zone
                   "user_id": ["u"], "likes": pa.array([1], pa.int32()), "shares": pa.array([0], pa.int32()),
                   "positive_emotion": pa.array([0.0], pa.float32()),
                   "negative_emotion": pa.array([0.0], pa.float32())})
