@@ -7,7 +7,7 @@ Plan:
 1. ``spark.read.text`` — a gzip file is one scan partition, read in order;
 2. the eight patterns are matched JVM-side (``regexp_extract``), lines that
    match nothing are dropped before any Python sees them;
-3. ``mapInPandas`` carries the two keys forward inside each scan partition
+3. ``mapInArrow`` carries the two keys forward inside each scan partition
    (state crosses Arrow batches, resets at file boundaries) — no shuffle of
    the raw lines, memory bounded by the batch;
 4. "last value wins" for repeated attributes is a ``max_by`` per post
@@ -21,7 +21,6 @@ table behind (Spark's commit protocol; ``ignoreCorruptFiles`` reports it).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,36 +88,49 @@ def _classify(lines: DataFrame) -> DataFrame:
 
 
 def _carry_forward(batches):
-    """W2 inside one scan partition: keys carried across batches, reset per file.
+    """W2 inside one scan partition, on Arrow batches (no pandas, no per-row Python).
 
-    The previous batch's last state is prepended as a one-row seed, each
-    run of one file is forward-filled, and the seed row is dropped again.
+    Keys are forward-filled per run of one file; the previous batch's last
+    state seeds the first run when it continues the same file.
     """
-    carry = None                       # (fid, post_line, cur_id) after the last batch
-    for pdf in batches:
-        pdf = pdf[pdf["code"].notna()]
-        if pdf.empty:
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kinds = pa.array(KINDS)
+    carry = None                          # (fid, post_line, cur_id) after the last batch
+    for rb in batches:
+        t = pa.Table.from_batches([rb])
+        t = t.filter(pc.is_valid(t.column("code")))
+        if t.num_rows == 0:
             continue
-        pdf = pdf.assign(kind=pdf["code"].str[0].astype(int).map(dict(enumerate(KINDS))),
-                         a=pdf["code"].str[2:])
-        is_hdr = pdf["kind"].eq("header")
-        files = pdf["fid"].reset_index(drop=True)
-        post = pdf["line"].astype("Int64").where(is_hdr).reset_index(drop=True)
-        cur = pdf["a"].where(is_hdr | pdf["kind"].eq("link")).reset_index(drop=True)
-        if carry is not None:
-            files = pd.concat([pd.Series([carry[0]]), files], ignore_index=True)
-            post = pd.concat([pd.Series([carry[1]], dtype="Int64"), post], ignore_index=True)
-            cur = pd.concat([pd.Series([carry[2]], dtype=object), cur], ignore_index=True)
-        run = files.ne(files.shift()).cumsum()
-        post = post.groupby(run).ffill()
-        cur = cur.groupby(run).ffill()
-        if carry is not None:
-            files, post, cur = files.iloc[1:], post.iloc[1:], cur.iloc[1:]
-        carry = (files.iloc[-1], post.iloc[-1], cur.iloc[-1])
-        out = pdf[["fid", "year_month", "line", "kind", "a", "b", "c"]].reset_index(drop=True)
-        out["post_line"] = post.to_numpy()
-        out["cur_id"] = cur.to_numpy()
-        yield out[["fid", "year_month", "line", "kind", "post_line", "cur_id", "a", "b", "c"]]
+        code = t.column("code").combine_chunks()
+        digit = pc.utf8_slice_codeunits(code, 0, 1)
+        a = pc.utf8_slice_codeunits(code, 2, 1 << 30)
+        is_hdr = pc.equal(digit, "0")
+        post = pc.if_else(is_hdr, t.column("line").combine_chunks(), pa.scalar(None, pa.int64()))
+        cur = pc.if_else(pc.or_(is_hdr, pc.equal(digit, "5")), a, pa.scalar(None, pa.string()))
+        fid = t.column("fid").combine_chunks().to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero(fid[1:] != fid[:-1]) + 1, [len(fid)]))
+        posts, curs = [], []
+        for i, (s0, e0) in enumerate(zip(starts[:-1], starts[1:])):
+            p_run, c_run = post.slice(s0, e0 - s0), cur.slice(s0, e0 - s0)
+            seeded = i == 0 and carry is not None and carry[0] == fid[0]
+            if seeded:
+                p_run = pa.concat_arrays([pa.array([carry[1]], pa.int64()), p_run])
+                c_run = pa.concat_arrays([pa.array([carry[2]], pa.string()), c_run])
+            p_run, c_run = pc.fill_null_forward(p_run), pc.fill_null_forward(c_run)
+            if seeded:
+                p_run, c_run = p_run.slice(1), c_run.slice(1)
+            posts.append(p_run)
+            curs.append(c_run)
+        post_f, cur_f = pa.concat_arrays(posts), pa.concat_arrays(curs)
+        carry = (fid[-1], post_f[-1].as_py(), cur_f[-1].as_py())
+        yield pa.RecordBatch.from_arrays(
+            [t.column("fid").combine_chunks(), t.column("year_month").combine_chunks(),
+             t.column("line").combine_chunks(), pc.take(kinds, pc.cast(digit, pa.int8())),
+             post_f, cur_f, a, t.column("b").combine_chunks(), t.column("c").combine_chunks()],
+            names=["fid", "year_month", "line", "kind", "post_line", "cur_id", "a", "b", "c"])
 
 
 def _month_of(f):
@@ -145,7 +157,7 @@ def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_dump(lines: DataFrame) -> DataFrame:
     """Classified lines with ``post_line`` (latest header) and ``cur_id`` carried forward."""
-    return _classify(lines).mapInPandas(_carry_forward, _LINES_SCHEMA)
+    return _classify(lines).mapInArrow(_carry_forward, _LINES_SCHEMA)
 
 
 def rdf_to_tables(spark: SparkSession, path: str):
