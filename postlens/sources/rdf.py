@@ -60,6 +60,7 @@ _LINES_SCHEMA = ("fid long, year_month string, line long, kind string, post_line
 
 
 WS_CHARS = " \t\n\r\f\x0b"
+SEP = "\u0001"
 
 
 def _classify(lines: DataFrame) -> DataFrame:
@@ -68,10 +69,11 @@ def _classify(lines: DataFrame) -> DataFrame:
     Each rule is guarded by its literal marker, and the rule chain is one
     ``coalesce`` producing ``"<rule index>|<first capture>"`` — evaluated
     once per line (a ``kind`` column referenced by later expressions would
-    be inlined and re-run per reference).  The second/third captures are
-    only read on header and entity lines; their own guarded chains are
-    exact there.  Lines matching no rule keep a null code and are dropped
-    in the carry-forward step.
+    be inlined and re-run per reference).  The second/third captures come
+    from one ``regexp_replace`` per header/entity line, joined by a separator
+    and split in the Arrow step; they are only read on those lines.  Lines
+    matching no rule keep a null code and are dropped in the carry-forward
+    step.
     """
     v = F.col("v")
 
@@ -80,11 +82,13 @@ def _classify(lines: DataFrame) -> DataFrame:
 
     first = {0: 3, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}   # capture kept in "a" per rule
     code = F.coalesce(*[F.concat(F.lit(f"{i}|"), ext(i, _PATTERNS[i], g)) for i, g in first.items()])
-    b = F.coalesce(ext(0, RE_HEADER, 2), ext(6, RE_ENTITY, 2))      # created | uri
-    c = F.coalesce(ext(0, RE_HEADER, 4), ext(6, RE_ENTITY, 3))      # creator | confidence
+    # created|uri and creator|confidence in one regex pass, split in the Arrow step
+    bc = F.coalesce(
+        F.when(v.contains(_MARKERS[0]), F.regexp_replace(v, RE_HEADER + ".*$", f"$2{SEP}$4")),
+        F.when(v.contains(_MARKERS[6]), F.regexp_replace(v, "^.*?" + RE_ENTITY + ".*$", f"$2{SEP}$3")))
     trimmed = lines.select("fid", "year_month", "line", F.btrim("value", F.lit(WS_CHARS)).alias("v"))
     kept = trimmed.filter((F.col("v") != "") & ~F.col("v").startswith("@prefix"))
-    return kept.select("fid", "year_month", "line", code.alias("code"), b.alias("b"), c.alias("c"))
+    return kept.select("fid", "year_month", "line", code.alias("code"), bc.alias("bc"))
 
 
 def _carry_forward(batches):
@@ -126,10 +130,14 @@ def _carry_forward(batches):
             curs.append(c_run)
         post_f, cur_f = pa.concat_arrays(posts), pa.concat_arrays(curs)
         carry = (fid[-1], post_f[-1].as_py(), cur_f[-1].as_py())
+        kind = pc.take(kinds, pc.cast(digit, pa.int8()))
+        has_bc = pc.is_in(kind, pa.array(["header", "entity"]))
+        parts = pc.split_pattern(pc.if_else(has_bc, t.column("bc").combine_chunks(),
+                                            pa.scalar(None, pa.string())), SEP)
+        b, c = pc.list_element(parts, 0), pc.list_element(parts, 1)
         yield pa.RecordBatch.from_arrays(
             [t.column("fid").combine_chunks(), t.column("year_month").combine_chunks(),
-             t.column("line").combine_chunks(), pc.take(kinds, pc.cast(digit, pa.int8())),
-             post_f, cur_f, a, t.column("b").combine_chunks(), t.column("c").combine_chunks()],
+             t.column("line").combine_chunks(), kind, post_f, cur_f, a, b, c],
             names=["fid", "year_month", "line", "kind", "post_line", "cur_id", "a", "b", "c"])
 
 
