@@ -10,8 +10,9 @@ Plan:
 3. ``mapInArrow`` carries the two keys forward inside each scan partition
    (state crosses Arrow batches, resets at file boundaries) — no shuffle of
    the raw lines, memory bounded by the batch;
-4. "last value wins" for repeated attributes is a ``max_by`` per post
-   (hash exchange on the post key), then the three tables are written
+4. "last value wins" for repeated attributes is resolved in the same Arrow
+   step (a post's lines never leave its file's partition), so the three
+   tables come out of the scan without any shuffle and are written
    partitioned by ``year_month``.
 
 Two defects of the reference are not reproduced: posts split at a chunk
@@ -55,8 +56,8 @@ _PATTERNS = [RE_HEADER, RE_LIKE, RE_SHARE, RE_POS, RE_NEG, RE_LINK, RE_ENTITY, R
 _MARKERS = ["rdf:type sioc:Post", "schema:LikeAction", "schema:ShareAction", "wna:positive-emotion",
             "wna:negative-emotion", "schema:mentions", "rdf:type nee:Entity", "rdf:type sioc:UserAccount"]
 
-_LINES_SCHEMA = ("fid long, year_month string, line long, kind string, post_line long, "
-                 "cur_id string, a string, b string, c string")
+_RECORD_SCHEMA = ("fid long, year_month string, kind string, id string, a string, b string, "
+                  "c string, like string, share string, pos string, neg string")
 
 
 WS_CHARS = " \t\n\r\f\x0b"
@@ -91,11 +92,34 @@ def _classify(lines: DataFrame) -> DataFrame:
     return kept.select("fid", "year_month", "line", code.alias("code"), bc.alias("bc"))
 
 
+_ATTRS = ("like", "share", "pos", "neg")
+
+
+def _posts_from(rows):
+    """One row per post: header fields + the last value of each attribute (pyarrow)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    hdr = rows.filter(pc.equal(rows.column("kind"), "header")).select(
+        ["fid", "year_month", "post_line", "a", "b", "c"])
+    attrs = rows.filter(pc.is_in(rows.column("kind"), pa.array(list(_ATTRS))))
+    last = attrs.group_by(["post_line", "kind"], use_threads=False).aggregate([("a", "last")])
+    out = hdr
+    for k in _ATTRS:
+        one = last.filter(pc.equal(last.column("kind"), k)).select(["post_line", "a_last"])
+        out = out.join(one.rename_columns(["post_line", k]), "post_line", join_type="left outer")
+    return out
+
+
 def _carry_forward(batches):
-    """W2 inside one scan partition, on Arrow batches (no pandas, no per-row Python).
+    """W2 + "last value wins", inside one scan partition, on Arrow batches.
 
     Keys are forward-filled per run of one file; the previous batch's last
-    state seeds the first run when it continues the same file.
+    state seeds the first run when it continues the same file.  Posts are
+    finished here too: all lines of a post are in one file, hence in this
+    partition, so attributes resolve without a shuffle.  The post still open
+    at the end of a batch is held back until the next batch (or the end).
+    Output rows: ``post`` (one per header) and ``entity``/``mention``.
     """
     import numpy as np
     import pyarrow as pa
@@ -103,6 +127,25 @@ def _carry_forward(batches):
 
     kinds = pa.array(KINDS)
     carry = None                          # (fid, post_line, cur_id) after the last batch
+    pending = None                        # rows of the post still open
+
+    def emit(post_rows, ref_rows):
+        posts = _posts_from(post_rows)
+        n = posts.num_rows
+        cols = {"fid": posts.column("fid"), "year_month": posts.column("year_month"),
+                "kind": pa.array(["post"] * n), "id": posts.column("a"),
+                "a": posts.column("b"), "b": posts.column("c"), "c": pa.nulls(n, pa.string())}
+        for k in _ATTRS:
+            cols[k] = posts.column(k)
+        post_tbl = pa.table(cols)
+        m = ref_rows.num_rows
+        ref_tbl = pa.table({"fid": ref_rows.column("fid"), "year_month": ref_rows.column("year_month"),
+                            "kind": ref_rows.column("kind"), "id": ref_rows.column("cur_id"),
+                            "a": ref_rows.column("a"), "b": ref_rows.column("b"),
+                            "c": ref_rows.column("c"),
+                            **{k: pa.nulls(m, pa.string()) for k in _ATTRS}})
+        return pa.concat_tables([post_tbl, ref_tbl])
+
     for rb in batches:
         t = pa.Table.from_batches([rb])
         t = t.filter(pc.is_valid(t.column("code")))
@@ -111,6 +154,7 @@ def _carry_forward(batches):
         code = t.column("code").combine_chunks()
         digit = pc.utf8_slice_codeunits(code, 0, 1)
         a = pc.utf8_slice_codeunits(code, 2, 1 << 30)
+        kind = pc.take(kinds, pc.cast(digit, pa.int8()))
         is_hdr = pc.equal(digit, "0")
         post = pc.if_else(is_hdr, t.column("line").combine_chunks(), pa.scalar(None, pa.int64()))
         cur = pc.if_else(pc.or_(is_hdr, pc.equal(digit, "5")), a, pa.scalar(None, pa.string()))
@@ -130,15 +174,29 @@ def _carry_forward(batches):
             curs.append(c_run)
         post_f, cur_f = pa.concat_arrays(posts), pa.concat_arrays(curs)
         carry = (fid[-1], post_f[-1].as_py(), cur_f[-1].as_py())
-        kind = pc.take(kinds, pc.cast(digit, pa.int8()))
         has_bc = pc.is_in(kind, pa.array(["header", "entity"]))
         parts = pc.split_pattern(pc.if_else(has_bc, t.column("bc").combine_chunks(),
                                             pa.scalar(None, pa.string())), SEP)
-        b, c = pc.list_element(parts, 0), pc.list_element(parts, 1)
-        yield pa.RecordBatch.from_arrays(
-            [t.column("fid").combine_chunks(), t.column("year_month").combine_chunks(),
-             t.column("line").combine_chunks(), kind, post_f, cur_f, a, b, c],
-            names=["fid", "year_month", "line", "kind", "post_line", "cur_id", "a", "b", "c"])
+        rows = pa.table({"fid": t.column("fid").combine_chunks(),
+                         "year_month": t.column("year_month").combine_chunks(),
+                         "kind": kind, "post_line": post_f, "cur_id": cur_f, "a": a,
+                         "b": pc.list_element(parts, 0), "c": pc.list_element(parts, 1)})
+        # header/attribute lines with a post; mention lines with a current id
+        is_post = pc.and_(pc.is_in(kind, pa.array(["header", *_ATTRS])), pc.is_valid(post_f))
+        is_ref = pc.and_(pc.is_in(kind, pa.array(["entity", "mention"])), pc.is_valid(cur_f))
+        post_rows = rows.filter(is_post)
+        ref_rows = rows.filter(is_ref)
+        if pending is not None:
+            post_rows = pa.concat_tables([pending, post_rows])
+        if post_rows.num_rows:
+            open_line = post_rows.column("post_line")[-1]
+            still_open = pc.equal(post_rows.column("post_line"), open_line)
+            pending = post_rows.filter(still_open)
+            post_rows = post_rows.filter(pc.invert(still_open))
+        yield from emit(post_rows, ref_rows).to_batches()
+    if pending is not None and pending.num_rows:
+        empty = pending.slice(0, 0).select(["fid", "year_month", "kind", "cur_id", "a", "b", "c"])
+        yield from emit(pending, empty).to_batches()
 
 
 def _month_of(f):
@@ -165,7 +223,7 @@ def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_dump(lines: DataFrame) -> DataFrame:
     """Classified lines with ``post_line`` (latest header) and ``cur_id`` carried forward."""
-    return _classify(lines).mapInArrow(_carry_forward, _LINES_SCHEMA)
+    return _classify(lines).mapInArrow(_carry_forward, _RECORD_SCHEMA)
 
 
 def rdf_to_tables(spark: SparkSession, path: str):
@@ -181,31 +239,20 @@ def _wall_clock(c: str):
 
 
 def tables_from_parsed(p: DataFrame):
-    """Split carried-forward records into the three model tables."""
-    # one aggregation per post: header fields + "last value wins" attributes
-    # (a header's own post_line is its line, so no self-join is needed)
+    """Split parsed records into the three model tables (projections only, no shuffle)."""
     k = F.col("kind")
-    last = lambda kind: F.max_by(F.when(k == kind, F.col("a")),
-                                 F.when(k == kind, F.col("line")))
-    posts = (p.filter(k.isin("header", "like", "share", "pos", "neg") & F.col("post_line").isNotNull())
-             .groupBy("fid", "post_line").agg(
-                 F.max(F.when(k == "header", F.col("year_month"))).alias("year_month"),
-                 F.max(F.when(k == "header", F.col("a"))).alias("tweet_id"),
-                 F.max(F.when(k == "header", F.col("b"))).alias("created"),
-                 F.max(F.when(k == "header", F.col("c"))).alias("user_id"),
-                 *[last(x).alias(x) for x in ("like", "share", "pos", "neg")]))
-    tweets = posts.filter(F.col("tweet_id").isNotNull()).select(
-        "tweet_id", _wall_clock("created").alias("created_at"), "user_id",
+    tweets = p.filter(k == "post").select(
+        F.col("id").alias("tweet_id"), _wall_clock("a").alias("created_at"), F.col("b").alias("user_id"),
         F.coalesce(F.col("like").cast("int"), F.lit(0)).alias("likes"),
         F.coalesce(F.col("share").cast("int"), F.lit(0)).alias("shares"),
         F.coalesce(F.col("pos").cast("float"), F.lit(0.0).cast("float")).alias("positive_emotion"),
         F.coalesce(F.col("neg").cast("float"), F.lit(0.0).cast("float")).alias("negative_emotion"),
         "year_month")
-    entities = p.filter((F.col("kind") == "entity") & F.col("cur_id").isNotNull()).select(
-        F.col("cur_id").alias("tweet_id"), F.col("a").alias("detected_as"),
+    entities = p.filter(k == "entity").select(
+        F.col("id").alias("tweet_id"), F.col("a").alias("detected_as"),
         F.col("b").alias("matched_uri"), F.col("c").cast("float").alias("confidence"), "year_month")
-    mentions = p.filter((F.col("kind") == "mention") & F.col("cur_id").isNotNull()).select(
-        F.col("cur_id").alias("tweet_id"), F.col("a").alias("username"), "year_month")
+    mentions = p.filter(k == "mention").select(
+        F.col("id").alias("tweet_id"), F.col("a").alias("username"), "year_month")
     return tweets, entities, mentions
 
 
