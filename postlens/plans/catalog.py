@@ -262,3 +262,7 @@ QUERIES.update({
     "filter_entities_by_index": lambda s, d: X.filter_entities_by_index(
         gold_entity(s, d), FX_SELECTED, FX_LO_IDX, FX_HI_IDX),
 })
+
+QUERIES.update({
+    "entity_summary_display": lambda s, d: X.entity_summary_display(gold_entity(s, d), _spec(scope="all")),
+})

@@ -267,3 +267,20 @@ def filter_entities_by_index(t: DataFrame, names, lo_idx, hi_idx, classified_onl
     lo_m, hi_m = month_bounds(t, lo_idx, hi_idx)
     return t.filter(F.col("entity").isin(*names) & (F.col("year_month") >= lo_m)
                     & (F.col("year_month") <= hi_m) & clean_filter(classified_only, exclude_redacted))
+
+
+def entity_summary_display(t: DataFrame, spec: QuerySpec) -> DataFrame:
+    """Q25 as shown: counts with thousands separators, sentiments to 3 decimals.
+
+    A presentation projection on top of ``entity_summary``; ``posts`` is kept
+    numeric for ordering.
+    """
+    s = entity_summary(t, spec)
+    return s.select(
+        "entity", "posts",
+        F.format_number("months", 0).alias("months_fmt"),
+        F.format_number("posts", 0).alias("posts_fmt"),
+        F.format_number("likes", 0).alias("likes_fmt"),
+        F.format_number("shares", 0).alias("shares_fmt"),
+        F.format_number("pos_sentiment", 3).alias("pos_fmt"),
+        F.format_number("neg_sentiment", 3).alias("neg_fmt"))

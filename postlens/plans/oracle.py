@@ -475,3 +475,12 @@ ax AS (SELECT year_month, dense_rank() OVER (ORDER BY year_month) - 1 AS i
 b0 AS (SELECT least(greatest({C.FX_LO_IDX}, 0), count(*) - 1) AS lo, count(*) AS n FROM ax),
 b AS (SELECT lo, greatest(lo, least({C.FX_HI_IDX}, n - 1)) AS hi FROM b0)"""),
 })
+
+SQL.update({
+    "entity_summary_display": with_tables(f"""
+SELECT entity, posts,
+       format('{{:,}}', months) AS months_fmt, format('{{:,}}', posts) AS posts_fmt,
+       format('{{:,}}', likes) AS likes_fmt, format('{{:,}}', shares) AS shares_fmt,
+       format('{{:.3f}}', pos_sentiment) AS pos_fmt, format('{{:.3f}}', neg_sentiment) AS neg_fmt
+FROM ({SUMMARY.format(src="f21")})""", F21),
+})
