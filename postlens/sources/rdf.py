@@ -22,11 +22,18 @@ table behind (Spark's commit protocol; ``ignoreCorruptFiles`` reports it).
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.session import cut_lineage
 
+# The Arrow step runs in Python workers; ship this module's functions by
+# value so workers need not import the package (no --py-files required).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The line patterns of the dump format, in match order.
 RE_HEADER = (r'^_:t(\d+)\s+rdf:type sioc:Post\s*;\s*'
              r'dc:created "([^"]+)"\^\^xsd:dateTime\s*;\s*'
