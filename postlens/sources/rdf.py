@@ -206,6 +206,11 @@ def _carry_forward(batches):
         yield from emit(pending, empty).to_batches()
 
 
+def _fid(path):
+    """64-bit file id from a path, insensitive to ``file:/`` vs ``file:///`` spellings."""
+    return F.xxhash64(F.regexp_replace(path, "^file:/+", "/"))
+
+
 def _month_of(f):
     ym = F.regexp_extract(f, RE_MONTH, 1)
     return F.when(ym != "", ym).otherwise(F.regexp_extract(f, r"([^/]+?)(\.n3)?(\.gz)?$", 1))
@@ -224,7 +229,7 @@ def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     f = F.col("_metadata.file_path")
     return (spark.read.option("recursiveFileLookup", "true").text(path)
-            .select(F.xxhash64(f).alias("fid"), _month_of(f).alias("year_month"),
+            .select(_fid(f).alias("fid"), _month_of(f).alias("year_month"),
                     F.monotonically_increasing_id().alias("line"), "value"))
 
 
@@ -289,23 +294,32 @@ def pending_dump_files(spark: SparkSession, src: str, out: str) -> list[str]:
     return [f for f in files if not ((m := _re.search(RE_MONTH, f)) and m.group(1) in (done or set()))]
 
 
-def convert_dump(spark: SparkSession, src: str, out: str, skip_existing: bool = True) -> list[str]:
+def convert_dump(spark: SparkSession, src: str, out: str, skip_existing: bool = True,
+                 ignore_corrupt: bool = False) -> DataFrame:
     """Q05 end to end: parse pending dump files once, write the three tables.
 
     The parsed records are written once to the shared checkpoint folder so
-    the three writes read one parse.  Returns the files converted.
+    the three writes read one parse.  With ``ignore_corrupt`` a truncated
+    gzip is skipped instead of failing the job (rule 7); either way the
+    returned ``(file, status)`` frame reports every input file as
+    ``converted`` or ``no_lines`` (empty, or unreadable and skipped).
     """
     files = pending_dump_files(spark, src, out) if skip_existing else \
         spark.read.option("recursiveFileLookup", "true").text(src).inputFiles()
+    status = spark.createDataFrame([(f,) for f in files], "file string")
     if not files:
-        return []
-    lines = (spark.read.text(files)
-             .select(F.xxhash64(F.col("_metadata.file_path")).alias("fid"),
+        return status.withColumn("status", F.lit("converted"))
+    reader = spark.read.option("ignoreCorruptFiles", "true") if ignore_corrupt else spark.read
+    lines = (reader.text(files)
+             .select(_fid(F.col("_metadata.file_path")).alias("fid"),
                      _month_of(F.col("_metadata.file_path")).alias("year_month"),
                      F.monotonically_increasing_id().alias("line"), "value"))
     parsed = cut_lineage(parse_dump(lines), "parsed-dump")
     write_tables(*tables_from_parsed(parsed), out)
-    return files
+    seen = parsed.select("fid").distinct().withColumn("_seen", F.lit(True))
+    return (status.withColumn("fid", _fid(F.col("file"))).join(seen, "fid", "left")
+            .select("file", F.when(F.col("_seen"), F.lit("converted"))
+                    .otherwise(F.lit("no_lines")).alias("status")))
 
 
 # ------------------------------------------------------------------ rendering
