@@ -1,8 +1,3 @@
-from pyspark.sql import functions as F
-
-from postlens.model import ENTITIES_SCHEMA, TWEETS_SCHEMA
-
-
 def _f(x):
     return None if x is None else float(x)
 
@@ -25,5 +20,3 @@ def entities(spark, rows):
 def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
-
-assert TWEETS_SCHEMA and ENTITIES_SCHEMA and F

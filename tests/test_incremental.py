@@ -3,8 +3,6 @@
 import tempfile
 import time
 
-from pyspark.sql import functions as F
-
 from postlens.operators import tables as TB
 from postlens.streaming import incremental as INC
 from tests.helpers import entities, tweets
@@ -30,4 +28,3 @@ def test_resume_and_late_month(spark):
     allt = t1.unionByName(late)
     expect = TB.date_table(allt, e, 5)
     assert sorted(map(tuple, final.collect())) == sorted(map(tuple, expect.collect()))
-    assert F is not None

@@ -1,7 +1,5 @@
 """Hand-written trap cases for the table builders (FIXTURES.md §2.3)."""
 
-from pyspark.sql import functions as F
-
 from postlens.operators import tables as TB
 from tests.helpers import entities, rows, tweets
 
@@ -111,4 +109,3 @@ def test_top_n_plan_uses_window_group_limit(spark):
     e = entities(spark, [(M, "1", "a")])
     plan = TB.top_names(TB.post_names(e), 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
-    assert F is not None
