@@ -10,7 +10,8 @@ holds the *pre-redaction* rows of each finished month, also partitioned by
       months whose source files are newer than their staged rows;
 * M3  ``resume=False`` rebuilds every month;
 * M4  the final table is assembled from the whole staging table, then redacted;
-* M5  a status frame reports each month (built / skipped / no entities file);
+* M5  a status frame reports each month (built / skipped / no entities file;
+      with ``ignore_corrupt`` unreadable files are skipped and reported);
 * M6  an interrupted write leaves nothing behind (Spark's commit protocol);
 * M7  ``stream_months``: file-source ``readStream`` + ``foreachBatch`` rebuilds
       every month a micro-batch touched — from the whole month, because the
@@ -138,21 +139,49 @@ def assemble(spark: SparkSession, staging: str, kind: str, wordlist: DataFrame |
     return out.select(*cols, "total_likes", "total_shares", "post_count", "redacted", "classified")
 
 
+def _unread_files(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Files under ``path`` that produced no row (empty, or skipped as corrupt)."""
+    listed = spark.createDataFrame([(f,) for f in df.inputFiles()], "file string")
+    norm = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    seen = df.select(norm(F.col("_metadata.file_path")).alias("f")).distinct()
+    return (listed.withColumn("f", norm(F.col("file"))).join(seen, "f", "left_anti")
+            .select(F.regexp_extract("file", r"year_month=([^/]+)", 1).alias("year_month"), "file"))
+
+
 def run_incremental(spark: SparkSession, tweets_path: str, entities_path: str, staging: str,
-                    kind: str = "date", top_n: int = 100, resume: bool = True) -> DataFrame:
-    """Build the pending months and return a per-month status frame (M5)."""
+                    kind: str = "date", top_n: int = 100, resume: bool = True,
+                    ignore_corrupt: bool = False) -> DataFrame:
+    """Build the pending months and return a per-month status frame (M5).
+
+    Without ``ignore_corrupt`` an unreadable file fails the run and nothing
+    is written (commit protocol).  With it, unreadable files are skipped, the
+    other months are built, and months with a file that yielded no row are
+    reported as ``built_with_unread_files`` (``unread_files`` counts them).
+    """
     pending = cut_lineage(pending_months(spark, tweets_path, entities_path, staging, resume),
                           "pending-months")
-    tweets = spark.read.schema(TWEETS_SOURCE).parquet(tweets_path)
-    entities = spark.read.schema(ENTITIES_SOURCE).parquet(entities_path)
+    reader = spark.read.option("ignoreCorruptFiles", "true") if ignore_corrupt else spark.read
+    tweets = reader.schema(TWEETS_SOURCE).parquet(tweets_path)
+    entities = reader.schema(ENTITIES_SOURCE).parquet(entities_path)
     write_months(build_rows(tweets, entities, pending, kind, top_n), staging)
     src = source_months(spark, tweets_path)
     has_ent = source_months(spark, entities_path).withColumn("_e", F.lit(True))
     built = pending.withColumn("_b", F.lit(True))
-    return (src.join(has_ent, "year_month", "left").join(built, "year_month", "left")
-            .select("year_month", F.when(F.col("_b"), F.lit("built"))
-                    .when(F.col("_e").isNull(), F.lit("no_entities_file"))
-                    .otherwise(F.lit("skipped")).alias("status")))
+    status = (src.join(has_ent, "year_month", "left").join(built, "year_month", "left")
+              .select("year_month", F.when(F.col("_b"), F.lit("built"))
+                      .when(F.col("_e").isNull(), F.lit("no_entities_file"))
+                      .otherwise(F.lit("skipped")).alias("status")))
+    if not ignore_corrupt:
+        return status
+    unread = (_unread_files(spark, tweets, tweets_path)
+              .unionByName(_unread_files(spark, entities, entities_path))
+              .join(pending, "year_month", "left_semi")
+              .groupBy("year_month").agg(F.count(F.lit(1)).alias("unread_files")))
+    return (status.join(unread, "year_month", "left")
+            .select("year_month",
+                    F.when(F.col("unread_files") > 0, F.lit("built_with_unread_files"))
+                    .otherwise(F.col("status")).alias("status"),
+                    F.coalesce("unread_files", F.lit(0)).alias("unread_files")))
 
 
 def stream_months(spark: SparkSession, tweets_path: str, entities_path: str, staging: str,

@@ -28,3 +28,23 @@ def test_resume_and_late_month(spark):
     allt = t1.unionByName(late)
     expect = TB.date_table(allt, e, 5)
     assert sorted(map(tuple, final.collect())) == sorted(map(tuple, expect.collect()))
+
+
+def test_corrupt_file_is_reported_and_others_build(spark):
+    import os
+    root = tempfile.mkdtemp(prefix="postlens-inc-")
+    t = tweets(spark, [("2013-01", "1", 1, 0, 0, 0), ("2013-02", "2", 1, 0, 0, 0)])
+    e = entities(spark, [("2013-01", "1", "a"), ("2013-02", "2", "b")])
+    e.write.partitionBy("year_month").parquet(f"{root}/entities")
+    t.write.partitionBy("year_month").parquet(f"{root}/tweets")
+    bad_dir = f"{root}/tweets/year_month=2013-02"
+    bad = [f for f in os.listdir(bad_dir) if f.endswith(".parquet")][0]
+    with open(os.path.join(bad_dir, bad), "wb") as f:
+        f.write(b"not a parquet file")
+    st = {r.year_month: (r.status, r.unread_files) for r in INC.run_incremental(
+        spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging", "date", 5,
+        ignore_corrupt=True).collect()}
+    assert st["2013-01"] == ("built", 0)
+    assert st["2013-02"] == ("built_with_unread_files", 1)
+    final = INC.assemble(spark, f"{root}/staging", "date", None)
+    assert sorted((r.year_month, r.entity) for r in final.collect()) == [("2013-01", "a")]
