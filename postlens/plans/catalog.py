@@ -160,8 +160,10 @@ def q_entity_sentiment_profile(spark, sf_dir):
 
 def q_quality_checks(spark, sf_dir):
     c = load_corpus(spark, sf_dir)
+    red = (_gold_with_redactions(spark, sf_dir, "date")[1]
+           .unionByName(_gold_with_redactions(spark, sf_dir, "entity")[1]))
     return quality_checks(c.tweets, c.entities, gold_month(spark, sf_dir), gold_date(spark, sf_dir),
-                          gold_entity(spark, sf_dir), DATE_TOP_N)
+                          gold_entity(spark, sf_dir), DATE_TOP_N, red)
 
 
 QUERIES.update({

@@ -434,7 +434,12 @@ FROM (
   FROM (SELECT year_month, entity, sum(post_count) AS d FROM date_t WHERE classified
         GROUP BY year_month, entity) d
   LEFT JOIN entity_t e ON d.year_month = e.year_month AND d.entity = e.entity
-  GROUP BY d.year_month)"""),
+  GROUP BY d.year_month
+  UNION ALL
+  SELECT 'redaction_token_collisions', NULL, 0, count(*)
+  FROM (SELECT token FROM (SELECT DISTINCT token, entity FROM (SELECT * FROM d_red UNION ALL
+                                                               SELECT * FROM e_red))
+        GROUP BY token HAVING count(*) > 1))"""),
 })
 
 SQL.update({

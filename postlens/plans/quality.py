@@ -24,7 +24,7 @@ def _check(name: str, df: DataFrame, op: str = "eq") -> DataFrame:
 
 
 def quality_checks(tweets: DataFrame, entities: DataFrame, month_t: DataFrame, date_t: DataFrame,
-                   entity_t: DataFrame, date_top_n: int) -> DataFrame:
+                   entity_t: DataFrame, date_top_n: int, redactions: DataFrame | None = None) -> DataFrame:
     posts_per_month = tweets.groupBy("year_month").agg(F.count(F.lit(1)).alias("expected"))
     checks = [
         # A1: every post row counted once in its month
@@ -68,6 +68,13 @@ def quality_checks(tweets: DataFrame, entities: DataFrame, month_t: DataFrame, d
     agree = (d_named.join(e_named, ["year_month", "entity"], "left").groupBy("year_month")
              .agg(F.sum("d").alias("expected"), F.sum("e").alias("actual")))
     checks.append(_check("date_vs_entity_posts", agree))
+    # trap 16: two names must not share one redaction token (one global row)
+    if redactions is not None:
+        clashes = (redactions.select("token", "original").distinct().groupBy("token")
+                   .agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        checks.append(_check("redaction_token_collisions", clashes.agg(
+            F.lit(None).cast("string").alias("year_month"), F.lit(0).alias("expected"),
+            F.count(F.lit(1)).alias("actual"))))
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)
