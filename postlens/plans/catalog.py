@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +39,21 @@ def gold_month(spark, sf_dir):
 
 
 def _gold_with_redactions(spark, sf_dir, kind):
-    """Build a table once and write it with its redaction list (as the builders do)."""
-    def build():
-        c = load_corpus(spark, sf_dir)
-        fn, n = (TB.date_table, DATE_TOP_N) if kind == "date" else (TB.entity_table, ENTITY_TOP_N)
-        table, red = fn(c.tweets, c.entities, n, c.words, with_redactions=True)
-        red.write.mode("overwrite").parquet(gold_path(spark, sf_dir, f"{kind}_redactions"))
-        return table
-    table = materialize(spark, sf_dir, kind, build)
-    return table, materialize(spark, sf_dir, f"{kind}_redactions", lambda: None)
+    """Build a table once and write it with its redaction list (as the builders do).
+
+    Both are read back when both exist; if either is missing both are rebuilt.
+    """
+    t_path, r_path = gold_path(spark, sf_dir, kind), gold_path(spark, sf_dir, f"{kind}_redactions")
+    try:
+        return spark.read.parquet(t_path), spark.read.parquet(r_path)
+    except AnalysisException:
+        pass
+    c = load_corpus(spark, sf_dir)
+    fn, n = (TB.date_table, DATE_TOP_N) if kind == "date" else (TB.entity_table, ENTITY_TOP_N)
+    table, red = fn(c.tweets, c.entities, n, c.words, with_redactions=True)
+    red.write.mode("overwrite").parquet(r_path)
+    table.write.mode("overwrite").parquet(t_path)
+    return spark.read.parquet(t_path), spark.read.parquet(r_path)
 
 
 def gold_date(spark, sf_dir):
