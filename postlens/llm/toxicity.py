@@ -37,8 +37,8 @@ MOST_TRAINED = 30_000        # documents the classifier is trained on (all, if f
 MOST_TERMS = 512             # mined terms
 MOST_CANDIDATES = 50_000     # terms of toxic rows that are counted in clean ones
 MIN_LOG_ODDS = 3.0
-BEGINNINGS = (4, 5)
-WORD_LEXICONS = BEGINNING_LEXICONS = 4
+BEGINNINGS = (4, 5, 6, 7, 8)
+WORD_LEXICONS, BEGINNING_LEXICONS = 4, 8
 #: Common English insults.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "dumb",
            "jerk", "creep", "filthy", "imbecile", "ugly", "hate", "shut up", "kill yourself")
@@ -113,10 +113,16 @@ def mine_terms(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LAB
     in_toxic = {r.term: r.n for r in _count_terms(rows.where("toxic = 1"), None).where(F.col("n") >= least)
                 .orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES).collect()}
     in_clean = {r.term: r.n for r in _count_terms(rows.where("toxic = 0"), list(in_toxic)).collect()}
-    odds = {t: np.log((a + .5) / (n1 + 1)) - np.log((in_clean.get(t, 0) + .5) / (n0 + 1)) for t, a in in_toxic.items()}
-    # A small sample cannot show large odds: ask for those that a term without clean rows would reach.
-    wanted = min(MIN_LOG_ODDS, float(np.log((least + .5) / (n1 + 1)) - np.log(.5 / (n0 + 1))) * 0.9)
-    good = [t for t in in_toxic if odds[t] >= max(wanted, 0.5)]
+    share, bar = n1 / (n1 + n0), 0.6 * np.log(len(in_toxic) + 1)       # about one term by chance, whatever the sample's size
+
+    def telling(t):
+        a, b = in_toxic[t], in_clean.get(t, 0)
+        odds = np.log((a + .5) / (n1 + 1)) - np.log((b + .5) / (n0 + 1))
+        rate = a / (a + b)
+        excess = a * np.log(rate / share) + (b * np.log((1 - rate) / (1 - share)) if b else 0.0)
+        return odds >= MIN_LOG_ODDS - np.log(2) * (b == 0) and rate > share and excess >= bar
+
+    good = [t for t in in_toxic if telling(t)]
     return sorted(good, key=lambda t: (-in_toxic[t], t))[:most_terms]
 
 
@@ -127,11 +133,10 @@ def _lexicon_of(term: str) -> int:
     h = zlib.crc32(term.encode())
     if not term.endswith("*"):
         return h % WORD_LEXICONS
-    kind = BEGINNINGS.index(len(term) - 1)
-    return WORD_LEXICONS + kind * BEGINNING_LEXICONS + h % BEGINNING_LEXICONS
+    return WORD_LEXICONS + h % BEGINNING_LEXICONS
 
 
-MINED = WORD_LEXICONS + len(BEGINNINGS) * BEGINNING_LEXICONS
+MINED = WORD_LEXICONS + BEGINNING_LEXICONS
 VOTERS = MINED + 4
 INSULT_WORDS = frozenset(w for w in INSULTS if " " not in w)
 INSULT_PHRASES = tuple(w for w in INSULTS if " " in w)
