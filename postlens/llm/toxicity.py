@@ -36,9 +36,8 @@ MOST_LABELLED = 50_000       # labelled rows the lexicons are mined from (all, i
 MOST_TRAINED = 30_000        # documents the classifier is trained on (all, if fewer)
 MOST_TERMS = 512             # mined terms
 MOST_CANDIDATES = 50_000     # terms of toxic rows that are counted in clean ones
-MIN_LOG_ODDS = 3.0
+MIN_LOG_ODDS = 4.5
 BEGINNINGS = (4, 5, 6, 7, 8)
-WORD_LEXICONS, BEGINNING_LEXICONS = 4, 8
 #: Common English insults.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "dumb",
            "jerk", "creep", "filthy", "imbecile", "ugly", "hate", "shut up", "kill yourself")
@@ -127,17 +126,19 @@ def mine_terms(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LAB
 
 
 # ------------------------------------------------------------------- voters
-def _lexicon_of(term: str) -> int:
-    import zlib
+MINED = 12                   # lexicons
 
-    h = zlib.crc32(term.encode())
-    if not term.endswith("*"):
-        return h % WORD_LEXICONS
-    return WORD_LEXICONS + h % BEGINNING_LEXICONS
+
+def _lexicons(n: int) -> list[int]:
+    """The lexicon of each of ``n`` terms in order of commonness: sizes grow, so common terms vote apart from rare ones."""
+    size = [(j + 1) ** 2 for j in range(MINED)]
+    ends = np.cumsum(size) / sum(size) * max(n, MINED)
+    return [int(np.searchsorted(ends, i + 1, "left").clip(0, MINED - 1)) for i in range(n)]
 
 
-MINED = WORD_LEXICONS + BEGINNING_LEXICONS
 VOTERS = MINED + 4
+SILENT = VOTERS              # a voter for "clean": no mined lexicon fires (it follows from the others' bits)
+ALL = VOTERS + 1
 INSULT_WORDS = frozenset(w for w in INSULTS if " " not in w)
 INSULT_PHRASES = tuple(w for w in INSULTS if " " in w)
 
@@ -149,7 +150,7 @@ class Reader:
         self.at = {t: i for i, t in enumerate(terms)}
         self.words = {t for t in terms if not t.endswith("*")}
         self.starts = {n: {t for t in terms if t.endswith("*") and len(t) == n + 1} for n in BEGINNINGS}
-        self.lexicon = [_lexicon_of(t) for t in terms]
+        self.lexicon = _lexicons(len(terms))
 
     def read(self, text: str | None) -> tuple[list[int], int]:
         words = _words(text)
@@ -181,9 +182,19 @@ def votes(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 # -------------------------------------------------------------- label model
+def vote_table(masks: np.ndarray) -> np.ndarray:
+    """[row, voter]: does the voter fire?"""
+    v = (masks[:, None] >> np.arange(ALL)) & 1
+    v[:, SILENT] = v[:, :MINED].sum(axis=1) == 0
+    return v
+
+
 @dataclass
 class LabelModel:
-    """P(toxic) and, per class, each voter's rate of firing given its parent's vote (-1: no parent)."""
+    """P(toxic) and, per class, each voter's rate of firing given its parent's vote (-1: no parent).
+
+    A voter that does not fire abstains: only votes cast move the posterior.
+    """
     prior: float
     parent: list[int]
     rate: np.ndarray             # [class, parent's vote, voter]
@@ -193,21 +204,21 @@ class LabelModel:
         for y in (0, 1):
             for j, p in enumerate(self.parent):
                 r = self.rate[y, v[:, p] if p >= 0 else np.zeros(len(v), int), j]
-                score[y] += np.log(np.where(v[:, j] == 1, r, 1 - r))
+                score[y] += np.where(v[:, j] == 1, np.log(r), 0.0)
         d = score[1] - score[0] + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(d, -500, 500)))
 
 
 def fit_label_model(masks: np.ndarray, counts: np.ndarray, state: np.ndarray, rounds: int = 25) -> LabelModel:
     """EM over counted vote patterns; ``state`` is 1 or 0 for labelled patterns, -1 for the others."""
-    v = (masks[:, None] >> np.arange(VOTERS)) & 1
+    v = vote_table(masks)
     seen = state >= 0
     share = counts[state == 1].sum() / max(counts[seen].sum(), 1)
     prior = float(np.clip(share, 0.001, 0.5))
     post = np.where(state >= 0, state, np.where((v[:, :MINED].sum(axis=1) >= 2), 0.9, 0.02)).astype(float)
 
     def rates(post, parent):
-        rate = np.full((2, 2, VOTERS), 0.5)
+        rate = np.full((2, 2, ALL), 0.5)
         for y, w in ((1, counts * post), (0, counts * (1 - post))):
             for j, p in enumerate(parent):
                 for u in (0, 1):
@@ -228,7 +239,7 @@ def fit_label_model(masks: np.ndarray, counts: np.ndarray, state: np.ndarray, ro
                 break
         return post, prior
 
-    post, prior = em([-1] * VOTERS, post, prior)
+    post, prior = em([-1] * ALL, post, prior)
     parent = _correlated(v, counts, post)
     post, prior = em(parent, post, prior)
     return LabelModel(prior, parent, rates(post, parent))
@@ -236,13 +247,13 @@ def fit_label_model(masks: np.ndarray, counts: np.ndarray, state: np.ndarray, ro
 
 def _correlated(v: np.ndarray, counts: np.ndarray, post: np.ndarray, least: float = 1e-4) -> list[int]:
     """Each voter's parent in the maximum spanning forest of the voters' mutual information within classes."""
-    mi = np.zeros((VOTERS, VOTERS))
+    mi = np.zeros((ALL, ALL))
     total = max(counts.sum(), 1)
     for w in (counts * post, counts * (1 - post)):
         n = w.sum()
         if n <= 0:
             continue
-        for i in range(VOTERS):
+        for i in range(ALL):
             for j in range(i):
                 for a in (0, 1):
                     for b in (0, 1):
@@ -250,15 +261,15 @@ def _correlated(v: np.ndarray, counts: np.ndarray, post: np.ndarray, least: floa
                         pab = (w @ ((v[:, i] == a) & (v[:, j] == b))) / n
                         if pab > 0:
                             mi[i, j] += n / total * pab * np.log(pab / (pa_ * pb))
-    group, near = list(range(VOTERS)), [[] for _ in range(VOTERS)]
-    for i, j in sorted(((i, j) for i in range(VOTERS) for j in range(i)), key=lambda e: (-mi[e], e)):
+    group, near = list(range(ALL)), [[] for _ in range(ALL)]
+    for i, j in sorted(((i, j) for i in range(ALL) for j in range(i)), key=lambda e: (-mi[e], e)):
         if mi[i, j] >= least and group[i] != group[j]:
             near[i].append(j)
             near[j].append(i)
             old = group[j]
             group = [group[i] if g == old else g for g in group]
-    parent, done = [-1] * VOTERS, set()
-    for root in range(VOTERS):
+    parent, done = [-1] * ALL, set()
+    for root in range(ALL):
         todo = [root] if root not in done else []
         while todo:
             x = todo.pop()
@@ -316,8 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
             .select("mask", "hits").collect())
     model = Model(terms, label_model, [])
     if rows:
-        v = (np.array([r.mask for r in rows])[:, None] >> np.arange(VOTERS)) & 1
-        y = label_model.posterior(v)
+        y = label_model.posterior(vote_table(np.array([r.mask for r in rows])))
         model.weights = train_linear([model.features(r.hits, r.mask) for r in rows], y, len(terms) + VOTERS).tolist()
     else:
         model.weights = [0.0] * (len(terms) + VOTERS) + [-1.0]
