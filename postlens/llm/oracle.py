@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from postlens.llm import mixing
+from postlens.llm import mixing, url_filter
+from postlens.llm.queries import HOST_RULES
 
 SQL: dict[str, str] = {}
 
@@ -48,3 +49,41 @@ FROM t{fills + 1}"""
 
 
 SQL["op2_mix_sources"] = _mix_sql()
+
+
+def _url_sql() -> str:
+    def text(s):
+        return "'" + s.replace("'", "''") + "'"
+
+    fits, names, verdicts = [], "", ""
+    for r in sorted(HOST_RULES, key=lambda r: -len(r.name)):
+        host, path = r.name.split("/", 1)
+        test = f"(host = {text(host)} OR ends_with(host, {text('.' + host)})) AND starts_with(path, {text('/' + path)})"
+        names += f" WHEN {test} THEN {text(r.name)}"
+        verdicts += f" WHEN {test} THEN {text(r.verdict)}"
+    for p in sorted(url_filter.DEFAULT_PATTERNS, key=lambda r: -len(r.name)):
+        fits.append(f"WHEN ok AND regexp_matches(host || rest, {text(url_filter.to_regex(p.pattern))}) THEN {text(p.name)}")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH a AS (SELECT page_id, coalesce(instr(url, '://') > 0, FALSE) AS ok,
+                  CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS tail FROM pages),
+b AS (SELECT page_id, ok, translate(regexp_extract(tail, '^[^/?#]*'), '{upper}', '{lower}') AS host,
+             regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path,
+             substr(tail, length(regexp_extract(tail, '^[^/?#]*')) + 1) AS rest FROM a),
+c AS (SELECT *, CASE{names} END AS rule, CASE {' '.join(fits)} END AS hit,
+             CASE{verdicts} END AS ruled FROM b)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN hit END AS pattern,
+       coalesce(ruled, CASE WHEN hit IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM c"""
+
+
+SQL["op1_url_filter"] = _url_sql()
+
+SQL["op5_exact_topk"] = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postlens.llm import mixing, packing, sharding, simhash, toxicity
+from postlens.llm import mixing, packing, sharding, simhash, topk, toxicity, url_filter
 from postlens.sources.fixtures import read_table
 
 
+#: The filter's host rules; urls that none fits are judged by ``url_filter.DEFAULT_PATTERNS``.
+HOST_RULES = tuple(url_filter.host_rule(h, p, v) for h, p, v in (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block")))
+
+
+def op1_url_filter(spark, sf_dir):
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), [*HOST_RULES, *url_filter.DEFAULT_PATTERNS])
+
+
 def op2_mix_sources(spark, sf_dir):
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -22,6 +32,10 @@ def op4_pack(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents")).drop("token_bytes")
 
 
+def op5_exact_topk(spark, sf_dir):
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -33,9 +47,11 @@ def op10_shard(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
     "op3_simhash": op3_simhash,
     "op4_pack": op4_pack,
+    "op5_exact_topk": op5_exact_topk,
     "op8_toxicity": op8_toxicity,
     "op10_shard": op10_shard,
 }
