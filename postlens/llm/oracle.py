@@ -87,3 +87,12 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) A
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+SQL["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS top FROM r WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT r.page_id, payload_bytes, r.payload_digest,
+       CASE WHEN top IS NULL OR top = r.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN top <> r.page_id THEN top END AS refers_to
+FROM r LEFT JOIN m ON r.payload_digest = m.payload_digest AND payload_bytes >= 1000"""

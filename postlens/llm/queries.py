@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from postlens.llm import mixing, packing, sharding, simhash, topk, toxicity, url_filter
+from postlens.llm import ann, licenses, mixing, packing, sharding, simhash, topk, toxicity, url_filter, warc
+from postlens.session import ensure_checkpoint_dir
 from postlens.sources.fixtures import read_table
 
 
@@ -36,10 +39,24 @@ def op5_exact_topk(spark, sf_dir):
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op6_nearest(spark, sf_dir):
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op7_warc(spark, sf_dir):
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-warc/{uuid.uuid4().hex}"
+    records = warc.round_trip(read_table(spark, sf_dir, "pages"), folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark, sf_dir):
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_shard(spark, sf_dir):
     placed = sharding.shard(read_table(spark, sf_dir, "documents"))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -52,6 +69,9 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_pack": op4_pack,
     "op5_exact_topk": op5_exact_topk,
+    "op6_nearest": op6_nearest,
+    "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
+    "op9_licenses": op9_licenses,
     "op10_shard": op10_shard,
 }
