@@ -40,11 +40,11 @@ def _draw(seed: str) -> Column:
 
 
 def _measured(docs: DataFrame, weight: Column | None, seed: str) -> DataFrame:
-    """docs + __k (source), size, __w (weight), __u (draw), __id (order among ties)."""
-    own = replace_columns(docs, ["size", "source_size", "target", "taken", "copies", "__k", "__w", "__u", "__id"])
+    """docs + __mix_k (source), size, __mix_w (weight), __mix_u (draw), __mix_id (order among ties)."""
+    own = replace_columns(docs, ["size", "source_size", "target", "taken", "copies", "__mix_k", "__mix_w", "__mix_u", "__mix_id"])
     w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
-    return own.withColumns({"__k": _source_key(), "size": word_count(F.col("text")), "__w": w, "__u": _draw(seed),
-                            "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
+    return own.withColumns({"__mix_k": _source_key(), "size": word_count(F.col("text")), "__mix_w": w, "__mix_u": _draw(seed),
+                            "__mix_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
 
 
 def source_targets(meta: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -54,87 +54,91 @@ def source_targets(meta: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
     less; the level is the one at which all targets share ``share`` of all
     words (what capped sources leave goes to the others by weight).
     """
-    by = (meta.groupBy("__k").agg(F.sum("size").alias("source_size"), F.sum(F.col("__w") * F.col("size")).alias("ws")))
-    by = by.withColumn("source", F.when(F.col("__k") != "n", F.substring("__k", 2, 1 << 30)))
+    by = (meta.groupBy("__mix_k").agg(F.sum("size").alias("source_size"), F.sum(F.col("__mix_w") * F.col("size")).alias("ws")))
+    by = by.withColumn("source", F.when(F.col("__mix_k") != "n", F.substring("__mix_k", 2, 1 << 30)))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     by = by.withColumn("w", F.get(cycle, (rank - 1) % len(weights)))
     by = by.withColumns({"cap": F.col("source_size") * F.lit(most), "full": F.col("source_size") * F.lit(most) / F.col("w")})
     w_all = Window.partitionBy()
-    w_before = Window.orderBy("full", "__k").rowsBetween(Window.unboundedPreceding, -1)
+    w_before = Window.orderBy("full", "__mix_k").rowsBetween(Window.unboundedPreceding, -1)
     by = by.withColumn("level", (F.sum("source_size").over(w_all) * F.lit(share)
                                  - F.coalesce(F.sum("cap").over(w_before), F.lit(0.0)))
                        / (F.sum("w").over(w_all) - F.coalesce(F.sum("w").over(w_before), F.lit(0.0))))
     by = by.withColumn("level", F.max(F.when(F.col("full") >= F.col("level"), F.col("level"))).over(w_all))
     by = by.withColumn("target", F.coalesce(F.least("cap", F.col("w") * F.col("level")), F.col("cap")))
     rate = F.when(F.col("ws") > 0, F.col("target") / F.col("ws")).otherwise(F.lit(1.0))
-    return by.select("__k", "source_size", "target", rate.alias("rate"))
+    return by.select("__mix_k", "source_size", "target", rate.alias("rate"))
 
 
 def _ranked(meta: DataFrame, most: float) -> DataFrame:
-    """+ __whole (certain copies), __p, __t: Pareto rank mapped to (0, 1], order-preserving."""
-    e = F.least(F.col("rate") * F.col("__w"), F.lit(most))
-    meta = meta.withColumn("__whole", F.floor(e).cast("long")).withColumn("__p", e - F.col("__whole"))
-    odds_u = F.col("__u") / (F.lit(1.0) - F.col("__u"))
-    q = odds_u / (F.col("__p") / (F.lit(1.0) - F.col("__p")))
-    return meta.withColumn("__t", F.when(F.col("__p") > 0, q / (q + 1.0)).otherwise(F.lit(1.0)))
+    """+ __mix_whole (certain copies), __mix_p, __mix_t: Pareto rank mapped to (0, 1], order-preserving."""
+    e = F.least(F.col("rate") * F.col("__mix_w"), F.lit(most))
+    meta = meta.withColumn("__mix_whole", F.floor(e).cast("long")).withColumn("__mix_p", e - F.col("__mix_whole"))
+    odds_u = F.col("__mix_u") / (F.lit(1.0) - F.col("__mix_u"))
+    q = odds_u / (F.col("__mix_p") / (F.lit(1.0) - F.col("__mix_p")))
+    return meta.withColumn("__mix_t", F.when(F.col("__mix_p") > 0, q / (q + 1.0)).otherwise(F.lit(1.0)))
 
 
 def _open(r: int, most: float) -> Column:
     """May a row still win a copy in pass ``r``?"""
-    ok = F.col("__whole") + 1 <= F.lit(most)
-    if r:
-        ok = ok & ~_won(r, most) & (F.col("size") > 0) & (F.col("size") <= F.col(f"amount{r}"))
-    return ok
+    return _eligible(r, most) & ~_won(r, most) if r else _eligible(0, most)
+
+
+def _eligible(r: int, most: float) -> Column:
+    """The first pass draws those with a fractional copy, later ones all with words that still fit."""
+    below = F.col("__mix_whole") + 1 <= F.lit(most)
+    if not r:
+        return below & (F.col("__mix_p") > 0)
+    return below & (F.col("size") > 0) & (F.col("size") <= F.col(f"amount{r}"))
 
 
 def _in_cut(r: int) -> Column:
-    order = F.struct(F.col("__t").alias("a"), F.col("__id").alias("b"), F.col("size").alias("c"))
-    return (F.col("__t") < F.col(f"edge{r}")) | F.coalesce(order <= F.col(f"last{r}"), F.lit(False))
+    order = F.struct(F.col("__mix_t").alias("a"), F.col("__mix_id").alias("b"), F.col("size").alias("c"))
+    return (F.col("__mix_t") < F.col(f"edge{r}")) | F.coalesce(order <= F.col(f"last{r}"), F.lit(False))
 
 
 def _won(upto: int, most: float) -> Column:
     """Did a row win a copy in a pass before ``upto``?"""
     won = F.lit(False)
     for r in range(upto):
-        fits = (F.col("__whole") + 1 <= F.lit(most)) if r == 0 else (F.col("size") > 0) & (F.col("size") <= F.col(f"amount{r}")) & (F.col("__whole") + 1 <= F.lit(most))
-        won = won | (fits & _in_cut(r))
+        won = won | (_eligible(r, most) & _in_cut(r))
     return won
 
 
 def _cut(cand: DataFrame, r: int, hint) -> DataFrame:
     """Per source: where the words, in rank order, exceed its amount.
 
-    Returns __k, edge (all ranks below it are taken), last (the last taken
+    Returns __mix_k, edge (all ranks below it are taken), last (the last taken
     rank at or above the edge, or null) and words (taken).  Ranks that tie in
     every respect are taken or left together.
     """
     amount = f"amount{r}"
-    cand = cand.select("__k", "size", "__t", "__id", F.col(amount).alias("amount"),
-                       F.floor(F.col("__t") * 1024).alias("b1"), F.floor(F.col("__t") * 1048576).alias("b2"))
+    cand = cand.select("__mix_k", "size", "__mix_t", "__mix_id", F.col(amount).alias("amount"),
+                       F.floor(F.col("__mix_t") * 1024).alias("b1"), F.floor(F.col("__mix_t") * 1048576).alias("b2"))
 
     def crossing(rows, bucket):
-        w = Window.partitionBy("__k").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy("__mix_k").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
         return (rows.withColumn("upto", F.col("before") + F.sum("s").over(w))
                 .where((F.col("upto") > F.col("amount")) & (F.col("upto") - F.col("s") <= F.col("amount")))
-                .select("__k", bucket, (F.col("upto") - F.col("s")).alias("before")))
+                .select("__mix_k", bucket, (F.col("upto") - F.col("s")).alias("before")))
 
-    one = (cand.groupBy("__k", "b1").agg(F.sum("size").alias("s"), F.first("amount").alias("amount"))
+    one = (cand.groupBy("__mix_k", "b1").agg(F.sum("size").alias("s"), F.first("amount").alias("amount"))
            .withColumn("before", F.lit(0).cast("long")))
     b1 = crossing(one, "b1")
-    two = (cand.join(hint(b1), ["__k", "b1"]).groupBy("__k", "b2")
+    two = (cand.join(hint(b1), ["__mix_k", "b1"]).groupBy("__mix_k", "b2")
            .agg(F.sum("size").alias("s"), F.first("amount").alias("amount"), F.first("before").alias("before")))
     b2 = stage(crossing(two, "b2"), "mix-bucket")
-    w = Window.partitionBy("__k").orderBy("__t", "__id", "size")     # default frame: ties count together
-    leaf = (cand.join(hint(b2), ["__k", "b2"])
+    w = Window.partitionBy("__mix_k").orderBy("__mix_t", "__mix_id", "size")     # default frame: ties count together
+    leaf = (cand.join(hint(b2), ["__mix_k", "b2"])
             .withColumn("upto", F.col("before") + F.sum("size").over(w))
-            .groupBy("__k").agg(
+            .groupBy("__mix_k").agg(
                 F.first("b2").alias("b2"), F.first("before").alias("before"),
                 F.max(F.when(F.col("upto") <= F.col("amount"), F.col("upto"))).alias("upto"),
                 F.max(F.when(F.col("upto") <= F.col("amount"),
-                             F.struct(F.col("__t").alias("a"), F.col("__id").alias("b"),
+                             F.struct(F.col("__mix_t").alias("a"), F.col("__mix_id").alias("b"),
                                       F.col("size").alias("c")))).alias("last")))
-    return leaf.select("__k", (F.col("b2") / F.lit(1048576.0)).alias("edge"), "last",
+    return leaf.select("__mix_k", (F.col("b2") / F.lit(1048576.0)).alias("edge"), "last",
                        F.coalesce("upto", "before").alias("words"))
 
 
@@ -146,19 +150,19 @@ def plan_mix(docs: DataFrame, weight: Column | None = None, weights=WEIGHTS, sha
     when it has at most MOST_BROADCAST_SOURCES rows, otherwise Spark joins it
     by sort and merge (with its own skew handling).
     """
-    meta = stage(_measured(docs, weight, seed).select("__k", "size", "__w", "__u", "__id"), "mix-meta")
+    meta = stage(_measured(docs, weight, seed).select("__mix_k", "size", "__mix_w", "__mix_u", "__mix_id"), "mix-meta")
     src = stage(source_targets(meta, weights, share, most), "mix-sources")
     hint = F.broadcast if src.count() <= MOST_BROADCAST_SOURCES else (lambda d: d)
-    certain = (_ranked(meta.join(hint(src), "__k"), most).groupBy("__k")
-               .agg(F.sum(F.col("__whole") * F.col("size")).alias("certain")))
-    src = stage(src.join(certain, "__k", "left")
+    certain = (_ranked(meta.join(hint(src), "__mix_k"), most).groupBy("__mix_k")
+               .agg(F.sum(F.col("__mix_whole") * F.col("size")).alias("certain")))
+    src = stage(src.join(certain, "__mix_k", "left")
                 .withColumn("amount0", F.greatest(F.col("target") - F.coalesce("certain", F.lit(0)), F.lit(0.0)))
                 .drop("certain"), "mix-sources")
     for r in range(1 + fills):
-        cand = _ranked(meta.join(hint(src), "__k"), most).where(_open(r, most))
+        cand = _ranked(meta.join(hint(src), "__mix_k"), most).where(_open(r, most))
         cut = _cut(cand, r, hint)
         everything = (F.lit(2.0), F.lit(0.0))          # no crossing: all fit, nothing is wanted any more
-        src = (src.join(cut.withColumnRenamed("edge", f"edge{r}").withColumnRenamed("last", f"last{r}"), "__k", "left")
+        src = (src.join(cut.withColumnRenamed("edge", f"edge{r}").withColumnRenamed("last", f"last{r}"), "__mix_k", "left")
                .withColumn(f"amount{r + 1}", F.when(F.col("words").isNotNull(), F.col(f"amount{r}") - F.col("words"))
                            .otherwise(everything[1]))
                .withColumn(f"edge{r}", F.coalesce(f"edge{r}", everything[0])).drop("words"))
@@ -170,8 +174,8 @@ def apply_mix(docs: DataFrame, plan, weight: Column | None = None, most: float =
               seed: str = SEED) -> DataFrame:
     """docs + size, source_size, target, copies and taken (words, repeats counted)."""
     src, hint = plan
-    rows = _ranked(_measured(docs, weight, seed).join(hint(src), "__k"), most)
-    copies = F.col("__whole") + F.when(_won(1 + fills, most), 1).otherwise(0)
+    rows = _ranked(_measured(docs, weight, seed).join(hint(src), "__mix_k"), most)
+    copies = F.col("__mix_whole") + F.when(_won(1 + fills, most), 1).otherwise(0)
     rows = rows.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     keep = [c for c in replace_columns(docs, ["size", "source_size", "target", "taken", "copies"]).columns]
     return rows.select(*keep, "size", "source_size", "target", "copies", "taken")

@@ -35,7 +35,7 @@ t0 AS (SELECT * EXCLUDE (q), CASE WHEN p > 0 THEN q / (q + 1.0) ELSE 1.0 END AS
               greatest(target - sum(whole * size) OVER (PARTITION BY k), 0.0) AS amount,
               FALSE AS won FROM r2)"""
     for r in range(fills + 1):
-        extra = "" if r == 0 else " AND NOT won AND size > 0 AND size <= amount"
+        extra = " AND p > 0" if r == 0 else " AND NOT won AND size > 0 AND size <= amount"
         sql += f""",
 a{r} AS (SELECT *, whole + 1 <= {most}{extra} AS open FROM t{r}),
 b{r} AS (SELECT *, CASE WHEN open THEN sum(CASE WHEN open THEN size ELSE 0 END)

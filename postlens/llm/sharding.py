@@ -117,9 +117,9 @@ def shard(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 32, toleranc
     ``shards x ranges_per_shard`` bounds what the driver holds.
     """
     ranges = shards * ranges_per_shard
-    keyed = (replace_columns(docs, ["size", "law", "shard", "slot", "grown_shard", "__k1", "__k2", "__range"])
-             .withColumns({"size": _size(), "__k1": F.xxhash64("text"), "__k2": F.xxhash64("doc_id")}))
-    keys = stage(keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("size").alias("bytes")),
+    keyed = (replace_columns(docs, ["size", "law", "shard", "slot", "grown_shard", "__shard_k1", "__shard_k2", "__shard_range"])
+             .withColumns({"size": _size(), "__shard_k1": F.xxhash64("text"), "__shard_k2": F.xxhash64("doc_id")}))
+    keys = stage(keyed.select(F.col("__shard_k1").alias("k1"), F.col("__shard_k2").alias("k2"), F.col("size").alias("bytes")),
                  "shard-keys")
     cuts = [c for c in find_splitters(keys, ranges, tolerance)]
     # A boundary past the last key leaves the ranges above it empty.
@@ -143,12 +143,12 @@ def shard(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 32, toleranc
         before.append(seen)
         seen += counts.get(r, 0)
     starts = F.array(*[F.lit(b).cast("long") for b in before])
-    order = Window.partitionBy("__range").orderBy("__k1", "__k2")
-    placed = (keyed.withColumn("__range", range_of("__k1", "__k2"))
-              .withColumn("slot", F.row_number().over(order) - 1 + F.get(starts, F.col("__range")))
-              .withColumn("shard", F.floor(F.col("__range") / ranges_per_shard).cast("int")))
+    order = Window.partitionBy("__shard_range").orderBy("__shard_k1", "__shard_k2")
+    placed = (keyed.withColumn("__shard_range", range_of("__shard_k1", "__shard_k2"))
+              .withColumn("slot", F.row_number().over(order) - 1 + F.get(starts, F.col("__shard_range")))
+              .withColumn("shard", F.floor(F.col("__shard_range") / ranges_per_shard).cast("int")))
     return placed.withColumns({"law": F.lit("bytes"), "slot": F.col("slot").cast("long"),
-                               "grown_shard": F.lit(None).cast("int")}).drop("__k1", "__k2", "__range")
+                               "grown_shard": F.lit(None).cast("int")}).drop("__shard_k1", "__shard_k2", "__shard_range")
 
 
 def _sql_long(v: int) -> str:

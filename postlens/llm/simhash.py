@@ -262,11 +262,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int
     text count as one document, of which one row stays.
     """
     groups = near_duplicates(docs, shingle, distance)
-    first = stage(groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"),
-                                                            F.col("text_key").alias("__key"))).alias("k"))
-                  .select("k.__id", "k.__key"), "simhash-kept")
-    rows = replace_columns(docs, ["__id", "__key", "__n"]).withColumns(
-        {"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64("text")})
-    kept = rows.join(first, (rows["__id"].eqNullSafe(first["__id"])) & (rows["__key"] == first["__key"]), "left_semi")
-    one = Window.partitionBy("__id", "__key").orderBy(F.lit(1))
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__id", "__key", "__n")
+    first = stage(groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__sim_id"),
+                                                            F.col("text_key").alias("__sim_key"))).alias("k"))
+                  .select("k.__sim_id", "k.__sim_key"), "simhash-kept")
+    rows = replace_columns(docs, ["__sim_id", "__sim_key", "__sim_n"]).withColumns(
+        {"__sim_id": F.col("doc_id").cast("long"), "__sim_key": F.xxhash64("text")})
+    kept = rows.join(first, (rows["__sim_id"].eqNullSafe(first["__sim_id"])) & (rows["__sim_key"] == first["__sim_key"]), "left_semi")
+    one = Window.partitionBy("__sim_id", "__sim_key").orderBy(F.lit(1))
+    return kept.withColumn("__sim_n", F.row_number().over(one)).where("__sim_n = 1").drop("__sim_id", "__sim_key", "__sim_n")
