@@ -33,7 +33,7 @@ MOST_LISTS = 2048
 FILE_RATIO = 1.03            # a vector is also filed under centroids this near, up to MOST_COPIES
 MOST_COPIES = 4
 GOAL = 0.97                  # recall on the sample that the search ratio is calibrated to
-DEGREE = 16
+DEGREE = 24
 CELL = 8192                  # vectors scored at once
 HELD_ROWS = 2_000_000        # partial results a task keeps before it hands them on
 
@@ -44,6 +44,7 @@ class Index:
     graph: np.ndarray
     norm: float
     ratio: float
+    homes: np.ndarray | None = None      # vectors whose nearest list is this one
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -158,19 +159,21 @@ def _filed(x: np.ndarray, c: np.ndarray, graph: np.ndarray) -> np.ndarray:
     return np.where(np.sqrt(dist) <= FILE_RATIO * np.sqrt(dist[:, :1]) + 1e-12, lists, -1)
 
 
-def _probed(q: np.ndarray, index: Index):
-    """The lists each query looks at: all found within the ratio of its nearest."""
+def _probed(q: np.ndarray, index: Index, k: int):
+    """The lists each query looks at: all found within the ratio of its nearest, and as many as hold k + 1 vectors."""
     beam = 32
     while True:
         lists, dist = graph_search(q, index.centroids, index.graph, beam)
+        homes = index.homes[lists]
         near = np.sqrt(dist) <= index.ratio * np.sqrt(dist[:, :1]) + 1e-12
+        near |= homes.cumsum(axis=1) - homes < k + 1
         if beam >= len(index.centroids) or not near[:, -1].any():
             return [l[ok].tolist() for l, ok in zip(lists, near)]
         beam *= 2                                       # the beam, not the ratio, ended it
 
 
-def _listed(rows: DataFrame, index: Index, query: bool) -> DataFrame:
-    """(vec_id, v, lists)."""
+def _listed(rows: DataFrame, index: Index, k: int = 0) -> DataFrame:
+    """(vec_id, v, lists): those a query for ``k`` looks at, or with k = 0 those a vector is filed under."""
     def run(batches):
         for batch in batches:
             for dim, ids, x in _by_dimension(batch):
@@ -178,8 +181,8 @@ def _listed(rows: DataFrame, index: Index, query: bool) -> DataFrame:
                     continue
                 for at in range(0, len(ids), 2048):
                     part = x[at:at + 2048].astype(np.float64)
-                    if query:
-                        lists = _probed(np.concatenate([part, np.zeros((len(part), 1))], axis=1), index)
+                    if k:
+                        lists = _probed(np.concatenate([part, np.zeros((len(part), 1))], axis=1), index, k)
                     else:
                         lists = [r[r >= 0].tolist() for r in _filed(lift(part, index.norm), index.centroids, index.graph)]
                     yield pa.RecordBatch.from_arrays(
@@ -286,13 +289,15 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     # Of equal vectors only the k + 1 smallest ids can be among the nearest.
     same = Window.partitionBy("v").orderBy("vec_id")
     kept = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("vec_id", "v")
-    filed = _listed(kept.repartition(tasks), index, False)
-    filed = stage(filed.select("vec_id", "v", F.explode("lists").alias("list")), "ann-postings")
-    load = {r.list: r.n for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # MOST_LISTS rows
-    cells = F.array(*[F.lit(-(-load.get(i, 0) // CELL) or 1) for i in range(len(index.centroids))])
+    filed = _listed(kept.repartition(tasks), index)
+    filed = stage(filed.select("vec_id", "v", F.posexplode("lists").alias("nth", "list")), "ann-postings")
+    load = {r.list: r for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("nth") == 0, 1))
+                                                          .alias("homes")).collect()}              # MOST_LISTS rows
+    index.homes = np.array([load[i].homes if i in load else 0 for i in range(len(index.centroids))])
+    cells = F.array(*[F.lit(-(-load[i]["all"] // CELL) if i in load else 1) for i in range(len(index.centroids))])
     posts = filed.select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), F.get(cells, F.col("list"))).cast("int").alias("cell"),
                          F.lit(False).alias("query"))
-    asks = (_listed(rows.where(F.col("vec_id") % every == 0).repartition(tasks), index, True)
+    asks = (_listed(rows.where(F.col("vec_id") % every == 0).repartition(tasks), index, k)
             .select("vec_id", "v", F.explode("lists").alias("list"))
             .select("vec_id", "v", "list", F.explode(F.sequence(F.lit(0), F.get(cells, F.col("list")) - 1)).alias("cell"),
                     F.lit(True).alias("query")))
