@@ -31,7 +31,7 @@ def test_query(spark, sf_small):
 
 def test_a_hot_text_is_divided_and_others_stay_whole(spark):
     rows = [(i, "same text " * 20, "en", "s", 0) for i in range(900)] + [(1000 + i, f"t{i // 3} " * 25, "en", "s", 0) for i in range(1800)]
-    got = H.shard(docs(spark, rows, False), 8, 4).collect()
+    got = H.shard(docs(spark, rows, False), 8).collect()
     check(got, 8, 600)
     shards = {}
     for r in got:
@@ -42,7 +42,7 @@ def test_a_hot_text_is_divided_and_others_stay_whole(spark):
 
 def test_slots_follow_the_key_order(spark):
     from pyspark.sql import functions as F
-    got = (H.shard(docs(spark, [(i, f"text {i}", "en", "s", 0) for i in range(500)], False), 4, 8)
+    got = (H.shard(docs(spark, [(i, f"text {i}", "en", "s", 0) for i in range(500)], False), 4, range_bytes=20)
            .withColumns({"a": F.xxhash64("text"), "b": F.xxhash64("doc_id")}).collect())
     assert [(r.a, r.b) for r in sorted(got, key=lambda r: (r.shard, r.slot))] == sorted((r.a, r.b) for r in got)
 
