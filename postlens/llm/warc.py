@@ -111,11 +111,21 @@ def split_records(stream, name: str = ""):
                 raw, inflate, fresh = inflate.unused_data.lstrip(b"\0"), zlib.decompressobj(31), True
             if not raw:
                 raw = stream.read(CHUNK)
-                if not raw:
-                    if not fresh:
-                        raise ValueError(f"{name}: the gzip stream is cut")
-                    over = True
-                    return False
+                if fresh:
+                    ended, raw = not raw, raw.lstrip(b"\0")       # padding between or after members
+                    if ended:
+                        over = True
+                        return False
+                    if not raw:
+                        continue
+                elif not raw:
+                    got = inflate.decompress(b"", CHUNK)          # what it still holds back
+                    if got:
+                        data.extend(got)
+                        return True
+                    if inflate.eof:
+                        continue
+                    raise ValueError(f"{name}: the gzip stream is cut")
             fresh = False
             try:
                 got = inflate.decompress(raw, CHUNK)
