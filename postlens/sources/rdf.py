@@ -4,20 +4,22 @@ The dump is order dependent: attribute lines belong to the latest post
 header, mention lines to the latest post *or* mentions-link blank node.
 Plan:
 
-1. ``spark.read.text`` — a gzip file is one scan partition, read in order;
-2. the eight patterns are matched JVM-side (``regexp_extract``), lines that
-   match nothing are dropped before any Python sees them;
-3. ``mapInArrow`` carries the two keys forward inside each scan partition
-   (state crosses Arrow batches, resets at file boundaries) — no shuffle of
-   the raw lines, memory bounded by the batch;
-4. "last value wins" for repeated attributes is resolved in the same Arrow
-   step (a post's lines never leave its file's partition), so the three
-   tables come out of the scan without any shuffle and are written
-   partitioned by ``year_month``.
-
-Two defects of the reference are not reproduced: posts split at a chunk
-boundary keep their attributes, and a truncated gzip never leaves a partial
-table behind (Spark's commit protocol; ``ignoreCorruptFiles`` reports it).
+1. ``spark.read.text``: a gzip file is one scan split, read in order; plain
+   files are cut into splits like any text;
+2. the eight patterns are matched JVM-side (``regexp_extract``);
+3. ``mapInArrow`` carries the two keys forward inside each split (state
+   crosses Arrow batches, resets where a split begins): no shuffle of the raw
+   lines, and of a post still open at the end of a batch only the header and
+   the last value of each attribute are held;
+4. "last value wins" is resolved in the same Arrow step;
+5. where files are split, a split also reports the state it ends with and
+   what it met before its first header.  One row a split, filled forward
+   along each file, gives every split the state it begins with, and rows and
+   attribute values that precede a split's first header are joined to it.
+
+Posts cut by a chunk boundary keep their attributes.  A file that cannot be
+read to its end fails its month, which is reported and left as it was; no
+half-read month is ever written.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens.session import cut_lineage
+from postlens.sources.manifest import changed_months, list_files, read_manifest, run_isolated, write_manifest
 
 # The Arrow step runs in Python workers; ship this module's functions by
 # value so workers need not import the package (no --py-files required).
@@ -53,7 +56,7 @@ RE_ENTITY = (r'rdf:type nee:Entity\s*;\s*'
              r'nee:hasMatchedURI <([^>]+)>\s*;\s*'
              r'nee:confidence "([^"]+)"\^\^xsd:double')
 RE_MENTION = r'rdf:type sioc:UserAccount\s*;\s*sioc:name "([^"]+)"'
-RE_MONTH = r'(?:month_|year_month=)(\d{4}-\d{2})'
+MOST_BROADCAST_SPLITS = 500_000
 
 KINDS = ["header", "like", "share", "pos", "neg", "link", "entity", "mention"]
 _PATTERNS = [RE_HEADER, RE_LIKE, RE_SHARE, RE_POS, RE_NEG, RE_LINK, RE_ENTITY, RE_MENTION]
@@ -63,8 +66,8 @@ _PATTERNS = [RE_HEADER, RE_LIKE, RE_SHARE, RE_POS, RE_NEG, RE_LINK, RE_ENTITY, R
 _MARKERS = ["rdf:type sioc:Post", "schema:LikeAction", "schema:ShareAction", "wna:positive-emotion",
             "wna:negative-emotion", "schema:mentions", "rdf:type nee:Entity", "rdf:type sioc:UserAccount"]
 
-_RECORD_SCHEMA = ("fid long, year_month string, kind string, id string, a string, b string, "
-                  "c string, like string, share string, pos string, neg string")
+_RECORD_SCHEMA = ("fid long, block long, line long, year_month string, kind string, id string, a string, "
+                  "b string, c string, like string, share string, pos string, neg string")
 
 
 WS_CHARS = " \t\n\r\f\x0b"
@@ -90,13 +93,14 @@ def _classify(lines: DataFrame) -> DataFrame:
 
     first = {0: 3, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}   # capture kept in "a" per rule
     code = F.coalesce(*[F.concat(F.lit(f"{i}|"), ext(i, _PATTERNS[i], g)) for i, g in first.items()])
-    # created|uri and creator|confidence in one regex pass, split in the Arrow step
+    # created|uri and creator|confidence in one regex pass, split in the Arrow step.  A line
+    # that only holds the header's marker text is left unchanged by it and goes to the entity rule.
     bc = F.coalesce(
-        F.when(v.contains(_MARKERS[0]), F.regexp_replace(v, RE_HEADER + ".*$", f"$2{SEP}$4")),
+        F.when(v.contains(_MARKERS[0]), F.nullif(F.regexp_replace(v, RE_HEADER + ".*$", f"$2{SEP}$4"), v)),
         F.when(v.contains(_MARKERS[6]), F.regexp_replace(v, "^.*?" + RE_ENTITY + ".*$", f"$2{SEP}$3")))
-    trimmed = lines.select("fid", "year_month", "line", F.btrim("value", F.lit(WS_CHARS)).alias("v"))
+    trimmed = lines.select("fid", "block", "year_month", "line", F.btrim("value", F.lit(WS_CHARS)).alias("v"))
     kept = trimmed.filter((F.col("v") != "") & ~F.col("v").startswith("@prefix"))
-    return kept.select("fid", "year_month", "line", code.alias("code"), bc.alias("bc"))
+    return kept.select("fid", "block", "year_month", "line", code.alias("code"), bc.alias("bc"))
 
 
 _ATTRS = ("like", "share", "pos", "neg")
@@ -107,103 +111,161 @@ def _posts_from(rows):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    hdr = rows.filter(pc.equal(rows.column("kind"), "header")).select(
-        ["fid", "year_month", "post_line", "a", "b", "c"])
-    attrs = rows.filter(pc.is_in(rows.column("kind"), pa.array(list(_ATTRS))))
+    out = rows.filter(pc.equal(rows.column("kind"), "header")).select(
+        ["fid", "block", "year_month", "post_line", "a", "b", "c"])
+    attrs = rows.filter(pc.is_in(rows.column("kind"), pa.array(list(_ATTRS), pa.string())))
     last = attrs.group_by(["post_line", "kind"], use_threads=False).aggregate([("a", "last")])
-    out = hdr
     for k in _ATTRS:
         one = last.filter(pc.equal(last.column("kind"), k)).select(["post_line", "a_last"])
         out = out.join(one.rename_columns(["post_line", k]), "post_line", join_type="left outer")
     return out
 
 
-def _carry_forward(batches):
-    """W2 + "last value wins", inside one scan partition, on Arrow batches.
-
-    Keys are forward-filled per run of one file; the previous batch's last
-    state seeds the first run when it continues the same file.  Posts are
-    finished here too: all lines of a post are in one file, hence in this
-    partition, so attributes resolve without a shuffle.  The post still open
-    at the end of a batch is held back until the next batch (or the end).
-    Output rows: ``post`` (one per header) and ``entity``/``mention``.
-    """
+def _last_of_each(rows):
+    """A post's header and its last row of each attribute: at most five rows, however many there were."""
     import numpy as np
-    import pyarrow as pa
     import pyarrow.compute as pc
 
-    kinds = pa.array(KINDS)
-    carry = None                          # (fid, post_line, cur_id) after the last batch
-    pending = None                        # rows of the post still open
-
-    def emit(post_rows, ref_rows):
-        posts = _posts_from(post_rows)
-        n = posts.num_rows
-        cols = {"fid": posts.column("fid"), "year_month": posts.column("year_month"),
-                "kind": pa.array(["post"] * n), "id": posts.column("a"),
-                "a": posts.column("b"), "b": posts.column("c"), "c": pa.nulls(n, pa.string())}
-        for k in _ATTRS:
-            cols[k] = posts.column(k)
-        post_tbl = pa.table(cols)
-        m = ref_rows.num_rows
-        ref_tbl = pa.table({"fid": ref_rows.column("fid"), "year_month": ref_rows.column("year_month"),
-                            "kind": ref_rows.column("kind"), "id": ref_rows.column("cur_id"),
-                            "a": ref_rows.column("a"), "b": ref_rows.column("b"),
-                            "c": ref_rows.column("c"),
-                            **{k: pa.nulls(m, pa.string()) for k in _ATTRS}})
-        return pa.concat_tables([post_tbl, ref_tbl])
-
-    for rb in batches:
-        t = pa.Table.from_batches([rb])
-        t = t.filter(pc.is_valid(t.column("code")))
-        if t.num_rows == 0:
-            continue
-        code = t.column("code").combine_chunks()
-        digit = pc.utf8_slice_codeunits(code, 0, 1)
-        a = pc.utf8_slice_codeunits(code, 2, 1 << 30)
-        kind = pc.take(kinds, pc.cast(digit, pa.int8()))
-        is_hdr = pc.equal(digit, "0")
-        post = pc.if_else(is_hdr, t.column("line").combine_chunks(), pa.scalar(None, pa.int64()))
-        cur = pc.if_else(pc.or_(is_hdr, pc.equal(digit, "5")), a, pa.scalar(None, pa.string()))
-        fid = t.column("fid").combine_chunks().to_numpy()
-        starts = np.concatenate(([0], np.flatnonzero(fid[1:] != fid[:-1]) + 1, [len(fid)]))
-        posts, curs = [], []
-        for i, (s0, e0) in enumerate(zip(starts[:-1], starts[1:])):
-            p_run, c_run = post.slice(s0, e0 - s0), cur.slice(s0, e0 - s0)
-            seeded = i == 0 and carry is not None and carry[0] == fid[0]
-            if seeded:
-                p_run = pa.concat_arrays([pa.array([carry[1]], pa.int64()), p_run])
-                c_run = pa.concat_arrays([pa.array([carry[2]], pa.string()), c_run])
-            p_run, c_run = pc.fill_null_forward(p_run), pc.fill_null_forward(c_run)
-            if seeded:
-                p_run, c_run = p_run.slice(1), c_run.slice(1)
-            posts.append(p_run)
-            curs.append(c_run)
-        post_f, cur_f = pa.concat_arrays(posts), pa.concat_arrays(curs)
-        carry = (fid[-1], post_f[-1].as_py(), cur_f[-1].as_py())
-        has_bc = pc.is_in(kind, pa.array(["header", "entity"]))
-        parts = pc.split_pattern(pc.if_else(has_bc, t.column("bc").combine_chunks(),
-                                            pa.scalar(None, pa.string())), SEP)
-        rows = pa.table({"fid": t.column("fid").combine_chunks(),
-                         "year_month": t.column("year_month").combine_chunks(),
-                         "kind": kind, "post_line": post_f, "cur_id": cur_f, "a": a,
-                         "b": pc.list_element(parts, 0), "c": pc.list_element(parts, 1)})
-        # header/attribute lines with a post; mention lines with a current id
-        is_post = pc.and_(pc.is_in(kind, pa.array(["header", *_ATTRS])), pc.is_valid(post_f))
-        is_ref = pc.and_(pc.is_in(kind, pa.array(["entity", "mention"])), pc.is_valid(cur_f))
-        post_rows = rows.filter(is_post)
-        ref_rows = rows.filter(is_ref)
-        if pending is not None:
-            post_rows = pa.concat_tables([pending, post_rows])
-        if post_rows.num_rows:
-            open_line = post_rows.column("post_line")[-1]
-            still_open = pc.equal(post_rows.column("post_line"), open_line)
-            pending = post_rows.filter(still_open)
-            post_rows = post_rows.filter(pc.invert(still_open))
-        yield from emit(post_rows, ref_rows).to_batches()
-    if pending is not None and pending.num_rows:
-        empty = pending.slice(0, 0).select(["fid", "year_month", "kind", "cur_id", "a", "b", "c"])
-        yield from emit(pending, empty).to_batches()
+    keep = []
+    for k in ("header", *_ATTRS):
+        at = np.flatnonzero(pc.equal(rows.column("kind"), k).combine_chunks().to_numpy(zero_copy_only=False))
+        keep += at[-1:].tolist()
+    return rows.take(sorted(keep))
+
+
+def _carry_forward(cut_files: bool):
+    """W2 + "last value wins", inside one scan partition, on Arrow batches.
+
+    Keys are forward-filled per run of one split (file and block); the
+    previous batch's last state seeds the first run when it continues the
+    same split.  Output rows: ``post`` (one per header, ``line`` its key) and
+    ``entity``/``mention``.  With ``cut_files`` also ``state`` (what a split
+    ends with) and ``patch`` (the last attribute values before its first
+    header), and mention rows that precede any id keep a null one.
+    """
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kinds = pa.array(KINDS)
+        names = ["fid", "block", "line", "year_month", "kind", "id", "a", "b", "c", *_ATTRS]
+        types = [pa.int64()] * 3 + [pa.string()] * 10
+        carry = None                          # (fid, block, month, post_line, cur_id) after the last batch
+        pending = None                        # header and last values of the post still open
+        patch: dict[str, str] = {}            # of the current split
+
+        def table(**cols):
+            n = len(cols["fid"])
+            return pa.table([cols[c] if c in cols else pa.nulls(n, t) for c, t in zip(names, types)],
+                            schema=pa.schema(list(zip(names, types))))
+
+        def posts_of(rows):
+            posts = _posts_from(rows)
+            return table(fid=posts.column("fid"), block=posts.column("block"), line=posts.column("post_line"),
+                         year_month=posts.column("year_month"), kind=pa.array(["post"] * posts.num_rows, pa.string()),
+                         id=posts.column("a"), a=posts.column("b"), b=posts.column("c"),
+                         **{k: posts.column(k) for k in _ATTRS})
+
+        def refs_of(rows):
+            return table(fid=rows.column("fid"), block=rows.column("block"), line=rows.column("line"),
+                         year_month=rows.column("year_month"), kind=rows.column("kind"), id=rows.column("cur_id"),
+                         **{c: rows.column(c) for c in "abc"})
+
+        def end_of_split():
+            fid, block, month, post_line, cur_id = carry
+            out = [table(fid=[fid], block=[block], line=pa.array([post_line], pa.int64()), year_month=[month],
+                         kind=["state"], id=pa.array([cur_id], pa.string()))]
+            if patch:
+                out.append(table(fid=[fid], block=[block], year_month=[month], kind=["patch"],
+                                 **{k: pa.array([patch.get(k)], pa.string()) for k in _ATTRS}))
+            patch.clear()
+            return out
+
+        for rb in batches:
+            t = pa.Table.from_batches([rb])
+            t = t.filter(pc.is_valid(t.column("code"))).combine_chunks()
+            if t.num_rows == 0:
+                continue
+            out = []
+            code = t.column("code").combine_chunks()
+            digit = pc.utf8_slice_codeunits(code, 0, 1)
+            a = pc.utf8_slice_codeunits(code, 2, 1 << 30)
+            kind = pc.take(kinds, pc.cast(digit, pa.int8()))
+            is_hdr = pc.equal(digit, "0")
+            post = pc.if_else(is_hdr, t.column("line").combine_chunks(), pa.scalar(None, pa.int64()))
+            cur = pc.if_else(pc.or_(is_hdr, pc.equal(digit, "5")), a, pa.scalar(None, pa.string()))
+            fid, block = (t.column(c).combine_chunks().to_numpy() for c in ("fid", "block"))
+            new = (fid[1:] != fid[:-1]) | (block[1:] != block[:-1])
+            starts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(fid)]))
+            posts, curs = [], []
+            for s0, e0 in zip(starts[:-1], starts[1:]):
+                same = carry is not None and carry[:2] == (fid[s0], block[s0])
+                if carry is not None and not same and cut_files:
+                    out += end_of_split()
+                p_run, c_run = post.slice(s0, e0 - s0), cur.slice(s0, e0 - s0)
+                if same:
+                    p_run = pa.concat_arrays([pa.array([carry[3]], pa.int64()), p_run])
+                    c_run = pa.concat_arrays([pa.array([carry[4]], pa.string()), c_run])
+                p_run, c_run = pc.fill_null_forward(p_run), pc.fill_null_forward(c_run)
+                if same:
+                    p_run, c_run = p_run.slice(1), c_run.slice(1)
+                if cut_files and p_run.null_count:          # attributes before the split's first header
+                    early = pc.is_null(p_run)
+                    k_run, a_run = kind.slice(s0, e0 - s0).filter(early), a.slice(s0, e0 - s0).filter(early)
+                    for k in _ATTRS:
+                        at = np.flatnonzero(pc.equal(k_run, k).to_numpy(zero_copy_only=False))
+                        if len(at):
+                            patch[k] = a_run[int(at[-1])].as_py()
+                posts.append(p_run)
+                curs.append(c_run)
+                carry = (fid[s0], block[s0], t.column("year_month")[int(e0 - 1)].as_py(), p_run[-1].as_py(), c_run[-1].as_py())
+            post_f, cur_f = pa.concat_arrays(posts), pa.concat_arrays(curs)
+            has_bc = pc.is_in(kind, pa.array(["header", "entity"]))
+            parts = pc.split_pattern(pc.if_else(has_bc, t.column("bc").combine_chunks(), pa.scalar(None, pa.string())), SEP)
+            rows = pa.table({"fid": t.column("fid"), "block": t.column("block"), "line": t.column("line"),
+                             "year_month": t.column("year_month"), "kind": kind, "post_line": post_f, "cur_id": cur_f,
+                             "a": a, "b": pc.list_element(parts, 0), "c": pc.list_element(parts, 1)})
+            # header/attribute lines with a post; mention lines with a current id (or one to be joined)
+            is_post = pc.and_(pc.is_in(kind, pa.array(["header", *_ATTRS])), pc.is_valid(post_f))
+            is_ref = pc.is_in(kind, pa.array(["entity", "mention"]))
+            if not cut_files:
+                is_ref = pc.and_(is_ref, pc.is_valid(cur_f))
+            out.append(refs_of(rows.filter(is_ref)))
+            post_rows = rows.filter(is_post)
+            if pending is not None:
+                post_rows = pa.concat_tables([pending, post_rows])
+            if post_rows.num_rows:
+                open_line = post_rows.column("post_line")[-1]
+                still_open = pc.equal(post_rows.column("post_line"), open_line)
+                pending = _last_of_each(post_rows.filter(still_open))
+                out.append(posts_of(post_rows.filter(pc.invert(still_open))))
+            yield from pa.concat_tables(out).to_batches()
+        out = [posts_of(pending)] if pending is not None else []
+        if carry is not None and cut_files:
+            out += end_of_split()
+        if out:
+            yield from pa.concat_tables(out).to_batches()
+
+    return run
+
+
+def _with_entry_state(p: DataFrame) -> DataFrame:
+    """Give rows that precede a split's first header (or id) the state that the split before ended with."""
+    along = Window.partitionBy("fid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    entry = p.filter("kind = 'state'").select(
+        "fid", "block", F.last("line", True).over(along).alias("e_line"), F.last("id", True).over(along).alias("e_id"))
+    entry = cut_lineage(entry, "rdf-splits")             # one row a split
+    hint = F.broadcast if entry.count() <= MOST_BROADCAST_SPLITS else (lambda d: d)
+    late = (p.filter("kind = 'patch'").join(hint(entry), ["fid", "block"]).filter("e_line IS NOT NULL")
+            .groupBy("fid", F.col("e_line").alias("line"))
+            .agg(*[F.max_by(k, F.when(F.col(k).isNotNull(), F.col("block"))).alias(f"late_{k}") for k in _ATTRS]))
+    keep = [c for c in p.columns if c not in _ATTRS]
+    posts = (p.filter("kind = 'post'").join(hint(late), ["fid", "line"], "left")
+             .select(*keep, *[F.coalesce(f"late_{k}", k).alias(k) for k in _ATTRS]))
+    refs = (p.filter("kind IN ('entity', 'mention')").join(hint(entry), ["fid", "block"], "left")
+            .withColumn("id", F.coalesce("id", "e_id")).filter("id IS NOT NULL").select(*p.columns))
+    return posts.select(*p.columns).unionByName(refs)
 
 
 def _fid(path):
@@ -212,35 +274,44 @@ def _fid(path):
 
 
 def _month_of(f):
-    ym = F.regexp_extract(f, RE_MONTH, 1)
-    return F.when(ym != "", ym).otherwise(F.regexp_extract(f, r"([^/]+?)(\.n3)?(\.gz)?$", 1))
+    """``month_<label>`` of the file's own name, else its ``year_month=`` folder, else the name's stem."""
+    stem = F.regexp_replace(F.regexp_extract(f, r"([^/]+)$", 1), r"(\.n3)?(\.gz)?$", "")
+    folder = F.regexp_extract(f, r"/year_month=([^/]+)/", 1)
+    return (F.when(stem.startswith("month_"), F.regexp_replace(stem, "^month_", ""))
+            .when(folder != "", folder).otherwise(stem))
 
 
-def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(fid, year_month, line, value)``; ``line`` orders lines inside a file.
+def _lines(spark: SparkSession, paths) -> DataFrame:
+    f = F.col("_metadata.file_path")
+    # An unreadable file must fail its job, whatever the session says.
+    return (spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").text(paths)
+            .select(_fid(f).alias("fid"), F.col("_metadata.file_block_start").alias("block"), _month_of(f).alias("year_month"),
+                    F.monotonically_increasing_id().alias("line"), "value"))
 
-    ``fid`` is a 64-bit hash of the path (cheap to ship to Python); the
-    month label comes from the file name (``month_YYYY-MM``) or directory
-    (``year_month=YYYY-MM``), else the file stem passes through.
 
-    A gzip file is one scan partition.  Uncompressed dumps must not be split
-    (keep ``spark.sql.files.maxPartitionBytes`` above the file size), since
-    the carry-forward state lives in the partition.
+def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(fid, block, year_month, line, value)``; ``line`` orders lines inside a split.
+
+    ``fid`` is a 64-bit hash of the path (cheap to ship to Python), ``block``
+    the split's offset in the file; the month label comes from the path.
     """
-    f = F.col("_metadata.file_path")
-    return (spark.read.option("recursiveFileLookup", "true").text(path)
-            .select(_fid(f).alias("fid"), _month_of(f).alias("year_month"),
-                    F.monotonically_increasing_id().alias("line"), "value"))
+    return _lines(spark, path)
 
 
-def parse_dump(lines: DataFrame) -> DataFrame:
-    """Classified lines with ``post_line`` (latest header) and ``cur_id`` carried forward."""
-    return _classify(lines).mapInArrow(_carry_forward, _RECORD_SCHEMA)
+def parse_dump(lines: DataFrame, cut_files: bool = True) -> DataFrame:
+    """Records of classified lines.  Without ``cut_files`` every file is known to be one split (gzip)."""
+    p = _classify(lines).mapInArrow(_carry_forward(cut_files), _RECORD_SCHEMA)
+    return _with_entry_state(cut_lineage(p, "parsed-dump")) if cut_files else p
+
+
+def _can_be_cut(files) -> bool:
+    return any(not f.endswith(".gz") for f in files)
 
 
 def rdf_to_tables(spark: SparkSession, path: str):
     """Q05: the dump at ``path`` -> (tweets, entities, mentions), each with ``year_month``."""
-    return tables_from_parsed(parse_dump(read_dump_lines(spark, path)))
+    files = spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()
+    return tables_from_parsed(parse_dump(read_dump_lines(spark, path), _can_be_cut(files)))
 
 
 def _wall_clock(c: str):
@@ -276,50 +347,48 @@ def write_tables(tweets: DataFrame, entities: DataFrame, mentions: DataFrame, ou
          .partitionBy("year_month").parquet(f"{out.rstrip('/')}/{name}"))
 
 
-def pending_dump_files(spark: SparkSession, src: str, out: str) -> list[str]:
-    """Dump files whose month is not yet present in *all three* outputs.
+TABLES = ("tweets", "entities", "mentions")
 
-    File listing only (metadata); the month list is calendar-sized.
-    """
-    import re as _re
-    files = spark.read.option("recursiveFileLookup", "true").text(src).inputFiles()
-    done = None
-    for name in ("tweets", "entities", "mentions"):
-        try:
-            listed = spark.read.parquet(f"{out.rstrip('/')}/{name}").inputFiles()
-        except Exception:  # noqa: BLE001 — output absent: nothing done
-            return files
-        months = {m.group(1) for f in listed if (m := _re.search(r"year_month=([^/]+)", f))}
-        done = months if done is None else done & months
-    return [f for f in files if not ((m := _re.search(RE_MONTH, f)) and m.group(1) in (done or set()))]
-
-
-def convert_dump(spark: SparkSession, src: str, out: str, skip_existing: bool = True,
-                 ignore_corrupt: bool = False) -> DataFrame:
-    """Q05 end to end: parse pending dump files once, write the three tables.
-
-    The parsed records are written once to the shared checkpoint folder so
-    the three writes read one parse.  With ``ignore_corrupt`` a truncated
-    gzip is skipped instead of failing the job (rule 7); either way the
-    returned ``(file, status)`` frame reports every input file as
-    ``converted`` or ``no_lines`` (empty, or unreadable and skipped).
+
+def dump_files(spark: SparkSession, src: str) -> DataFrame:
+    """The dump's files: source, year_month, file, size, mtime."""
+    return list_files(spark, src, "dump", _month_of)
+
+
+def pending_dump_months(spark: SparkSession, src: str, out: str) -> list[str]:
+    """Months whose files (names, sizes, times) are not those that were last converted."""
+    return changed_months(dump_files(spark, src), read_manifest(spark, f"{out.rstrip('/')}/_manifest"))
+
+
+def convert_dump(spark: SparkSession, src: str, out: str, skip_existing: bool = True) -> DataFrame:
+    """Q05 end to end: parse pending months, write the three tables and the manifest.
+
+    All pending months go in one job.  If that fails, each goes on its own, so
+    that a file that cannot be read to its end costs its month only: the month
+    is reported ``failed`` and keeps what it had.  A month without rows for a
+    table gets an empty file there.  Returns (year_month, status, error):
+    converted, skipped or failed, for every month of the dump.
     """
-    files = pending_dump_files(spark, src, out) if skip_existing else \
-        spark.read.option("recursiveFileLookup", "true").text(src).inputFiles()
-    status = spark.createDataFrame([(f,) for f in files], "file string")
-    if not files:
-        return status.withColumn("status", F.lit("converted"))
-    reader = spark.read.option("ignoreCorruptFiles", "true") if ignore_corrupt else spark.read
-    lines = (reader.text(files)
-             .select(_fid(F.col("_metadata.file_path")).alias("fid"),
-                     _month_of(F.col("_metadata.file_path")).alias("year_month"),
-                     F.monotonically_increasing_id().alias("line"), "value"))
-    parsed = cut_lineage(parse_dump(lines), "parsed-dump")
-    write_tables(*tables_from_parsed(parsed), out)
-    seen = parsed.select("fid").distinct().withColumn("_seen", F.lit(True))
-    return (status.withColumn("fid", _fid(F.col("file"))).join(seen, "fid", "left")
-            .select("file", F.when(F.col("_seen"), F.lit("converted"))
-                    .otherwise(F.lit("no_lines")).alias("status")))
+    out = out.rstrip("/")
+    files = cut_lineage(dump_files(spark, src), "dump-files")
+    months = sorted(r.year_month for r in files.select("year_month").distinct().collect())   # calendar-sized
+    pending = changed_months(files, read_manifest(spark, f"{out}/_manifest")) if skip_existing else months
+
+    def convert(some: list[str]) -> None:
+        mine = files.filter(F.col("year_month").isin(some))
+        paths = [r.file for r in mine.select("file").collect()]
+        parsed = cut_lineage(parse_dump(_lines(spark, paths), _can_be_cut(paths)), "parsed-dump")
+        write_tables(*tables_from_parsed(parsed), out)
+        have = {(r.year_month, r.kind) for r in parsed.select("year_month", "kind").distinct().collect()}
+        for table, kind, df in zip(TABLES, ("post", "entity", "mention"), tables_from_parsed(parsed)):
+            for m in some:
+                if (m, kind) not in have:
+                    df.limit(0).drop("year_month").coalesce(1).write.mode("overwrite").parquet(f"{out}/{table}/year_month={m}")
+        write_manifest(mine, f"{out}/_manifest")
+
+    failed = run_isolated(pending, convert)
+    rows = [(m, "failed" if m in failed else "converted" if m in pending else "skipped", failed.get(m)) for m in months]
+    return spark.createDataFrame(rows, "year_month string, status string, error string")
 
 
 # ------------------------------------------------------------------ rendering
@@ -364,8 +433,8 @@ def render_dump(tweets: DataFrame, entities: DataFrame, mentions: DataFrame) ->
     return p.unionByName(e).unionByName(m)
 
 
-def write_dump(lines: DataFrame, out: str, files_per_month: int = 2) -> None:
-    """Write rendered lines as gzip text, posts contiguous and in order per file.
+def write_dump(lines: DataFrame, out: str, files_per_month: int = 2, compression: str = "gzip") -> None:
+    """Write rendered lines as text, posts contiguous and in order per file.
 
     Each month is spread over ``files_per_month`` hash buckets of the post
     key, so a month is never one task and a post never spans two files.
@@ -374,4 +443,4 @@ def write_dump(lines: DataFrame, out: str, files_per_month: int = 2) -> None:
     (lines.repartition("year_month", bucket)
      .sortWithinPartitions("year_month", "k0", "k1", "k2", "k3")
      .select("year_month", "value")
-     .write.mode("overwrite").partitionBy("year_month").option("compression", "gzip").text(out))
+     .write.mode("overwrite").partitionBy("year_month").option("compression", compression).text(out))

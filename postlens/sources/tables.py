@@ -8,16 +8,14 @@ The month label always comes from the path, never from ``created_at``.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.model import ENTITIES_SCHEMA, MENTIONS_SCHEMA, TWEETS_SCHEMA
 
-# File-name shape of per-month files and the month pattern.
-MONTH_FILE = re.compile(r"month_(.+?)_(tweets|entities|mentions)\.parquet$")
-MONTH_IN_PATH = r"(?:month_|year_month=)(\d{4}-\d{2})"
+# Fixed value: file-name shape of per-month files.
+MONTH_FILE = r"/month_([^/]+?)_(?:tweets|entities|mentions)\.parquet(?:/|$)"
+MONTH_FOLDER = r"/year_month=([^/]+)/"
 SCHEMAS = {"tweets": TWEETS_SCHEMA, "entities": ENTITIES_SCHEMA, "mentions": MENTIONS_SCHEMA}
 
 
@@ -29,12 +27,11 @@ def resolve_inputs(paths, kind: str = "tweets") -> list[str]:
 
 
 def month_label(path_col="_metadata.file_path"):
-    """S7/trap 15: month from the file name or directory; otherwise the stem passes through."""
-    p = F.col(path_col)
-    ym = F.regexp_extract(p, MONTH_IN_PATH, 1)
-    stem = F.regexp_replace(F.regexp_extract(p, r"([^/]+)$", 1),
-                            r"^month_|_(tweets|entities|mentions)\.parquet$|\.parquet$", "")
-    return F.when(ym != "", ym).otherwise(stem)
+    """S7/trap 15: the label of a per-month file's own name, else its month folder, else the name's stem."""
+    p = F.col(path_col) if isinstance(path_col, str) else path_col
+    own, folder = F.regexp_extract(p, MONTH_FILE, 1), F.regexp_extract(p, MONTH_FOLDER, 1)
+    stem = F.regexp_replace(F.regexp_extract(p, r"([^/]+)$", 1), r"\.parquet$", "")
+    return F.when(own != "", own).when(folder != "", folder).otherwise(stem)
 
 
 def read_kind(spark: SparkSession, paths, kind: str = "tweets") -> DataFrame:
@@ -48,11 +45,10 @@ def read_kind(spark: SparkSession, paths, kind: str = "tweets") -> DataFrame:
 
 
 def month_files(spark: SparkSession, paths, kind: str) -> DataFrame:
-    """Months that have a file of ``kind`` (an empty file still counts)."""
+    """Months that have a file of ``kind`` (an empty file still counts), labelled as ``read_kind`` labels them."""
     files = spark.read.schema(SCHEMAS[kind]).parquet(*resolve_inputs(paths, kind)).inputFiles()
-    months = sorted({m.group(1) for f in files if (m := re.search(MONTH_IN_PATH, f))}
-                    | {m.group(1) for f in files if (m := MONTH_FILE.search(f))})
-    return spark.createDataFrame([(m,) for m in months], "year_month string")
+    listed = spark.createDataFrame([(f,) for f in files], "file string")     # one row a file
+    return listed.select(month_label("file").alias("year_month")).distinct()
 
 
 def paired_months(spark: SparkSession, paths) -> DataFrame:

@@ -4,6 +4,9 @@ import gzip
 import os
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from postlens.sources.rdf import rdf_to_tables
 
 DUMP = """@prefix sioc: <http://rdfs.org/sioc/ns#> .
@@ -46,7 +49,7 @@ def test_convert_skips_done_months(spark):
         with gzip.open(os.path.join(src, f"month_{ym}.n3.gz"), "wt") as f:
             f.write(DUMP)
     assert sorted(r.status for r in convert_dump(spark, src, out).collect()) == ["converted"] * 2
-    assert convert_dump(spark, src, out).count() == 0
+    assert sorted(r.status for r in convert_dump(spark, src, out).collect()) == ["skipped"] * 2
     tw = spark.read.parquet(f"{out}/tweets")
     assert sorted((r.year_month, r.n) for r in tw.groupBy("year_month").count()
                   .withColumnRenamed("count", "n").collect()) == [("2013-01", 2), ("2013-02", 2)]
@@ -71,16 +74,128 @@ def test_month_files_reader(spark):
     assert [r.year_month for r in paired_months(spark, d).collect()] == ["2013-01"]
 
 
-def test_convert_reports_corrupt_file(spark):
+HEADER = ('_:t%d rdf:type sioc:Post ; dc:created "2013-01-05T10:00:00Z"^^xsd:dateTime ; sioc:id "%d" ; '
+          'sioc:has_creator _:uab12 ;')
+LIKE = 'schema:interactionType schema:LikeAction ; schema:userInteractionCount "%d"^^xsd:integer .'
+ENTITY = '_:e1 rdf:type nee:Entity ; nee:detectedAs "%s" ; nee:hasMatchedURI <u:%d> ; nee:confidence "-0.5"^^xsd:double .'
+LINK = "_:t%d schema:mentions _:e1 ."
+
+
+def brute(lines):
+    """The parser's rules, line by line: {id: likes} of posts in order, and (id, name) of entities."""
+    import re
+    posts, ents, cur, now = [], [], None, None
+    for x in map(str.strip, lines):
+        if m := re.match(r'_:t\d+ rdf:type sioc:Post.*sioc:id "(\d+)"', x):
+            posts.append([m[1], 0])
+            cur = now = m[1]
+        elif m := re.search(r'LikeAction ; .*"(\d+)"', x):
+            if now is not None:
+                posts[-1][1] = int(m[1])
+        elif m := re.match(r"_:t(\d+) schema:mentions", x):
+            cur = m[1]
+        elif (m := re.search(r'detectedAs "([^"]+)"', x)) and cur is not None:
+            ents.append((cur, m[1]))
+    return sorted(map(tuple, posts)), sorted(ents)
+
+
+def parsed(spark, lines, name="month_2013-01.n3.gz"):
+    d = tempfile.mkdtemp(prefix="postlens-rdf-")
+    with (gzip.open if name.endswith(".gz") else open)(os.path.join(d, name), "wt") as f:
+        f.write("\n".join(lines) + "\n")
+    tw, ent, _ = rdf_to_tables(spark, d)
+    return (sorted((r.tweet_id, r.likes) for r in tw.collect()), sorted((r.tweet_id, r.detected_as) for r in ent.collect()))
+
+
+@pytest.mark.parametrize("lines", [
+    [HEADER % (1, 1)],
+    [HEADER % (1, 1), ENTITY % ("a", 1)],
+    [ENTITY % ("a", 1), LIKE % 3],
+    [LINK % 5, ENTITY % ("a", 1)],
+    [HEADER % (1, 1), HEADER % (2, 2), *[x for i in range(10_000) for x in (LINK % i, ENTITY % (f"n{i % 7}", i))]],
+    [HEADER % (1, 1), LIKE % 1, *[LINK % i for i in range(25_000)], LIKE % 2, HEADER % (2, 2)],
+    [HEADER % (1, 1), *[LIKE % i for i in range(25_000)]],
+    [HEADER % (1, 1), ENTITY % ("x rdf:type sioc:Post y", 1)],
+    [],
+])
+def test_dumps_without_a_post_in_every_batch(spark, lines):
+    assert parsed(spark, lines) == brute(lines)
+
+
+@pytest.mark.parametrize("size", [700, 5_000, 50_000])
+def test_plain_files_may_be_cut_anywhere(spark, size):
+    lines = [LIKE % 77, ENTITY % ("orphan", 0)]
+    for i in range(400):
+        lines += [HEADER % (i, i), LIKE % (i % 50), *[x for j in range(i % 9) for x in (LINK % (1000 + j), ENTITY % (f"n{j}", j))]]
+        lines += [LIKE % (i % 31)] * (i % 3)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = parsed(spark, lines, "month_2013-01.n3")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert got == brute(lines)
+
+
+def test_open_post_holds_five_rows_at_most():
+    import pyarrow as pa
+
+    from postlens.sources.rdf import _last_of_each
+    rows = pa.table({"kind": ["header"] + ["like", "pos"] * 500, "a": [str(i) for i in range(1001)]})
+    assert _last_of_each(rows).to_pylist() == [{"kind": "header", "a": "0"}, {"kind": "like", "a": "999"}, {"kind": "pos", "a": "1000"}]
+
+
+def counts(spark, out, table="tweets"):
+    return {r.year_month: r["count"] for r in spark.read.parquet(f"{out}/{table}").groupBy("year_month").count().collect()}
+
+
+def write_gz(src, ym, posts, cut=1.0):
+    data = gzip.compress("\n".join(x for i in range(posts) for x in (HEADER % (i, i), LIKE % i)).encode())
+    with open(os.path.join(src, f"month_{ym}.n3.gz"), "wb") as f:
+        f.write(data[:int(len(data) * cut)])
+
+
+@pytest.mark.parametrize("lenient", ["false", "true"])
+def test_cut_gzip_fails_its_month_and_is_repaired(spark, lenient):
     from postlens.sources.rdf import convert_dump
-    src = tempfile.mkdtemp(prefix="postlens-src-")
-    out = tempfile.mkdtemp(prefix="postlens-out-")
-    with gzip.open(os.path.join(src, "month_2013-01.n3.gz"), "wt") as f:
-        f.write(DUMP)
-    good = gzip.compress(DUMP.encode())
-    with open(os.path.join(src, "month_2013-02.n3.gz"), "wb") as f:
-        f.write(good[: len(good) // 3])          # truncated gzip
-    got = {os.path.basename(r.file): r.status
-           for r in convert_dump(spark, src, out, ignore_corrupt=True).collect()}
-    assert got["month_2013-01.n3.gz"] == "converted"
-    assert got["month_2013-02.n3.gz"] in ("no_lines", "converted")   # partial text may be read
+    src, out = tempfile.mkdtemp(prefix="postlens-src-"), tempfile.mkdtemp(prefix="postlens-out-")
+    write_gz(src, "2013-01", 50)
+    write_gz(src, "2013-02", 60_000, cut=0.6)
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", lenient)
+    try:
+        got = {r.year_month: r for r in convert_dump(spark, src, out).collect()}
+        assert {m: r.status for m, r in got.items()} == {"2013-01": "converted", "2013-02": "failed"} and got["2013-02"].error
+        assert counts(spark, out) == {"2013-01": 50}
+        write_gz(src, "2013-02", 60_000)
+        assert {r.year_month: r.status for r in convert_dump(spark, src, out).collect()} == {"2013-01": "skipped", "2013-02": "converted"}
+        assert counts(spark, out) == {"2013-01": 50, "2013-02": 60_000}
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreCorruptFiles")
+
+
+def test_months_without_rows_are_done_too(spark):
+    from postlens.sources.rdf import convert_dump
+    src, out = tempfile.mkdtemp(prefix="postlens-src-"), tempfile.mkdtemp(prefix="postlens-out-")
+    write_gz(src, "2013-01", 5)                                  # no entities, no user mentions
+    with gzip.open(os.path.join(src, "month_2013-02.n3.gz"), "wt") as f:
+        f.write("@prefix x: <y> .\n")                            # nothing at all
+    assert {r.status for r in convert_dump(spark, src, out).collect()} == {"converted"}
+    for table in ("tweets", "entities", "mentions"):
+        assert sorted(x for x in os.listdir(f"{out}/{table}") if x.startswith("year")) == ["year_month=2013-01", "year_month=2013-02"]
+    assert {r.status for r in convert_dump(spark, src, out).collect()} == {"skipped"}
+
+
+def test_month_labels_come_from_the_files_own_name(spark):
+    from postlens.sources.rdf import _month_of
+    from postlens.sources.tables import month_label
+    paths = {"/d/month_2013-01b.n3.gz": "2013-01b", "/month_x/year_month=2013-02/part-0.gz": "2013-02", "/d/foo.n3": "foo",
+             "/month_9/month_2013-03.n3": "2013-03"}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.m for r in df.select("p", _month_of(F.col("p")).alias("m")).collect()} == paths
+    tables = {"/month_z/month_2013-01b_tweets.parquet": "2013-01b", "/d/month_2013-01_entities.parquet": "2013-01",
+              "/month_q/year_month=2013-02/part-0.parquet": "2013-02", "/d/other.parquet": "other"}
+    df = spark.createDataFrame([(p,) for p in tables], "p string")
+    assert {r.p: r.m for r in df.select("p", month_label("p").alias("m")).collect()} == tables
