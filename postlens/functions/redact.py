@@ -9,21 +9,32 @@ from pyspark.sql import functions as F
 # separator pattern, and the token format ``[REDACTED_<first 6 md5 hex>]``.
 LEET_FROM = "4@31!0$57"
 LEET_TO = "aaeiiosst"
-SPLIT_PATTERN = "[^a-z0-9]+"
+SPLIT_PATTERN = r"[^\p{L}\p{N}]+"
 TOKEN_PREFIX = "[REDACTED_"
 TOKEN_SUFFIX = "]"
 TOKEN_HEX = 6
 
 
-def name_grams(c) -> Column:
-    """Lower, fold leetspeak, split on non-alphanumerics; 1- and 2-grams."""
+def fold_tokens(c) -> Column:
+    """Lower, fold leetspeak, split on everything but letters and digits of any alphabet."""
     norm = F.translate(F.lower(F.col(c) if isinstance(c, str) else c), LEET_FROM, LEET_TO)
-    toks = F.filter(F.split(norm, SPLIT_PATTERN), lambda t: t != F.lit(""))
-    bigrams = F.zip_with(toks, F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))),
-                         lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_union(toks, bigrams)
+    return F.filter(F.split(norm, SPLIT_PATTERN), lambda t: t != F.lit(""))
 
 
-def redaction_token(c) -> Column:
+def name_grams(c, longest: int = 2) -> Column:
+    """A name's runs of 1 to ``longest`` folded words."""
+    toks = fold_tokens(c)
+
+    def runs(n):
+        last = F.size(toks) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                                             lambda i: F.array_join(F.slice(toks, i + 1, n), " "))
+                      ).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])))
+
+
+def redaction_token(c, digits: int = TOKEN_HEX) -> Column:
+    """``digits`` hex digits of the MD5; more of them make clashes between names rarer."""
     x = F.col(c) if isinstance(c, str) else c
-    return F.concat(F.lit(TOKEN_PREFIX), F.substring(F.md5(x), 1, TOKEN_HEX), F.lit(TOKEN_SUFFIX))
+    return F.concat(F.lit(TOKEN_PREFIX), F.substring(F.md5(x), 1, digits), F.lit(TOKEN_SUFFIX))

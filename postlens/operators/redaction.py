@@ -6,23 +6,31 @@ the reference does; the word list is a user-supplied DataFrame ``(word)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.columns import classified_flag
-from postlens.functions.redact import name_grams, redaction_token
+from postlens.functions.redact import TOKEN_HEX, fold_tokens, name_grams, redaction_token
 
 
-def dirty_names(names: DataFrame, words: DataFrame, name_col: str = "entity") -> DataFrame:
-    """K1: distinct names having a 1- or 2-gram in the word list -> (original, token)."""
+def dirty_names(names: DataFrame, words: DataFrame, name_col: str = "entity", digits: int = TOKEN_HEX) -> DataFrame:
+    """K1: distinct names that hold an entry of the word list -> (original, token).
+
+    Names and entries are folded and split alike; an entry is a word or a
+    phrase of any length.  Entries without a letter or digit match nothing.
+    """
+    entries = words.select(fold_tokens("word").alias("w")).filter(F.size("w") > 0)
+    entries = entries.select(F.array_join("w", " ").alias("gram"), F.size("w").alias("n")).distinct()
+    longest = entries.agg(F.max("n")).first()[0]
+    if longest is None:
+        return names.sparkSession.createDataFrame([], "original string, token string")
     grams = (names.select(F.col(name_col).alias("original")).distinct()
-             .select("original", F.explode(name_grams("original")).alias("gram")))
-    wl = words.select(F.lower(F.col("word")).alias("gram"))
-    return (grams.join(wl, "gram", "left_semi").select("original").distinct()
-            .withColumn("token", redaction_token("original")))
+             .select("original", F.explode(name_grams("original", longest)).alias("gram")))
+    return (grams.join(entries, "gram", "left_semi").select("original").distinct()
+            .withColumn("token", redaction_token("original", digits)))
 
 
-def apply_redaction(table: DataFrame, words: DataFrame | None, name_col: str = "entity"):
+def apply_redaction(table: DataFrame, words: DataFrame | None, name_col: str = "entity", digits: int = TOKEN_HEX):
     """K2: replace dirty names by their token, add ``redacted`` and ``classified``.
 
     Returns ``(table, redactions)``.  No re-aggregation after the rename (the
@@ -32,7 +40,7 @@ def apply_redaction(table: DataFrame, words: DataFrame | None, name_col: str = "
         out = table.withColumn("redacted", F.lit(False))
         red = table.sparkSession.createDataFrame([], "original string, token string")
     else:
-        red = dirty_names(table, words, name_col)
+        red = dirty_names(table, words, name_col, digits)
         out = (table.join(red.withColumnRenamed("original", name_col), name_col, "left")
                .withColumn("redacted", F.col("token").isNotNull())
                .withColumn(name_col, F.coalesce("token", name_col))
@@ -41,13 +49,9 @@ def apply_redaction(table: DataFrame, words: DataFrame | None, name_col: str = "
 
 
 def redaction_table(redactions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Side table ``(token, original)``; existing rows win per token."""
-    new = redactions.select("token", "original", F.lit(1).alias("_src"))
-    if existing is not None:
-        new = existing.select("token", "original", F.lit(0).alias("_src")).unionByName(new)
-    w = Window.partitionBy("token").orderBy("_src", "original")
-    return (new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .select("token", "original"))
+    """Side table ``(token, original)``, one row for each original (``redaction_collisions`` lists shared tokens)."""
+    new = redactions.select("token", "original")
+    return (new if existing is None else existing.select("token", "original").unionByName(new)).distinct()
 
 
 def redaction_collisions(redactions: DataFrame) -> DataFrame:

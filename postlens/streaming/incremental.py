@@ -3,25 +3,28 @@
 Layout: sources are parquet tables partitioned by ``year_month``
 (``tweets/year_month=…``, ``entities/year_month=…``).  The staging table
 holds the *pre-redaction* rows of each finished month, also partitioned by
-``year_month`` (sensitive: names are not yet redacted).
+``year_month`` (sensitive: names are not yet redacted), and beside them, in
+``_manifest``, the source files each month was built from.
 
 * M1  a month is written as soon as it is built (dynamic partition overwrite);
-* M2  a restart builds only months missing from staging (left-anti) and
-      months whose source files are newer than their staged rows;
+* M2  a restart builds the months whose source files are not exactly those of
+      their manifest: new months, late files of any time stamp, replaced and
+      vanished files; it reads those months' folders only;
 * M3  ``resume=False`` rebuilds every month;
 * M4  the final table is assembled from the whole staging table, then redacted;
-* M5  a status frame reports each month (built / skipped / no entities file;
-      with ``ignore_corrupt`` unreadable files are skipped and reported);
+* M5  a status frame reports each month: built, skipped or failed (why, and it
+      keeps what it had) while the others are built;
 * M6  an interrupted write leaves nothing behind (Spark's commit protocol);
 * M7  ``stream_months``: file-source ``readStream`` + ``foreachBatch`` rebuilds
-      every month a micro-batch touched — from the whole month, because the
-      per-month top-N must see all of it.
+      every month that new post *or* mention files touch, from the whole
+      month, because the per-month top-N must see all of it.
+
+A month is built once it has a posts file; without mention files all its posts
+have no entity.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +32,10 @@ from pyspark.sql import types as T
 
 from postlens.model import ENTITIES_SCHEMA, TWEETS_SCHEMA
 from postlens.operators import tables as TB
-from postlens.operators.redaction import apply_redaction
+from postlens.operators.redaction import apply_redaction, redaction_table
 from postlens.session import cut_lineage
-
-_MONTH_DIR = re.compile(r"year_month=([^/]+)")
+from postlens.sources.manifest import changed_months, list_files, read_manifest, run_isolated, write_manifest
+from postlens.sources.tables import month_label, write_table
 
 
 def _with_month(schema: T.StructType) -> T.StructType:
@@ -41,168 +44,130 @@ def _with_month(schema: T.StructType) -> T.StructType:
 
 TWEETS_SOURCE = _with_month(TWEETS_SCHEMA)
 ENTITIES_SOURCE = _with_month(ENTITIES_SCHEMA)
+KINDS = ("date", "entity", "month")
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
+def _read_months(spark: SparkSession, path: str, schema: T.StructType, months: list[str]) -> DataFrame:
+    """The named months of a source; Spark prunes to their folders when it plans the scan.
+
+    An unreadable file must fail its job, whatever the session says.
+    """
     try:
-        return spark.read.parquet(path)
+        df = spark.read.schema(schema).option("ignoreCorruptFiles", "false").parquet(path)
     except AnalysisException:
-        return None
+        return spark.createDataFrame([], schema)
+    return df.filter(F.col("year_month").isin(months))
 
 
-def source_months(spark: SparkSession, path: str) -> DataFrame:
-    """Months that have at least one *file* (an empty file still counts).
+def source_files(spark: SparkSession, tweets_path: str, entities_path: str, kind: str) -> DataFrame:
+    """The files a build of ``kind`` reads, by month (from the listing; an empty file still counts)."""
+    files = list_files(spark, tweets_path, "tweets", month_label)
+    if kind != "month":                                  # the month table never looks at mentions
+        files = files.unionByName(list_files(spark, entities_path, "entities", month_label))
+    return files
 
-    Built from the file listing (metadata, one row per file), not from rows.
-    """
-    df = _read(spark, path)
-    files = df.inputFiles() if df is not None else []
-    months = sorted({m.group(1) for f in files if (m := _MONTH_DIR.search(f))})
-    return spark.createDataFrame([(m,) for m in months], "year_month string")
-
-
-def staged_months(spark: SparkSession, staging: str) -> DataFrame:
-    st = _read(spark, staging)
-    if st is None:
-        return spark.createDataFrame([], "year_month string")
-    return st.select("year_month").distinct()
-
-
-def _month_mtime(df: DataFrame, agg) -> DataFrame:
-    """Per month, an aggregate of its files' modification times (no data columns read)."""
-    return (df.select("year_month", F.col("_metadata.file_modification_time").alias("mtime"))
-            .groupBy("year_month").agg(agg("mtime").alias("mtime")))
-
-
-def changed_months(spark: SparkSession, source_paths, staging: str) -> DataFrame:
-    """Staged months with a source file newer than the staged output (late data)."""
-    st = _read(spark, staging)
-    if st is None:
-        return spark.createDataFrame([], "year_month string")
-    staged = _month_mtime(st, F.min).withColumnRenamed("mtime", "staged_at")
-    newest = None
-    for p in source_paths:
-        src = _read(spark, p)
-        if src is None:
-            continue
-        m = _month_mtime(src, F.max)
-        newest = m if newest is None else newest.unionByName(m)
-    if newest is None:
-        return spark.createDataFrame([], "year_month string")
-    newest = newest.groupBy("year_month").agg(F.max("mtime").alias("mtime"))
-    return (newest.join(staged, "year_month")
-            .filter(F.col("mtime") > F.col("staged_at")).select("year_month"))
-
-
-def pending_months(spark: SparkSession, tweets_path: str, entities_path: str, staging: str,
-                   resume: bool = True) -> DataFrame:
-    """S7 + M2/M3: paired months not yet staged, plus staged months whose inputs changed."""
-    paired = source_months(spark, tweets_path).join(
-        source_months(spark, entities_path), "year_month", "left_semi")
-    if not resume:
-        return paired
-    new = paired.join(staged_months(spark, staging), "year_month", "left_anti")
-    changed = changed_months(spark, [tweets_path, entities_path], staging).join(
-        paired, "year_month", "left_semi")
-    return new.unionByName(changed).distinct()
-
-
-def build_rows(tweets: DataFrame, entities: DataFrame, months: DataFrame, kind: str,
+
+def _months_with_posts(files: DataFrame) -> list[str]:
+    return sorted(r.year_month for r in files.filter("source = 'tweets'").select("year_month").distinct().collect())
+
+
+def build_rows(spark: SparkSession, tweets_path: str, entities_path: str, months: list[str], kind: str,
                top_n: int) -> DataFrame:
-    """Pre-redaction rows for ``months`` only (semi join on the partition column → DPP)."""
-    m = F.broadcast(months.select("year_month"))        # one row per calendar month
-    t = tweets.join(m, "year_month", "left_semi")
-    e = entities.join(m, "year_month", "left_semi")
+    """Pre-redaction rows of ``months`` only."""
+    t = _read_months(spark, tweets_path, TWEETS_SOURCE, months)
+    if kind == "month":
+        return TB.month_table(t, spark.createDataFrame([(m,) for m in months], "year_month string"))
+    e = _read_months(spark, entities_path, ENTITIES_SOURCE, months)
     if kind == "date":
         return TB.date_rows(t, e, top_n)
     if kind == "entity":
         return TB.entity_rows(t, e, top_n)
-    if kind == "month":
-        return TB.month_table(t, months)
     raise ValueError(f"unknown table kind {kind!r}")
 
 
-def write_months(rows: DataFrame, staging: str) -> None:
-    """M1: replace exactly the months present in ``rows``."""
+def write_months(rows: DataFrame, staging: str, months: list[str]) -> None:
+    """M1: replace exactly ``months``; one that has no rows is left with an empty file."""
+    rows = cut_lineage(rows, "months")
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year_month").parquet(staging))
+    have = {r.year_month for r in rows.select("year_month").distinct().collect()}
+    for m in months:
+        if m not in have:
+            rows.limit(0).drop("year_month").coalesce(1).write.mode("overwrite").parquet(f"{staging}/year_month={m}")
 
 
-def assemble(spark: SparkSession, staging: str, kind: str, wordlist: DataFrame | None) -> DataFrame:
-    """M4: the final table from every staged month (also months outside this run)."""
-    rows = spark.read.parquet(staging)
-    if kind == "month":
-        return rows.select("year_month", "total_likes", "total_shares", "post_count")
-    out, _ = apply_redaction(rows, wordlist)
-    cols = ["year_month", "positive_sentiment", "negative_sentiment", "entity"] if kind == "date" \
-        else ["entity", "year_month", "positive_sentiment", "negative_sentiment"]
-    return out.select(*cols, "total_likes", "total_shares", "post_count", "redacted", "classified")
-
+def run_incremental(spark: SparkSession, tweets_path: str, entities_path: str, staging: str,
+                    kind: str = "date", top_n: int = 100, resume: bool = True) -> DataFrame:
+    """Build the pending months and return (year_month, status, error) for every month with posts (M5).
 
-def _unread_files(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Files under ``path`` that produced no row (empty, or skipped as corrupt)."""
-    listed = spark.createDataFrame([(f,) for f in df.inputFiles()], "file string")
-    norm = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    seen = df.select(norm(F.col("_metadata.file_path")).alias("f")).distinct()
-    return (listed.withColumn("f", norm(F.col("file"))).join(seen, "f", "left_anti")
-            .select(F.regexp_extract("file", r"year_month=([^/]+)", 1).alias("year_month"), "file"))
+    The files are listed before the build: one that lands meanwhile makes its
+    month pending again.
+    """
+    staging = staging.rstrip("/")
+    files = cut_lineage(source_files(spark, tweets_path, entities_path, kind), "source-files")
+    months = _months_with_posts(files)
+    pending = months
+    if resume:
+        changed = set(changed_months(files, read_manifest(spark, f"{staging}/_manifest")))
+        pending = [m for m in months if m in changed]
 
+    def build(some: list[str]) -> None:
+        write_months(build_rows(spark, tweets_path, entities_path, some, kind, top_n), staging, some)
+        write_manifest(files.filter(F.col("year_month").isin(some)), f"{staging}/_manifest")
 
-def run_incremental(spark: SparkSession, tweets_path: str, entities_path: str, staging: str,
-                    kind: str = "date", top_n: int = 100, resume: bool = True,
-                    ignore_corrupt: bool = False) -> DataFrame:
-    """Build the pending months and return a per-month status frame (M5).
-
-    Without ``ignore_corrupt`` an unreadable file fails the run and nothing
-    is written (commit protocol).  With it, unreadable files are skipped, the
-    other months are built, and months with a file that yielded no row are
-    reported as ``built_with_unread_files`` (``unread_files`` counts them).
-    """
-    pending = cut_lineage(pending_months(spark, tweets_path, entities_path, staging, resume),
-                          "pending-months")
-    reader = spark.read.option("ignoreCorruptFiles", "true") if ignore_corrupt else spark.read
-    tweets = reader.schema(TWEETS_SOURCE).parquet(tweets_path)
-    entities = reader.schema(ENTITIES_SOURCE).parquet(entities_path)
-    write_months(build_rows(tweets, entities, pending, kind, top_n), staging)
-    src = source_months(spark, tweets_path)
-    has_ent = source_months(spark, entities_path).withColumn("_e", F.lit(True))
-    built = pending.withColumn("_b", F.lit(True))
-    status = (src.join(has_ent, "year_month", "left").join(built, "year_month", "left")
-              .select("year_month", F.when(F.col("_b"), F.lit("built"))
-                      .when(F.col("_e").isNull(), F.lit("no_entities_file"))
-                      .otherwise(F.lit("skipped")).alias("status")))
-    if not ignore_corrupt:
-        return status
-    unread = (_unread_files(spark, tweets, tweets_path)
-              .unionByName(_unread_files(spark, entities, entities_path))
-              .join(pending, "year_month", "left_semi")
-              .groupBy("year_month").agg(F.count(F.lit(1)).alias("unread_files")))
-    return (status.join(unread, "year_month", "left")
-            .select("year_month",
-                    F.when(F.col("unread_files") > 0, F.lit("built_with_unread_files"))
-                    .otherwise(F.col("status")).alias("status"),
-                    F.coalesce("unread_files", F.lit(0)).alias("unread_files")))
+    failed = run_isolated(pending, build)
+    rows = [(m, "failed" if m in failed else "built" if m in pending else "skipped", failed.get(m)) for m in months]
+    return spark.createDataFrame(rows, "year_month string, status string, error string")
 
 
 def stream_months(spark: SparkSession, tweets_path: str, entities_path: str, staging: str,
                   checkpoint: str, kind: str = "date", top_n: int = 100) -> None:
-    """M7: rebuild every month touched by new post files, as micro-batches.
+    """M7: rebuild every month touched by new files of either source, as micro-batches.
 
-    ``trigger(availableNow=True)`` drains what is there and stops; the
-    stream's own checkpoint makes reruns pick up only new files, and the
-    per-month dynamic overwrite makes a replayed batch idempotent.
+    ``trigger(availableNow=True)`` drains what is there and stops; each
+    source's own checkpoint makes reruns pick up only its new files, and the
+    per-month overwrite makes a replayed batch idempotent.  A source whose
+    folder does not exist yet is left for a later run.
     """
-    schema = TWEETS_SOURCE
-
     def rebuild(batch: DataFrame, _epoch: int) -> None:
-        touched = batch.select("year_month").distinct()
-        tweets = spark.read.schema(schema).parquet(tweets_path)
-        entities = spark.read.schema(ENTITIES_SOURCE).parquet(entities_path)
-        paired = touched.join(source_months(spark, entities_path), "year_month", "left_semi")
-        write_months(build_rows(tweets, entities, paired, kind, top_n), staging)
-
-    q = (spark.readStream.schema(schema).parquet(tweets_path)
-         .writeStream.foreachBatch(rebuild)
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+        touched = {r.year_month for r in batch.select("year_month").distinct().collect()}     # calendar-sized
+        months = [m for m in _months_with_posts(source_files(spark, tweets_path, entities_path, kind)) if m in touched]
+        if months:
+            write_months(build_rows(spark, tweets_path, entities_path, months, kind, top_n), staging, months)
+
+    for name, path, schema in (("posts", tweets_path, TWEETS_SOURCE), ("entities", entities_path, ENTITIES_SOURCE)):
+        try:
+            stream = spark.readStream.schema(schema).parquet(path)
+        except AnalysisException:
+            continue
+        (stream.writeStream.foreachBatch(rebuild).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}")
+         .trigger(availableNow=True).start().awaitTermination())
+
+
+def assemble_with_redactions(spark: SparkSession, staging: str, kind: str, wordlist: DataFrame | None):
+    """M4: (final table, redactions) from every staged month, also months outside this run."""
+    rows = spark.read.parquet(staging)
+    if kind == "month":
+        return rows.select("year_month", "total_likes", "total_shares", "post_count"), None
+    out, red = apply_redaction(rows, wordlist)
+    cols = ["year_month", "positive_sentiment", "negative_sentiment", "entity"] if kind == "date" \
+        else ["entity", "year_month", "positive_sentiment", "negative_sentiment"]
+    return out.select(*cols, "total_likes", "total_shares", "post_count", "redacted", "classified"), red
+
+
+def assemble(spark: SparkSession, staging: str, kind: str, wordlist: DataFrame | None) -> DataFrame:
+    return assemble_with_redactions(spark, staging, kind, wordlist)[0]
+
+
+def write_final(spark: SparkSession, staging: str, kind: str, wordlist: DataFrame | None, table_path: str,
+                redactions_path: str | None = None) -> None:
+    """S8 + S9: the sorted final table, and its redactions upserted into the side table."""
+    out, red = assemble_with_redactions(spark, staging, kind, wordlist)
+    write_table(out, table_path, kind)
+    if red is None or redactions_path is None:
+        return
+    try:
+        old = spark.read.parquet(redactions_path)
+    except AnalysisException:
+        old = None
+    cut_lineage(redaction_table(red, old), "redactions").write.mode("overwrite").parquet(redactions_path)

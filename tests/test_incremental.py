@@ -1,8 +1,11 @@
 """Incremental month builds: resume skips done months, late data rebuilds a month."""
 
+import os
 import tempfile
 import time
 
+import pytest
+
 from postlens.operators import tables as TB
 from postlens.streaming import incremental as INC
 from tests.helpers import entities, tweets
@@ -30,21 +33,114 @@ def test_resume_and_late_month(spark):
     assert sorted(map(tuple, final.collect())) == sorted(map(tuple, expect.collect()))
 
 
-def test_corrupt_file_is_reported_and_others_build(spark):
-    import os
+def build(spark, root, kind="date", **kw):
+    got = INC.run_incremental(spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging-{kind}", kind, 5, **kw).collect()
+    return {r.year_month: r.status for r in got}
+
+
+def put(df, path):
+    df.write.mode("append").partitionBy("year_month").parquet(path)
+
+
+@pytest.mark.parametrize("damage", ["all", "pages"])
+def test_unreadable_month_fails_alone_and_is_repaired(spark, damage):
     root = tempfile.mkdtemp(prefix="postlens-inc-")
-    t = tweets(spark, [("2013-01", "1", 1, 0, 0, 0), ("2013-02", "2", 1, 0, 0, 0)])
-    e = entities(spark, [("2013-01", "1", "a"), ("2013-02", "2", "b")])
-    e.write.partitionBy("year_month").parquet(f"{root}/entities")
-    t.write.partitionBy("year_month").parquet(f"{root}/tweets")
-    bad_dir = f"{root}/tweets/year_month=2013-02"
-    bad = [f for f in os.listdir(bad_dir) if f.endswith(".parquet")][0]
-    with open(os.path.join(bad_dir, bad), "wb") as f:
-        f.write(b"not a parquet file")
-    st = {r.year_month: (r.status, r.unread_files) for r in INC.run_incremental(
-        spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging", "date", 5,
-        ignore_corrupt=True).collect()}
-    assert st["2013-01"] == ("built", 0)
-    assert st["2013-02"] == ("built_with_unread_files", 1)
-    final = INC.assemble(spark, f"{root}/staging", "date", None)
-    assert sorted((r.year_month, r.entity) for r in final.collect()) == [("2013-01", "a")]
+    put(entities(spark, [("2013-01", "1", "a"), ("2013-02", "2", "b")]), f"{root}/entities")
+    put(tweets(spark, [("2013-01", "1", 1, 0, 0, 0)]), f"{root}/tweets")
+    rows = tweets(spark, [("2013-02", str(i), i, 0, 0, 0) for i in range(5000)]).coalesce(1)
+    put(rows, f"{root}/tweets")
+    folder = f"{root}/tweets/year_month=2013-02"
+    name, = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+    good = open(os.path.join(folder, name), "rb").read()
+    bad = b"not parquet" if damage == "all" else good[:4] + b"\xff" * (len(good) // 2) + good[4 + len(good) // 2:]
+    crc = os.path.join(folder, f".{name}.crc")
+    if os.path.exists(crc):
+        os.rename(crc, os.path.join(root, "crc"))
+    with open(os.path.join(folder, name), "wb") as f:
+        f.write(bad)
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
+    try:
+        assert build(spark, root) == {"2013-01": "built", "2013-02": "failed"}
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreCorruptFiles")
+    assert {r.year_month for r in INC.assemble(spark, f"{root}/staging-date", "date", None).collect()} == {"2013-01"}
+    with open(os.path.join(folder, name), "wb") as f:
+        f.write(good)
+    os.utime(os.path.join(folder, name), (1, 1))                       # older than anything staged
+    assert build(spark, root) == {"2013-01": "skipped", "2013-02": "built"}
+    got = INC.assemble(spark, f"{root}/staging-date", "date", None)
+    assert got.filter("year_month = '2013-02'").agg({"post_count": "sum"}).first()[0] == 5000
+
+
+def test_late_files_count_whatever_their_time(spark):
+    root = tempfile.mkdtemp(prefix="postlens-inc-")
+    put(tweets(spark, [("2013-01", "1", 1, 0, 0, 0)]), f"{root}/tweets")
+    put(entities(spark, [("2013-01", "1", "a")]), f"{root}/entities")
+    assert build(spark, root) == {"2013-01": "built"} and build(spark, root) == {"2013-01": "skipped"}
+    before = set(os.listdir(f"{root}/tweets/year_month=2013-01"))
+    put(tweets(spark, [("2013-01", "2", 1, 0, 0, 0)]), f"{root}/tweets")
+    for f in set(os.listdir(f"{root}/tweets/year_month=2013-01")) - before:
+        os.utime(f"{root}/tweets/year_month=2013-01/{f}", (1, 1))
+    assert build(spark, root) == {"2013-01": "built"}
+    put(entities(spark, [("2013-01", "2", "b")]), f"{root}/entities")
+    assert build(spark, root) == {"2013-01": "built"}
+    got = {r.entity: r.post_count for r in INC.assemble(spark, f"{root}/staging-date", "date", None).collect()}
+    assert got == {"a": 1, "b": 1}
+    assert build(spark, root, resume=False) == {"2013-01": "built"}
+
+
+def test_months_without_mentions_or_posts(spark):
+    root = tempfile.mkdtemp(prefix="postlens-inc-")
+    put(tweets(spark, [("2013-01", str(i), 1, 2, 0, 0) for i in range(10)]), f"{root}/tweets")
+    tweets(spark, []).drop("year_month").coalesce(1).write.parquet(f"{root}/tweets/year_month=2013-02")
+    want = {"2013-01": "built", "2013-02": "built"}
+    assert build(spark, root) == want and build(spark, root, "month") == want and build(spark, root) == {m: "skipped" for m in want}
+    date = INC.assemble(spark, f"{root}/staging-date", "date", None).collect()
+    assert [(r.year_month, r.entity, r.post_count) for r in date] == [("2013-01", "None", 10)]
+    month = INC.assemble(spark, f"{root}/staging-month", "month", None).collect()
+    assert sorted(map(tuple, month)) == [("2013-01", 10, 20, 10), ("2013-02", 0, 0, 0)]
+
+
+def test_late_entities_rebuild_streamed_months(spark):
+    root = tempfile.mkdtemp(prefix="postlens-inc-")
+
+    def run():
+        INC.stream_months(spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging", f"{root}/ckpt", "date", 5)
+        return sorted((r.year_month, r.entity, r.post_count) for r in INC.assemble(spark, f"{root}/staging", "date", None).collect())
+
+    put(tweets(spark, [("2013-01", "1", 1, 0, 0, 0), ("2013-01", "2", 1, 0, 0, 0), ("2013-02", "3", 1, 0, 0, 0)]), f"{root}/tweets")
+    assert run() == [("2013-01", "None", 2), ("2013-02", "None", 1)]
+    put(entities(spark, [("2013-01", "1", "a")]), f"{root}/entities")
+    assert run() == [("2013-01", "None", 1), ("2013-01", "a", 1), ("2013-02", "None", 1)]
+    put(entities(spark, [("2013-02", "3", "b"), ("2013-01", "2", "a"), ("2013-05", "9", "z")]), f"{root}/entities")
+    assert run() == [("2013-01", "a", 2), ("2013-02", "b", 1)]
+
+
+def test_rebuild_reads_its_months_only(spark):
+    root = tempfile.mkdtemp(prefix="postlens-inc-")
+    months = [f"2013-{m:02d}" for m in range(1, 13)]
+    put(tweets(spark, [(m, str(i), 1, 0, 0, 0) for i, m in enumerate(months)]), f"{root}/tweets")
+    put(entities(spark, [(m, str(i), "a") for i, m in enumerate(months)]), f"{root}/entities")
+    rows = INC.build_rows(spark, f"{root}/tweets", f"{root}/entities", ["2013-04"], "date", 5)
+    plan = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scans = [x for x in plan.splitlines() if "PartitionFilters" in x]
+    assert scans and all("2013-04" in x for x in scans)
+    assert {os.path.dirname(f).rpartition("=")[2] for f in
+            INC._read_months(spark, f"{root}/tweets", INC.TWEETS_SOURCE, ["2013-04"]).select("_metadata.file_path").distinct()
+            .toPandas()["file_path"]} == {"2013-04"}
+
+
+def test_final_table_and_side_table(spark):
+    root = tempfile.mkdtemp(prefix="postlens-inc-")
+    put(tweets(spark, [("2013-01", "1", 1, 0, 0, 0), ("2013-02", "2", 1, 0, 0, 0)]), f"{root}/tweets")
+    put(entities(spark, [("2013-01", "1", "son of a gun"), ("2013-02", "2", "fine")]), f"{root}/entities")
+    words = spark.createDataFrame([("Son-of A",)], "word string")
+    for kind in ("date", "entity"):
+        build(spark, root, kind)
+        INC.write_final(spark, f"{root}/staging-{kind}", kind, words, f"{root}/final-{kind}", f"{root}/side")
+    side = spark.read.parquet(f"{root}/side").collect()
+    assert [r.original for r in side] == ["son of a gun"]
+    for kind in ("date", "entity"):
+        got = spark.read.parquet(f"{root}/final-{kind}")
+        assert dict(got.dtypes)["positive_sentiment"] == "float"
+        assert sorted(r.entity for r in got.collect()) == sorted([side[0].token, "fine"])
