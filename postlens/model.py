@@ -50,7 +50,7 @@ class QuerySpec:
 
     ``lo``/``hi`` are month labels ``YYYY-MM`` (inclusive) or ``None`` for the
     open end.  Unknown metric/scope fall back to defaults and unknown filters
-    are dropped, as the reference's URL validation does; ``from_indices``
+    are dropped, as the reference's URL validation does; ``clamp_indices``
     clamps a slider-style index range against the month axis.
     """
 

@@ -28,9 +28,11 @@ from postlens.session import cut_lineage
 
 KEY = ["year_month", "tweet_id"]
 
-# Largest top-N whose (month, name) list we broadcast without a size check:
-# rows <= top_n × months, so the bound is a parameter, not the data.
-BROADCAST_TOP_N = 1000
+# The top list holds at most top_n names a month, and months are a calendar: it is
+# broadcast while that bound stays within MOST_BROADCAST_NAMES rows (about 100 MB).
+# A longer list is joined by sort and merge, with Spark's own skew handling.
+MOST_MONTHS = 500
+MOST_BROADCAST_NAMES = 2_500_000
 
 
 def _staged(rows: DataFrame, wordlist) -> DataFrame:
@@ -94,7 +96,7 @@ def date_rows(tweets: DataFrame, entities: DataFrame, top_n: int = 100) -> DataF
     """Q02 before redaction: (month, pos, neg, entity) sums with Other/None buckets."""
     posts = post_names(entities)
     top = top_names(posts, top_n).withColumn("is_top", F.lit(True))
-    if top_n <= BROADCAST_TOP_N:
+    if top_n * MOST_MONTHS <= MOST_BROADCAST_NAMES:
         top = F.broadcast(top)
     # P3 + J4: a post keeps its top names; with none it falls in "Other".
     # explode_outer keeps posts whose only names were null (they are "Other").

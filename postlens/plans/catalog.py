@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.operators import tables as TB
 from postlens.operators.redaction import redaction_table
-from postlens.plans.gold import gold_path, materialize
+from postlens.plans.gold import gold_path, is_complete, materialize
 from postlens.sources.fixtures import DATE_TOP_N, ENTITY_TOP_N, load_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,10 +43,8 @@ def _gold_with_redactions(spark, sf_dir, kind):
     Both are read back when both exist; if either is missing both are rebuilt.
     """
     t_path, r_path = gold_path(spark, sf_dir, kind), gold_path(spark, sf_dir, f"{kind}_redactions")
-    try:
+    if is_complete(spark, t_path) and is_complete(spark, r_path):
         return spark.read.parquet(t_path), spark.read.parquet(r_path)
-    except AnalysisException:
-        pass
     c = load_corpus(spark, sf_dir)
     fn, n = (TB.date_table, DATE_TOP_N) if kind == "date" else (TB.entity_table, ENTITY_TOP_N)
     table, red = fn(c.tweets, c.entities, n, c.words, with_redactions=True)
@@ -189,11 +186,8 @@ from postlens.sources.fixtures import mentions_from_orders  # noqa: E402
 def dump_path(spark, sf_dir):
     """Render the corpus once as a gzip N3 dump in the checkpoint folder."""
     path = gold_path(spark, sf_dir, "n3dump")
-    try:
-        spark.read.text(path).limit(1).collect()
+    if is_complete(spark, path):
         return path
-    except Exception:  # noqa: BLE001 — absent: build it
-        pass
     c = load_corpus(spark, sf_dir)
     m = mentions_from_orders(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
     RDF.write_dump(RDF.render_dump(c.tweets, c.entities, m), path)
@@ -275,3 +269,136 @@ QUERIES.update({
 QUERIES.update({
     "entity_summary_display": lambda s, d: X.entity_summary_display(gold_entity(s, d), _spec(scope="all")),
 })
+
+
+# ------------------------------------------- dumps, files and months in unusual shapes
+from postlens.operators.redaction import dirty_names  # noqa: E402
+from postlens.sources import tables as SRC  # noqa: E402
+
+FX_HOLE_EVERY = 97                  # in the hole dump one post in so many has a header
+FX_SPLIT_BYTES = 1 << 18            # splits of the plain dump
+FX_PHRASES = ("pr0m0", "BRAND#2", "brand-4  large", "#", "straße")
+FX_LOG_START = "2024-03-09 22:00:00"
+FX_LOG_OFFSETS = ("Z", "-05:00", "+02:00")          # by conv_id
+FX_LOG_ZONE = "America/New_York"                    # the session's zone while prompts are read
+
+
+def _scratch(spark, sf_dir, name):
+    return gold_path(spark, sf_dir, f"{name}/{uuid.uuid4().hex}")
+
+
+def _with_conf(spark, conf, run):
+    """Run an eager step under other settings."""
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        return run()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def q_rdf_hole_month(spark, sf_dir):
+    """Q05 on a dump that is nearly all header-less mention lines."""
+    c = load_corpus(spark, sf_dir)
+    few = c.tweets.filter(F.col("tweet_id").cast("long") % FX_HOLE_EVERY == 0)
+    m = mentions_from_orders(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
+    path = _scratch(spark, sf_dir, "n3hole")
+    RDF.write_dump(RDF.render_dump(few, c.entities, m), path, files_per_month=1)
+    return RDF.rdf_to_tables(spark, path)[1]
+
+
+def q_rdf_plain_split(spark, sf_dir):
+    """Q05 on plain text files that are read in many splits."""
+    c = load_corpus(spark, sf_dir)
+    m = mentions_from_orders(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
+    path = _scratch(spark, sf_dir, "n3plain")
+    RDF.write_dump(RDF.render_dump(c.tweets, c.entities, m).withColumn("year_month", F.substring("year_month", 1, 4)), path,
+                   files_per_month=1, compression="none")
+    small = {"spark.sql.files.maxPartitionBytes": str(FX_SPLIT_BYTES)}
+    tweets = _with_conf(spark, small, lambda: RDF.rdf_to_tables(spark, path))[0]
+    return tweets.withColumn("year_month", F.date_format("created_at", "yyyy-MM"))
+
+
+def q_incremental_entity_table(spark, sf_dir):
+    root = _scratch(spark, sf_dir, "incremental-entity")
+    for wave in _waves(spark, sf_dir, root):
+        wave()
+        INC.run_incremental(spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging", "entity", ENTITY_TOP_N)
+    return INC.assemble(spark, f"{root}/staging", "entity", load_corpus(spark, sf_dir).words)
+
+
+def q_incremental_month_table(spark, sf_dir):
+    """Built from posts alone, then all over again without resuming."""
+    root = _scratch(spark, sf_dir, "incremental-month")
+    for wave, resume in zip(_waves(spark, sf_dir, root), (True, False)):
+        wave()
+        INC.run_incremental(spark, f"{root}/tweets", f"{root}/none", f"{root}/staging", "month", resume=resume)
+    return INC.assemble(spark, f"{root}/staging", "month", None)
+
+
+def q_streaming_late_entities(spark, sf_dir):
+    """M7: all posts and part of the mentions arrive first, the other mentions later."""
+    root = _scratch(spark, sf_dir, "stream-late")
+    c = load_corpus(spark, sf_dir)
+    c.tweets.select(*[f.name for f in INC.TWEETS_SOURCE.fields]).write.partitionBy("year_month").parquet(f"{root}/tweets")
+    ent = c.entities.select(*[f.name for f in INC.ENTITIES_SOURCE.fields])
+    first = F.pmod(F.col("tweet_id").cast("long"), F.lit(3)) == 0
+    for part in (first, ~first):
+        ent.filter(part).write.mode("append").partitionBy("year_month").parquet(f"{root}/entities")
+        INC.stream_months(spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging", f"{root}/_ckpt", "date", DATE_TOP_N)
+    return INC.assemble(spark, f"{root}/staging", "date", c.words)
+
+
+def q_month_table_with_empty_months(spark, sf_dir):
+    """A1 over a calendar: months without posts are 0/0/0."""
+    months = spark.range(1).select(F.explode(F.sequence(
+        F.to_date(F.lit(FX_CAL_START + "-01")), F.to_date(F.lit(FX_CAL_END + "-01")), F.expr("interval 1 month"))).alias("d"))
+    months = months.select(F.date_format("d", "yyyy-MM").alias("year_month"))
+    return TB.month_table(load_corpus(spark, sf_dir).tweets, months)
+
+
+def q_redaction_phrases(spark, sf_dir):
+    """K1 with entries of one, two and three words, symbols and other alphabets."""
+    words = spark.createDataFrame([(w,) for w in FX_PHRASES], "word string")
+    return dirty_names(load_corpus(spark, sf_dir).entities, words, "detected_as")
+
+
+def q_written_date_table(spark, sf_dir):
+    """The final table as written, sorted and typed, read back with its month."""
+    root = _scratch(spark, sf_dir, "final")
+    SRC.write_table(gold_date(spark, sf_dir), f"{root}/date", "date")
+    return SRC.read_table_with_month(spark, f"{root}/date").withColumn("month", F.date_format("month", "yyyy-MM-dd"))
+
+
+def q_month_files_posts(spark, sf_dir):
+    """Posts read from month folders, labelled by their path."""
+    root = _scratch(spark, sf_dir, "month-files")
+    c = load_corpus(spark, sf_dir)
+    c.tweets.select(*[f.name for f in INC.TWEETS_SOURCE.fields]).write.partitionBy("year_month").parquet(f"{root}/tweets")
+    return TB.month_table(SRC.read_kind(spark, [f"{root}/tweets"], "tweets"))
+
+
+def q_extract_prompts_in_zones(spark, sf_dir):
+    """Q31 on logs with offsets, read under a session zone that is not UTC."""
+    conv = read_table(spark, sf_dir, "conversations")
+    at = F.expr(f"TIMESTAMP_NTZ '{FX_LOG_START}' + make_interval(0, 0, 0, 0, 0, CAST(turn AS INT), 0)")
+    offsets = F.array(*[F.lit(o) for o in FX_LOG_OFFSETS])
+    stamp = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.get(offsets, F.pmod("conv_id", F.lit(len(FX_LOG_OFFSETS)))))
+    return _with_conf(spark, {"spark.sql.session.timeZone": FX_LOG_ZONE},
+                      lambda: extract_prompts(conversations_as_logs(conv, stamp)))
+
+
+QUERIES.update({
+    "rdf_hole_month": q_rdf_hole_month,
+    "rdf_plain_split": q_rdf_plain_split,
+    "incremental_entity_table": q_incremental_entity_table,
+    "incremental_month_table": q_incremental_month_table,
+    "streaming_late_entities": q_streaming_late_entities,
+    "month_table_with_empty_months": q_month_table_with_empty_months,
+    "redaction_phrases": q_redaction_phrases,
+    "written_date_table": q_written_date_table,
+    "month_files_posts": q_month_files_posts,
+    "extract_prompts_in_zones": q_extract_prompts_in_zones,
+})

@@ -68,7 +68,7 @@ def keyword_group(t: DataFrame, groups: dict) -> DataFrame:
         part = tot.filter(F.lower("entity").rlike(kw)).select(F.lit(label).alias("label"), "entity",
                                                                "post_count")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.orderBy("label", F.col("post_count").desc(), "entity")
 
 
 def yearly_mentions(t: DataFrame, names, partial: dict | None = None) -> DataFrame:
@@ -160,7 +160,7 @@ def metric_timeseries(t: DataFrame, spec: QuerySpec) -> DataFrame:
         g = g.withColumn("entity", F.lit(ALL_LABEL))
     else:
         g = sub.groupBy("year_month", "entity").agg(metric_agg(spec.metric).alias("value"))
-    return g.select("year_month", "entity", F.bround("value", ROUND).alias("value"))
+    return g.select("year_month", "entity", F.bround("value", ROUND).alias("value")).orderBy("year_month", "entity")
 
 
 def metric_ranking(t: DataFrame, spec: QuerySpec) -> DataFrame:
@@ -217,7 +217,7 @@ def redacted_share(date_t: DataFrame, lo=None, hi=None) -> DataFrame:
     w = Window.partitionBy("year_month")      # ≤ 2 rows per month
     g = g.withColumn("month_total", F.sum("post_count").over(w))
     return g.select("year_month", "redacted", "post_count", "month_total",
-                    (F.col("post_count") / F.col("month_total") * 100).alias("pct"))
+                    (F.col("post_count") / F.col("month_total") * 100).alias("pct")).orderBy("year_month", "redacted")
 
 
 def _group_rows(t: DataFrame, groups: dict, lo, hi, exclude_redacted: bool) -> DataFrame:
@@ -249,13 +249,18 @@ def month_bounds(t: DataFrame, lo_idx, hi_idx):
     ``lo`` is clamped into [0, n-1] and ``hi`` into [lo, n-1] over the
     table's sorted distinct months; both labels are scalar subqueries, so
     the filter stays one plan (no driver round trip).  The month axis is a
-    calendar-sized frame, so its single ordering is bounded.
+    calendar-sized frame, so its single ordering is bounded.  A range that is
+    not two numbers means all months.
     """
+    try:
+        lo_idx, hi_idx = int(lo_idx), int(hi_idx)
+    except (TypeError, ValueError):
+        lo_idx, hi_idx = 0, (1 << 31) - 1
     months = t.select("year_month").distinct()
     n = months.select(F.count(F.lit(1))).scalar()
     idx = months.select("year_month", (F.dense_rank().over(Window.orderBy("year_month")) - 1).alias("i"))
-    lo = F.least(F.greatest(F.lit(int(lo_idx)), F.lit(0)), n - 1)
-    hi = F.greatest(lo, F.least(F.lit(int(hi_idx)), n - 1))
+    lo = F.least(F.greatest(F.lit(lo_idx), F.lit(0)), n - 1)
+    hi = F.greatest(lo, F.least(F.lit(hi_idx), n - 1))
     lo_m = idx.filter(F.col("i") == lo).select("year_month").scalar()
     hi_m = idx.filter(F.col("i") == hi).select("year_month").scalar()
     return lo_m, hi_m

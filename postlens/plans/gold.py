@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from postlens.session import ensure_checkpoint_dir
@@ -27,18 +26,43 @@ def _code_version() -> str:
 LAYOUT_VERSION = _code_version()
 
 
+INPUTS = ("orders", "lineitem", "part", "customer", "conversations")
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def input_state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the input files, from their listing: new files get new built tables."""
+    out = []
+    for t in INPUTS:
+        p, fs = _fs(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
+        if fs.exists(p):
+            files = fs.listFiles(p, True)
+            while files.hasNext():
+                f = files.next()
+                out.append(f"{t}|{f.getPath().getName()}|{f.getLen()}|{f.getModificationTime()}")
+    return "\n".join(sorted(out))
+
+
 def gold_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    tag = hashlib.sha1(f"{sf_dir}|{LAYOUT_VERSION}".encode()).hexdigest()[:12]
+    tag = hashlib.sha1(f"{sf_dir}|{LAYOUT_VERSION}|{input_state(spark, sf_dir)}".encode()).hexdigest()[:12]
     return f"{root}/gold/{tag}/{name}"
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Was the table at ``path`` written to its end?"""
+    p, fs = _fs(spark, f"{path}/_SUCCESS")
+    return bool(fs.exists(p))
+
+
 def materialize(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Read the written table, building and writing it first when absent."""
     path = gold_path(spark, sf_dir, name)
-    try:
+    if is_complete(spark, path):
         return spark.read.parquet(path)
-    except AnalysisException:
-        pass
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

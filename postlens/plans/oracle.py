@@ -145,10 +145,7 @@ SQL: dict[str, str] = {
     "date_table": with_tables("SELECT * FROM date_t"),
     "entity_table": with_tables("SELECT * FROM entity_t"),
     "redaction_table": with_tables("""
-SELECT token, original FROM (
-  SELECT token, entity AS original,
-         row_number() OVER (PARTITION BY token ORDER BY entity) AS rn
-  FROM (SELECT * FROM d_red UNION SELECT * FROM e_red)) WHERE rn = 1"""),
+SELECT token, entity AS original FROM (SELECT * FROM d_red UNION SELECT * FROM e_red)"""),
 }
 
 
@@ -489,3 +486,43 @@ SELECT entity, posts,
        format('{{:.3f}}', pos_sentiment) AS pos_fmt, format('{{:.3f}}', neg_sentiment) AS neg_fmt
 FROM ({SUMMARY.format(src="f21")})""", F21),
 })
+
+
+# ------------------------------------------- dumps, files and months in unusual shapes
+def _tokens(c: str) -> str:
+    return f"list_filter(string_split_regex(translate(lower({c}), '{LEET_FROM}', '{LEET_TO}'), '{SPLIT_PATTERN}'), lambda x: x <> '')"
+
+
+_PHRASES = ", ".join(f"('{w}')" for w in C.FX_PHRASES)
+_SHIFT = " ".join(f"WHEN {i} THEN to_hours({-int(o[:3] if o != 'Z' else 0)})" for i, o in enumerate(C.FX_LOG_OFFSETS))
+
+SQL.update({
+    "rdf_hole_month": SQL["rdf_entities"],
+    "rdf_plain_split": SQL["rdf_tweets"],
+    "incremental_entity_table": SQL["entity_table"],
+    "incremental_month_table": SQL["month_table"],
+    "streaming_late_entities": SQL["date_table"],
+    "month_files_posts": SQL["month_table"],
+    "month_table_with_empty_months": with_tables(f"""
+SELECT c.year_month, coalesce(total_likes, 0) AS total_likes, coalesce(total_shares, 0) AS total_shares,
+       coalesce(post_count, 0) AS post_count
+FROM (SELECT strftime(unnest(generate_series(DATE '{C.FX_CAL_START}-01', DATE '{C.FX_CAL_END}-01', INTERVAL 1 MONTH)), '%Y-%m')
+             AS year_month) c LEFT JOIN month_t m ON c.year_month = m.year_month"""),
+    "redaction_phrases": with_tables("""
+SELECT DISTINCT n.name AS original, '[REDACTED_' || substr(md5(n.name), 1, 6) || ']' AS token
+FROM nm n JOIN ph ON contains(n.folded, ph.folded)""", f"""
+nm AS (SELECT name, ' ' || array_to_string({_tokens('name')}, ' ') || ' ' AS folded
+       FROM (SELECT DISTINCT detected_as AS name FROM fx_entities)),
+ph AS (SELECT ' ' || array_to_string(t, ' ') || ' ' AS folded
+       FROM (SELECT {_tokens('word')} AS t FROM (VALUES {_PHRASES}) w(word)) WHERE len(t) > 0)"""),
+    "written_date_table": with_tables("""
+SELECT * REPLACE (CAST(positive_sentiment AS FLOAT) AS positive_sentiment, CAST(negative_sentiment AS FLOAT) AS negative_sentiment),
+       year_month || '-01' AS month FROM date_t"""),
+    "extract_prompts_in_zones": with_tables("""
+SELECT CAST(row_number() OVER (ORDER BY timestamp, session_id, line_pos) AS BIGINT) AS n, session_id, timestamp, content,
+       coalesce(lag(session_id) OVER (ORDER BY timestamp, session_id, line_pos) <> session_id, true) AS new_session
+FROM prz""", f"""{PROMPTS},
+prz AS (SELECT *, strftime(TIMESTAMP '{C.FX_LOG_START}' + to_minutes(line_pos)
+               + CASE CAST(substr(session_id, 6) AS BIGINT) % {len(C.FX_LOG_OFFSETS)} {_SHIFT} END, '%Y-%m-%d %H:%M') || ' UTC' AS timestamp
+        FROM pr)"""),
+})

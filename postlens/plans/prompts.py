@@ -18,6 +18,7 @@ SKIP_PREFIXES = (
     "<local-command-caveat",
     "<user-prompt-submit-hook",
 )
+OFFSET = r"(Z|[+-]\d{2}(:?\d{2})?)\s*$"
 WS = "[ \\t\\n\\r\\f\\x0B]"
 STRIP_PATTERN = f"^{WS}+|{WS}+$"
 
@@ -33,7 +34,10 @@ def prompt_records(logs: DataFrame) -> DataFrame:
     content_v = F.variant_get("v", "$.message.content", "variant")
     content = strip_ws(F.try_variant_get("v", "$.message.content", "string"))
     ts_raw = F.try_variant_get("v", "$.timestamp", "string")
+    # An instant with an offset is shown in UTC whatever the session's zone; one without is taken as UTC.
     ts = F.try_to_timestamp(ts_raw)
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+    ts = F.when(ts_raw.rlike(OFFSET), utc).otherwise(ts.cast("timestamp_ntz"))
     ts_fmt = F.coalesce(F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm"), F.lit(" UTC")), ts_raw, F.lit(""))
     kept = rec.filter(
         (F.try_variant_get("v", "$.type", "string") == "user")
@@ -57,9 +61,13 @@ def extract_prompts(logs: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_prev") != F.col("session_id"), F.lit(True)).alias("new_session"))
 
 
-def prompt_log_summary(logs: DataFrame) -> DataFrame:
-    """Sessions are counted over all lines, even sessions with no prompt."""
-    sessions = logs.agg(F.countDistinct("session_id").alias("n_sessions"))
+def prompt_log_summary(logs: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Sessions are counted over all lines, even sessions with no prompt.
+
+    ``files`` (``log_files``) names the sessions of empty files too, which have no line.
+    """
+    named = logs.select("session_id")
+    sessions = (named if files is None else named.unionByName(files.select("session_id"))).agg(F.countDistinct("session_id").alias("n_sessions"))
     prompts = prompt_records(logs).agg(F.count(F.lit(1)).alias("n_prompts"))
     return sessions.select(
         "n_sessions", prompts.select("n_prompts").scalar().alias("n_prompts"))

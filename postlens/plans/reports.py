@@ -29,7 +29,7 @@ def monthly_volume(date_t: DataFrame, gap_months=GAP_MONTHS,
     note = (F.when(F.col("year_month").isin(*gap_months), F.lit(GAP_NOTE))
             .when(F.col("year_month").isin(*missing_months), F.lit(MISSING_NOTE))
             .otherwise(F.lit("")))
-    return m.select("year_month", "post_count", note.alias("note"))
+    return m.select("year_month", "post_count", note.alias("note")).orderBy("year_month")
 
 
 def monthly_volume_summary(date_t: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,15 +39,19 @@ def build_session(master: str = "local[*]", partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local runs, tests) do we create a private scratch folder.
+    ``spark.checkpoint.dir`` is read from the session, as it stands (a URI
+    keeps its scheme).  Where it is unset a local session gets a private
+    scratch folder; a cluster must name a folder that all its machines share.
     """
     sc = spark.sparkContext
     cur = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if cur:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(cur)
-        return cur.removeprefix("file:")
+        return cur
+    master = sc.master or ""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that every machine of {master} shares")
     path = tempfile.mkdtemp(prefix="postlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)

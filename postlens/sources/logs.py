@@ -20,7 +20,21 @@ def read_jsonl_logs(spark: SparkSession, path: str) -> DataFrame:
                     "file_path", F.struct("block", "mid").alias("line_pos"), "value"))
 
 
-def conversations_as_logs(conversations: DataFrame) -> DataFrame:
+def log_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(session_id, file_path)`` of every log file, empty ones too.
+
+    From the file system's listing, as Spark's readers leave empty files out.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for f in (fs.globStatus(p) or [])]
+    files = [g for f in found for g in (fs.listStatus(f.getPath()) if f.isDirectory() else [f]) if g.isFile()]
+    names = [(f.getPath().toString(),) for f in files if not f.getPath().getName().startswith((".", "_"))]
+    return (spark.createDataFrame(names, "file_path string")
+            .select(F.regexp_extract("file_path", r"([^/]+?)(\.jsonl)?$", 1).alias("session_id"), "file_path"))
+
+
+def conversations_as_logs(conversations: DataFrame, timestamp=None) -> DataFrame:
     """Render the driver's ``conversations`` table as session-log JSON lines.
 
     One session per ``conv_id`` (file stem ``conv-NNNNNN``), one line per turn.
@@ -31,7 +45,8 @@ def conversations_as_logs(conversations: DataFrame) -> DataFrame:
     rec = F.struct(
         F.when(role == "assistant", F.lit("assistant")).otherwise(F.lit("user")).alias("type"),
         (role == "system").alias("isMeta"),
-        F.struct(role.alias("role"), F.col("text").alias("content")).alias("message"))
+        F.struct(role.alias("role"), F.col("text").alias("content")).alias("message"),
+        *([] if timestamp is None else [timestamp.alias("timestamp")]))
     return conversations.select(
         F.format_string("conv-%06d", F.col("conv_id")).alias("session_id"),
         F.col("turn").alias("line_pos"),

@@ -44,3 +44,29 @@ def test_global_row_number_is_dense_across_partitions(spark):
     df = spark.range(0, 5000, numPartitions=7).selectExpr("id * 7 % 5000 AS k")
     got = global_row_number(df, ["k"]).select("k", "n").collect()
     assert sorted((r.n, r.k) for r in got) == [(i + 1, i) for i in range(5000)]
+
+
+def test_times_are_utc_in_any_session_zone(spark):
+    d = tempfile.mkdtemp(prefix="postlens-logs-")
+    stamps = {"2024-01-02T12:00:00Z": "2024-01-02 12:00 UTC", "2024-01-02T12:00:00.5+02:00": "2024-01-02 10:00 UTC",
+              "2024-01-02T23:30:00-05:00": "2024-01-03 04:30 UTC", "2024-03-10T02:30:00": "2024-03-10 02:30 UTC", "soon": "soon"}
+    with open(os.path.join(d, "a.jsonl"), "w") as f:
+        f.write("\n".join(_rec(f"prompt {t}", ts=t) for t in stamps))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = {r.content: r.timestamp for r in extract_prompts(read_jsonl_logs(spark, d)).collect()}
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", old)
+        assert got == {f"prompt {t}": want for t, want in stamps.items()}
+
+
+def test_empty_log_files_count_as_sessions(spark):
+    from postlens.sources.logs import log_files
+    d = tempfile.mkdtemp(prefix="postlens-logs-")
+    with open(os.path.join(d, "a.jsonl"), "w") as f:
+        f.write(_rec("hello"))
+    open(os.path.join(d, "b.jsonl"), "w").close()
+    got = prompt_log_summary(read_jsonl_logs(spark, d), log_files(spark, d)).first()
+    assert (got.n_sessions, got.n_prompts) == (2, 1)

@@ -109,3 +109,36 @@ def test_top_n_plan_uses_window_group_limit(spark):
     e = entities(spark, [(M, "1", "a")])
     plan = TB.top_names(TB.post_names(e), 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+
+
+def test_listed_phrases_of_any_length_and_alphabet(spark):
+    from postlens.operators.redaction import apply_redaction, redaction_collisions, redaction_table
+    words = spark.createDataFrame([(w,) for w in ("4chan", "foo-bar", "son of a", "coño", "b1tch", "***", None)], "word string")
+    names = ["4chan", "on achan now", "foo bar baz", "foobar", "a son of a gun", "son of gun", "COÑO.", "cono", "bitch", "b!tch x", "clean"]
+    t = spark.createDataFrame([(n,) for n in names], "entity string")
+    out, red = apply_redaction(t, words)
+    assert sorted(r.original for r in red.collect()) == sorted(
+        ["4chan", "on achan now", "foo bar baz", "a son of a gun", "COÑO.", "bitch", "b!tch x"])
+    assert out.filter("redacted").count() == 7
+    # every original stays in the side table, also where two share a token
+    both = spark.createDataFrame([("x", "t1"), ("y", "t1")], "original string, token string")
+    assert sorted(r.original for r in redaction_table(both, redaction_table(both)).collect()) == ["x", "y"]
+    assert [r.n_originals for r in redaction_collisions(both).collect()] == [2]
+
+
+def test_bad_index_ranges_mean_all_months(spark):
+    from postlens.plans.explore import filter_entities_by_index
+    t = spark.createDataFrame([("a", f"2013-0{m}", True, False) for m in (1, 2, 3)],
+                              "entity string, year_month string, classified boolean, redacted boolean")
+    assert filter_entities_by_index(t, ["a"], "x", None).count() == 3
+    assert filter_entities_by_index(t, ["a"], 1, 99).count() == 2
+
+
+def test_ordered_results(spark):
+    from postlens.plans import explore as X
+    from postlens.plans import reports as R
+    t = spark.createDataFrame([("b x", "2013-02", 5, False, True), ("a x", "2013-01", 9, True, True), ("c x", "2013-01", 9, False, True)],
+                              "entity string, year_month string, post_count long, redacted boolean, classified boolean")
+    assert [r.year_month for r in R.monthly_volume(t).collect()] == ["2013-01", "2013-02"]
+    assert [(r.year_month, r.redacted) for r in X.redacted_share(t).collect()] == [("2013-01", False), ("2013-01", True), ("2013-02", False)]
+    assert [r.entity for r in X.keyword_group(t, {"g": "x"}).collect()] == ["a x", "c x", "b x"]
