@@ -167,7 +167,7 @@ def q_quality_checks(spark, sf_dir):
     red = (_gold_with_redactions(spark, sf_dir, "date")[1]
            .unionByName(_gold_with_redactions(spark, sf_dir, "entity")[1]))
     return quality_checks(c.tweets, c.entities, gold_month(spark, sf_dir), gold_date(spark, sf_dir),
-                          gold_entity(spark, sf_dir), DATE_TOP_N, red)
+                          gold_entity(spark, sf_dir), DATE_TOP_N, ENTITY_TOP_N, red)
 
 
 QUERIES.update({

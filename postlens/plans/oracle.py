@@ -351,6 +351,19 @@ rs0 AS (SELECT year_month, redacted, CAST(sum(post_count) AS BIGINT) AS post_cou
 
 # ------------------------------------------------------- logs / profile / checks
 from postlens.plans.prompts import SKIP_PREFIXES  # noqa: E402
+from postlens.plans.quality import CHECKS  # noqa: E402
+
+_MEASURES = (("post_count", "posts"), ("total_likes", "likes"), ("total_shares", "shares"))
+
+
+def _check_sql(name, expected, actual, rel) -> str:
+    e, a = (f"coalesce({x}, 0)" if isinstance(x, str) else str(x) for x in (expected, actual))
+    return f"SELECT '{name}' AS check_name, year_month, {e} AS expected, {a} AS actual, '{rel}' AS rel FROM qc"
+
+
+def _bucket_sql(name, cond) -> str:
+    f = f"FILTER (WHERE {cond})"
+    return f"count(*) {f} AS p_{name}_posts, sum(likes) {f} AS p_{name}_likes, sum(shares) {f} AS p_{name}_shares"
 
 _STRIP = "regexp_replace(text, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')"
 PROMPTS = f"""
@@ -387,56 +400,48 @@ prof AS (SELECT pn.entity, pp.bin, count(*) AS n_posts,
                          THEN 1.0 ELSE 0.0 END::DOUBLE) AS fa
          FROM pp JOIN pn ON pp.year_month = pn.year_month AND pp.tweet_id = pn.tweet_id
          GROUP BY pn.entity, pp.bin)"""),
-    "quality_checks": with_tables("""
+    "quality_checks": with_tables(f"""
 SELECT check_name, year_month, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual,
-       CASE WHEN check_name = 'date_names_at_most_n_plus_2' THEN actual <= expected
-            ELSE expected = actual END AS ok
-FROM (
-  SELECT 'month_post_count' AS check_name, coalesce(pm.year_month, m.year_month) AS year_month,
-         coalesce(pm.expected, 0) AS expected, coalesce(m.post_count, 0) AS actual
-  FROM (SELECT year_month, count(*) AS expected FROM fx_tweets GROUP BY year_month) pm
-  FULL JOIN month_t m ON pm.year_month = m.year_month
-  UNION ALL
-  SELECT 'date_unique_keys', a.year_month, a.n, b.n
-  FROM (SELECT year_month, count(*) AS n FROM date_t GROUP BY year_month) a
-  JOIN (SELECT year_month, count(*) AS n FROM (SELECT DISTINCT year_month, positive_sentiment,
-          negative_sentiment, entity FROM date_t) GROUP BY year_month) b ON a.year_month = b.year_month
-  UNION ALL
-  SELECT 'date_names_at_most_n_plus_2', year_month, """ + str(DATE_TOP_N + 2) + """,
-         count(DISTINCT entity) FROM date_t GROUP BY year_month
-  UNION ALL
-  SELECT 'date_none_posts', coalesce(x.year_month, y.year_month), coalesce(x.n, 0), coalesce(y.n, 0)
-  FROM (SELECT t.year_month, count(*) AS n FROM fx_tweets t WHERE NOT EXISTS (
-          SELECT 1 FROM fx_entities e WHERE e.year_month = t.year_month AND e.tweet_id = t.tweet_id)
-        GROUP BY t.year_month) x
-  FULL JOIN (SELECT year_month, sum(post_count) AS n FROM date_t WHERE entity = 'None'
-             GROUP BY year_month) y ON x.year_month = y.year_month
-  UNION ALL
-  SELECT 'date_total_pairs', coalesce(x.year_month, y.year_month), coalesce(x.n, 0), coalesce(y.n, 0)
-  FROM (SELECT t.year_month, sum(greatest(coalesce(k.n_top, 0), 1)) AS n
-        FROM fx_tweets t LEFT JOIN (
-          SELECT p.year_month, p.tweet_id, count(*) AS n_top FROM d_pairs p
-          JOIN d_top tp ON p.year_month = tp.year_month AND p.name = tp.name
-          GROUP BY p.year_month, p.tweet_id) k ON t.year_month = k.year_month AND t.tweet_id = k.tweet_id
-        GROUP BY t.year_month) x
-  FULL JOIN (SELECT year_month, sum(post_count) AS n FROM date_t GROUP BY year_month) y
-    ON x.year_month = y.year_month
-  UNION ALL
-  SELECT 'entity_means_in_unit_range', year_month, 0,
-         count(*) FILTER (WHERE NOT (positive_sentiment BETWEEN 0 AND 1)
-                             OR NOT (negative_sentiment BETWEEN 0 AND 1))
-  FROM entity_t GROUP BY year_month
-  UNION ALL
-  SELECT 'date_vs_entity_posts', d.year_month, sum(d.d), sum(e.post_count)
-  FROM (SELECT year_month, entity, sum(post_count) AS d FROM date_t WHERE classified
-        GROUP BY year_month, entity) d
-  LEFT JOIN entity_t e ON d.year_month = e.year_month AND d.entity = e.entity
-  GROUP BY d.year_month
-  UNION ALL
-  SELECT 'redaction_token_collisions', NULL, 0, count(*)
-  FROM (SELECT token FROM (SELECT DISTINCT token, entity FROM (SELECT * FROM d_red UNION ALL
-                                                               SELECT * FROM e_red))
-        GROUP BY token HAVING count(*) > 1))"""),
+       CASE rel WHEN 'eq' THEN expected = actual WHEN 'le' THEN actual <= expected ELSE actual >= expected END AS ok
+FROM ({' UNION ALL '.join(_check_sql(*c) for c in CHECKS)})
+UNION ALL
+SELECT 'redaction_token_collisions', NULL, 0, count(*), count(*) = 0
+FROM (SELECT token FROM (SELECT DISTINCT token, entity FROM (SELECT * FROM d_red UNION ALL SELECT * FROM e_red))
+      GROUP BY token HAVING count(*) > 1)""", f"""
+qc_top AS (SELECT p.year_month, p.tweet_id, count(t.name) AS n_date, count(e.entity) AS n_entity
+           FROM d_pairs p LEFT JOIN d_top t ON p.year_month = t.year_month AND p.name = t.name
+           LEFT JOIN e_top e ON p.year_month = e.year_month AND p.name = e.entity GROUP BY p.year_month, p.tweet_id),
+qc_p AS (SELECT t.year_month, count(*) AS p_posts, sum(likes) AS p_likes, sum(shares) AS p_shares,
+                sum(greatest(coalesce(n_date, 0), 1)) AS p_pairs,
+                {_bucket_sql('none', 'n_date IS NULL')}, {_bucket_sql('other', 'n_date = 0')},
+                sum(coalesce(n_entity, 0)) AS p_top_posts, sum(coalesce(n_entity, 0) * likes) AS p_top_likes,
+                sum(coalesce(n_entity, 0) * shares) AS p_top_shares
+         FROM q_tweets t LEFT JOIN qc_top k ON t.year_month = k.year_month AND t.tweet_id = k.tweet_id GROUP BY t.year_month),
+qc_m AS (SELECT year_month, post_count AS m_posts, total_likes AS m_likes, total_shares AS m_shares FROM month_t),
+qc_d AS (SELECT year_month, count(*) AS d_rows, count(DISTINCT (positive_sentiment, negative_sentiment, entity)) AS d_keys,
+                count(DISTINCT entity) AS d_names,
+                count(*) FILTER (WHERE positive_sentiment NOT IN (0, .25, .5, .75, 1) OR negative_sentiment NOT IN (0, .25, .5, .75, 1))
+                  AS d_off_domain,
+                count(*) FILTER (WHERE classified <> (entity NOT IN ('Other', 'None')) OR redacted <> starts_with(entity, '[REDACTED_'))
+                  AS d_bad_flags,
+                {', '.join(f"sum({c}) {f} AS d{b}_{x}" for b, f in (('', ''), ('_none', "FILTER (WHERE entity = 'None')"),
+                                                                    ('_other', "FILTER (WHERE entity = 'Other')"))
+                           for c, x in _MEASURES)}
+         FROM date_t GROUP BY year_month),
+qc_e AS (SELECT year_month, count(*) AS e_rows, count(DISTINCT entity) AS e_names,
+                count(*) FILTER (WHERE NOT (positive_sentiment BETWEEN 0 AND 1) OR NOT (negative_sentiment BETWEEN 0 AND 1)) AS e_off_range,
+                count(*) FILTER (WHERE classified <> (entity NOT IN ('Other', 'None')) OR redacted <> starts_with(entity, '[REDACTED_'))
+                  AS e_bad_flags, {', '.join(f"sum({c}) AS e_{x}" for c, x in _MEASURES)}
+         FROM entity_t GROUP BY year_month),
+qc_n AS (SELECT year_month, entity, bool_or(classified AND NOT redacted) AS plain, {', '.join(f"sum({c}) AS d_{x}" for c, x in _MEASURES)}
+         FROM date_t WHERE classified GROUP BY year_month, entity),
+qc_b AS (SELECT n.year_month, {', '.join(f"sum(n.d_{x}) AS both_d_{x}, sum(e.{c}) AS both_e_{x}" for c, x in _MEASURES)},
+                count(*) FILTER (WHERE plain AND NOT EXISTS (SELECT 1 FROM fx_entities f WHERE f.year_month = n.year_month
+                                                             AND f.detected_as = n.entity)) AS d_foreign_names
+         FROM qc_n n LEFT JOIN entity_t e ON n.year_month = e.year_month AND n.entity = e.entity GROUP BY n.year_month),
+qc AS (SELECT *, {DATE_TOP_N + 2} AS date_n_plus_2, {ENTITY_TOP_N} AS entity_n
+       FROM qc_p FULL JOIN qc_m USING (year_month) FULL JOIN qc_d USING (year_month)
+       FULL JOIN qc_e USING (year_month) FULL JOIN qc_b USING (year_month))"""),
 })
 
 SQL.update({

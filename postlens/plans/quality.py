@@ -1,81 +1,121 @@
-"""Data-quality checks as a table (Q33): the reference's test invariants.
+"""Data-quality checks as a table (Q33): the invariants the built tables must keep.
 
-Each check yields ``(check_name, year_month, expected, actual, ok)`` rows;
-expectations are recomputed from the raw posts/mentions by a different
-route than the builders (anti/semi joins, plain counts).
+Each check yields ``(check_name, year_month, expected, actual, ok)`` rows, one
+for every month.  Expectations come from the raw posts and mentions by another
+route than the builders': distinct (post, name) pairs, written once, ranked and
+counted per post; one wide row a month; then one row a check.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.model import NONE
-from postlens.operators.tables import KEY, top_names
+from postlens.functions.redact import TOKEN_PREFIX
+from postlens.model import NONE, OTHER
+from postlens.operators.tables import KEY
+from postlens.session import cut_lineage
 
 CHECK_COLS = ["check_name", "year_month", "expected", "actual", "ok"]
+STEPS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+#: (check, expected, actual, relation): columns of the wide month row, or numbers.
+CHECKS = [
+    ("month_post_count", "p_posts", "m_posts", "eq"),
+    ("month_likes", "p_likes", "m_likes", "eq"),
+    ("month_shares", "p_shares", "m_shares", "eq"),
+    ("date_unique_keys", "d_rows", "d_keys", "eq"),
+    ("date_names_at_most_n_plus_2", "date_n_plus_2", "d_names", "le"),
+    ("date_sentiment_domain", 0, "d_off_domain", "eq"),
+    ("date_flags", 0, "d_bad_flags", "eq"),
+    ("date_names_of_the_month", 0, "d_foreign_names", "eq"),
+    ("date_total_pairs", "p_pairs", "d_posts", "eq"),
+    ("date_pairs_at_least_posts", "p_posts", "d_posts", "ge"),
+    *[(f"date_{b}_{x}", f"p_{b}_{x}", f"d_{b}_{x}", "eq") for b in ("none", "other") for x in ("posts", "likes", "shares")],
+    ("entity_unique_keys", "e_rows", "e_names", "eq"),
+    ("entity_names_at_most_n", "entity_n", "e_names", "le"),
+    ("entity_means_in_unit_range", 0, "e_off_range", "eq"),
+    ("entity_flags", 0, "e_bad_flags", "eq"),
+    *[(f"entity_total_{x}", f"p_top_{x}", f"e_{x}", "eq") for x in ("posts", "likes", "shares")],
+    *[(f"date_vs_entity_{x}", f"both_d_{x}", f"both_e_{x}", "eq") for x in ("posts", "likes", "shares")],
+]
+
+
+def _sums(prefix: str, cond=None):
+    pick = (lambda c: F.col(c)) if cond is None else (lambda c: F.when(cond, F.col(c)))
+    return [F.sum(pick(c)).alias(f"{prefix}_{x}")
+            for c, x in (("post_count", "posts"), ("total_likes", "likes"), ("total_shares", "shares"))]
+
+
+def _bad_flags():
+    named = ~F.col("entity").isin(OTHER, NONE)
+    return F.count_if((F.col("classified") != named) | (F.col("redacted") != F.col("entity").startswith(TOKEN_PREFIX)))
+
+
+def _expected(tweets: DataFrame, pairs: DataFrame, ranked: DataFrame, date_n: int, entity_n: int) -> DataFrame:
+    """One row a month from the raw posts: what the tables must add up to."""
+    per_post = (pairs.join(ranked, ["year_month", "name"], "left").groupBy(*KEY)
+                .agg(F.count_if(F.col("rank") <= date_n).alias("n_date"), F.count_if(F.col("rank") <= entity_n).alias("n_entity")))
+    posts = tweets.select(*KEY, F.coalesce(F.col("likes").cast("bigint"), F.lit(0)).alias("likes"),
+                          F.coalesce(F.col("shares").cast("bigint"), F.lit(0)).alias("shares")).join(per_post, KEY, "left")
+    none, other = F.col("n_date").isNull(), F.col("n_date") == 0
+    tops = F.coalesce("n_entity", F.lit(0))
+    return posts.groupBy("year_month").agg(
+        F.count(F.lit(1)).alias("p_posts"), F.sum("likes").alias("p_likes"), F.sum("shares").alias("p_shares"),
+        F.sum(F.greatest(F.coalesce("n_date", F.lit(0)), F.lit(1))).alias("p_pairs"),
+        *[a for b, cond in (("none", none), ("other", other)) for a in (
+            F.count_if(cond).alias(f"p_{b}_posts"), F.sum(F.when(cond, F.col("likes"))).alias(f"p_{b}_likes"),
+            F.sum(F.when(cond, F.col("shares"))).alias(f"p_{b}_shares"))],
+        F.sum(tops).alias("p_top_posts"), F.sum(tops * F.col("likes")).alias("p_top_likes"),
+        F.sum(tops * F.col("shares")).alias("p_top_shares"))
+
+
+def quality_checks(tweets: DataFrame, entities: DataFrame, month_t: DataFrame, date_t: DataFrame, entity_t: DataFrame,
+                   date_top_n: int, entity_top_n: int, redactions: DataFrame | None = None) -> DataFrame:
+    pairs = cut_lineage(entities.select(*KEY, F.col("detected_as").alias("name")).distinct(), "quality-pairs")
+    by_month = Window.partitionBy("year_month").orderBy(F.col("n").desc(), "name")
+    ranked = cut_lineage(pairs.filter("name IS NOT NULL").groupBy("year_month", "name").agg(F.count(F.lit(1)).alias("n"))
+                         .withColumn("rank", F.row_number().over(by_month)), "quality-ranks")
+    named = F.col("classified") & ~F.col("redacted")
+    off = ~(F.col("positive_sentiment").isin(*STEPS) & F.col("negative_sentiment").isin(*STEPS))
+    date_m = date_t.groupBy("year_month").agg(
+        F.count(F.lit(1)).alias("d_rows"), F.count_distinct("positive_sentiment", "negative_sentiment", "entity").alias("d_keys"),
+        F.count_distinct("entity").alias("d_names"), F.count_if(off).alias("d_off_domain"), _bad_flags().alias("d_bad_flags"),
+        *_sums("d"), *_sums("d_none", F.col("entity") == NONE), *_sums("d_other", F.col("entity") == OTHER))
+    outside = ~(F.col("positive_sentiment").between(0, 1) & F.col("negative_sentiment").between(0, 1))
+    entity_m = entity_t.groupBy("year_month").agg(
+        F.count(F.lit(1)).alias("e_rows"), F.count_distinct("entity").alias("e_names"), F.count_if(outside).alias("e_off_range"),
+        _bad_flags().alias("e_bad_flags"), *_sums("e"))
+    month_m = month_t.groupBy("year_month").agg(*_sums("m"))
+    # Per name: the date table's names against the entity table and the month's own mentions.
+    names = date_t.filter("classified").groupBy("year_month", "entity").agg(*_sums("both_d"), F.max(named.cast("int")).alias("plain"))
+    known = ranked.select("year_month", F.col("name").alias("entity"), F.lit(1).alias("known"))
+    agree = (names.join(entity_t.select("year_month", "entity", *[F.col(c).alias(f"both_e_{x}") for c, x in (
+                 ("post_count", "posts"), ("total_likes", "likes"), ("total_shares", "shares"))]), ["year_month", "entity"], "left")
+             .join(known, ["year_month", "entity"], "left").groupBy("year_month")
+             .agg(*[F.sum(f"both_{s}_{x}").alias(f"both_{s}_{x}") for s in "de" for x in ("posts", "likes", "shares")],
+                  F.count_if((F.col("plain") == 1) & F.col("known").isNull()).alias("d_foreign_names")))
+    wide = reduce(lambda a, b: a.join(b, "year_month", "full"),
+                  [_expected(tweets, pairs, ranked, date_top_n, entity_top_n), month_m, date_m, entity_m, agree])
+    wide = wide.withColumns({"date_n_plus_2": F.lit(date_top_n + 2), "entity_n": F.lit(entity_top_n)})
+
+    def value(x):
+        return F.coalesce(F.col(x).cast("bigint"), F.lit(0)) if isinstance(x, str) else F.lit(x).cast("bigint")
 
+    def row(check, expected, actual, relation):
+        e, a = value(expected), value(actual)
+        return F.struct(F.lit(check).alias("check_name"), e.alias("expected"), a.alias("actual"),
+                        {"eq": e == a, "le": a <= e, "ge": a >= e}[relation].alias("ok"))
 
-def _check(name: str, df: DataFrame, op: str = "eq") -> DataFrame:
-    e, a = F.coalesce(F.col("expected"), F.lit(0)), F.coalesce(F.col("actual"), F.lit(0))
-    ok = {"eq": e == a, "le": a <= e, "ge": a >= e}[op]
-    return df.select(F.lit(name).alias("check_name"), "year_month",
-                     e.cast("bigint").alias("expected"), a.cast("bigint").alias("actual"), ok.alias("ok"))
-
-
-def quality_checks(tweets: DataFrame, entities: DataFrame, month_t: DataFrame, date_t: DataFrame,
-                   entity_t: DataFrame, date_top_n: int, redactions: DataFrame | None = None) -> DataFrame:
-    posts_per_month = tweets.groupBy("year_month").agg(F.count(F.lit(1)).alias("expected"))
-    checks = [
-        # A1: every post row counted once in its month
-        _check("month_post_count", posts_per_month.join(
-            month_t.select("year_month", F.col("post_count").alias("actual")), "year_month", "full")),
-        # date keys unique
-        _check("date_unique_keys", date_t.groupBy("year_month").agg(
-            F.count(F.lit(1)).alias("expected"),
-            F.count_distinct("positive_sentiment", "negative_sentiment", "entity").alias("actual"))),
-        # at most N named + Other + None per month
-        _check("date_names_at_most_n_plus_2", date_t.groupBy("year_month").agg(
-            F.lit(date_top_n + 2).alias("expected"),
-            F.count_distinct("entity").alias("actual")), "le"),
-    ]
-    # Posts with no mention row at all form the None bucket
-    no_entity = (tweets.join(entities.select(*KEY).distinct(), KEY, "left_anti")
-                 .groupBy("year_month").agg(F.count(F.lit(1)).alias("expected")))
-    none_rows = (date_t.filter(F.col("entity") == NONE).groupBy("year_month")
-                 .agg(F.sum("post_count").alias("actual")))
-    checks.append(_check("date_none_posts", no_entity.join(none_rows, "year_month", "full")))
-    # total pairs: each post row counts once per top name, once if it has none
-    posts = entities.groupBy(*KEY).agg(F.collect_set("detected_as").alias("names"))
-    top = top_names(posts, date_top_n)
-    n_top = (posts.select(*KEY, F.explode("names").alias("name"))
-             .join(F.broadcast(top), ["year_month", "name"], "left_semi")
-             .groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_top")))
-    expected_pairs = (tweets.select(*KEY).join(n_top, KEY, "left")
-                      .groupBy("year_month")
-                      .agg(F.sum(F.greatest(F.coalesce("n_top", F.lit(0)), F.lit(1))).alias("expected")))
-    date_pairs = date_t.groupBy("year_month").agg(F.sum("post_count").alias("actual"))
-    checks.append(_check("date_total_pairs", expected_pairs.join(date_pairs, "year_month", "full")))
-    # entity means stay in [0, 1]
-    checks.append(_check("entity_means_in_unit_range", entity_t.groupBy("year_month").agg(
-        F.lit(0).alias("expected"),
-        F.count_if(~F.col("positive_sentiment").between(0, 1)
-                   | ~F.col("negative_sentiment").between(0, 1)).alias("actual"))))
-    # e2e: a date-table name has the same posts in the entity table (N_date <= N_entity)
-    d_named = (date_t.filter("classified").groupBy("year_month", "entity")
-               .agg(F.sum("post_count").alias("d")))
-    e_named = entity_t.select("year_month", "entity", F.col("post_count").alias("e"))
-    agree = (d_named.join(e_named, ["year_month", "entity"], "left").groupBy("year_month")
-             .agg(F.sum("d").alias("expected"), F.sum("e").alias("actual")))
-    checks.append(_check("date_vs_entity_posts", agree))
-    # trap 16: two names must not share one redaction token (one global row)
-    if redactions is not None:
-        clashes = (redactions.select("token", "original").distinct().groupBy("token")
-                   .agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        checks.append(_check("redaction_token_collisions", clashes.agg(
-            F.lit(None).cast("string").alias("year_month"), F.lit(0).alias("expected"),
-            F.count(F.lit(1)).alias("actual"))))
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    out = (wide.select("year_month", F.explode(F.array(*[row(*c) for c in CHECKS])).alias("c"))
+           .select("c.check_name", "year_month", "c.expected", "c.actual", "c.ok"))
+    if redactions is None:
+        return out
+    # two names must not share one redaction token (one row over all months)
+    clashes = (redactions.select("token", "original").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    clash = clashes.agg(F.count(F.lit(1)).alias("actual")).select(
+        F.lit("redaction_token_collisions").alias("check_name"), F.lit(None).cast("string").alias("year_month"),
+        F.lit(0).cast("bigint").alias("expected"), "actual", (F.col("actual") == 0).alias("ok"))
+    return out.unionByName(clash)
