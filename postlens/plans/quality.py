@@ -19,6 +19,7 @@ from postlens.operators.tables import KEY
 from postlens.session import cut_lineage
 
 CHECK_COLS = ["check_name", "year_month", "expected", "actual", "ok"]
+MEASURES = ("posts", "likes", "shares")
 STEPS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 #: (check, expected, actual, relation): columns of the wide month row, or numbers.
@@ -43,10 +44,8 @@ CHECKS = [
 ]
 
 
-def _sums(prefix: str, cond=None):
-    pick = (lambda c: F.col(c)) if cond is None else (lambda c: F.when(cond, F.col(c)))
-    return [F.sum(pick(c)).alias(f"{prefix}_{x}")
-            for c, x in (("post_count", "posts"), ("total_likes", "likes"), ("total_shares", "shares"))]
+def _sums(prefix: str):
+    return [F.sum(c).alias(f"{prefix}_{x}") for c, x in zip(("post_count", "total_likes", "total_shares"), MEASURES)]
 
 
 def _bad_flags():
@@ -80,25 +79,27 @@ def quality_checks(tweets: DataFrame, entities: DataFrame, month_t: DataFrame, d
                          .withColumn("rank", F.row_number().over(by_month)), "quality-ranks")
     named = F.col("classified") & ~F.col("redacted")
     off = ~(F.col("positive_sentiment").isin(*STEPS) & F.col("negative_sentiment").isin(*STEPS))
-    date_m = date_t.groupBy("year_month").agg(
-        F.count(F.lit(1)).alias("d_rows"), F.count_distinct("positive_sentiment", "negative_sentiment", "entity").alias("d_keys"),
-        F.count_distinct("entity").alias("d_names"), F.count_if(off).alias("d_off_domain"), _bad_flags().alias("d_bad_flags"),
-        *_sums("d"), *_sums("d_none", F.col("entity") == NONE), *_sums("d_other", F.col("entity") == OTHER))
+    # The tables by name, met once: a month's names in either, with what the other has of them.
+    date_n = date_t.groupBy("year_month", "entity").agg(
+        F.count(F.lit(1)).alias("d_rows"), F.count_distinct("positive_sentiment", "negative_sentiment").alias("d_keys"),
+        F.lit(1).alias("d_names"), F.count_if(off).alias("d_off_domain"), _bad_flags().alias("d_bad_flags"), *_sums("d"),
+        F.max("classified").alias("named"), F.max(named).alias("plain"))
     outside = ~(F.col("positive_sentiment").between(0, 1) & F.col("negative_sentiment").between(0, 1))
-    entity_m = entity_t.groupBy("year_month").agg(
-        F.count(F.lit(1)).alias("e_rows"), F.count_distinct("entity").alias("e_names"), F.count_if(outside).alias("e_off_range"),
+    entity_n = entity_t.groupBy("year_month", "entity").agg(
+        F.count(F.lit(1)).alias("e_rows"), F.lit(1).alias("e_names"), F.count_if(outside).alias("e_off_range"),
         _bad_flags().alias("e_bad_flags"), *_sums("e"))
-    month_m = month_t.groupBy("year_month").agg(*_sums("m"))
-    # Per name: the date table's names against the entity table and the month's own mentions.
-    names = date_t.filter("classified").groupBy("year_month", "entity").agg(*_sums("both_d"), F.max(named.cast("int")).alias("plain"))
     known = ranked.select("year_month", F.col("name").alias("entity"), F.lit(1).alias("known"))
-    agree = (names.join(entity_t.select("year_month", "entity", *[F.col(c).alias(f"both_e_{x}") for c, x in (
-                 ("post_count", "posts"), ("total_likes", "likes"), ("total_shares", "shares"))]), ["year_month", "entity"], "left")
-             .join(known, ["year_month", "entity"], "left").groupBy("year_month")
-             .agg(*[F.sum(f"both_{s}_{x}").alias(f"both_{s}_{x}") for s in "de" for x in ("posts", "likes", "shares")],
-                  F.count_if((F.col("plain") == 1) & F.col("known").isNull()).alias("d_foreign_names")))
+    by_name = date_n.join(entity_n, ["year_month", "entity"], "full").join(known, ["year_month", "entity"], "left")
+    sums = [c for c in date_n.columns + entity_n.columns if c.startswith(("d_", "e_"))]
+    cases = {"none": F.col("entity") == NONE, "other": F.col("entity") == OTHER}
+    tables = by_name.groupBy("year_month").agg(
+        *[F.sum(c).alias(c) for c in sums],
+        *[F.sum(F.when(cond, F.col(f"d_{x}"))).alias(f"d_{k}_{x}") for k, cond in cases.items() for x in MEASURES],
+        *[F.sum(F.when(F.col("named"), F.col(f"{t}_{x}"))).alias(f"both_{t}_{x}") for t in "de" for x in MEASURES],
+        F.count_if(F.col("plain") & F.col("known").isNull()).alias("d_foreign_names"))
+    month_m = month_t.groupBy("year_month").agg(*_sums("m"))
     wide = reduce(lambda a, b: a.join(b, "year_month", "full"),
-                  [_expected(tweets, pairs, ranked, date_top_n, entity_top_n), month_m, date_m, entity_m, agree])
+                  [_expected(tweets, pairs, ranked, date_top_n, entity_top_n), month_m, tables])
     wide = wide.withColumns({"date_n_plus_2": F.lit(date_top_n + 2), "entity_n": F.lit(entity_top_n)})
 
     def value(x):
