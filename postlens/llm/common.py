@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.session import cut_lineage
+from postlens.session import cut_lineage, ensure_checkpoint_dir
 
 #: A white-space-free word: neither space nor \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,9 +28,11 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return cut_lineage(df, f"llm-{tag}")
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only (``lower`` would also change other alphabets)."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def stage_compressed(df: DataFrame, tag: str) -> DataFrame:
+    """Like ``stage``, for bulky bytes and texts: zstd instead of the session's codec."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stage/llm-{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def word_count(c: Column) -> Column:

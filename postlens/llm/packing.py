@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.common import by_value, stage
+from postlens.llm.common import by_value, stage, stage_compressed
 
 by_value(__name__)
 
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, length:
     """
     # The row number is written with the ids, so that all later steps see the same.
     rows = tokenize(docs, path, end_id).withColumn("uid", F.monotonically_increasing_id())
-    rows = _stage_compressed(rows, "pack-ids")
+    rows = stage_compressed(rows, "pack-ids")
     served = schedule(rows.select("uid", "doc_id", "queue", "n"), length, window_sequences, weights)
     runs = served.groupBy("uid").agg(F.collect_list(F.struct("start", "tokens", "window", "place")).alias("runs"))
 
@@ -227,13 +227,3 @@ def sequences(pieces: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataF
 
     return parts.mapInArrow(join, "sequence_id long, tokens long, ids array<int>")
 
-
-def _stage_compressed(df: DataFrame, tag: str) -> DataFrame:
-    """Like ``stage``, for bulky token bytes: zstd instead of the session's codec."""
-    import uuid
-
-    from postlens.session import ensure_checkpoint_dir
-
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stage/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import by_value, stage
+from postlens.llm.common import by_value, stage, stage_compressed
 
 by_value(__name__)
 
@@ -50,7 +50,7 @@ def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
                         F.coalesce(F.col("html"), F.lit("")).cast("string").alias("payload"))
     rows = rows.withColumns({"row": F.monotonically_increasing_id(), "digest": F.sha1(F.col("payload").cast("binary")),
                              "bytes": F.octet_length("payload")})
-    rows = stage(rows, "warc-rows")                     # fixes the row numbers
+    rows = stage_compressed(rows, "warc-rows")          # fixes the row numbers
     order = F.struct(F.col("page_id").isNotNull().alias("a"), F.col("page_id").alias("id"), F.col("row").alias("row"))
     winners = (rows.where(F.col("bytes") >= least).groupBy(F.col("digest").alias("same"))
                .agg(F.max(order).alias("w"), F.count(F.lit(1)).alias("n")).where("n > 1")
