@@ -216,11 +216,20 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                         if len(rows) >= 20_000:
                             yield index_rows(target, base, rows)
                             rows = []
-                fs_out.move(attempt, final)
-                fs_out.move(attempt + ".idx", final + ".idx")
+                publish(fs_out, attempt, final)
+                publish(fs_out, attempt + ".idx", final + ".idx")
                 if rows:
                     yield index_rows(target, base, rows)
 
+    def publish(fs, attempt, final):
+        try:
+            fs.move(attempt, final)
+        except OSError:
+            # Some file systems do not move onto a file: then another attempt has written the same bytes.
+            if fs.get_file_info(final).size != fs.get_file_info(attempt).size:
+                raise
+            fs.delete_file(attempt)
+
     def index_rows(folder, base, rows):
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays(
