@@ -93,7 +93,7 @@ def graph_search(x: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int):
     """
     n, rows = len(c), np.arange(len(x))[:, None]
     beam = min(beam, n)
-    if n <= 4 * beam or n <= 64:                        # so few that the walk would see them all
+    if n <= beam:                                       # all are wanted
         d = _squared(x, c)
         order = np.argsort(d, axis=1, kind="stable")[:, :beam]
         return order, np.take_along_axis(d, order, axis=1)
