@@ -76,7 +76,7 @@ QUERIES: dict[str, Query] = {
 }
 
 
-# ---------------------------------------------------------------- reports / explore
+# Reports / explore
 from postlens.model import QuerySpec  # noqa: E402
 from postlens.plans import explore as X  # noqa: E402
 from postlens.plans import reports as R  # noqa: E402
@@ -140,7 +140,7 @@ QUERIES.update({
 })
 
 
-# ------------------------------------------------------- logs / profile / checks
+# Logs / profile / checks
 from postlens.plans.profile import entity_sentiment_profile  # noqa: E402
 from postlens.plans.prompts import extract_prompts, prompt_log_summary  # noqa: E402
 from postlens.plans.quality import quality_checks  # noqa: E402
@@ -178,7 +178,7 @@ QUERIES.update({
 })
 
 
-# ------------------------------------------------------------------ RDF dump
+# RDF dump
 from postlens.sources import rdf as RDF  # noqa: E402
 from postlens.sources.fixtures import mentions_from_orders  # noqa: E402
 
@@ -203,7 +203,7 @@ def _rdf(i):
 QUERIES.update({"rdf_tweets": _rdf(0), "rdf_entities": _rdf(1), "rdf_mentions": _rdf(2)})
 
 
-# ------------------------------------------------------- incremental / streaming
+# Incremental / streaming
 import uuid  # noqa: E402
 
 from postlens.streaming import incremental as INC  # noqa: E402
@@ -255,7 +255,7 @@ QUERIES.update({
 })
 
 
-# ------------------------------------------------------------ summaries / P17
+# Summaries / P17
 FX_LO_IDX, FX_HI_IDX = 12, 999      # hi beyond the axis: clamped to the last month
 
 QUERIES.update({
@@ -271,7 +271,7 @@ QUERIES.update({
 })
 
 
-# ------------------------------------------- dumps, files and months in unusual shapes
+# Dumps, files and months in unusual shapes
 from postlens.operators.redaction import dirty_names  # noqa: E402
 from postlens.sources import tables as SRC  # noqa: E402
 

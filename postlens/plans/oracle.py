@@ -149,7 +149,7 @@ SELECT token, entity AS original FROM (SELECT * FROM d_red UNION SELECT * FROM e
 }
 
 
-# ------------------------------------------------------------- reports / explore
+# Reports / explore
 from postlens.plans import catalog as C  # noqa: E402
 
 
@@ -349,7 +349,7 @@ rs0 AS (SELECT year_month, redacted, CAST(sum(post_count) AS BIGINT) AS post_cou
 })
 
 
-# ------------------------------------------------------- logs / profile / checks
+# Logs / profile / checks
 from postlens.plans.prompts import SKIP_PREFIXES  # noqa: E402
 from postlens.plans.quality import CHECKS  # noqa: E402
 
@@ -493,7 +493,7 @@ FROM ({SUMMARY.format(src="f21")})""", F21),
 })
 
 
-# ------------------------------------------- dumps, files and months in unusual shapes
+# Dumps, files and months in unusual shapes
 def _tokens(c: str) -> str:
     return f"list_filter(string_split_regex(translate(lower({c}), '{LEET_FROM}', '{LEET_TO}'), '{SPLIT_PATTERN}'), lambda x: x <> '')"
 

@@ -391,7 +391,7 @@ def convert_dump(spark: SparkSession, src: str, out: str, skip_existing: bool =
     return spark.createDataFrame(rows, "year_month string, status string, error string")
 
 
-# ------------------------------------------------------------------ rendering
+# Rendering
 def render_dump(tweets: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """Render model tables as dump lines ``(year_month, k0, k1, k2, k3, value)``.
 
