@@ -35,7 +35,7 @@ HOMES_A_CELL = 4096          # homes, and replicas, that one comparison cell may
 REPLICAS_A_CELL = 32768
 
 
-# ------------------------------------------------------------- fingerprints
+# Fingerprints
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of a text's word shingles (XXH64, seed 42); 0 without words."""
     import xxhash
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-# ------------------------------------------------------------------ anchors
+# Anchors
 def covering_code(dimension: int) -> np.ndarray:
     """All codewords of a [64, dimension] code: positions are GF(64); rows 1, x, x**3, x**5 by bit."""
     if not 1 <= dimension <= 19:
@@ -158,11 +158,10 @@ def links(fps: DataFrame, distance: int = DISTANCE, dimension: int | None = None
           homes_a_cell: int = HOMES_A_CELL, replicas_a_cell: int = REPLICAS_A_CELL) -> DataFrame:
     """Links (a, b) that span the graph of distinct fingerprints ``fp`` within ``distance`` bits."""
     spark = fps.sparkSession
-    k = dimension or dimension_for(fps.count())
-    put = _anchored(fps, k, distance)
+    put = _anchored(fps, dimension or dimension_for(fps.count()), distance)
     # One row an anchor, 2**16 at most: the crowded ones are dealt over a grid of cells.
     load = (put.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("d") < 0, 1)).alias("homes"))
-            .withColumn("h", F.ceil(F.col("homes") / homes_a_cell).cast("int"))
+            .withColumn("h", F.greatest(F.ceil(F.col("homes") / homes_a_cell), F.lit(1)).cast("int"))
             .withColumn("g", F.ceil(F.col("all") / replicas_a_cell).cast("int"))
             .where("h > 1 or g > 1").select("anchor", "h", "g"))
     load = stage(load, "simhash-crowded")
@@ -172,16 +171,20 @@ def links(fps: DataFrame, distance: int = DISTANCE, dimension: int | None = None
     at_h = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("h")).cast("int")
     at_g = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("g")).cast("int")
     # A home goes to its chunk in every replica chunk; a replica (homes are replicas too) to every home chunk.
-    homes = put.where("d < 0").select("anchor", "fp", "r", F.lit(0).cast("short").alias("d"), F.lit(True).alias("home"),
-                                      at_h.alias("ch"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("cg"))
-    reps = put.select("anchor", "fp", "r", F.when(F.col("d") < 0, F.col("r")).otherwise(F.col("d")).cast("short").alias("d"),
-                      F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("ch"), at_g.alias("cg"))
+    # Of a row's entries the first ``k`` are homes, one for each replica chunk, the others replicas.
+    k = F.when(F.col("d") < 0, F.col("g")).otherwise(0)
+    entry = F.explode(F.sequence(F.lit(0), k + F.col("h") - 1))
+    home = F.col("e") < F.col("k")
+    dealt = (put.withColumn("k", k).withColumn("e", entry)
+             .select("anchor", "fp", "r", F.when(F.col("d") < 0, F.col("r")).otherwise(F.col("d")).cast("short").alias("d"),
+                     home.alias("home"), F.when(home, at_h).otherwise(F.col("e") - F.col("k")).cast("int").alias("ch"),
+                     F.when(home, F.col("e")).otherwise(at_g).cast("int").alias("cg")))
 
     def compare(batches):
         held: list[tuple] = []
         key = None
 
-        def cell(parts):
+        def compared(parts):
             fp, r, d, home = (np.concatenate(c) for c in zip(*parts))
             hf, hr = fp[home], r[home]
             yf, yr, yd = fp[~home], r[~home], d[~home]
@@ -220,21 +223,21 @@ def links(fps: DataFrame, distance: int = DISTANCE, dimension: int | None = None
             for a, b in zip(edges, edges[1:]):
                 this = (cols[0][a], cols[1][a], cols[2][a])
                 if key is not None and this != key:
-                    if (out := cell(held)) is not None:
+                    if (out := compared(held)) is not None:
                         yield out
                     held = []
                 key = this
                 held.append((cols[3][a:b].view(np.uint64), cols[4][a:b], cols[5][a:b], cols[6][a:b].astype(bool)))
-        if held and (out := cell(held)) is not None:
+        if held and (out := compared(held)) is not None:
             yield out
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = (homes.unionByName(reps).repartition(n, "anchor", "ch", "cg")
+    cells = (dealt.repartition(n, "anchor", "ch", "cg")
              .sortWithinPartitions("anchor", "ch", "cg"))
     return cells.mapInArrow(compare, "a long, b long")
 
 
-# ------------------------------------------------------------------- groups
+# Groups
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
                     dimension: int | None = None) -> DataFrame:
     """(doc_id, text_key, fp, root, component_id): the near-duplicate group of every document.
