@@ -41,7 +41,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-# ------------------------------------------------------------- tokenisation
+# Tokenisation
 def _byte_letters() -> dict[str, int]:
     """The printable letters by which a byte-level vocabulary file writes bytes."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -108,7 +108,7 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
             .mapInArrow(run, "doc_id long, queue string, n long, ids binary"))
 
 
-# ----------------------------------------------------------- running totals
+# Running totals
 def running_total(df: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
     """+ ``out``: sum of ``value`` over the earlier rows of the group, and ``out``_all, the group's sum.
 
@@ -131,7 +131,7 @@ def running_total(df: DataFrame, group: str, order: list[str], value: str, out:
             .withColumn(out, F.col("__base") + F.col("__in")).drop("__part", "__in", "__base"))
 
 
-# ------------------------------------------------------------------ packing
+# Packing
 def schedule(counts: DataFrame, length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES,
              weights: dict[str, float] | None = None) -> DataFrame:
     """Packets (uid, queue, start, tokens, window, place) of documents (uid, doc_id, queue, n).

@@ -71,7 +71,7 @@ def _terms(words: set[str]) -> set[str]:
     return out
 
 
-# ------------------------------------------------------------------- mining
+# Mining
 def _count_terms(rows: DataFrame, only: list[str] | None) -> DataFrame:
     """(term, toxic, n): documents that hold a term, by label; partial counts are flushed as they grow."""
     def run(batches):
@@ -125,7 +125,7 @@ def mine_terms(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LAB
     return sorted(good, key=lambda t: (-in_toxic[t], t))[:most_terms]
 
 
-# ------------------------------------------------------------------- voters
+# Voters
 MINED = 12                   # lexicons
 
 
@@ -179,7 +179,7 @@ def votes(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, mask int, hits array<int>")
 
 
-# -------------------------------------------------------------- label model
+# Label model
 def vote_table(masks: np.ndarray) -> np.ndarray:
     """[row, voter]: does the voter fire?"""
     return (masks[:, None] >> np.arange(VOTERS)) & 1
@@ -274,7 +274,7 @@ def _correlated(v: np.ndarray, counts: np.ndarray, post: np.ndarray, least: floa
     return parent
 
 
-# --------------------------------------------------------------- classifier
+# Classifier
 @dataclass
 class Model:
     terms: list[str]

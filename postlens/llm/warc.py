@@ -34,7 +34,7 @@ DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 
 
-# ------------------------------------------------------------------ records
+# Records
 def _text(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
@@ -157,7 +157,7 @@ def split_records(stream, name: str = ""):
         seen = 0
 
 
-# --------------------------------------------------------------- normaliser
+# Normaliser
 def open_fs(uri: str):
     """(file system, path) of a URI or plain path; ``file:/x`` as Hadoop writes it too."""
     import re
@@ -240,7 +240,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     return stage(files.mapInArrow(run, INDEX), "warc-index")
 
 
-# ------------------------------------------------------------------- reader
+# Reader
 RECORD = ("record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, "
           "payload_digest string, payload binary")
 
