@@ -85,14 +85,19 @@ def neighbour_graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     return np.concatenate([links, ring], axis=1)
 
 
-def graph_search(x: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int):
-    """(centroid numbers, squared distances) of each row's ``beam`` nearest found, nearest first.
-
-    Best-first search from a few entry points, all rows at once: each round
-    opens every row's nearest unopened centroids until the beam is all open.
-    """
+def graph_search(x: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int, at_once: int = 256):
+    """(centroid numbers, squared distances) of each row's ``beam`` nearest found, nearest first; ``at_once`` rows a time."""
+    beam = min(beam, len(c))
+    parts = [_walk(x[at:at + at_once], c, graph, beam) for at in range(0, len(x), at_once)]
+    if not parts:
+        return np.zeros((0, beam), int), np.zeros((0, beam))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _walk(x: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int):
+    """Best-first search from a few entry points, all rows at once: each round opens every row's
+    nearest unopened centroids until the beam is all open."""
     n, rows = len(c), np.arange(len(x))[:, None]
-    beam = min(beam, n)
     if n <= beam:                                       # all are wanted
         d = _squared(x, c)
         order = np.argsort(d, axis=1, kind="stable")[:, :beam]
