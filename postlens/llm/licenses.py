@@ -58,6 +58,50 @@ TEMPLATES = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
             "the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation; either version 2 of the License, "
+                "or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                 "Library General Public License as published by the Free Software Foundation; either version 2 of the "
+                 "License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                 "License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and "
+                "neighboring rights to this software to the public domain worldwide."),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to this work"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+                  "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+                  "means."),
+) + tuple(
+    (f"CC-{code}-{version}", line)
+    for code, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+                       ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                       ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+    for version, port in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"))
+    for line in (f"This work is licensed under a Creative Commons {name} {version} {port} License.",
+                 f"Licensed under CC {code} {version}.")
+    if (code, version) != ("BY-NC", "4.0") and (code, version, line[0]) != ("BY", "4.0", "T")      # listed above
+)
+
+#: Notices of fewer than SHINGLE words, found as whole sequences.
+LINES = (
+    ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 )
 
 _SEPARATORS = bytes(range(0x21, 0x2D)) + b"/:;<=>?@[\\]^`{|}~"      # not - . _ nor digits and letters
@@ -143,8 +187,11 @@ def _signature(hashes: np.ndarray, bands: int) -> np.ndarray:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, least: float = LEAST):
+    def __init__(self, templates=TEMPLATES, least: float = LEAST, lines=LINES):
         self.templates, self.least = prepare(templates, least), least
+        self.lines = [(license, words_of(text)) for license, text in lines]
+        if not all(words for _, words in self.lines):
+            raise ValueError("a line needs a word")
         self.all = np.unique(np.concatenate([t.hashes for t in self.templates]))
 
     def scan(self, text: str | None) -> list[tuple]:
@@ -193,32 +240,76 @@ class Scanner:
         return out
 
 
-OUT = ("doc_id long, license string, template int, containment double, start_byte long, end_byte long, passage string")
+    def scan_lines(self, text: str | None) -> list[tuple]:
+        """The same for the lines, numbered after the templates: every place where all words of one follow each other."""
+        words = words_of(text)
+        joined = b" " + b" ".join(words) + b" "
+        out = []
+        for number, (_, line) in enumerate(self.lines, len(self.templates)):
+            wanted, seen, word = b" " + b" ".join(line) + b" ", 0, 0
+            at = joined.find(wanted)
+            while at >= 0:
+                word, seen = word + joined.count(b" ", seen, at), at
+                out.append((number, 1.0, word, word + len(line), 1))
+                at = joined.find(wanted, at + len(wanted) - 1)
+        return out
+
+    def entry(self, number: int) -> tuple[str, int]:
+        """License and words of a template or line."""
+        if number < len(self.templates):
+            return self.templates[number].license, len(self.templates[number].words)
+        license, words = self.lines[number - len(self.templates)]
+        return license, len(words)
+
+    def best(self, found: list[tuple]) -> list[bool]:
+        """Is a passage the best one where it stands?
+
+        Passages that share half of the shorter one's words compete; the
+        higher containment wins, then the longer template, then the first.
+        """
+        order = sorted(range(len(found)), key=lambda i: found[i][2])
+        rank = [(-share, -self.entry(number)[1], number, first) for number, share, first, _, _ in found]
+        out = [True] * len(found)
+        near: list[int] = []                            # earlier passages that may reach the present one
+        for i in order:
+            first, end = found[i][2:4]
+            near = [j for j in near if found[j][3] > first]
+            for j in near:
+                shared = min(end, found[j][3]) - first
+                if 2 * shared >= min(end - first, found[j][3] - found[j][2]):
+                    out[max(i, j, key=lambda k: rank[k])] = False
+            near.append(i)
+        return out
+
+
+OUT = ("doc_id long, license string, template int, containment double, start_byte long, end_byte long, passage string, best boolean")
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """One row a passage: doc_id, license, template (number), containment, byte span and text.
+def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, lines=LINES) -> DataFrame:
+    """One row a passage: doc_id, license, template (number), containment, byte span and text, and whether it is the best.
 
     Spans are in the text's UTF-8.  Null, empty and short texts hold no
     passage; repeated rows give their passages again; a null doc_id is kept.
-    Templates that overlap in a text are all reported.  An empty table gives
-    an empty result; other columns are not read.
+    Templates that overlap in a text are all reported; ``best`` marks the one
+    that tells the license where several cover a passage.  Lines are numbered
+    after the templates.  An empty table gives an empty result; other columns
+    are not read.
     """
     def run(batches):
-        scanner = Scanner(templates, least)
+        scanner = Scanner(templates, least, lines)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = scanner.scan(text)
+                found = scanner.scan(text) + scanner.scan_lines(text)
                 if found:
                     spans, raw = word_spans(text), text.encode()
-                    for number, share, first, end, _ in found:
+                    for (number, share, first, end, _), best in zip(found, scanner.best(found)):
                         a, z = spans[first][0], spans[end - 1][1]
-                        rows.append((doc_id, scanner.templates[number].license, number, share, a, z,
-                                     raw[a:z].decode("utf-8", "replace")))
+                        rows.append((doc_id, scanner.entry(number)[0], number, share, a, z,
+                                     raw[a:z].decode("utf-8", "replace"), best))
             if rows:
-                kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
+                kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                                 ["doc_id", "license", "template", "containment", "start_byte", "end_byte", "passage"])
+                                                 ["doc_id", "license", "template", "containment", "start_byte", "end_byte", "passage", "best"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT)

@@ -76,3 +76,27 @@ def test_awkward_rows(spark):
     assert sorted(str(r.doc_id) for r in rows) == ["2", "2", "None"]
     with pytest.raises(ValueError):
         L.prepare([("X", "too short")])
+
+
+def test_short_notices_are_found(spark):
+    texts = ["All rights reserved.", "x y z. ALL RIGHTS\nRESERVED! all rights reserved", "all rights are reserved", "", None]
+    rows = L.scan(docs(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])).orderBy("doc_id", "start_byte").collect()
+    assert [(r.doc_id, r.passage) for r in rows] == [(0, "All rights reserved."), (1, "ALL RIGHTS\nRESERVED"), (1, "all rights reserved")]
+    assert all(r.license == "LicenseRef-All-Rights-Reserved" and r.containment == 1 and r.best for r in rows)
+
+
+@pytest.mark.parametrize("license", ["GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "ISC", "Unlicense",
+                                     "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-SA-3.0"])
+def test_the_best_template_tells_the_license(license):
+    scanner = L.Scanner()
+    for name, text in L.TEMPLATES:
+        if name == license:
+            found = scanner.scan("some words before it " + text + " and some words after")
+            best = {scanner.entry(f[0])[0] for f, b in zip(found, scanner.best(found)) if b}
+            assert best == {license}
+
+
+def test_overlapping_versions_are_reported_and_one_is_best(spark):
+    gpl2 = next(t for n, t in L.TEMPLATES if n == "GPL-2.0" and "either version 2" in t)
+    rows = L.scan(docs(spark, [(1, gpl2, "", "", 0)])).collect()
+    assert {r.license for r in rows} >= {"GPL-2.0", "GPL-3.0"} and {r.license for r in rows if r.best} == {"GPL-2.0"}
