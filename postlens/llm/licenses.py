@@ -1,9 +1,12 @@
 """License scans: MinHash bands over text windows retrieve templates, shingles verify them.
 
 Texts and templates become words (lower case; punctuation separates, full
-stops vanish) and five-word shingles.  A template of L words is looked for in
-windows of ``L + step - 1`` words, ``step`` words apart, so that some window
-holds any occurrence whole.  A window's MinHash bands retrieve templates; the
+stops vanish, words without a letter or digit are dropped) and five-word
+shingles.  A template of L words is looked for in windows of
+``STRETCH * L + step - 1`` words, ``step`` words apart, so that some window
+holds whole any occurrence that inserted words stretch to at most that many
+times its length (templates that may not lose a shingle cannot be stretched:
+their windows have ``L + step - 1`` words).  A window's MinHash bands retrieve templates; the
 number of bands is set so that a window holding ``least`` of a template's
 shingles collides with it but for a chance of ``MISS``.  A retrieved pair is
 accepted if the window really holds that share of the template's shingles,
@@ -18,6 +21,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,6 +37,7 @@ by_value(__name__)
 
 SHINGLE = 5
 LEAST = 0.8                  # share of a template's shingles that a window must hold
+STRETCH = 2                  # template lengths that a copy with inserted words may take
 ROWS = 2                     # MinHash values a band
 MISS = 1e-6                  # chance that no band of a true window collides
 SEED = 20240
@@ -108,14 +114,20 @@ _SEPARATORS = bytes(range(0x21, 0x2D)) + b"/:;<=>?@[\\]^`{|}~"      # not - . _
 _TO_SPACE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
 
 
+def _bare(word: bytes) -> bytes:
+    """A word without dashes around it; empty if it has no letter or digit."""
+    word = word.strip(b"-_")
+    return word if word.isalnum() or any(map(str.isalnum, word.decode("utf-8", "replace"))) else b""
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().translate(_TO_SPACE, b".").split()
+    return [w for w in map(_bare, (text or "").encode().lower().translate(_TO_SPACE, b".").split()) if w]
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
     """Byte spans, in the text's UTF-8, of the words that ``words_of`` gives."""
     raw = text.encode().lower().translate(_TO_SPACE)
-    return [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", raw) if m.group().strip(b".")]
+    return [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", raw) if _bare(m.group().replace(b".", b""))]
 
 
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
@@ -144,6 +156,7 @@ class Template:
     license: str
     words: list[bytes]
     step: int
+    reach: int                  # words of the longest copy that some window holds whole
     bands: int
     shingles: set               # of word tuples
     hashes: np.ndarray
@@ -151,12 +164,18 @@ class Template:
 
     @property
     def window(self) -> int:
-        return len(self.words) + self.step - 1
+        return self.reach + self.step - 1
+
+
+def reach_for(words: int, least: float = LEAST) -> int:
+    """Words that a copy may take: STRETCH template lengths, or just one if no shingle may be lost."""
+    own = words - SHINGLE + 1
+    return words * STRETCH if np.ceil(least * own - 1e-9) < own else words
 
 
-def bands_for(words: int, step: int, least: float = LEAST) -> int:
+def bands_for(words: int, step: int, least: float = LEAST, reach: int | None = None) -> int:
     """Bands by which a window with ``least`` of the shingles collides but for a chance of MISS."""
-    own, window = words - SHINGLE + 1, words + step - SHINGLE
+    own, window = words - SHINGLE + 1, (reach or words) + step - SHINGLE
     shared = np.ceil(least * own - 1e-9)
     likeness = shared / (own + window - shared)
     p = likeness ** ROWS
@@ -170,9 +189,10 @@ def prepare(templates=TEMPLATES, least: float = LEAST) -> list[Template]:
         if len(words) < SHINGLE:
             raise ValueError(f"{license}: a template needs {SHINGLE} words")
         step = max(1, len(words) // 8)
-        bands = bands_for(len(words), step, least)
+        reach = reach_for(len(words), least)
+        bands = bands_for(len(words), step, least, reach)
         hashes = shingle_hashes(words)
-        out.append(Template(license, words, step, bands, {tuple(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)},
+        out.append(Template(license, words, step, reach, bands, {tuple(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)},
                             np.unique(hashes), _signature(hashes, bands)))
     return out
 
@@ -186,6 +206,43 @@ def _signature(hashes: np.ndarray, bands: int) -> np.ndarray:
     return _permuted(hashes, _keys(bands)).min(axis=0).reshape(bands, ROWS)
 
 
+def _passages(held: list[tuple], i: int, j: int, need: float) -> list[tuple]:
+    """(shingles, first word, end word) of the passages among hits ``i`` to ``j`` of a window.
+
+    The first is the tightest run with all shingles that the hits have; what
+    lies before and after it is searched for further ones.
+    """
+    out, todo = [], [(i, j)]
+    while todo:
+        i, j = todo.pop()
+        whole = len({w for _, w in held[i:j]})
+        if whole < need or not whole:
+            continue
+        count: Counter = Counter()
+        best, lo = None, i
+        for hi in range(i, j):
+            count[held[hi][1]] += 1
+            while count[held[lo][1]] > 1:
+                count[held[lo][1]] -= 1
+                lo += 1
+            if len(count) == whole and (best is None or held[hi][0] - held[lo][0] < best[0]):
+                best = held[hi][0] - held[lo][0], lo, hi
+        _, lo, hi = best
+        out.append((whole, held[lo][0], held[hi][0] + SHINGLE))
+        todo += [(i, lo), (hi + 1, j)]
+    return out
+
+
+def _apart(found: set) -> list[tuple]:
+    """Passages that do not overlap, by place: the fullest first, then the shortest, then the first."""
+    kept: list[tuple] = []                              # (first word, end word, shingles)
+    for n, lo, hi in sorted(found, key=lambda p: (-p[0], p[2] - p[1], p[1])):
+        at = bisect_left(kept, (lo, hi, n))
+        if (at == 0 or kept[at - 1][1] <= lo) and (at == len(kept) or kept[at][0] >= hi):
+            kept.insert(at, (lo, hi, n))
+    return [(n, lo, hi) for lo, hi, n in kept]
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES, least: float = LEAST, lines=LINES):
         self.templates, self.least = prepare(templates, least), least
@@ -195,10 +252,11 @@ class Scanner:
         self.all = np.unique(np.concatenate([t.hashes for t in self.templates]))
 
     def scan(self, text: str | None) -> list[tuple]:
-        """(template number, containment, first word, end word, windows) of every passage that holds a template.
+        """(template number, containment, first word, end word) of every passage that holds a template.
 
-        Accepted windows of a template that overlap are one passage; its
-        containment is that of its best window.
+        A passage is the tightest run of words with all the template's
+        shingles that an accepted window holds; of passages of one template
+        that overlap the fullest stays, then the shortest, then the first.
         """
         words = words_of(text)
         hashes = shingle_hashes(words)
@@ -219,27 +277,21 @@ class Scanner:
             for h in hits.tolist():
                 first = max(0, -(-(h - span + 1) // t.step))
                 starts.update(range(first, min(h // t.step, last) + 1))
-            passages: list[list] = []
+            held = [(i, w) for i in hits.tolist() if (w := tuple(words[i:i + SHINGLE])) in t.shingles]
+            at = [i for i, _ in held]
+            need = self.least * len(t.shingles) - 1e-9
+            seen, found = set(), set()                  # runs of hits that were verified, passages
             for k in sorted(starts):
                 a = k * t.step
                 b = min(a + span, len(hashes))
-                if not (_signature(hashes[a:b], t.bands) == t.signature).all(axis=1).any():
-                    continue
-                held = {tuple(words[i:i + SHINGLE]) for i in range(a, b)} & t.shingles
-                share = len(held) / len(t.shingles)
-                if share < self.least - 1e-12:
+                run = bisect_left(at, a), bisect_left(at, b)
+                if run in seen or not (_signature(hashes[a:b], t.bands) == t.signature).all(axis=1).any():
                     continue
-                inside = [i for i in range(a, b) if tuple(words[i:i + SHINGLE]) in t.shingles]
-                lo, hi = inside[0], inside[-1] + SHINGLE
-                if passages and lo < passages[-1][3]:
-                    p = passages[-1]
-                    p[1], p[2], p[3], p[4] = max(p[1], share), min(p[2], lo), max(p[3], hi), p[4] + 1
-                else:
-                    passages.append([number, share, lo, hi, 1])
-            out += [tuple(p) for p in passages]
+                seen.add(run)
+                found.update(_passages(held, *run, need))
+            out += [(number, n / len(t.shingles), lo, hi) for n, lo, hi in _apart(found)]
         return out
 
-
     def scan_lines(self, text: str | None) -> list[tuple]:
         """The same for the lines, numbered after the templates: every place where all words of one follow each other."""
         words = words_of(text)
@@ -250,7 +302,7 @@ class Scanner:
             at = joined.find(wanted)
             while at >= 0:
                 word, seen = word + joined.count(b" ", seen, at), at
-                out.append((number, 1.0, word, word + len(line), 1))
+                out.append((number, 1.0, word, word + len(line)))
                 at = joined.find(wanted, at + len(wanted) - 1)
         return out
 
@@ -268,7 +320,7 @@ class Scanner:
         higher containment wins, then the longer template, then the first.
         """
         order = sorted(range(len(found)), key=lambda i: found[i][2])
-        rank = [(-share, -self.entry(number)[1], number, first) for number, share, first, _, _ in found]
+        rank = [(-share, -self.entry(number)[1], number, first) for number, share, first, _ in found]
         out = [True] * len(found)
         near: list[int] = []                            # earlier passages that may reach the present one
         for i in order:
@@ -303,7 +355,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, lines=LINES
                 found = scanner.scan(text) + scanner.scan_lines(text)
                 if found:
                     spans, raw = word_spans(text), text.encode()
-                    for (number, share, first, end, _), best in zip(found, scanner.best(found)):
+                    for (number, share, first, end), best in zip(found, scanner.best(found)):
                         a, z = spans[first][0], spans[end - 1][1]
                         rows.append((doc_id, scanner.entry(number)[0], number, share, a, z,
                                      raw[a:z].decode("utf-8", "replace"), best))

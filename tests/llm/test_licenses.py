@@ -100,3 +100,44 @@ def test_overlapping_versions_are_reported_and_one_is_best(spark):
     gpl2 = next(t for n, t in L.TEMPLATES if n == "GPL-2.0" and "either version 2" in t)
     rows = L.scan(docs(spark, [(1, gpl2, "", "", 0)])).collect()
     assert {r.license for r in rows} >= {"GPL-2.0", "GPL-3.0"} and {r.license for r in rows if r.best} == {"GPL-2.0"}
+
+
+def whole_text_share(text, t):
+    w = L.words_of(text)
+    return len({tuple(w[i:i + 5]) for i in range(len(w) - 4)} & t.shingles) / len(t.shingles)
+
+
+def test_stretched_copies_against_the_whole_text():
+    """A copy with words put in, up to twice the template's length, is found if the text holds enough of its shingles."""
+    pick, scanner, checked = random.Random(7), L.Scanner(), 0
+    for number, t in enumerate(scanner.templates):
+        own = L.TEMPLATES[number][1].split()
+        for _ in range(6 if len(own) > 20 else 2):
+            words = list(own)
+            at = pick.randrange(1, len(words))
+            words[at:at] = ["x%d" % i for i in range(pick.randint(1, len(t.words) - 1))]        # one long insertion
+            if pick.random() < .5:
+                words.insert(pick.randrange(1, len(words)), "y")
+                words = words[:1] + words[1:][:2 * len(own) - 1]
+            text = " ".join(["before"] * pick.randint(0, 40) + words + ["after"] * pick.randint(0, 40))
+            want = whole_text_share(text, t) >= L.LEAST - 1e-9
+            assert (number in {m[0] for m in scanner.scan(text)}) == want, text
+            checked += want
+    assert checked > 40
+
+
+@pytest.mark.parametrize("mark", ["--", "-- ", "#", "//", " *", "---", "—"])
+@pytest.mark.parametrize("license", ["MIT", "GPL-3.0"])
+def test_notices_in_comments(mark, license):
+    import textwrap
+    number, text = max(((n, t) for n, (name, t) in enumerate(L.TEMPLATES) if name == license), key=lambda x: len(x[1]))
+    comment = "\n".join(f"{mark} {line}" for line in textwrap.wrap(text, 76))
+    assert [m[1] for m in L.Scanner().scan(comment) if m[0] == number] == [1.0]
+    assert len(L.word_spans(comment)) == len(L.words_of(comment))
+
+
+def test_copies_near_each_other_are_passages_of_their_own():
+    scanner, line = L.Scanner(), L.TEMPLATES[6][1]
+    n = len(L.words_of(line))
+    found = [m for m in scanner.scan(" ".join([line, "between", line, line])) if m[0] == 6]
+    assert [(m[1], m[2], m[3]) for m in found] == [(1, 0, n), (1, n + 1, 2 * n + 1), (1, 2 * n + 1, 3 * n + 1)]
