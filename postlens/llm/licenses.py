@@ -6,11 +6,12 @@ shingles.  A template of L words is looked for in windows of
 ``STRETCH * L + step - 1`` words, ``step`` words apart, so that some window
 holds whole any occurrence that inserted words stretch to at most that many
 times its length (templates that may not lose a shingle cannot be stretched:
-their windows have ``L + step - 1`` words).  A window's MinHash bands retrieve templates; the
-number of bands is set so that a window holding ``least`` of a template's
-shingles collides with it but for a chance of ``MISS``.  A retrieved pair is
-accepted if the window really holds that share of the template's shingles,
-compared word by word.
+their windows have ``L + step - 1`` words).  Templates of equal length share
+their windows, whose MinHash bands retrieve templates from a table of the band
+hashes of that length; the number of bands is set so that a window holding
+``least`` of a template's shingles collides with it but for a chance of
+``MISS``.  A retrieved pair is accepted if the window really holds that share
+of the template's shingles, compared word by word.
 
 A band can only collide if the window holds one of the template's shingles, so
 windows without any of them get no signature: that loses nothing and keeps
@@ -206,6 +207,39 @@ def _signature(hashes: np.ndarray, bands: int) -> np.ndarray:
     return _permuted(hashes, _keys(bands)).min(axis=0).reshape(bands, ROWS)
 
 
+def _band_hashes(signature: np.ndarray) -> np.ndarray:
+    """64-bit hash of each band's number and values."""
+    h = np.arange(len(signature), dtype=np.uint64)
+    for row in signature.T:
+        h = (h ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class BandTable:
+    """(band, band hash) -> templates, for templates of one length and so of one window length."""
+
+    def __init__(self, own: list[tuple[int, Template]]):
+        first = own[0][1]
+        self.step, self.window, self.bands = first.step, first.window, first.bands
+        self.hashes = np.unique(np.concatenate([t.hashes for _, t in own]))
+        keys = np.concatenate([_band_hashes(t.signature) for _, t in own])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], np.repeat([n for n, _ in own], self.bands)[order]
+
+    def retrieve(self, hashes: np.ndarray) -> list[int]:
+        """Numbers of the templates with which a window's shingles share a band."""
+        wanted = _band_hashes(_signature(hashes, self.bands))
+        lo = np.searchsorted(self.keys, wanted)
+        met = self.keys[np.minimum(lo, len(self.keys) - 1)] == wanted
+        found: set[int] = set()
+        for i, key in zip(lo[met].tolist(), wanted[met].tolist()):
+            while i < len(self.keys) and self.keys[i] == key:
+                found.add(int(self.owners[i]))
+                i += 1
+        return sorted(found)
+
+
 def _passages(held: list[tuple], i: int, j: int, need: float) -> list[tuple]:
     """(shingles, first word, end word) of the passages among hits ``i`` to ``j`` of a window.
 
@@ -246,6 +280,10 @@ def _apart(found: set) -> list[tuple]:
 class Scanner:
     def __init__(self, templates=TEMPLATES, least: float = LEAST, lines=LINES):
         self.templates, self.least = prepare(templates, least), least
+        by_length: dict[int, list] = {}
+        for number, t in enumerate(self.templates):
+            by_length.setdefault(len(t.words), []).append((number, t))
+        self.tables = [BandTable(own) for own in by_length.values()]
         self.lines = [(license, words_of(text)) for license, text in lines]
         if not all(words for _, words in self.lines):
             raise ValueError("a line needs a word")
@@ -267,30 +305,32 @@ class Scanner:
         if not len(near):
             return []
         out = []
-        for number, t in enumerate(self.templates):
-            hits = near[np.isin(hashes[near], t.hashes)]
+        for table in self.tables:
+            hits = near[np.isin(hashes[near], table.hashes)]
             if not len(hits):
                 continue
-            span = t.window - SHINGLE + 1               # shingles a window holds
+            span, step = table.window - SHINGLE + 1, table.step     # shingles a window holds
             starts = set()                              # windows (at multiples of step) that hold a hit
-            last = max(0, -(-(len(hashes) - span) // t.step))
+            last = max(0, -(-(len(hashes) - span) // step))
             for h in hits.tolist():
-                first = max(0, -(-(h - span + 1) // t.step))
-                starts.update(range(first, min(h // t.step, last) + 1))
-            held = [(i, w) for i in hits.tolist() if (w := tuple(words[i:i + SHINGLE])) in t.shingles]
-            at = [i for i, _ in held]
-            need = self.least * len(t.shingles) - 1e-9
-            seen, found = set(), set()                  # runs of hits that were verified, passages
+                first = max(0, -(-(h - span + 1) // step))
+                starts.update(range(first, min(h // step, last) + 1))
+            retrieved: dict[int, list] = {}             # template number -> windows
             for k in sorted(starts):
-                a = k * t.step
+                a = k * step
                 b = min(a + span, len(hashes))
-                run = bisect_left(at, a), bisect_left(at, b)
-                if run in seen or not (_signature(hashes[a:b], t.bands) == t.signature).all(axis=1).any():
-                    continue
-                seen.add(run)
-                found.update(_passages(held, *run, need))
-            out += [(number, n / len(t.shingles), lo, hi) for n, lo, hi in _apart(found)]
-        return out
+                for number in table.retrieve(hashes[a:b]):
+                    retrieved.setdefault(number, []).append((a, b))
+            for number, windows in retrieved.items():
+                t = self.templates[number]
+                held = [(i, w) for i in hits.tolist() if (w := tuple(words[i:i + SHINGLE])) in t.shingles]
+                at = [i for i, _ in held]
+                need = self.least * len(t.shingles) - 1e-9
+                found = set()
+                for run in {(bisect_left(at, a), bisect_left(at, b)) for a, b in windows}:
+                    found.update(_passages(held, *run, need))
+                out += [(number, n / len(t.shingles), lo, hi) for n, lo, hi in _apart(found)]
+        return sorted(out, key=lambda p: (p[0], p[2]))
 
     def scan_lines(self, text: str | None) -> list[tuple]:
         """The same for the lines, numbered after the templates: every place where all words of one follow each other."""

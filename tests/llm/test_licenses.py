@@ -141,3 +141,29 @@ def test_copies_near_each_other_are_passages_of_their_own():
     n = len(L.words_of(line))
     found = [m for m in scanner.scan(" ".join([line, "between", line, line])) if m[0] == 6]
     assert [(m[1], m[2], m[3]) for m in found] == [(1, 0, n), (1, n + 1, 2 * n + 1), (1, 2 * n + 1, 3 * n + 1)]
+
+
+def test_band_tables_retrieve_templates_and_windows_are_signed_once(monkeypatch):
+    """Ten times the templates of a length make no more signatures of a text."""
+    signed = []
+    sign = L._signature
+    monkeypatch.setattr(L, "_signature", lambda h, bands: signed.append(bands) or sign(h, bands))
+    line = "this work is licensed under the terms of the license number %d of the house"
+    text = "before " * 30 + line % 3 + " after" * 30
+    calls = {}
+    for n in (4, 40):
+        scanner = L.Scanner([(str(i), line % i) for i in range(n)])
+        signed.clear()
+        assert 3 in {m[0] for m in scanner.scan(text)}
+        calls[n] = len(signed)
+    assert calls[4] == calls[40]
+
+
+def test_band_tables_give_the_templates_whose_bands_agree():
+    scanner = L.Scanner()
+    for table in scanner.tables:
+        own = [n for n, t in enumerate(scanner.templates) if (t.step, t.window, t.bands) == (table.step, table.window, table.bands)]
+        for n in own:
+            window = L.shingle_hashes(scanner.templates[n].words + [b"and", b"more", b"words"])
+            mine = L._signature(window, table.bands)
+            assert table.retrieve(window) == [m for m in own if (mine == scanner.templates[m].signature).all(axis=1).any()]
