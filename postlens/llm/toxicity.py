@@ -34,8 +34,7 @@ by_value(__name__)
 FOLDS = 5
 MOST_LABELLED = 50_000       # labelled rows the lexicons are mined from (all, if fewer)
 MOST_TRAINED = 30_000        # documents the classifier is trained on (all, if fewer)
-MOST_TERMS = 512             # mined terms
-MOST_CANDIDATES = 50_000     # terms of toxic rows that are counted in clean ones
+SUPPORT = 0.01               # share of the toxic labelled rows that must hold a term
 MIN_LOG_ODDS = 4.5
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Common English insults.
@@ -99,8 +98,13 @@ def _count_terms(rows: DataFrame, only: list[str] | None) -> DataFrame:
             .groupBy("term", "toxic").agg(F.sum("n").alias("n")))
 
 
-def mine_terms(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_terms: int = MOST_TERMS) -> list[str]:
-    """Terms far likelier in toxic than in clean labelled rows of the fit folds, the commonest first."""
+def mine_terms(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_terms: int | None = None) -> list[str]:
+    """Terms far likelier in toxic than in clean labelled rows of the fit folds, the commonest first.
+
+    Every term that passes is kept.  The support floor bounds what reaches the
+    driver: about 1 / SUPPORT times the distinct terms of an average toxic row,
+    however many rows there are.
+    """
     sample = stage(labels.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled),
                    "tox-labelled")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")        # most_labelled rows at most
@@ -108,9 +112,8 @@ def mine_terms(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LAB
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return []
-    least = max(2, int(0.01 * n1))
-    in_toxic = {r.term: r.n for r in _count_terms(rows.where("toxic = 1"), None).where(F.col("n") >= least)
-                .orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES).collect()}
+    least = max(2, int(SUPPORT * n1))
+    in_toxic = {r.term: r.n for r in _count_terms(rows.where("toxic = 1"), None).where(F.col("n") >= least).collect()}
     in_clean = {r.term: r.n for r in _count_terms(rows.where("toxic = 0"), list(in_toxic)).collect()}
     share, bar = n1 / (n1 + n0), 0.6 * np.log(len(in_toxic) + 1)       # about one term by chance, whatever the sample's size
 

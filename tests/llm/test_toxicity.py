@@ -107,3 +107,19 @@ def test_awkward_rows(spark, labels):
 def test_empty(spark):
     assert T.score_documents(empty(spark), table(spark, [(1, 0, 1)])).collect() == []
     assert T.drop_toxic(spark.createDataFrame([], DOCS), table(spark, [])).collect() == []
+
+
+def test_every_term_that_passes_is_mined(spark):
+    """A vocabulary richer than any fixed number of terms: each word in two of a hundred toxic rows, none in clean ones."""
+    import zlib
+
+    ids = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5][:4100]
+    letters = "abcdefghij"
+    words = ["".join(letters[int(c)] for c in f"{k:03d}") + "zzz" for k in range(600)]
+    toxic = [[] for _ in range(100)]
+    for k, w in enumerate(words):
+        toxic[k % 100].append(w)
+        toxic[(k + 1) % 100].append(w)
+    rows = [(i, " ".join(toxic[n]) if n < 100 else "plain words", "en", "a", 0) for n, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, 0, int(n < 100)) for n, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    assert set(words) <= set(T.mine_terms(docs(spark, rows, False), labels))
