@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from postlens.llm import ann, licenses, mixing, packing, sharding, simhash, topk, toxicity, url_filter, warc
+from postlens.llm import ann, bpe, licenses, mixing, packing, sharding, simhash, topk, toxicity, url_filter, warc
 from postlens.session import ensure_checkpoint_dir
 from postlens.sources.fixtures import read_table
 
@@ -63,6 +63,12 @@ def op10_shard(spark, sf_dir):
     return placed.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op13_bpe(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe.decode(bpe.encode(docs, keep_text=False))
+    return bpe.digests(both).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
@@ -74,4 +80,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_licenses": op9_licenses,
     "op10_shard": op10_shard,
+    "op13_bpe": op13_bpe,
 }
