@@ -96,3 +96,23 @@ SELECT r.page_id, payload_bytes, r.payload_digest,
        CASE WHEN top IS NULL OR top = r.page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN top <> r.page_id THEN top END AS refers_to
 FROM r LEFT JOIN m ON r.payload_digest = m.payload_digest AND payload_bytes >= 1000"""
+
+
+SQL["op12_ranked_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id,
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d1 AS (SELECT uid, doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM d WHERE len(ts) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(coalesce(sum(n), 0) AS BIGINT) AS nt FROM d1),
+i AS (SELECT row_number() OVER () AS item, item_id,
+             unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+      FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item, item_id, t, CAST(count(*) AS BIGINT) AS times FROM i GROUP BY ALL),
+p AS (SELECT uid, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT uid, unnest(ts) AS t FROM d1) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * (SELECT nd FROM s) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p GROUP BY t),
+c AS (SELECT p.uid, d1.doc_id, p.t, w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt))) AS v
+      FROM p JOIN d1 USING (uid) JOIN w USING (t), s),
+r AS (SELECT item, item_id, uid, doc_id, CAST(sum(v * times) AS BIGINT) AS score FROM c JOIN q USING (t) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20"""
