@@ -116,3 +116,27 @@ c AS (SELECT p.uid, d1.doc_id, p.t, w.w * ((1000000000 * tf) // (1000 * tf + 12
 r AS (SELECT item, item_id, uid, doc_id, CAST(sum(v * times) AS BIGINT) AS score FROM c JOIN q USING (t) GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM r WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20"""
+
+
+SQL["op11_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, unnest([1, 2, 3]) AS k, w, i FROM s),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f
+      FROM g WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k >= 2),
+cut AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS at FROM c),
+sc AS (SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score, at
+       FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.w[1:at], ' ')
+                JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.w[at + 1:], ' ')),
+lo AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+pairs AS (SELECT lang, phrase, max(a) AS outer_a FROM (
+            SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3
+            UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT lo.* FROM lo LEFT JOIN pairs USING (lang, phrase) WHERE outer_a IS NULL OR 100 * outer_a < 50 * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM r JOIN t ON r.lang = t.lang WHERE rank <= 2000"""

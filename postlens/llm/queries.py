@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from postlens.llm import ann, bpe, licenses, mixing, packing, ranked, sharding, simhash, topk, toxicity, url_filter, warc
+from postlens.llm import ann, bpe, collocations, licenses, mixing, packing, ranked, sharding, simhash, topk, toxicity, url_filter, warc
 from postlens.session import ensure_checkpoint_dir
 from postlens.sources.fixtures import read_table
 
@@ -63,6 +63,10 @@ def op10_shard(spark, sf_dir):
     return placed.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.mine(read_table(spark, sf_dir, "documents")).drop("cut")
+
+
 def op12_ranked_search(spark, sf_dir):
     return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_licenses": op9_licenses,
     "op10_shard": op10_shard,
+    "op11_collocations": op11_collocations,
     "op12_ranked_search": op12_ranked_search,
     "op13_bpe": op13_bpe,
 }
