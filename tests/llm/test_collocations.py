@@ -31,10 +31,16 @@ def counts(rows, depth):
 def brute(rows, depth=3, least=10, top=2000, percent=50):
     f, n = counts(rows, depth)
     candidates = {p: a for p, a in f.items() if a >= least and " " in p[1]}
-    out = []
+    out, outer = [], Counter()
     for (lang, phrase), a in candidates.items():
-        inside = f" {phrase} "
-        if any(L == lang and len(o) > len(phrase) and inside in f" {o} " and 100 * b >= percent * a for (L, o), b in candidates.items()):
+        w = phrase.split(" ")
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                if j - i < len(w):
+                    inner = lang, " ".join(w[i:j])
+                    outer[inner] = max(outer[inner], a)
+    for (lang, phrase), a in candidates.items():
+        if (lang, phrase) in outer and 100 * outer[lang, phrase] >= percent * a:
             continue
         w = phrase.split(" ")
         cuts = []
