@@ -128,11 +128,11 @@ g AS (SELECT lang, unnest([1, 2, 3]) AS k, w, i FROM s),
 f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f
       FROM g WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
 c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k >= 2),
-cut AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS at FROM c),
-sc AS (SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score, at
-       FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.w[1:at], ' ')
-                JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.w[at + 1:], ' ')),
-lo AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+cut AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS k1 FROM c),
+sc AS (SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score, k1
+       FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.w[1:k1], ' ')
+                JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.w[k1 + 1:], ' ')),
+lo AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k1) = 1),
 pairs AS (SELECT lang, phrase, max(a) AS outer_a FROM (
             SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3
             UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3) GROUP BY ALL),
