@@ -277,6 +277,7 @@ from postlens.sources import tables as SRC  # noqa: E402
 
 FX_HOLE_EVERY = 97                  # in the hole dump one post in so many has a header
 FX_SPLIT_BYTES = 1 << 18            # splits of the plain dump
+FX_INFLATED_LINES = 20_000          # lines that a task parses of an inflated dump
 FX_PHRASES = ("pr0m0", "BRAND#2", "brand-4  large", "#", "straße")
 FX_LOG_START = "2024-03-09 22:00:00"
 FX_LOG_OFFSETS = ("Z", "-05:00", "+02:00")          # by conv_id
@@ -321,6 +322,17 @@ def q_rdf_plain_split(spark, sf_dir):
     return tweets.withColumn("year_month", F.date_format("created_at", "yyyy-MM"))
 
 
+def q_rdf_long_streams(spark, sf_dir):
+    """Q05 on gzip files of a year each, inflated once and parsed by many tasks."""
+    c = load_corpus(spark, sf_dir)
+    m = mentions_from_orders(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
+    path = _scratch(spark, sf_dir, "n3years")
+    RDF.write_dump(RDF.render_dump(c.tweets, c.entities, m).withColumn("year_month", F.substring("year_month", 1, 4)), path,
+                   files_per_month=1)
+    parsed = RDF.parse_dump(spark, path, spread=True, inflated_lines=FX_INFLATED_LINES)
+    return RDF.tables_from_parsed(parsed)[0].withColumn("year_month", F.date_format("created_at", "yyyy-MM"))
+
+
 def q_incremental_entity_table(spark, sf_dir):
     root = _scratch(spark, sf_dir, "incremental-entity")
     for wave in _waves(spark, sf_dir, root):
@@ -393,6 +405,7 @@ def q_extract_prompts_in_zones(spark, sf_dir):
 QUERIES.update({
     "rdf_hole_month": q_rdf_hole_month,
     "rdf_plain_split": q_rdf_plain_split,
+    "rdf_long_streams": q_rdf_long_streams,
     "incremental_entity_table": q_incremental_entity_table,
     "incremental_month_table": q_incremental_month_table,
     "streaming_late_entities": q_streaming_late_entities,

@@ -504,6 +504,7 @@ _SHIFT = " ".join(f"WHEN {i} THEN to_hours({-int(o[:3] if o != 'Z' else 0)})" fo
 SQL.update({
     "rdf_hole_month": SQL["rdf_entities"],
     "rdf_plain_split": SQL["rdf_tweets"],
+    "rdf_long_streams": SQL["rdf_tweets"],
     "incremental_entity_table": SQL["entity_table"],
     "incremental_month_table": SQL["month_table"],
     "streaming_late_entities": SQL["date_table"],

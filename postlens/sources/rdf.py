@@ -4,18 +4,24 @@ The dump is order dependent: attribute lines belong to the latest post
 header, mention lines to the latest post *or* mentions-link blank node.
 Plan:
 
-1. ``spark.read.text``: a gzip file is one scan split, read in order; plain
-   files are cut into splits like any text;
-2. the eight patterns are matched JVM-side (``regexp_extract``);
-3. ``mapInArrow`` carries the two keys forward inside each split (state
-   crosses Arrow batches, resets where a split begins): no shuffle of the raw
-   lines, and of a post still open at the end of a batch only the header and
-   the last value of each attribute are held;
+1. ``spark.read.text``: plain files are cut into splits like any text.  A
+   gzip file is one stream that one task has to inflate; where a file holds
+   more than a core's fair share, its lines are only inflated and numbered by
+   that task and written as a table of many files, which as many tasks as
+   there are read and parse from there on (``inflate``);
+2. the eight patterns are matched JVM-side, each at most once a line;
+3. ``mapInArrow`` carries the two keys forward inside each run of consecutive
+   lines that a task reads (state crosses Arrow batches): no shuffle of the
+   raw lines, and of a post still open at the end of a batch only the header
+   and the last value of each attribute are held;
 4. "last value wins" is resolved in the same Arrow step;
-5. where files are split, a split also reports the state it ends with and
-   what it met before its first header.  One row a split, filled forward
-   along each file, gives every split the state it begins with, and rows and
-   attribute values that precede a split's first header are joined to it.
+5. where files are read in several runs, a run also reports the state it ends
+   with and what it met before its first header.  One row a run, filled
+   forward along each file, gives every run the state it begins with, and
+   rows and attribute values that precede a run's first header are joined to
+   it;
+6. lines carry a number for their file; month labels are worked out once a
+   file and joined to the records.
 
 Posts cut by a chunk boundary keep their attributes.  A file that cannot be
 read to its end fails its month, which is reported and left as it was; no
@@ -25,12 +31,13 @@ half-read month is ever written.
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postlens.session import cut_lineage
+from postlens.session import cut_lineage, ensure_checkpoint_dir
 from postlens.sources.manifest import changed_months, list_files, read_manifest, run_isolated, write_manifest
 
 # The Arrow step runs in Python workers; ship this module's functions by
@@ -57,6 +64,7 @@ RE_ENTITY = (r'rdf:type nee:Entity\s*;\s*'
              r'nee:confidence "([^"]+)"\^\^xsd:double')
 RE_MENTION = r'rdf:type sioc:UserAccount\s*;\s*sioc:name "([^"]+)"'
 MOST_BROADCAST_SPLITS = 500_000
+INFLATED_LINES = 250_000            # lines in a file of an inflated dump
 
 KINDS = ["header", "like", "share", "pos", "neg", "link", "entity", "mention"]
 _PATTERNS = [RE_HEADER, RE_LIKE, RE_SHARE, RE_POS, RE_NEG, RE_LINK, RE_ENTITY, RE_MENTION]
@@ -66,7 +74,7 @@ _PATTERNS = [RE_HEADER, RE_LIKE, RE_SHARE, RE_POS, RE_NEG, RE_LINK, RE_ENTITY, R
 _MARKERS = ["rdf:type sioc:Post", "schema:LikeAction", "schema:ShareAction", "wna:positive-emotion",
             "wna:negative-emotion", "schema:mentions", "rdf:type nee:Entity", "rdf:type sioc:UserAccount"]
 
-_RECORD_SCHEMA = ("fid long, block long, line long, year_month string, kind string, id string, a string, "
+_RECORD_SCHEMA = ("fid long, block long, first long, line long, kind string, id string, a string, "
                   "b string, c string, like string, share string, pos string, neg string")
 
 
@@ -75,32 +83,32 @@ SEP = "\u0001"
 
 
 def _classify(lines: DataFrame) -> DataFrame:
-    """S1 + S2: trim, drop blanks/@prefix, first matching rule wins.
-
-    Each rule is guarded by its literal marker, and the rule chain is one
-    ``coalesce`` producing ``"<rule index>|<first capture>"`` — evaluated
-    once per line (a ``kind`` column referenced by later expressions would
-    be inlined and re-run per reference).  The second/third captures come
-    from one ``regexp_replace`` per header/entity line, joined by a separator
-    and split in the Arrow step; they are only read on those lines.  Lines
-    matching no rule keep a null code and are dropped in the carry-forward
-    step.
+    """S1 + S2: leading blanks skipped, blank and @prefix lines dropped, first matching rule wins.
+
+    Each rule is guarded by its literal marker.  What a rule catches is a
+    column of its own in a projection below the one that tests it, so that a
+    pattern runs once on a line that holds its marker.  ``code`` is
+    ``"<rule index>|<captures>"``, the captures of header and entity lines
+    joined by a separator and split in the Arrow step.  Lines matching no
+    rule keep a null code and are dropped in the carry-forward step, which
+    needs the line numbers to be without gaps.
     """
     v = F.col("v")
+    anchored = [r.replace("^", f"^[{WS_CHARS}]*", 1) if r.startswith("^") else r for r in _PATTERNS]      # no other rule minds blanks
+    several = {0: ("(?s)" + anchored[0] + ".*$", f"$3{SEP}$2{SEP}$4"), 6: ("(?s)^.*?" + RE_ENTITY + ".*$", f"$1{SEP}$2{SEP}$3")}
 
-    def ext(i: int, pattern: str, group: int):
-        return F.when(v.contains(_MARKERS[i]), F.nullif(F.regexp_extract(v, pattern, group), F.lit("")))
+    def caught(i: int):
+        got = F.regexp_replace(v, *map(F.lit, several[i])) if i in several else F.regexp_extract(v, anchored[i], 1)
+        return F.when(v.contains(_MARKERS[i]), got).alias(f"c{i}")
 
-    first = {0: 3, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}   # capture kept in "a" per rule
-    code = F.coalesce(*[F.concat(F.lit(f"{i}|"), ext(i, _PATTERNS[i], g)) for i, g in first.items()])
-    # created|uri and creator|confidence in one regex pass, split in the Arrow step.  A line
-    # that only holds the header's marker text is left unchanged by it and goes to the entity rule.
-    bc = F.coalesce(
-        F.when(v.contains(_MARKERS[0]), F.nullif(F.regexp_replace(v, RE_HEADER + ".*$", f"$2{SEP}$4"), v)),
-        F.when(v.contains(_MARKERS[6]), F.regexp_replace(v, "^.*?" + RE_ENTITY + ".*$", f"$2{SEP}$3")))
-    trimmed = lines.select("fid", "block", "year_month", "line", F.btrim("value", F.lit(WS_CHARS)).alias("v"))
-    kept = trimmed.filter((F.col("v") != "") & ~F.col("v").startswith("@prefix"))
-    return kept.select("fid", "block", "year_month", "line", code.alias("code"), bc.alias("bc"))
+    def matched(i: int):                     # replacing leaves a line as it is where the pattern does not match
+        return F.col(f"c{i}") != (v if i in several else F.lit(""))
+
+    rules = range(len(_PATTERNS))
+    found = lines.withColumnRenamed("value", "v").select("fid", "block", "line", "v", *[caught(i) for i in rules])
+    prefix = v.contains("@prefix") & F.btrim(v, F.lit(WS_CHARS)).startswith("@prefix")
+    code = F.coalesce(*[F.when(matched(i), F.concat(F.lit(f"{i}|"), F.col(f"c{i}"))) for i in rules])
+    return found.select("fid", "block", "line", F.when(~prefix, code).alias("code"))
 
 
 _ATTRS = ("like", "share", "pos", "neg")
@@ -112,7 +120,7 @@ def _posts_from(rows):
     import pyarrow.compute as pc
 
     out = rows.filter(pc.equal(rows.column("kind"), "header")).select(
-        ["fid", "block", "year_month", "post_line", "a", "b", "c"])
+        ["fid", "block", "first", "post_line", "a", "b", "c"])
     attrs = rows.filter(pc.is_in(rows.column("kind"), pa.array(list(_ATTRS), pa.string())))
     last = attrs.group_by(["post_line", "kind"], use_threads=False).aggregate([("a", "last")])
     for k in _ATTRS:
@@ -136,12 +144,13 @@ def _last_of_each(rows):
 def _carry_forward(cut_files: bool):
     """W2 + "last value wins", inside one scan partition, on Arrow batches.
 
-    Keys are forward-filled per run of one split (file and block); the
-    previous batch's last state seeds the first run when it continues the
-    same split.  Output rows: ``post`` (one per header, ``line`` its key) and
-    ``entity``/``mention``.  With ``cut_files`` also ``state`` (what a split
-    ends with) and ``patch`` (the last attribute values before its first
-    header), and mention rows that precede any id keep a null one.
+    Keys are forward-filled per run of consecutive lines of one split of one
+    file, named by its ``first`` line; the previous batch's last state seeds
+    the first run when it continues the same one.  Output rows: ``post`` (one
+    per header, ``line`` its key) and ``entity``/``mention``.  With
+    ``cut_files`` also ``state`` (what a run ends with) and ``patch`` (the
+    last attribute values before its first header), and mention rows that
+    precede any id keep a null one.
     """
     def run(batches):
         import numpy as np
@@ -149,9 +158,10 @@ def _carry_forward(cut_files: bool):
         import pyarrow.compute as pc
 
         kinds = pa.array(KINDS)
-        names = ["fid", "block", "line", "year_month", "kind", "id", "a", "b", "c", *_ATTRS]
-        types = [pa.int64()] * 3 + [pa.string()] * 10
-        carry = None                          # (fid, block, month, post_line, cur_id) after the last batch
+        names = ["fid", "block", "first", "line", "kind", "id", "a", "b", "c", *_ATTRS]
+        types = [pa.int64()] * 4 + [pa.string()] * 9
+        read = None                           # (fid, block, first, line) of the last line read
+        carry = None                          # (fid, block, first, post_line, cur_id) after the last line with a code
         pending = None                        # header and last values of the post still open
         patch: dict[str, str] = {}            # of the current split
 
@@ -162,45 +172,57 @@ def _carry_forward(cut_files: bool):
 
         def posts_of(rows):
             posts = _posts_from(rows)
-            return table(fid=posts.column("fid"), block=posts.column("block"), line=posts.column("post_line"),
-                         year_month=posts.column("year_month"), kind=pa.array(["post"] * posts.num_rows, pa.string()),
+            return table(fid=posts.column("fid"), block=posts.column("block"), first=posts.column("first"),
+                         line=posts.column("post_line"), kind=pa.array(["post"] * posts.num_rows, pa.string()),
                          id=posts.column("a"), a=posts.column("b"), b=posts.column("c"),
                          **{k: posts.column(k) for k in _ATTRS})
 
         def refs_of(rows):
-            return table(fid=rows.column("fid"), block=rows.column("block"), line=rows.column("line"),
-                         year_month=rows.column("year_month"), kind=rows.column("kind"), id=rows.column("cur_id"),
+            return table(fid=rows.column("fid"), block=rows.column("block"), first=rows.column("first"),
+                         line=rows.column("line"), kind=rows.column("kind"), id=rows.column("cur_id"),
                          **{c: rows.column(c) for c in "abc"})
 
         def end_of_split():
-            fid, block, month, post_line, cur_id = carry
-            out = [table(fid=[fid], block=[block], line=pa.array([post_line], pa.int64()), year_month=[month],
+            fid, block, first, post_line, cur_id = carry
+            out = [table(fid=[fid], block=[block], first=[first], line=pa.array([post_line], pa.int64()),
                          kind=["state"], id=pa.array([cur_id], pa.string()))]
             if patch:
-                out.append(table(fid=[fid], block=[block], year_month=[month], kind=["patch"],
+                out.append(table(fid=[fid], block=[block], first=[first], kind=["patch"],
                                  **{k: pa.array([patch.get(k)], pa.string()) for k in _ATTRS}))
             patch.clear()
             return out
 
         for rb in batches:
-            t = pa.Table.from_batches([rb])
+            if rb.num_rows == 0:
+                continue
+            fid, block, line = (rb.column(rb.schema.get_field_index(c)).to_numpy() for c in ("fid", "block", "line"))
+            new = np.append(True, (fid[1:] != fid[:-1]) | (block[1:] != block[:-1]) | (line[1:] != line[:-1] + 1))
+            begins = line[new]
+            if read is not None and read[:2] == (fid[0], block[0]) and read[3] + 1 == line[0]:
+                begins[0] = read[2]
+            first = begins[np.cumsum(new) - 1]
+            read = (fid[-1], block[-1], first[-1], line[-1])
+            t = pa.Table.from_batches([rb]).append_column("first", pa.array(first))
             t = t.filter(pc.is_valid(t.column("code"))).combine_chunks()
             if t.num_rows == 0:
                 continue
             out = []
             code = t.column("code").combine_chunks()
             digit = pc.utf8_slice_codeunits(code, 0, 1)
-            a = pc.utf8_slice_codeunits(code, 2, 1 << 30)
             kind = pc.take(kinds, pc.cast(digit, pa.int8()))
+            has_abc = pc.is_in(kind, pa.array(["header", "entity"]))
+            rest = pc.utf8_slice_codeunits(code, 2, 1 << 30)
+            parts = pc.split_pattern(pc.if_else(has_abc, rest, pa.scalar(SEP + SEP, pa.string())), SEP, max_splits=2)
+            a = pc.if_else(has_abc, pc.list_element(parts, 0), rest)
             is_hdr = pc.equal(digit, "0")
             post = pc.if_else(is_hdr, t.column("line").combine_chunks(), pa.scalar(None, pa.int64()))
             cur = pc.if_else(pc.or_(is_hdr, pc.equal(digit, "5")), a, pa.scalar(None, pa.string()))
-            fid, block = (t.column(c).combine_chunks().to_numpy() for c in ("fid", "block"))
-            new = (fid[1:] != fid[:-1]) | (block[1:] != block[:-1])
+            fid, block, first = (t.column(c).combine_chunks().to_numpy() for c in ("fid", "block", "first"))
+            new = first[1:] != first[:-1]
             starts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(fid)]))
             posts, curs = [], []
             for s0, e0 in zip(starts[:-1], starts[1:]):
-                same = carry is not None and carry[:2] == (fid[s0], block[s0])
+                same = carry is not None and carry[2] == first[s0]
                 if carry is not None and not same and cut_files:
                     out += end_of_split()
                 p_run, c_run = post.slice(s0, e0 - s0), cur.slice(s0, e0 - s0)
@@ -219,13 +241,11 @@ def _carry_forward(cut_files: bool):
                             patch[k] = a_run[int(at[-1])].as_py()
                 posts.append(p_run)
                 curs.append(c_run)
-                carry = (fid[s0], block[s0], t.column("year_month")[int(e0 - 1)].as_py(), p_run[-1].as_py(), c_run[-1].as_py())
+                carry = (int(fid[s0]), int(block[s0]), int(first[s0]), p_run[-1].as_py(), c_run[-1].as_py())
             post_f, cur_f = pa.concat_arrays(posts), pa.concat_arrays(curs)
-            has_bc = pc.is_in(kind, pa.array(["header", "entity"]))
-            parts = pc.split_pattern(pc.if_else(has_bc, t.column("bc").combine_chunks(), pa.scalar(None, pa.string())), SEP)
-            rows = pa.table({"fid": t.column("fid"), "block": t.column("block"), "line": t.column("line"),
-                             "year_month": t.column("year_month"), "kind": kind, "post_line": post_f, "cur_id": cur_f,
-                             "a": a, "b": pc.list_element(parts, 0), "c": pc.list_element(parts, 1)})
+            b, c = (pc.if_else(has_abc, pc.list_element(parts, i), pa.scalar(None, pa.string())) for i in (1, 2))
+            rows = pa.table({"fid": t.column("fid"), "block": t.column("block"), "first": t.column("first"), "line": t.column("line"),
+                             "kind": kind, "post_line": post_f, "cur_id": cur_f, "a": a, "b": b, "c": c})
             # header/attribute lines with a post; mention lines with a current id (or one to be joined)
             is_post = pc.and_(pc.is_in(kind, pa.array(["header", *_ATTRS])), pc.is_valid(post_f))
             is_ref = pc.is_in(kind, pa.array(["entity", "mention"]))
@@ -251,28 +271,23 @@ def _carry_forward(cut_files: bool):
 
 
 def _with_entry_state(p: DataFrame) -> DataFrame:
-    """Give rows that precede a split's first header (or id) the state that the split before ended with."""
-    along = Window.partitionBy("fid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    """Give rows that precede a run's first header (or id) the state that the run before ended with."""
+    along = Window.partitionBy("fid").orderBy("block", "first").rowsBetween(Window.unboundedPreceding, -1)
     entry = p.filter("kind = 'state'").select(
-        "fid", "block", F.last("line", True).over(along).alias("e_line"), F.last("id", True).over(along).alias("e_id"))
-    entry = cut_lineage(entry, "rdf-splits")             # one row a split
+        "fid", "block", "first", F.last("line", True).over(along).alias("e_line"), F.last("id", True).over(along).alias("e_id"))
+    entry = cut_lineage(entry, "rdf-runs")               # one row a run
     hint = F.broadcast if entry.count() <= MOST_BROADCAST_SPLITS else (lambda d: d)
-    late = (p.filter("kind = 'patch'").join(hint(entry), ["fid", "block"]).filter("e_line IS NOT NULL")
-            .groupBy("fid", F.col("e_line").alias("line"))
-            .agg(*[F.max_by(k, F.when(F.col(k).isNotNull(), F.col("block"))).alias(f"late_{k}") for k in _ATTRS]))
+    late = (p.filter("kind = 'patch'").join(hint(entry.drop("fid", "block")), "first").filter("e_line IS NOT NULL")
+            .groupBy(F.col("e_line").alias("line"))
+            .agg(*[F.max_by(k, F.when(F.col(k).isNotNull(), F.struct("block", "first"))).alias(f"late_{k}") for k in _ATTRS]))
     keep = [c for c in p.columns if c not in _ATTRS]
-    posts = (p.filter("kind = 'post'").join(hint(late), ["fid", "line"], "left")
+    posts = (p.filter("kind = 'post'").join(hint(late), "line", "left")
              .select(*keep, *[F.coalesce(f"late_{k}", k).alias(k) for k in _ATTRS]))
-    refs = (p.filter("kind IN ('entity', 'mention')").join(hint(entry), ["fid", "block"], "left")
+    refs = (p.filter("kind IN ('entity', 'mention')").join(hint(entry.select("first", "e_id")), "first", "left")
             .withColumn("id", F.coalesce("id", "e_id")).filter("id IS NOT NULL").select(*p.columns))
     return posts.select(*p.columns).unionByName(refs)
 
 
-def _fid(path):
-    """64-bit file id from a path, insensitive to ``file:/`` vs ``file:///`` spellings."""
-    return F.xxhash64(F.regexp_replace(path, "^file:/+", "/"))
-
-
 def _month_of(f):
     """``month_<label>`` of the file's own name, else its ``year_month=`` folder, else the name's stem."""
     stem = F.regexp_replace(F.regexp_extract(f, r"([^/]+)$", 1), r"(\.n3)?(\.gz)?$", "")
@@ -281,37 +296,78 @@ def _month_of(f):
             .when(folder != "", folder).otherwise(stem))
 
 
-def _lines(spark: SparkSession, paths) -> DataFrame:
-    f = F.col("_metadata.file_path")
+def _number_of_file():
+    return F.xxhash64(F.col("_metadata.file_path")).alias("fid")
+
+
+def read_dump_lines(spark: SparkSession, paths) -> DataFrame:
+    """``(fid, block, line, value)``; ``line`` orders lines inside a split and is without gaps there.
+
+    ``fid`` is a 64-bit hash of the path (cheap to ship to Python), ``block``
+    the split's offset in the file.
+    """
     # An unreadable file must fail its job, whatever the session says.
     return (spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").text(paths)
-            .select(_fid(f).alias("fid"), F.col("_metadata.file_block_start").alias("block"), _month_of(f).alias("year_month"),
+            .select(_number_of_file(), F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id().alias("line"), "value"))
 
 
-def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(fid, block, year_month, line, value)``; ``line`` orders lines inside a split.
+def dump_labels(spark: SparkSession, paths) -> DataFrame:
+    """(fid, year_month, gzip, size): one row a file, from the listing; month labels come from the path."""
+    f = F.col("_metadata.file_path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return cut_lineage(files.select(_number_of_file(), _month_of(f).alias("year_month"), f.endswith(".gz").alias("gzip"),
+                                    F.col("length").alias("size")), "dump-labels")
 
-    ``fid`` is a 64-bit hash of the path (cheap to ship to Python), ``block``
-    the split's offset in the file; the month label comes from the path.
-    """
-    return _lines(spark, path)
+
+def _stage_path(spark: SparkSession, tag: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{tag}-{uuid.uuid4().hex}"
 
 
-def parse_dump(lines: DataFrame, cut_files: bool = True) -> DataFrame:
-    """Records of classified lines.  Without ``cut_files`` every file is known to be one split (gzip)."""
-    p = _classify(lines).mapInArrow(_carry_forward(cut_files), _RECORD_SCHEMA)
-    return _with_entry_state(cut_lineage(p, "parsed-dump")) if cut_files else p
+def inflate(lines: DataFrame, per_file: int = INFLATED_LINES) -> DataFrame:
+    """``lines`` as a table of many files: inflated once, then read by many tasks, also after a lost executor."""
+    spark, path = lines.sparkSession, _stage_path(lines.sparkSession, "dump-lines")
+    (lines.write.option("compression", "zstd").option("maxRecordsPerFile", per_file)
+     .option("parquet.enable.dictionary#value", "false").parquet(path))
+    return spark.read.parquet(path)
 
 
-def _can_be_cut(files) -> bool:
-    return any(not f.endswith(".gz") for f in files)
+def _shape(labels: DataFrame) -> tuple[bool, bool]:
+    """(are there files that Spark cuts, does a gzip file hold more than a core's fair share)."""
+    plain, largest, total = labels.agg(F.count_if(~F.col("gzip")), F.max(F.when(F.col("gzip"), F.col("size"))), F.sum("size")).first()
+    return bool(plain), (largest or 0) * labels.sparkSession.sparkContext.defaultParallelism > (total or 0)
 
 
-def rdf_to_tables(spark: SparkSession, path: str):
+def parse_dump(spark: SparkSession, paths, spread: bool | None = None, staged: bool = False,
+               inflated_lines: int = INFLATED_LINES) -> DataFrame:
+    """Records of the dump at ``paths``, with their month; ``staged``: written once, however often they are read.
+
+    ``spread`` inflates gzip files into a table first (None: where one holds
+    more than a core's fair share); the records are the same.
+    """
+    labels = dump_labels(spark, paths)
+    cut, uneven = _shape(labels)
+    spread = uneven if spread is None else spread
+    lines = read_dump_lines(spark, paths)
+    p = _classify(inflate(lines, inflated_lines) if spread else lines).mapInArrow(_carry_forward(cut or spread), _RECORD_SCHEMA)
+    if cut or spread:
+        p = _with_entry_state(_stage_by_kind(p))
+    elif staged:
+        p = _stage_by_kind(p)
+    month = labels.select("fid", "year_month")
+    return p.join(F.broadcast(month) if labels.count() <= MOST_BROADCAST_SPLITS else month, "fid")
+
+
+def _stage_by_kind(p: DataFrame) -> DataFrame:
+    """Written once, a folder a kind, so that each table reads its own records only."""
+    path = _stage_path(p.sparkSession, "parsed-dump")
+    p.write.partitionBy("kind").parquet(path)
+    return p.sparkSession.read.schema(p.schema).parquet(path).select(*p.columns)
+
+
+def rdf_to_tables(spark: SparkSession, path: str, spread: bool | None = None):
     """Q05: the dump at ``path`` -> (tweets, entities, mentions), each with ``year_month``."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()
-    return tables_from_parsed(parse_dump(read_dump_lines(spark, path), _can_be_cut(files)))
+    return tables_from_parsed(parse_dump(spark, path, spread))
 
 
 def _wall_clock(c: str):
@@ -377,12 +433,12 @@ def convert_dump(spark: SparkSession, src: str, out: str, skip_existing: bool =
     def convert(some: list[str]) -> None:
         mine = files.filter(F.col("year_month").isin(some))
         paths = [r.file for r in mine.select("file").collect()]
-        parsed = cut_lineage(parse_dump(_lines(spark, paths), _can_be_cut(paths)), "parsed-dump")
-        write_tables(*tables_from_parsed(parsed), out)
-        have = {(r.year_month, r.kind) for r in parsed.select("year_month", "kind").distinct().collect()}
-        for table, kind, df in zip(TABLES, ("post", "entity", "mention"), tables_from_parsed(parsed)):
+        tables = tables_from_parsed(parse_dump(spark, paths, staged=True))
+        write_tables(*tables, out)
+        for table, df in zip(TABLES, tables):
+            have = {r.year_month for r in df.select("year_month").distinct().collect()}      # one column; calendar-sized
             for m in some:
-                if (m, kind) not in have:
+                if m not in have:
                     df.limit(0).drop("year_month").coalesce(1).write.mode("overwrite").parquet(f"{out}/{table}/year_month={m}")
         write_manifest(mine, f"{out}/_manifest")
 

@@ -199,3 +199,53 @@ def test_month_labels_come_from_the_files_own_name(spark):
               "/month_q/year_month=2013-02/part-0.parquet": "2013-02", "/d/other.parquet": "other"}
     df = spark.createDataFrame([(p,) for p in tables], "p string")
     assert {r.p: r.m for r in df.select("p", month_label("p").alias("m")).collect()} == tables
+
+
+@pytest.mark.parametrize("name", ["month_2013-01.n3.gz", "month_2013-01.n3"])
+def test_one_file_feeds_many_tasks(spark, name):
+    """A single stream is inflated once; its parts are parsed apart and agree on posts that they cut."""
+    from postlens.sources import rdf
+    lines = [LIKE % 77, ENTITY % ("orphan", 0)]
+    for i in range(900):
+        lines += [HEADER % (i, i), "", *[LIKE % (i % 50)] * (i % 40), *[x for j in range(i % 9) for x in (LINK % (1000 + j), ENTITY % (f"n{j}", j))]]
+    d = tempfile.mkdtemp(prefix="postlens-rdf-")
+    with (gzip.open if name.endswith(".gz") else open)(os.path.join(d, name), "wt") as f:
+        f.write("\n".join(lines) + "\n")
+    inflated = rdf.inflate(rdf.read_dump_lines(spark, d), 500)
+    assert len(inflated.inputFiles()) > 20 and inflated.rdd.getNumPartitions() >= min(6, spark.sparkContext.defaultParallelism)
+    whole = brute(lines)
+    for per_file in (37, 1000, 10**6):
+        tw, ent, _ = rdf.tables_from_parsed(rdf.parse_dump(spark, d, spread=True, inflated_lines=per_file))
+        assert sorted((r.tweet_id, r.likes) for r in tw.collect()) == whole[0]
+        assert sorted((r.tweet_id, r.detected_as) for r in ent.collect()) == whole[1]
+
+
+def test_uneven_gzip_files_are_spread(spark):
+    from postlens.sources import rdf
+    src = tempfile.mkdtemp(prefix="postlens-src-")
+    write_gz(src, "2013-01", 3000)
+    write_gz(src, "2013-02", 10)
+    assert rdf._shape(rdf.dump_labels(spark, src)) == (False, True)
+    even = tempfile.mkdtemp(prefix="postlens-src-")
+    for m in range(1, 13):
+        write_gz(even, f"2013-{m:02d}", 50)
+        write_gz(even, f"2014-{m:02d}", 50)
+    assert rdf._shape(rdf.dump_labels(spark, even)) == (False, False)
+    labels = {r.year_month for r in rdf.rdf_to_tables(spark, even)[0].select("year_month").distinct().collect()}
+    assert len(labels) == 24 and {"2013-01", "2014-12"} <= labels
+
+
+def test_a_pattern_runs_once_a_line_and_none_on_the_path(spark):
+    from postlens.sources import rdf
+    src = tempfile.mkdtemp(prefix="postlens-src-")
+    write_gz(src, "2013-01", 5)
+    plan = rdf._classify(rdf.read_dump_lines(spark, src))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") + plan.count("regexp_replace(") == 8
+    assert not [x for x in plan.splitlines() if "file_path" in x and "regexp" in x]
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\x0b", " \t\f"])
+def test_blanks_before_a_line(spark, blank):
+    lines = [HEADER % (1, 1), LIKE % 5, LINK % 9, ENTITY % ("a", 1)]
+    assert parsed(spark, [blank + x + blank for x in lines]) == brute(lines)
+    assert parsed(spark, [blank + "@prefix x: " + x for x in lines]) == ([], [])
