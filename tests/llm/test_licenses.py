@@ -43,11 +43,19 @@ def test_against_every_window():
         assert {m[0] for m in scanner.scan(t)} == brute(t, scanner.templates)
 
 
+def brute_lines(text, templates):
+    """Numbers of the lines (after the templates) whose words follow each other anywhere in the text."""
+    words = L.words_of(text)
+    return {n for n, (_, line) in enumerate(L.LINES, len(templates))
+            if any(words[i:i + len(L.words_of(line))] == L.words_of(line) for i in range(len(words)))}
+
+
 def test_query(spark, sf_small):
     import __spark_entry__ as E
     got = {(r.doc_id, r.template) for r in E.queries()["op9_licenses"](spark, sf_small).collect()}
     templates = L.prepare()
-    want = {(r.doc_id, n) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect() for n in brute(r.text, templates)}
+    want = {(r.doc_id, n) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()
+            for n in brute(r.text, templates) | brute_lines(r.text, templates)}
     assert got == want
 
 
