@@ -273,11 +273,14 @@ QUERIES.update({
 
 # Dumps, files and months in unusual shapes
 from postlens.operators.redaction import dirty_names  # noqa: E402
+from postlens.sources import publish as PUB  # noqa: E402
 from postlens.sources import tables as SRC  # noqa: E402
+from postlens.sources.publish import delete_file, put_bytes  # noqa: E402
 
 FX_HOLE_EVERY = 97                  # in the hole dump one post in so many has a header
 FX_SPLIT_BYTES = 1 << 18            # splits of the plain dump
 FX_INFLATED_LINES = 20_000          # lines that a task parses of an inflated dump
+FX_BAD_MONTH = "1996-04"            # has an unreadable file when the stream first runs
 FX_PHRASES = ("pr0m0", "BRAND#2", "brand-4  large", "#", "straße")
 FX_LOG_START = "2024-03-09 22:00:00"
 FX_LOG_OFFSETS = ("Z", "-05:00", "+02:00")          # by conv_id
@@ -384,6 +387,68 @@ def q_written_date_table(spark, sf_dir):
     return SRC.read_table_with_month(spark, f"{root}/date").withColumn("month", F.date_format("month", "yyyy-MM-dd"))
 
 
+class _Interrupted(Exception):
+    """The fault that the queries below put in."""
+
+
+def _published(spark, sf_dir):
+    """The date and entity tables published by swap, with a writer that dies between its data and the pointer."""
+    root = _scratch(spark, sf_dir, "published")
+    gold = {k: _gold_with_redactions(spark, sf_dir, k) for k in ("date", "entity")}
+
+    def version(kind, table, red):
+        side = redaction_table(red, PUB.read_published(spark, root, "redactions"))
+        return {kind: lambda f: SRC.write_table(table, f, kind), "redactions": lambda f: side.write.parquet(f)}
+
+    def dies(_folder):
+        raise _Interrupted
+
+    date, entity = gold["date"], gold["entity"]
+    PUB.publish(spark, root, version("date", date[0].filter(F.col("year_month") < FX_LO), date[1]))
+    PUB.publish(spark, root, version("date", *date))
+    try:
+        PUB.publish(spark, root, {**version("date", date[0].limit(0), date[1].limit(0)), "month": dies})
+    except _Interrupted:
+        pass
+    PUB.publish(spark, root, version("entity", *entity))
+    return root
+
+
+def q_published_date_table(spark, sf_dir):
+    table = PUB.read_published(spark, _published(spark, sf_dir), "date")
+    return table.withColumns({c: F.col(c).cast("double") for c in ("positive_sentiment", "negative_sentiment")})
+
+
+def q_published_redactions(spark, sf_dir):
+    return PUB.read_published(spark, _published(spark, sf_dir), "redactions")
+
+
+def _stream_with_a_bad_month(spark, sf_dir):
+    """M5, M7: (root, status of the run that met an unreadable file); it is taken away and the stream run again."""
+    root = _scratch(spark, sf_dir, "stream-bad")
+    wave1, wave2 = _waves(spark, sf_dir, root)
+    bad = f"{root}/tweets/year_month={FX_BAD_MONTH}/part-broken.parquet"
+
+    def run():
+        return INC.stream_months(spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging", f"{root}/_ckpt", "date", DATE_TOP_N)
+
+    wave1()
+    put_bytes(spark, bad, b"not parquet")
+    status = run()
+    delete_file(spark, bad)
+    wave2()
+    run()
+    return root, status
+
+
+def q_streaming_status(spark, sf_dir):
+    return _stream_with_a_bad_month(spark, sf_dir)[1].select("year_month", "status")
+
+
+def q_streaming_mended_month(spark, sf_dir):
+    return INC.assemble(spark, f"{_stream_with_a_bad_month(spark, sf_dir)[0]}/staging", "date", load_corpus(spark, sf_dir).words)
+
+
 def q_month_files_posts(spark, sf_dir):
     """Posts read from month folders, labelled by their path."""
     root = _scratch(spark, sf_dir, "month-files")
@@ -412,6 +477,10 @@ QUERIES.update({
     "month_table_with_empty_months": q_month_table_with_empty_months,
     "redaction_phrases": q_redaction_phrases,
     "written_date_table": q_written_date_table,
+    "published_date_table": q_published_date_table,
+    "published_redactions": q_published_redactions,
+    "streaming_status": q_streaming_status,
+    "streaming_mended_month": q_streaming_mended_month,
     "month_files_posts": q_month_files_posts,
     "extract_prompts_in_zones": q_extract_prompts_in_zones,
 })

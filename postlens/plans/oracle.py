@@ -505,6 +505,12 @@ SQL.update({
     "rdf_hole_month": SQL["rdf_entities"],
     "rdf_plain_split": SQL["rdf_tweets"],
     "rdf_long_streams": SQL["rdf_tweets"],
+    "published_date_table": SQL["date_table"],
+    "published_redactions": SQL["redaction_table"],
+    "streaming_mended_month": SQL["date_table"],
+    "streaming_status": with_tables(f"""
+SELECT DISTINCT year_month, CASE WHEN year_month = '{C.FX_BAD_MONTH}' THEN 'failed' ELSE 'built' END AS status
+FROM tweets WHERE created_at <= TIMESTAMP '{C.FX_FIRST_WAVE_END} 23:59:59'"""),
     "incremental_entity_table": SQL["entity_table"],
     "incremental_month_table": SQL["month_table"],
     "streaming_late_entities": SQL["date_table"],

@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens.session import cut_lineage
+
 FILE = ["source", "year_month", "file", "size", "mtime"]
 SCHEMA = "source string, file string, size long, mtime timestamp, year_month string"
 
@@ -41,6 +43,32 @@ def write_manifest(files: DataFrame, path: str) -> None:
      .partitionBy("year_month").parquet(path))
 
 
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """Files of the months that could not be built, and why."""
+    schema = SCHEMA.replace(", year_month", ", error string, year_month")
+    try:
+        return spark.read.schema(schema).parquet(path).select(*FILE, "error").filter("error IS NOT NULL")
+    except AnalysisException:
+        return spark.createDataFrame([], schema).select(*FILE, "error")
+
+
+def write_quarantine(files: DataFrame, why: dict[str, str], path: str, held: DataFrame | None = None) -> None:
+    """Replace the quarantine of the months in ``files``: with their files and why, or lifted (no reason).
+
+    With ``held``, the present quarantine, months that are not in it are left alone.
+    """
+    if held is not None:
+        files = files.join(held.select("year_month").distinct(), "year_month", "left_semi")
+    reason = F.lit(None).cast("string")
+    for month, text in why.items():
+        reason = F.when(F.col("year_month") == month, F.lit(text)).otherwise(reason)
+    rows = files.select(*FILE).withColumn("error", reason)
+    if held is not None:
+        rows = cut_lineage(rows, "quarantine")             # what it replaces is read to make it
+    (rows.repartition("year_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("year_month").parquet(path))
+
+
 def changed_months(files: DataFrame, manifest: DataFrame) -> list[str]:
     """Months of ``files`` whose set of files differs from the manifest's (a calendar-sized list)."""
     differ = (files.join(manifest, FILE, "left_anti").select("year_month")
@@ -49,7 +77,10 @@ def changed_months(files: DataFrame, manifest: DataFrame) -> list[str]:
 
 
 def run_isolated(months: list[str], build: Callable[[list[str]], None]) -> dict[str, str]:
-    """Build all months in one job; if that fails, each on its own.  Returns the months that failed, with why."""
+    """Build all months in one job; if that fails, each half on its own, and so on.  Returns the months that failed, with why.
+
+    One bad month among many costs a job for each halving, not one a month.
+    """
     if not months:
         return {}
     try:
@@ -58,13 +89,8 @@ def run_isolated(months: list[str], build: Callable[[list[str]], None]) -> dict[
     except Exception as e:  # noqa: BLE001 - reported by month
         if len(months) == 1:
             return {months[0]: _why(e)}
-    failed = {}
-    for m in months:
-        try:
-            build([m])
-        except Exception as e:  # noqa: BLE001 - reported by month
-            failed[m] = _why(e)
-    return failed
+    half = len(months) // 2
+    return {**run_isolated(months[:half], build), **run_isolated(months[half:], build)}
 
 
 def _why(e: Exception) -> str:

@@ -17,7 +17,10 @@ holds the *pre-redaction* rows of each finished month, also partitioned by
 * M6  an interrupted write leaves nothing behind (Spark's commit protocol);
 * M7  ``stream_months``: file-source ``readStream`` + ``foreachBatch`` rebuilds
       every month that new post *or* mention files touch, from the whole
-      month, because the per-month top-N must see all of it.
+      month, because the per-month top-N must see all of it.  Only the names
+      of new files are streamed; a month that cannot be built is put into
+      quarantine with its files and the reason, the others go on, and it is
+      tried again when its files change.  Batch and stream share one manifest.
 
 A month is built once it has a posts file; without mention files all its posts
 have no entity.
@@ -34,7 +37,9 @@ from postlens.model import ENTITIES_SCHEMA, TWEETS_SCHEMA
 from postlens.operators import tables as TB
 from postlens.operators.redaction import apply_redaction, redaction_table
 from postlens.session import cut_lineage
-from postlens.sources.manifest import changed_months, list_files, read_manifest, run_isolated, write_manifest
+from postlens.sources.manifest import (changed_months, list_files, read_manifest, read_quarantine, run_isolated, write_manifest,
+                                       write_quarantine)
+from postlens.sources.publish import publish, read_published
 from postlens.sources.tables import month_label, write_table
 
 
@@ -45,6 +50,7 @@ def _with_month(schema: T.StructType) -> T.StructType:
 TWEETS_SOURCE = _with_month(TWEETS_SCHEMA)
 ENTITIES_SOURCE = _with_month(ENTITIES_SCHEMA)
 KINDS = ("date", "entity", "month")
+LISTING = "path string, modificationTime timestamp, length long, content binary"      # of Spark's binaryFile source
 
 
 def _read_months(spark: SparkSession, path: str, schema: T.StructType, months: list[str]) -> DataFrame:
@@ -96,6 +102,36 @@ def write_months(rows: DataFrame, staging: str, months: list[str]) -> None:
             rows.limit(0).drop("year_month").coalesce(1).write.mode("overwrite").parquet(f"{staging}/year_month={m}")
 
 
+def _build_months(spark: SparkSession, tweets_path: str, entities_path: str, staging: str, kind: str, top_n: int,
+                  files: DataFrame, months: list[str]) -> dict[str, str]:
+    """Build ``months`` from the files as listed, the unreadable ones apart: month -> why it failed.
+
+    What was built gets its manifest, what failed is put into quarantine.
+    """
+    def build(some: list[str]) -> None:
+        write_months(build_rows(spark, tweets_path, entities_path, some, kind, top_n), staging, some)
+        mine = files.filter(F.col("year_month").isin(some))
+        write_manifest(mine, f"{staging}/_manifest")
+        held = read_quarantine(spark, f"{staging}/_quarantine")
+        if not held.isEmpty():
+            write_quarantine(mine, {}, f"{staging}/_quarantine", held)
+
+    failed = run_isolated(months, build)
+    if failed:
+        write_quarantine(files.filter(F.col("year_month").isin(list(failed))), failed, f"{staging}/_quarantine")
+    return failed
+
+
+def quarantined(spark: SparkSession, staging: str) -> DataFrame:
+    """Months that could not be built: (source, year_month, file, size, mtime, error), a row a file."""
+    return read_quarantine(spark, f"{staging.rstrip('/')}/_quarantine")
+
+
+def _status(spark: SparkSession, months: list[str], done: set[str], failed: dict[str, str]) -> DataFrame:
+    rows = [(m, "failed" if m in failed else "built" if m in done else "skipped", failed.get(m)) for m in months]
+    return spark.createDataFrame(rows, "year_month string, status string, error string")
+
+
 def run_incremental(spark: SparkSession, tweets_path: str, entities_path: str, staging: str,
                     kind: str = "date", top_n: int = 100, resume: bool = True) -> DataFrame:
     """Build the pending months and return (year_month, status, error) for every month with posts (M5).
@@ -110,38 +146,51 @@ def run_incremental(spark: SparkSession, tweets_path: str, entities_path: str, s
     if resume:
         changed = set(changed_months(files, read_manifest(spark, f"{staging}/_manifest")))
         pending = [m for m in months if m in changed]
-
-    def build(some: list[str]) -> None:
-        write_months(build_rows(spark, tweets_path, entities_path, some, kind, top_n), staging, some)
-        write_manifest(files.filter(F.col("year_month").isin(some)), f"{staging}/_manifest")
-
-    failed = run_isolated(pending, build)
-    rows = [(m, "failed" if m in failed else "built" if m in pending else "skipped", failed.get(m)) for m in months]
-    return spark.createDataFrame(rows, "year_month string, status string, error string")
+    failed = _build_months(spark, tweets_path, entities_path, staging, kind, top_n, files, pending)
+    return _status(spark, months, set(pending), failed)
 
 
 def stream_months(spark: SparkSession, tweets_path: str, entities_path: str, staging: str,
-                  checkpoint: str, kind: str = "date", top_n: int = 100) -> None:
+                  checkpoint: str, kind: str = "date", top_n: int = 100) -> DataFrame:
     """M7: rebuild every month touched by new files of either source, as micro-batches.
 
     ``trigger(availableNow=True)`` drains what is there and stops; each
     source's own checkpoint makes reruns pick up only its new files, and the
-    per-month overwrite makes a replayed batch idempotent.  A source whose
-    folder does not exist yet is left for a later run.
+    per-month overwrite makes a replayed batch idempotent.  New files are
+    known by name alone, so that one that cannot be read does not stop the
+    stream: its month is quarantined, and tried again by the first later run
+    that finds its files changed (mended in place, replaced or taken away).
+    A source whose folder does not exist yet is left for a later run.
+    Returns (year_month, status, error) for every month with posts.
     """
+    staging = staging.rstrip("/")
+    done, failed = set(), {}
+
+    def attempt(touched: set[str]) -> None:
+        files = cut_lineage(source_files(spark, tweets_path, entities_path, kind), "source-files")
+        months = [m for m in _months_with_posts(files) if m in touched]
+        wrong = _build_months(spark, tweets_path, entities_path, staging, kind, top_n, files, months)
+        done.update(months)
+        for m in months:
+            failed.pop(m, None)
+        failed.update(wrong)
+
     def rebuild(batch: DataFrame, _epoch: int) -> None:
-        touched = {r.year_month for r in batch.select("year_month").distinct().collect()}     # calendar-sized
-        months = [m for m in _months_with_posts(source_files(spark, tweets_path, entities_path, kind)) if m in touched]
-        if months:
-            write_months(build_rows(spark, tweets_path, entities_path, months, kind, top_n), staging, months)
+        attempt({r.year_month for r in batch.select("year_month").distinct().collect()})     # calendar-sized
 
-    for name, path, schema in (("posts", tweets_path, TWEETS_SOURCE), ("entities", entities_path, ENTITIES_SOURCE)):
+    bad = cut_lineage(quarantined(spark, staging).drop("error"), "quarantine")
+    now = source_files(spark, tweets_path, entities_path, kind)
+    if not bad.isEmpty():
+        attempt(set(changed_months(now.join(bad.select("year_month").distinct(), "year_month", "left_semi").select(*bad.columns), bad)))
+    for name, path in (("posts", tweets_path), ("entities", entities_path)):
         try:
-            stream = spark.readStream.schema(schema).parquet(path)
+            stream = spark.readStream.format("binaryFile").schema(LISTING).option("recursiveFileLookup", "true").load(path)
         except AnalysisException:
             continue
-        (stream.writeStream.foreachBatch(rebuild).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}")
-         .trigger(availableNow=True).start().awaitTermination())
+        (stream.select(month_label(F.col("path")).alias("year_month")).writeStream.foreachBatch(rebuild)
+         .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}").trigger(availableNow=True).start().awaitTermination())
+    still = {r.year_month: r.error for r in quarantined(spark, staging).select("year_month", "error").distinct().collect()}
+    return _status(spark, _months_with_posts(source_files(spark, tweets_path, entities_path, kind)), done, {**still, **failed})
 
 
 def assemble_with_redactions(spark: SparkSession, staging: str, kind: str, wordlist: DataFrame | None):
@@ -161,13 +210,33 @@ def assemble(spark: SparkSession, staging: str, kind: str, wordlist: DataFrame |
 
 def write_final(spark: SparkSession, staging: str, kind: str, wordlist: DataFrame | None, table_path: str,
                 redactions_path: str | None = None) -> None:
-    """S8 + S9: the sorted final table, and its redactions upserted into the side table."""
+    """S8 + S9 at plain paths: redactions that are new are appended to the side table, then the sorted table is written.
+
+    The side table, the only place of the originals once the staging area is
+    gone, is never overwritten.  The table itself is replaced in place and can
+    be written again from the staging area; ``publish_final`` swaps both.
+    """
     out, red = assemble_with_redactions(spark, staging, kind, wordlist)
+    if red is not None and redactions_path is not None:
+        new = redaction_table(red)
+        try:
+            new = new.join(spark.read.parquet(redactions_path), ["token", "original"], "left_anti")
+        except AnalysisException:
+            pass
+        cut_lineage(new, "redactions").write.mode("append").parquet(redactions_path)
     write_table(out, table_path, kind)
-    if red is None or redactions_path is None:
-        return
-    try:
-        old = spark.read.parquet(redactions_path)
-    except AnalysisException:
-        old = None
-    cut_lineage(redaction_table(red, old), "redactions").write.mode("overwrite").parquet(redactions_path)
+
+
+def publish_final(spark: SparkSession, staging: str, kind: str, wordlist: DataFrame | None, place: str) -> int:
+    """S8 + S9 by swap: the sorted final table and the upserted side table become current together.
+
+    ``place`` holds the published tables ``date``, ``entity``, ``month`` and
+    ``redactions`` (``postlens.sources.publish``); the ones that this run does
+    not build stay as they are.
+    """
+    out, red = assemble_with_redactions(spark, staging, kind, wordlist)
+    write = {kind: lambda folder: write_table(out, folder, kind)}
+    if red is not None:
+        side = redaction_table(red, read_published(spark, place, "redactions"))
+        write["redactions"] = lambda folder: side.write.parquet(folder)
+    return publish(spark, place, write)

@@ -144,3 +144,77 @@ def test_final_table_and_side_table(spark):
         got = spark.read.parquet(f"{root}/final-{kind}")
         assert dict(got.dtypes)["positive_sentiment"] == "float"
         assert sorted(r.entity for r in got.collect()) == sorted([side[0].token, "fine"])
+
+
+def damage(folder):
+    """A file that is no parquet, as a broken delivery leaves it."""
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/part-broken.parquet", "wb") as f:
+        f.write(b"not parquet")
+    return f"{folder}/part-broken.parquet"
+
+
+@pytest.mark.parametrize("source,mend", [("tweets", "taken away"), ("tweets", "replaced in place"), ("entities", "new name")])
+def test_stream_isolates_a_bad_month_and_mends_it(spark, source, mend):
+    import shutil
+    root = tempfile.mkdtemp(prefix="postlens-inc-")
+    put(tweets(spark, [("2013-01", "1", 1, 0, 0, 0), ("2013-02", "2", 1, 0, 0, 0)]), f"{root}/tweets")
+    put(entities(spark, [("2013-01", "1", "a"), ("2013-02", "2", "b")]), f"{root}/entities")
+    bad = damage(f"{root}/{source}/year_month=2013-02")
+
+    def run():
+        got = INC.stream_months(spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging", f"{root}/ckpt", "date", 5).collect()
+        return {r.year_month: (r.status, bool(r.error)) for r in got}
+
+    assert run() == {"2013-01": ("built", False), "2013-02": ("failed", True)}
+    assert {r.year_month for r in INC.assemble(spark, f"{root}/staging", "date", None).collect()} == {"2013-01"}
+    held = INC.quarantined(spark, f"{root}/staging").collect()
+    assert {r.year_month for r in held} == {"2013-02"} and bad in {r.file.removeprefix("file:") for r in held}
+    assert run() == {"2013-01": ("skipped", False), "2013-02": ("failed", True)}      # nothing new: it is not tried again
+    put(tweets(spark, [("2013-03", "3", 1, 0, 0, 0)]), f"{root}/tweets")
+    assert run() == {"2013-01": ("skipped", False), "2013-02": ("failed", True), "2013-03": ("built", False)}
+    os.remove(bad)
+    late = tweets(spark, [("2013-02", "4", 1, 0, 0, 0)]) if source == "tweets" else entities(spark, [("2013-02", "2", "c")])
+    if mend != "taken away":
+        other = tempfile.mkdtemp(prefix="postlens-inc-")
+        late.drop("year_month").coalesce(1).write.mode("overwrite").parquet(other)
+        part, = [f for f in os.listdir(other) if f.startswith("part") and f.endswith(".parquet")]
+        shutil.copy(f"{other}/{part}", bad if mend == "replaced in place" else bad.replace("broken", "mended"))
+    assert run()["2013-02"] == ("built", False)
+    assert INC.quarantined(spark, f"{root}/staging").isEmpty()
+    t, e = (INC._read_months(spark, f"{root}/{n}", s, ["2013-01", "2013-02", "2013-03"])
+            for n, s in (("tweets", INC.TWEETS_SOURCE), ("entities", INC.ENTITIES_SOURCE)))
+    want = sorted(map(tuple, TB.date_table(t, e, 5).collect()))
+    assert sorted(map(tuple, INC.assemble(spark, f"{root}/staging", "date", None).collect())) == want
+
+
+def test_batch_and_stream_share_one_manifest(spark):
+    root = tempfile.mkdtemp(prefix="postlens-inc-")
+    put(tweets(spark, [("2013-01", "1", 1, 0, 0, 0), ("2013-02", "2", 1, 0, 0, 0)]), f"{root}/tweets")
+    put(entities(spark, [("2013-01", "1", "a")]), f"{root}/entities")
+    bad = damage(f"{root}/tweets/year_month=2013-02")
+    st = f"{root}/staging-date"
+    INC.stream_months(spark, f"{root}/tweets", f"{root}/entities", st, f"{root}/ckpt", "date", 5)
+    assert build(spark, root) == {"2013-01": "skipped", "2013-02": "failed"}
+    os.remove(bad)
+    assert build(spark, root) == {"2013-01": "skipped", "2013-02": "built"}
+    assert INC.quarantined(spark, st).isEmpty()
+    got = INC.stream_months(spark, f"{root}/tweets", f"{root}/entities", st, f"{root}/ckpt", "date", 5).collect()
+    assert {r.status for r in got} == {"skipped"}
+
+
+def test_isolation_halves_the_months():
+    from postlens.sources.manifest import run_isolated
+    asked = []
+
+    def build(some):
+        asked.append(list(some))
+        if {"m07", "m50"} & set(some):
+            raise OSError(f"bad {some}")
+
+    months = [f"m{i:02d}" for i in range(64)]
+    failed = run_isolated(months, build)
+    assert set(failed) == {"m07", "m50"} and failed["m07"].startswith("bad")
+    built = [m for some in asked if not {"m07", "m50"} & set(some) for m in some]
+    assert sorted(built) == sorted(set(months) - {"m07", "m50"}) and len(asked) <= 4 * 6 + 1
+    assert run_isolated([], build) == {}
