@@ -143,7 +143,7 @@ QUERIES.update({
 # Logs / profile / checks
 from postlens.plans.profile import entity_sentiment_profile  # noqa: E402
 from postlens.plans.prompts import extract_prompts, prompt_log_summary  # noqa: E402
-from postlens.plans.quality import quality_checks  # noqa: E402
+from postlens.plans.quality import compare_by_id, quality_checks  # noqa: E402
 from postlens.sources.fixtures import read_table  # noqa: E402
 from postlens.sources.logs import conversations_as_logs  # noqa: E402
 
@@ -280,6 +280,7 @@ from postlens.sources.publish import delete_file, put_bytes  # noqa: E402
 FX_HOLE_EVERY = 97                  # in the hole dump one post in so many has a header
 FX_SPLIT_BYTES = 1 << 18            # splits of the plain dump
 FX_INFLATED_LINES = 20_000          # lines that a task parses of an inflated dump
+FX_SWAPPED = ("1995-03", "1997-08")
 FX_BAD_MONTH = "1996-04"            # has an unreadable file when the stream first runs
 FX_PHRASES = ("pr0m0", "BRAND#2", "brand-4  large", "#", "straße")
 FX_LOG_START = "2024-03-09 22:00:00"
@@ -449,6 +450,30 @@ def q_streaming_mended_month(spark, sf_dir):
     return INC.assemble(spark, f"{_stream_with_a_bad_month(spark, sf_dir)[0]}/staging", "date", load_corpus(spark, sf_dir).words)
 
 
+def _converted(spark, sf_dir):
+    """(folder, status of a second run) of the whole dump, converted."""
+    out, dump = _scratch(spark, sf_dir, "converted"), dump_path(spark, sf_dir)
+    RDF.convert_dump(spark, dump, out)
+    return out, RDF.convert_dump(spark, dump, out)
+
+
+def q_converted_posts(spark, sf_dir):
+    return spark.read.parquet(f"{_converted(spark, sf_dir)[0]}/tweets")
+
+
+def q_conversion_status(spark, sf_dir):
+    return _converted(spark, sf_dir)[1].select("year_month", "status")
+
+
+def q_swapped_posts_found(spark, sf_dir):
+    """U4: posts of the parsed dump against their source, after every ``FX_HOLE_EVERY``-th of two months changed places."""
+    a, b = FX_SWAPPED
+    moved = (F.col("tweet_id").cast("long") % FX_HOLE_EVERY == 0) & F.col("year_month").isin(a, b)
+    built = RDF.rdf_to_tables(spark, dump_path(spark, sf_dir))[0].withColumn(
+        "year_month", F.when(moved, F.when(F.col("year_month") == a, b).otherwise(a)).otherwise(F.col("year_month")))
+    return compare_by_id(load_corpus(spark, sf_dir).tweets, built)
+
+
 def q_month_files_posts(spark, sf_dir):
     """Posts read from month folders, labelled by their path."""
     root = _scratch(spark, sf_dir, "month-files")
@@ -480,6 +505,9 @@ QUERIES.update({
     "published_date_table": q_published_date_table,
     "published_redactions": q_published_redactions,
     "streaming_status": q_streaming_status,
+    "converted_posts": q_converted_posts,
+    "conversion_status": q_conversion_status,
+    "swapped_posts_found": q_swapped_posts_found,
     "streaming_mended_month": q_streaming_mended_month,
     "month_files_posts": q_month_files_posts,
     "extract_prompts_in_zones": q_extract_prompts_in_zones,

@@ -505,12 +505,25 @@ SQL.update({
     "rdf_hole_month": SQL["rdf_entities"],
     "rdf_plain_split": SQL["rdf_tweets"],
     "rdf_long_streams": SQL["rdf_tweets"],
+    "converted_posts": SQL["rdf_tweets"],
+    "conversion_status": with_tables("SELECT DISTINCT year_month, 'skipped' AS status FROM fx_tweets"),
+    "swapped_posts_found": with_tables(f"""
+SELECT year_month, n_source, CAST(n_source - missing + extra AS BIGINT) AS n_built, missing, extra, missing_ids, extra_ids FROM (
+  SELECT t.year_month, count(*) AS n_source, CAST(count(*) FILTER (moved) AS BIGINT) AS missing,
+         array_to_string(list_sort((list(tweet_id ORDER BY tweet_id) FILTER (moved))[1:3]), ',') AS missing_ids
+  FROM (SELECT year_month, tweet_id,
+               CAST(tweet_id AS BIGINT) % {C.FX_HOLE_EVERY} = 0 AND year_month IN ({_in(C.FX_SWAPPED)}) AS moved FROM fx_tweets) t
+  GROUP BY ALL) LEFT JOIN (
+  SELECT CASE year_month WHEN '{C.FX_SWAPPED[0]}' THEN '{C.FX_SWAPPED[1]}' ELSE '{C.FX_SWAPPED[0]}' END AS year_month,
+         count(*) AS came, array_to_string((list(tweet_id ORDER BY tweet_id))[1:3], ',') AS extra_ids
+  FROM fx_tweets WHERE CAST(tweet_id AS BIGINT) % {C.FX_HOLE_EVERY} = 0 AND year_month IN ({_in(C.FX_SWAPPED)}) GROUP BY ALL)
+  USING (year_month), LATERAL (SELECT CAST(coalesce(came, 0) AS BIGINT) AS extra)"""),
     "published_date_table": SQL["date_table"],
     "published_redactions": SQL["redaction_table"],
     "streaming_mended_month": SQL["date_table"],
     "streaming_status": with_tables(f"""
 SELECT DISTINCT year_month, CASE WHEN year_month = '{C.FX_BAD_MONTH}' THEN 'failed' ELSE 'built' END AS status
-FROM tweets WHERE created_at <= TIMESTAMP '{C.FX_FIRST_WAVE_END} 23:59:59'"""),
+FROM fx_tweets WHERE created_at <= TIMESTAMP '{C.FX_FIRST_WAVE_END} 23:59:59'"""),
     "incremental_entity_table": SQL["entity_table"],
     "incremental_month_table": SQL["month_table"],
     "streaming_late_entities": SQL["date_table"],

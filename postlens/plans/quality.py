@@ -120,3 +120,29 @@ def quality_checks(tweets: DataFrame, entities: DataFrame, month_t: DataFrame, d
         F.lit("redaction_token_collisions").alias("check_name"), F.lit(None).cast("string").alias("year_month"),
         F.lit(0).cast("bigint").alias("expected"), "actual", (F.col("actual") == 0).alias("ok"))
     return out.unionByName(clash)
+
+
+def compare_by_id(source: DataFrame, built: DataFrame, id_col: str = "tweet_id", examples: int = 3) -> DataFrame:
+    """U4: both sides of a table held against each other as multisets of (year_month, id), month by month.
+
+    (year_month, n_source, n_built, missing, extra, missing_ids, extra_ids):
+    rows that only one side has, counted with repeats, and the smallest
+    ``examples`` of their ids (null where there are none).  Errors that cancel
+    in counts and sums, like two posts that changed months, show on both.
+    One shuffle on (month, id) with partial counts; a null id is an id.
+    """
+    side = lambda df, n: df.select("year_month", F.col(id_col).alias("id"), F.lit(n).alias("d"))
+    per_id = (side(source, 1).unionByName(side(built, -1)).groupBy("year_month", "id")
+              .agg(F.count_if(F.col("d") > 0).alias("s"), F.count_if(F.col("d") < 0).alias("b")))
+    odd = per_id.withColumn("more", F.col("s") - F.col("b")).where("more <> 0")
+    first = Window.partitionBy("year_month", F.col("more") > 0).orderBy("id")
+    shown = (odd.withColumn("r", F.row_number().over(first)).where(F.col("r") <= examples).groupBy("year_month")
+             .agg(*[F.array_join(F.array_sort(F.collect_list(F.when(F.col("more") * sign > 0, F.coalesce("id", F.lit("null"))))), ",")
+                    .alias(name) for name, sign in (("missing_ids", 1), ("extra_ids", -1))]))
+    months = per_id.groupBy("year_month").agg(
+        F.sum("s").alias("n_source"), F.sum("b").alias("n_built"),
+        F.sum(F.greatest(F.col("s") - F.col("b"), F.lit(0))).alias("missing"),
+        F.sum(F.greatest(F.col("b") - F.col("s"), F.lit(0))).alias("extra"))
+    return months.join(shown, "year_month", "left").select(
+        "year_month", "n_source", "n_built", "missing", "extra",
+        *[F.nullif(c, F.lit("")).alias(c) for c in ("missing_ids", "extra_ids")])

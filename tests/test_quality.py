@@ -69,3 +69,14 @@ def test_seeded_faults_are_found(built, group):
 def test_shared_tokens_are_found(spark, built):
     red = spark.createDataFrame([("x", "t"), ("y", "t")], "original string, token string")
     assert failing(*built, red) == {"redaction_token_collisions"}
+
+
+def test_a_swap_between_months_is_found(spark):
+    from postlens.plans.quality import compare_by_id
+    rows = lambda *r: spark.createDataFrame(r, "year_month string, tweet_id string")
+    source = rows(("m1", "a"), ("m1", "b"), ("m1", "b"), ("m2", "c"), ("m2", None), ("m3", "e"))
+    built = rows(("m1", "a"), ("m1", "b"), ("m1", "c"), ("m2", "b"), ("m2", None), ("m4", "x"))
+    got = {r.year_month: tuple(r)[1:] for r in compare_by_id(source, built).collect()}
+    assert got == {"m1": (3, 3, 1, 1, "b", "c"), "m2": (2, 2, 1, 1, "c", "b"), "m3": (1, 0, 1, 0, "e", None), "m4": (0, 1, 0, 1, None, "x")}
+    same = compare_by_id(source, source).collect()
+    assert all(r.missing == r.extra == 0 and r.missing_ids is None for r in same)
