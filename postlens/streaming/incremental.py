@@ -37,8 +37,8 @@ from postlens.model import ENTITIES_SCHEMA, TWEETS_SCHEMA
 from postlens.operators import tables as TB
 from postlens.operators.redaction import apply_redaction, redaction_table
 from postlens.session import cut_lineage
-from postlens.sources.manifest import (changed_months, list_files, read_manifest, read_quarantine, run_isolated, write_manifest,
-                                       write_quarantine)
+from postlens.sources.manifest import (FILE, changed_months, list_files, read_manifest, read_quarantine, run_isolated,
+                                       write_manifest, write_quarantine)
 from postlens.sources.publish import publish, read_published
 from postlens.sources.tables import month_label, write_table
 
@@ -160,6 +160,7 @@ def stream_months(spark: SparkSession, tweets_path: str, entities_path: str, sta
     known by name alone, so that one that cannot be read does not stop the
     stream: its month is quarantined, and tried again by the first later run
     that finds its files changed (mended in place, replaced or taken away).
+    A touched month whose files are all in its manifest is not built again.
     A source whose folder does not exist yet is left for a later run.
     Returns (year_month, status, error) for every month with posts.
     """
@@ -168,7 +169,10 @@ def stream_months(spark: SparkSession, tweets_path: str, entities_path: str, sta
 
     def attempt(touched: set[str]) -> None:
         files = cut_lineage(source_files(spark, tweets_path, entities_path, kind), "source-files")
-        months = [m for m in _months_with_posts(files) if m in touched]
+        bad = quarantined(spark, staging).select(*FILE)
+        tried = read_manifest(spark, f"{staging}/_manifest").join(bad.select("year_month"), "year_month", "left_anti").select(*FILE)
+        changed = set(changed_months(files, tried.unionByName(bad)))          # else the other source's batch saw to it
+        months = [m for m in _months_with_posts(files) if m in touched and m in changed]
         wrong = _build_months(spark, tweets_path, entities_path, staging, kind, top_n, files, months)
         done.update(months)
         for m in months:
@@ -178,10 +182,9 @@ def stream_months(spark: SparkSession, tweets_path: str, entities_path: str, sta
     def rebuild(batch: DataFrame, _epoch: int) -> None:
         attempt({r.year_month for r in batch.select("year_month").distinct().collect()})     # calendar-sized
 
-    bad = cut_lineage(quarantined(spark, staging).drop("error"), "quarantine")
-    now = source_files(spark, tweets_path, entities_path, kind)
-    if not bad.isEmpty():
-        attempt(set(changed_months(now.join(bad.select("year_month").distinct(), "year_month", "left_semi").select(*bad.columns), bad)))
+    held = {r.year_month for r in quarantined(spark, staging).select("year_month").distinct().collect()}
+    if held:
+        attempt(held)
     for name, path in (("posts", tweets_path), ("entities", entities_path)):
         try:
             stream = spark.readStream.format("binaryFile").schema(LISTING).option("recursiveFileLookup", "true").load(path)
