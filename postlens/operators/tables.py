@@ -121,12 +121,17 @@ def date_rows(tweets: DataFrame, entities: DataFrame, top_n: int = 100) -> DataF
 def date_table(tweets: DataFrame, entities: DataFrame, top_n: int = 100,
                wordlist: DataFrame | None = None, with_redactions: bool = False):
     """Q02 (flagship): the date table with ``redacted``/``classified`` flags."""
-    out, red = apply_redaction(_staged(date_rows(tweets, entities, top_n), wordlist), wordlist)
-    out = out.select("year_month", "positive_sentiment", "negative_sentiment", "entity",
-                     "total_likes", "total_shares", "post_count", "redacted", "classified")
+    out, red = redacted_date_table(date_rows(tweets, entities, top_n), wordlist)
     return (out, red) if with_redactions else out
 
 
+def redacted_date_table(rows: DataFrame, wordlist: DataFrame | None = None):
+    """The date table of its pre-redaction rows, and the redactions."""
+    out, red = apply_redaction(_staged(rows, wordlist), wordlist)
+    return out.select("year_month", "positive_sentiment", "negative_sentiment", "entity",
+                      "total_likes", "total_shares", "post_count", "redacted", "classified"), red
+
+
 def entity_rows(tweets: DataFrame, entities: DataFrame, top_n: int = 10_000) -> DataFrame:
     """Q03 before redaction.
 
@@ -171,7 +176,12 @@ def entity_rows(tweets: DataFrame, entities: DataFrame, top_n: int = 10_000) ->
 def entity_table(tweets: DataFrame, entities: DataFrame, top_n: int = 10_000,
                  wordlist: DataFrame | None = None, with_redactions: bool = False):
     """Q03: the entity × month table with conditional sentiment means."""
-    out, red = apply_redaction(_staged(entity_rows(tweets, entities, top_n), wordlist), wordlist)
-    out = out.select("entity", "year_month", "positive_sentiment", "negative_sentiment",
-                     "total_likes", "total_shares", "post_count", "redacted", "classified")
+    out, red = redacted_entity_table(entity_rows(tweets, entities, top_n), wordlist)
     return (out, red) if with_redactions else out
+
+
+def redacted_entity_table(rows: DataFrame, wordlist: DataFrame | None = None):
+    """The entity table of its pre-redaction rows, and the redactions."""
+    out, red = apply_redaction(_staged(rows, wordlist), wordlist)
+    return out.select("entity", "year_month", "positive_sentiment", "negative_sentiment",
+                      "total_likes", "total_shares", "post_count", "redacted", "classified"), red

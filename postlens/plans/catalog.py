@@ -207,6 +207,7 @@ QUERIES.update({"rdf_tweets": _rdf(0), "rdf_entities": _rdf(1), "rdf_mentions":
 import uuid  # noqa: E402
 
 from postlens.streaming import incremental as INC  # noqa: E402
+from postlens.streaming import state as STATE  # noqa: E402
 
 FX_FIRST_WAVE_END = "1998-07-15"     # posts up to this day arrive first
 
@@ -388,6 +389,41 @@ def q_written_date_table(spark, sf_dir):
     return SRC.read_table_with_month(spark, f"{root}/date").withColumn("month", F.date_format("month", "yyyy-MM-dd"))
 
 
+_MERGED: dict[str, str] = {}
+
+
+def _merged_state(spark, sf_dir):
+    """M2: a state of two merges: half the posts with a third of the mentions, then the rest of both.  Once a session."""
+    key = gold_path(spark, sf_dir, "merged-state")
+    if key not in _MERGED:
+        root = f"{key}/{uuid.uuid4().hex}"
+        c = load_corpus(spark, sf_dir)
+        tw = c.tweets.select(*[f.name for f in INC.TWEETS_SOURCE.fields])
+        ent = c.entities.select(*[f.name for f in INC.ENTITIES_SOURCE.fields])
+        cut = F.col("created_at") <= F.to_timestamp(F.lit(FX_FIRST_WAVE_END + " 23:59:59"))
+        first = F.pmod(F.col("tweet_id").cast("long"), F.lit(3)) == 0
+        for posts, mentions in ((cut, first), (~cut, ~first)):
+            tw.filter(posts).write.mode("append").partitionBy("year_month").parquet(f"{root}/tweets")
+            ent.filter(mentions).write.mode("append").partitionBy("year_month").parquet(f"{root}/entities")
+            STATE.merge_months(spark, f"{root}/tweets", f"{root}/entities", f"{root}/state", DATE_TOP_N)
+        _MERGED[key] = f"{root}/state"
+    return _MERGED[key]
+
+
+def q_merged_date_table(spark, sf_dir):
+    rows = STATE.state_rows(spark, _merged_state(spark, sf_dir), "date", DATE_TOP_N)
+    return TB.redacted_date_table(rows, load_corpus(spark, sf_dir).words)[0]
+
+
+def q_merged_entity_table(spark, sf_dir):
+    rows = STATE.state_rows(spark, _merged_state(spark, sf_dir), "entity", DATE_TOP_N, ENTITY_TOP_N)
+    return TB.redacted_entity_table(rows, load_corpus(spark, sf_dir).words)[0]
+
+
+def q_merged_month_table(spark, sf_dir):
+    return STATE.state_rows(spark, _merged_state(spark, sf_dir), "month", DATE_TOP_N)
+
+
 class _Interrupted(Exception):
     """The fault that the queries below put in."""
 
@@ -501,6 +537,9 @@ QUERIES.update({
     "streaming_late_entities": q_streaming_late_entities,
     "month_table_with_empty_months": q_month_table_with_empty_months,
     "redaction_phrases": q_redaction_phrases,
+    "merged_date_table": q_merged_date_table,
+    "merged_entity_table": q_merged_entity_table,
+    "merged_month_table": q_merged_month_table,
     "written_date_table": q_written_date_table,
     "published_date_table": q_published_date_table,
     "published_redactions": q_published_redactions,

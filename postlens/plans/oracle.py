@@ -462,6 +462,9 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
 SQL.update({
     "incremental_date_table": SQL["date_table"],
     "streaming_date_table": SQL["date_table"],
+    "merged_date_table": SQL["date_table"],
+    "merged_entity_table": SQL["entity_table"],
+    "merged_month_table": SQL["month_table"],
 })
 
 SQL.update({

@@ -94,15 +94,21 @@ def read_published(spark: SparkSession, place: str, table: str) -> DataFrame | N
     return None if folder is None else spark.read.parquet(f"{place.rstrip('/')}/{folder}")
 
 
-def publish(spark: SparkSession, place: str, write: dict[str, Callable[[str], None]]) -> int:
+def publish(spark: SparkSession, place: str, write: dict[str, Callable[[str], None]], drop=(),
+            since: int | None = None) -> int:
     """Write new versions of the tables in ``write`` (name -> function of a folder) and move the pointer to them.
 
-    Tables that are not in ``write`` stay as published.  Returns the entry's
-    number.  If a function fails, or another writer publishes meanwhile, the
-    pointer stays and the folders written so far are never read.
+    Tables that are not in ``write`` stay as published, but for those named in
+    ``drop``.  Returns the entry's number.  If a function fails, or another
+    writer publishes meanwhile, the pointer stays and the folders written so
+    far are never read.  ``since`` is the entry that the rows were made from:
+    if another is in force by now, nothing is written.
     """
     place = place.rstrip("/")
-    _, tables = current(spark, place)
+    found, tables = current(spark, place)
+    if since is not None and found != since:
+        raise PublishConflict(f"{place}: entry {found} was published since entry {since} was read")
+    tables = {name: folder for name, folder in tables.items() if name not in drop}
     number = max(_entries(spark, place), default=0) + 1
     new = {name: f"{name}/{number:010d}-{uuid.uuid4().hex}" for name in write}
     for name, folder in new.items():
