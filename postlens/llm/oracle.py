@@ -36,10 +36,12 @@ t0 AS (SELECT * EXCLUDE (q), CASE WHEN p > 0 THEN q / (q + 1.0) ELSE 1.0 END AS
               FALSE AS won FROM r2)"""
     for r in range(fills + 1):
         extra = " AND p > 0" if r == 0 else " AND NOT won AND size > 0 AND size <= amount"
+        rank = "t" if r < fills else "CASE WHEN amount > 0 THEN (size - 1 + t) / amount END"
         sql += f""",
 a{r} AS (SELECT *, whole + 1 <= {most}{extra} AS open FROM t{r}),
 b{r} AS (SELECT *, CASE WHEN open THEN sum(CASE WHEN open THEN size ELSE 0 END)
-                   OVER (PARTITION BY k ORDER BY t, id, size) <= amount ELSE FALSE END AS hit FROM a{r}),
+                   OVER (PARTITION BY k ORDER BY {rank}, id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= amount
+                   ELSE FALSE END AS hit FROM a{r}),
 t{r + 1} AS (SELECT * EXCLUDE (open, hit, won, amount), won OR hit AS won,
               CASE WHEN max(CASE WHEN open AND NOT hit THEN 1 ELSE 0 END) OVER (PARTITION BY k) = 1
                    THEN amount - sum(CASE WHEN hit THEN size ELSE 0 END) OVER (PARTITION BY k) ELSE 0.0 END AS amount FROM b{r})"""

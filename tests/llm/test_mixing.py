@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,37 @@ def test_unequal_weights_draw_heavier_documents_more_often(spark):
     assert n[0] + n[1] == 800 and 2.2 < n[1] / n[0] < 4
 
 
+@pytest.mark.parametrize("ids", ["repeated", "null", "some"])
+def test_ties_are_taken_as_far_as_they_fit(spark, ids):
+    """A source of one repeated row, of rows without ids, and of ties among other rows."""
+    def doc_id(i):
+        return {"repeated": 7, "null": None, "some": i % 5 or i}[ids]
+
+    rows = [(doc_id(i), "w " * (12 if ids == "repeated" else 5 + i % 3), "en", "a", 0) for i in range(1000)]
+    rows += [(10_000 + i, "w " * 4, "en", "b", 0) for i in range(200)]
+    got = M.mix(docs(spark, rows, False).repartition(5)).collect()
+    assert len(got) == 1200
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        left = mine[0].target - sum(r.taken for r in mine)
+        assert -1e-6 <= left < min([r.size for r in mine if r.copies < 2], default=1e9)
+        assert all(r.copies in (0, 1, 2) and r.taken == r.copies * r.size for r in mine)
+    again = M.mix(docs(spark, rows[::-1], False).repartition(3)).collect()
+    key = lambda r: (r.doc_id or -1, r.size, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_nothing_that_is_left_would_fit(spark):
+    """Sizes over four orders of magnitude."""
+    rnd = random.Random(3)
+    rows = [(i, "w " * min(20_000, int(rnd.lognormvariate(3, 2)) + 1), "en", f"s{i % 3}", 0) for i in range(240)]
+    got = M.mix(docs(spark, rows, False)).collect()
+    for s in ("s0", "s1", "s2"):
+        mine = [r for r in got if r.source == s]
+        left = mine[0].target - sum(r.taken for r in mine)
+        assert -1e-6 <= left and all(r.size > left for r in mine if r.copies < 2)
+
+
 def test_awkward_rows(spark):
     got = M.mix(docs(spark)).collect()
     assert len(got) == 13 and all(0 <= r.taken <= 2 * r.size for r in got)
