@@ -23,13 +23,14 @@ def read_jsonl_logs(spark: SparkSession, path: str) -> DataFrame:
 def log_files(spark: SparkSession, path: str) -> DataFrame:
     """``(session_id, file_path)`` of every log file, empty ones too.
 
-    From the file system's listing, as Spark's readers leave empty files out.
+    From the file system's listing, as Spark's file index leaves empty files
+    out for every format.  Names are written as ``read_jsonl_logs`` has them.
     """
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [f for f in (fs.globStatus(p) or [])]
     files = [g for f in found for g in (fs.listStatus(f.getPath()) if f.isDirectory() else [f]) if g.isFile()]
-    names = [(f.getPath().toString(),) for f in files if not f.getPath().getName().startswith((".", "_"))]
+    names = [(f.getPath().toUri().toString(),) for f in files if not f.getPath().getName().startswith((".", "_"))]
     return (spark.createDataFrame(names, "file_path string")
             .select(F.regexp_extract("file_path", r"([^/]+?)(\.jsonl)?$", 1).alias("session_id"), "file_path"))
 

@@ -68,5 +68,8 @@ def test_empty_log_files_count_as_sessions(spark):
     with open(os.path.join(d, "a.jsonl"), "w") as f:
         f.write(_rec("hello"))
     open(os.path.join(d, "b.jsonl"), "w").close()
+    with open(os.path.join(d, "c d.jsonl"), "w") as f:
+        f.write(_rec("a name that is written differently in a URI"))
     got = prompt_log_summary(read_jsonl_logs(spark, d), log_files(spark, d)).first()
-    assert (got.n_sessions, got.n_prompts) == (2, 1)
+    assert (got.n_sessions, got.n_prompts) == (3, 2)
+    assert log_files(spark, f"{d}/*.jsonl").count() == 3 and log_files(spark, f"{d}/none").isEmpty()
