@@ -21,17 +21,9 @@ def fold_tokens(c) -> Column:
     return F.filter(F.split(norm, SPLIT_PATTERN), lambda t: t != F.lit(""))
 
 
-def name_grams(c, longest: int = 2) -> Column:
-    """A name's runs of 1 to ``longest`` folded words."""
-    toks = fold_tokens(c)
-
-    def runs(n):
-        last = F.size(toks) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                                             lambda i: F.array_join(F.slice(toks, i + 1, n), " "))
-                      ).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])))
+def padded(tokens: Column) -> Column:
+    """Folded words as one string with a space at either end, so that whole runs of words are substrings of it."""
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
 
 
 def redaction_token(c, digits: int = TOKEN_HEX) -> Column:

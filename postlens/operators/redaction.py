@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.columns import classified_flag
-from postlens.functions.redact import TOKEN_HEX, fold_tokens, name_grams, redaction_token
+from postlens.functions.redact import TOKEN_HEX, fold_tokens, padded, redaction_token
 
 
 def dirty_names(names: DataFrame, words: DataFrame, name_col: str = "entity", digits: int = TOKEN_HEX) -> DataFrame:
@@ -18,16 +18,25 @@ def dirty_names(names: DataFrame, words: DataFrame, name_col: str = "entity", di
 
     Names and entries are folded and split alike; an entry is a word or a
     phrase of any length.  Entries without a letter or digit match nothing.
+
+    Each entry is filed under that of its words which the fewest names hold
+    (ties: the first by code point; an entry with a word that no name holds
+    matches nothing).  A name's words fetch candidate entries, and only those
+    are compared whole.  A name gives one row a distinct word, however long
+    the longest entry is.
     """
-    entries = words.select(fold_tokens("word").alias("w")).filter(F.size("w") > 0)
-    entries = entries.select(F.array_join("w", " ").alias("gram"), F.size("w").alias("n")).distinct()
-    longest = entries.agg(F.max("n")).first()[0]
-    if longest is None:
-        return names.sparkSession.createDataFrame([], "original string, token string")
-    grams = (names.select(F.col(name_col).alias("original")).distinct()
-             .select("original", F.explode(name_grams("original", longest)).alias("gram")))
-    return (grams.join(entries, "gram", "left_semi").select("original").distinct()
-            .withColumn("token", redaction_token("original", digits)))
+    entries = (words.select(fold_tokens("word").alias("w")).where(F.size("w") > 0)
+               .select(padded(F.col("w")).alias("phrase"), F.array_distinct("w").alias("w")).distinct())
+    entry_words = entries.select("phrase", F.size("w").alias("n_words"), F.explode("w").alias("word"))
+    by_word = (names.select(F.col(name_col).alias("original")).distinct()
+               .select("original", F.explode(F.array_distinct(fold_tokens("original"))).alias("word")))
+    met = by_word.join(entry_words.select("word").distinct(), "word", "left_semi")
+    held = met.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    index = (entry_words.join(held, "word").groupBy("phrase", "n_words")
+             .agg(F.count(F.lit(1)).alias("n_met"), F.min(F.struct("n", "word")).alias("rarest"))
+             .where("n_met = n_words").select("phrase", F.col("rarest.word").alias("word")))
+    return (met.join(index, "word").where(F.contains(padded(fold_tokens("original")), F.col("phrase")))
+            .select("original").distinct().withColumn("token", redaction_token("original", digits)))
 
 
 def apply_redaction(table: DataFrame, words: DataFrame | None, name_col: str = "entity", digits: int = TOKEN_HEX):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.redact import TOKEN_PREFIX
 from postlens.model import NONE, OTHER
+from postlens.operators.ranking import top_n_per_group
 from postlens.operators.tables import KEY
 from postlens.session import cut_lineage
 
@@ -74,9 +75,11 @@ def _expected(tweets: DataFrame, pairs: DataFrame, ranked: DataFrame, date_n: in
 def quality_checks(tweets: DataFrame, entities: DataFrame, month_t: DataFrame, date_t: DataFrame, entity_t: DataFrame,
                    date_top_n: int, entity_top_n: int, redactions: DataFrame | None = None) -> DataFrame:
     pairs = cut_lineage(entities.select(*KEY, F.col("detected_as").alias("name")).distinct(), "quality-pairs")
-    by_month = Window.partitionBy("year_month").orderBy(F.col("n").desc(), "name")
-    ranked = cut_lineage(pairs.filter("name IS NOT NULL").groupBy("year_month", "name").agg(F.count(F.lit(1)).alias("n"))
-                         .withColumn("rank", F.row_number().over(by_month)), "quality-ranks")
+    counts = cut_lineage(pairs.filter("name IS NOT NULL").groupBy("year_month", "name").agg(F.count(F.lit(1)).alias("n")),
+                         "quality-counts")
+    # Ranks beyond both N are never asked for: each task hands on so many names of a month, not all of them.
+    ranked = cut_lineage(top_n_per_group(counts, ["year_month"], [F.col("n").desc(), "name"], max(date_top_n, entity_top_n), "rank"),
+                         "quality-ranks")
     named = F.col("classified") & ~F.col("redacted")
     off = ~(F.col("positive_sentiment").isin(*STEPS) & F.col("negative_sentiment").isin(*STEPS))
     # The tables by name, met once: a month's names in either, with what the other has of them.
@@ -88,7 +91,7 @@ def quality_checks(tweets: DataFrame, entities: DataFrame, month_t: DataFrame, d
     entity_n = entity_t.groupBy("year_month", "entity").agg(
         F.count(F.lit(1)).alias("e_rows"), F.lit(1).alias("e_names"), F.count_if(outside).alias("e_off_range"),
         _bad_flags().alias("e_bad_flags"), *_sums("e"))
-    known = ranked.select("year_month", F.col("name").alias("entity"), F.lit(1).alias("known"))
+    known = counts.select("year_month", F.col("name").alias("entity"), F.lit(1).alias("known"))
     by_name = date_n.join(entity_n, ["year_month", "entity"], "full").join(known, ["year_month", "entity"], "left")
     sums = [c for c in date_n.columns + entity_n.columns if c.startswith(("d_", "e_"))]
     cases = {"none": F.col("entity") == NONE, "other": F.col("entity") == OTHER}

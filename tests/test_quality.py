@@ -27,6 +27,20 @@ def test_all_pass(built):
     assert failing(*built) == set()
 
 
+def test_ranks_are_limited_before_the_shuffle(built, monkeypatch):
+    """Each task hands on as many names of a month as are asked for, not all of them."""
+    from postlens.plans import quality
+    plans, cut = {}, quality.cut_lineage
+
+    def watched(df, tag):
+        plans[tag] = df._jdf.queryExecution().optimizedPlan().toString()
+        return cut(df, tag)
+
+    monkeypatch.setattr(quality, "cut_lineage", watched)
+    quality_checks(*built, N_DATE, N_ENTITY)
+    assert "WindowGroupLimit" in plans["quality-ranks"]
+
+
 def _set(col, value, where):
     return lambda df: df.withColumn(col, F.when(F.expr(where), F.expr(value)).otherwise(F.col(col)))
 

@@ -126,6 +126,23 @@ def test_listed_phrases_of_any_length_and_alphabet(spark):
     assert [r.n_originals for r in redaction_collisions(both).collect()] == [2]
 
 
+def test_long_entries_do_not_multiply_the_words_of_names(spark):
+    """An entry is filed under its rarest word; names give a row a word, whatever the entries' lengths."""
+    from postlens.operators.redaction import dirty_names
+    long_entry = " ".join(f"w{i}" for i in range(30))
+    names = [f"the of {i}" for i in range(50)] + [f"x {long_entry} y", long_entry.replace("w7 ", ""), "of the", "the the of",
+                                                  "ab c", "a bc", "c ab", None, ""]
+    t = spark.createDataFrame([(n,) for n in names * 2], "entity string")
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    found = lambda *w: sorted(r.original for r in dirty_names(t, words(*w)).collect())
+    assert found(long_entry) == [f"x {long_entry} y"]
+    assert found("the of 3", "OF the", "of missing", "the the") == ["of the", "the of 3", "the the of"]
+    assert found("ab", "b c") == ["ab c", "c ab"]
+    assert found() == found("", "--", None) == []
+    plans = [dirty_names(t, words(e))._jdf.queryExecution().optimizedPlan().toString() for e in ("w1", long_entry)]
+    assert plans[0].count("Generate") == plans[1].count("Generate")
+
+
 def test_bad_index_ranges_mean_all_months(spark):
     from postlens.plans.explore import filter_entities_by_index
     t = spark.createDataFrame([("a", f"2013-0{m}", True, False) for m in (1, 2, 3)],
