@@ -43,3 +43,20 @@ def replace_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop input columns that an operator is about to add under the same name."""
     low = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
+def lowest_by_hash(df: DataFrame, n: int, key: str, *ties: str) -> DataFrame:
+    """The ``n`` rows whose key hashes lowest (all, if fewer), in that order.
+
+    A bound on the hash goes first, so that what the tasks hand on is about
+    ``n`` rows in all and not ``n`` rows of every partition.
+    """
+    total, h = df.count(), F.xxhash64(key)
+    share = 1.2 * n / max(total, 1)
+    while share < 1:
+        low = df.where(h <= int(-(1 << 63) + share * (1 << 64)))
+        if low.count() >= n:
+            df = low
+            break
+        share *= 2
+    return df.orderBy(h, key, *ties).limit(n)

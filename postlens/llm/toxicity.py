@@ -26,15 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postlens.llm.common import by_value, replace_columns, stage
+from postlens.llm.common import by_value, lowest_by_hash, stage, stage_compressed
 
 by_value(__name__)
 
 FOLDS = 5
 MOST_LABELLED = 50_000       # labelled rows the lexicons are mined from (all, if fewer)
 MOST_TRAINED = 30_000        # documents the classifier is trained on (all, if fewer)
-SUPPORT = 0.01               # share of the toxic labelled rows that must hold a term
 MIN_LOG_ODDS = 4.5
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Common English insults.
@@ -71,12 +71,11 @@ def _terms(words: set[str]) -> set[str]:
 
 
 # Mining
-def _count_terms(rows: DataFrame, only: list[str] | None) -> DataFrame:
+def _count_terms(rows: DataFrame) -> DataFrame:
     """(term, toxic, n): documents that hold a term, by label; partial counts are flushed as they grow."""
     def run(batches):
         from collections import Counter
 
-        keep = None if only is None else set(only)
         found: Counter = Counter()
 
         def flush():
@@ -86,8 +85,7 @@ def _count_terms(rows: DataFrame, only: list[str] | None) -> DataFrame:
 
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                terms = _terms(_words(text))
-                found.update((t, toxic) for t in (terms if keep is None else terms & keep))
+                found.update((t, toxic) for t in _terms(_words(text)))
                 if len(found) > 400_000:
                     yield flush()
                     found.clear()
@@ -101,31 +99,26 @@ def _count_terms(rows: DataFrame, only: list[str] | None) -> DataFrame:
 def mine_terms(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_terms: int | None = None) -> list[str]:
     """Terms far likelier in toxic than in clean labelled rows of the fit folds, the commonest first.
 
-    Every term that passes is kept.  The support floor bounds what reaches the
-    driver: about 1 / SUPPORT times the distinct terms of an average toxic row,
-    however many rows there are.
+    Every term that passes the test is kept; nothing else bounds a term's
+    support.  Terms are counted and tested in Spark, and only those that pass
+    reach the driver: at most the distinct terms of the sample's toxic rows.
     """
-    sample = stage(labels.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled),
-                   "tox-labelled")
+    sample = stage(lowest_by_hash(labels.where(~held_out(F.col("doc_id"))), most_labelled, "doc_id"), "tox-labelled")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")        # most_labelled rows at most
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return []
-    least = max(2, int(SUPPORT * n1))
-    in_toxic = {r.term: r.n for r in _count_terms(rows.where("toxic = 1"), None).where(F.col("n") >= least).collect()}
-    in_clean = {r.term: r.n for r in _count_terms(rows.where("toxic = 0"), list(in_toxic)).collect()}
-    share, bar = n1 / (n1 + n0), 0.6 * np.log(len(in_toxic) + 1)       # about one term by chance, whatever the sample's size
-
-    def telling(t):
-        a, b = in_toxic[t], in_clean.get(t, 0)
-        odds = np.log((a + .5) / (n1 + 1)) - np.log((b + .5) / (n0 + 1))
-        rate = a / (a + b)
-        excess = a * np.log(rate / share) + (b * np.log((1 - rate) / (1 - share)) if b else 0.0)
-        return odds >= MIN_LOG_ODDS - np.log(2) * (b == 0) and rate > share and excess >= bar
-
-    good = [t for t in in_toxic if telling(t)]
-    return sorted(good, key=lambda t: (-in_toxic[t], t))[:most_terms]
+    of = lambda label: F.coalesce(F.sum(F.when(F.col("toxic") == label, F.col("n"))), F.lit(0))
+    met = stage(_count_terms(rows).groupBy("term").agg(of(1).alias("a"), of(0).alias("b")).where("a >= 2"), "tox-terms")
+    share, bar = n1 / (n1 + n0), 0.6 * np.log(met.count() + 1)         # few terms by chance, whatever the sample's size
+    a, b = F.col("a"), F.col("b")
+    odds = F.log((a + .5) / (n1 + 1)) - F.log((b + .5) / (n0 + 1))
+    rate = a / (a + b)
+    excess = a * F.log(rate / share) + F.when(b > 0, b * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    least = F.when(b == 0, MIN_LOG_ODDS - float(np.log(2))).otherwise(MIN_LOG_ODDS)
+    good = met.where((odds >= least) & (rate > share) & (excess >= float(bar))).orderBy(F.desc("a"), "term")
+    return [r.term for r in (good if most_terms is None else good.limit(most_terms)).select("term").collect()]
 
 
 # Voters
@@ -171,15 +164,22 @@ class Reader:
 
 
 def votes(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, mask, hits): every document's voters that fire, as bits, and the terms it holds."""
+    """(doc_id, mask, hits, c0, c1, ...): every document's voters that fire, as bits, the terms it holds, and all its columns by place."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    at = 1 + docs.columns.index("text")
+
     def run(batches):
         reader = Reader(terms)
         for b in batches:
-            got = [reader.read(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m for _, m in got], pa.int32()),
-                                              pa.array([h for h, _ in got], pa.list_(pa.int32()))], ["doc_id", "mask", "hits"])
+            got = [reader.read(t) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([g[1] for g in got], pa.int32()),
+                 pa.array([g[0] for g in got], pa.list_(pa.int32())), *b.columns[1:]],
+                ["doc_id", "mask", "hits", *b.schema.names[1:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, mask int, hits array<int>")
+    out = T.StructType([rows.schema["doc_id"], T.StructField("mask", T.IntegerType()),
+                        T.StructField("hits", T.ArrayType(T.IntegerType())), *rows.schema.fields[1:]])
+    return rows.mapInArrow(run, out)
 
 
 # Label model
@@ -308,19 +308,20 @@ def train_linear(rows: list[list[int]], y: np.ndarray, width: int, l2: float = 1
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_trained: int = MOST_TRAINED):
-    """(model, votes of all documents).  Labels (doc_id, toxic): the larger counts if a document has two; null ones do not."""
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_trained: int = MOST_TRAINED, carry: bool = False):
+    """(model, votes of all documents; with ``carry``, beside their columns, so that texts are read once).  Labels (doc_id, toxic): the larger counts if a document has two; null ones do not."""
     labels = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     terms = mine_terms(docs, labels, most_labelled)
-    cast = stage(votes(docs, terms), "tox-votes")
+    cast = votes(docs, terms)
+    cast = stage_compressed(cast, "tox-voted") if carry else stage(cast.select("doc_id", "mask", "hits"), "tox-votes")
     known = cast.join(labels.where(~held_out(F.col("doc_id"))), "doc_id", "left")
     state = F.coalesce(F.col("toxic"), F.lit(-1))
     counted = known.groupBy("mask", state.alias("state")).agg(F.count(F.lit(1)).alias("n")).collect()  # 3 x 2**16 at most
     masks, counts, states = (np.array([r[i] for r in counted], np.int64) for i in (0, 2, 1))
     label_model = fit_label_model(masks, counts.astype(float), states)
-    rows = (cast.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "mask").limit(most_trained)
-            .select("mask", "hits").collect())
+    fitted = cast.where(~held_out(F.col("doc_id"))).select("doc_id", "mask", "hits")
+    rows = lowest_by_hash(fitted, most_trained, "doc_id", "mask", "hits").select("mask", "hits").collect()
     model = Model(terms, label_model, [])
     if rows:
         y = label_model.posterior(vote_table(np.array([r.mask for r in rows])))
@@ -330,15 +331,19 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     return model, cast
 
 
-def score_votes(cast: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of already voted documents, in Spark expressions."""
-    w = F.array(*[F.lit(float(x)) for x in model.weights])
+def _score(model: Model) -> Column:
+    """A voted document's score, in Spark expressions."""
+    w = F.lit(np.array(model.weights))
     n = len(model.terms)
     z = F.aggregate("hits", F.lit(float(model.weights[-1])), lambda s, h: s + F.get(w, h))
     for j in range(VOTERS):
         z = z + F.when(F.col("mask").bitwiseAND(1 << j) != 0, F.lit(float(model.weights[n + j]))).otherwise(F.lit(0.0))
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    return (cast.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+def score_votes(cast: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of already voted documents."""
+    return (cast.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _score(model).alias("score"))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 
@@ -350,23 +355,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     row, equal texts equal scores.  An empty table gives an empty result;
     other columns are not read.
     """
-    model, cast = fit(docs, labels)
+    model, cast = fit(docs.select("doc_id", "text"), labels)
     return score_votes(cast, model)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, that score below one half."""
-    model, _ = fit(docs, labels)
-    names = docs.columns
-    at = names.index("text")
-
-    def run(batches):
-        reader, w, n = Reader(model.terms), np.array(model.weights), len(model.terms)
-        for b in batches:
-            ok = []
-            for text in b.column(at).to_pylist():
-                hits, mask = reader.read(text)
-                ok.append(w[model.features(hits, mask)].sum() + w[-1] < 0)
-            yield b.filter(pa.array(ok, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The documents, all columns, that score below one half: those that ``score_documents`` does not predict toxic."""
+    model, cast = fit(docs, labels, carry=True)
+    return cast.where(_score(model) < 0.5).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
