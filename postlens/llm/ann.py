@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.common import by_value, stage
+from postlens.llm.common import by_value, lowest_by_hash, stage
 from postlens.llm.topk import _by_dimension, _keep_best, usable
 
 by_value(__name__)
@@ -34,7 +34,7 @@ FILE_RATIO = 1.03            # a vector is also filed under centroids this near,
 MOST_COPIES = 4
 GOAL = 0.97                  # recall on the sample that the search ratio is calibrated to
 DEGREE = 24
-CELL = 8192                  # vectors scored at once
+CELL = 8192                  # vectors, and queries, of a list that meet in one cell
 HELD_ROWS = 2_000_000        # partial results a task keeps before it hands them on
 
 
@@ -134,8 +134,8 @@ def lists_for(rows: int) -> int:
     return int(max(1, min(MOST_LISTS, round(rows ** 0.5 / 4))))
 
 
-def fit(sample: np.ndarray, rows: int, norm: float, k: int) -> Index:
-    """Centroids for ``rows`` vectors, their graph, and the search ratio that reaches GOAL on the sample."""
+def fit(sample: np.ndarray, rows: int, norm: float, k: int, goal: float = GOAL) -> Index:
+    """Centroids for ``rows`` vectors, their graph, and the search ratio that reaches the recall ``goal`` on the sample."""
     x = lift(sample, norm)
     n = min(lists_for(rows), max(1, len(x) // 4))
     c = balanced_kmeans(x, n) if n > 1 else x.mean(axis=0, keepdims=True)
@@ -154,7 +154,7 @@ def fit(sample: np.ndarray, rows: int, norm: float, k: int) -> Index:
     np.put_along_axis(place, lists, ratio, axis=1)      # a query's ratio at each list
     need = np.stack([place[np.arange(len(ask))[:, None], np.where(filed[best][:, :, j] >= 0, filed[best][:, :, j], 0)]
                      + np.where(filed[best][:, :, j] >= 0, 0, np.inf) for j in range(filed.shape[1])]).min(axis=0)
-    return Index(c, graph, norm, float(np.quantile(need, GOAL)) + 1e-9)
+    return Index(c, graph, norm, float(np.quantile(need, goal)) + 1e-9)
 
 
 def _filed(x: np.ndarray, c: np.ndarray, graph: np.ndarray) -> np.ndarray:
@@ -232,7 +232,7 @@ def _score_cells(k: int):
 
         fresh = []
         for batch in batches:
-            place = batch.column(2).to_numpy(zero_copy_only=False) * (1 << 20) + batch.column(3).to_numpy(zero_copy_only=False)
+            place = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) * (1 << 40) + batch.column(3).to_numpy(zero_copy_only=False)
             query = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
             ids, flat, lens = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False), None
             if not len(ids):
@@ -262,35 +262,48 @@ def _score_cells(k: int):
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding",
-            sample: int = SAMPLE) -> DataFrame:
+            sample: int = SAMPLE, goal: float = GOAL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query, ties to the smaller id.
 
     Queries are the rows whose id is divisible by ``every``, candidates all
-    rows with another id.  Vectors null, empty, zero, of another length than
-    most of the sample, or holding null or non-finite components, and rows
-    without an id, take no part; repeated rows count once.  A query with k
-    candidates or fewer gets all of them.  An empty table gives an empty
-    result.
+    rows with another id and a vector of the same length; each length has an
+    index of its own.  Vectors null, empty, zero, or holding null or
+    non-finite components, and rows without an id, take no part; repeated rows
+    count once.  A query with k candidates or fewer gets all of them.  An
+    empty table gives an empty result.  Vectors so large that an inner product
+    may overflow a double raise ValueError.
+
+    ``goal`` is the recall that the search is calibrated to on the sample; 1
+    searches every list that held a neighbour of any sampled query.
     """
     spark = vectors.sparkSession
-    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     v = F.transform(F.col(column), lambda x: x.cast("double"))
     rows = (usable(vectors.where(F.col(key).isNotNull()), column)
             .select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
             .where(F.exists("v", lambda x: x != 0)).distinct())
     rows = stage(rows, "ann-vectors")
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()       # bounded
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not taken:
-        return empty
-    lens = np.array([len(r.v) for r in taken])
-    dim = int(np.bincount(lens).argmax())
-    rows = rows.where(F.size("v") == dim)
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    count, largest = rows.agg(F.count(F.lit(1)), F.max(norm2)).first()
-    index = fit(np.array([r.v for r in taken if len(r.v) == dim]), count, float(np.sqrt(largest)), k)
-    if count <= max(10 * k, 1000):
-        index.ratio = float("inf")                      # so few that a query may need every list
+    lengths = (rows.groupBy(F.size("v").alias("dim"))
+               .agg(F.count(F.lit(1)).alias("n"), F.max(norm2).alias("norm2"), F.count_if(F.col("vec_id") % every == 0).alias("asked"))
+               .where("asked > 0").orderBy("dim").collect())
+    found = spark.createDataFrame([], FOUND)
+    for r in lengths:                                   # one job a length that has queries
+        if not np.isfinite(r.norm2):
+            raise ValueError(f"inner products of vectors of length {r.dim} may overflow a double")
+        found = found.unionByName(_search_length(rows.where(F.size("v") == r.dim), r.n, float(np.sqrt(r.norm2)), k, every, sample, goal))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return (found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _search_length(rows: DataFrame, count: int, norm: float, k: int, every: int, sample: int, goal: float) -> DataFrame:
+    """FOUND rows, some more than k a query, among vectors of one length."""
+    tasks = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    taken = lowest_by_hash(rows, sample, "vec_id").select("v").collect()                           # bounded
+    index = fit(np.array([r.v for r in taken]), count, norm, k, goal)
     # Of equal vectors only the k + 1 smallest ids can be among the nearest.
     same = Window.partitionBy("v").orderBy("vec_id")
     kept = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("vec_id", "v")
@@ -299,15 +312,20 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     load = {r.list: r for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("nth") == 0, 1))
                                                           .alias("homes")).collect()}              # MOST_LISTS rows
     index.homes = np.array([load[i].homes if i in load else 0 for i in range(len(index.centroids))])
-    cells = F.array(*[F.lit(-(-load[i]["all"] // CELL) if i in load else 1) for i in range(len(index.centroids))])
-    posts = filed.select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), F.get(cells, F.col("list"))).cast("int").alias("cell"),
-                         F.lit(False).alias("query"))
-    asks = (_listed(rows.where(F.col("vec_id") % every == 0).repartition(tasks), index, k)
-            .select("vec_id", "v", F.explode("lists").alias("list"))
-            .select("vec_id", "v", "list", F.explode(F.sequence(F.lit(0), F.get(cells, F.col("list")) - 1)).alias("cell"),
-                    F.lit(True).alias("query")))
-    dealt = posts.unionByName(asks).repartition(tasks, "list", "cell").sortWithinPartitions("list", "cell", "query")
-    found = dealt.mapInArrow(_score_cells(k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    asked = _listed(rows.where(F.col("vec_id") % every == 0).repartition(tasks), index, k)
+    asked = stage(asked.select("vec_id", "v", F.explode("lists").alias("list")), "ann-queries")
+    asks = {r.list: r["count"] for r in asked.groupBy("list").count().collect()}                   # MOST_LISTS rows
+    # A list is a grid: its vectors are dealt over rows, its queries over columns, and each cell holds a bounded part of both.
+    grid = lambda n: F.lit(np.array([-(-max(n(i), 1) // CELL) for i in range(len(index.centroids))], np.int64))
+    down, across = grid(lambda i: load[i]["all"] if i in load else 0), grid(lambda i: asks.get(i, 0))
+
+    def dealt_over(df, mine, other, place):
+        own = F.pmod(F.xxhash64("vec_id"), F.get(mine, F.col("list")))
+        return df.select("vec_id", "v", "list", own.alias("own"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.get(other, F.col("list")) - 1)).alias("other")
+                         ).select("vec_id", "v", "list", place.alias("cell"))
+
+    posts = dealt_over(filed, down, across, F.col("own") * (1 << 20) + F.col("other")).withColumn("query", F.lit(False))
+    queries = dealt_over(asked, across, down, F.col("other") * (1 << 20) + F.col("own")).withColumn("query", F.lit(True))
+    dealt = posts.unionByName(queries).repartition(tasks, "list", "cell").sortWithinPartitions("list", "cell", "query")
+    return dealt.mapInArrow(_score_cells(k), FOUND)

@@ -140,9 +140,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     rows with another id; only vectors of one length meet.  Vectors null,
     empty or holding null or non-finite components, and rows without an id,
     take no part; repeated rows count once.  An empty table, or one without
-    queries, gives an empty result.
+    queries, gives an empty result.  Components so large that a score, or a
+    list's part of it times ``lists``, may leave 64 bits raise ValueError.
     """
     spark = vectors.sparkSession
+    largest = (usable(vectors.where(F.col(key).isNotNull()), column)
+               .groupBy(F.size(column).alias("dim")).agg(F.max(F.array_max(F.transform(F.col(column), lambda x: F.abs(x.cast("double"))))).alias("x")))
+    for r in largest.collect():                         # one row a length
+        big = abs(r.x * scale) + 1
+        if big * big * r.dim * 4 * lists >= 2.0 ** 63:
+            raise ValueError(f"scores of vectors of length {r.dim} may leave 64 bits: a component is as large as {r.x}")
     whole = stage(quantised(vectors, key, column, scale), "topk-ints")
     same = Window.partitionBy("v").orderBy("vec_id")
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
