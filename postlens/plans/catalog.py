@@ -279,7 +279,8 @@ from postlens.sources import tables as SRC  # noqa: E402
 from postlens.sources.publish import delete_file, put_bytes  # noqa: E402
 
 FX_HOLE_EVERY = 97                  # in the hole dump one post in so many has a header
-FX_SPLIT_BYTES = 1 << 18            # splits of the plain dump
+FX_SPLIT_BYTES = 1 << 18            # splits of the plain dump, at least
+FX_SPLITS = 2_000                   # splits of the plain dump, about, where it is larger
 FX_INFLATED_LINES = 20_000          # lines that a task parses of an inflated dump
 FX_SWAPPED = ("1995-03", "1997-08")
 FX_BAD_MONTH = "1996-04"            # has an unreadable file when the stream first runs
@@ -315,6 +316,11 @@ def q_rdf_hole_month(spark, sf_dir):
     return RDF.rdf_to_tables(spark, path)[1]
 
 
+def _split_bytes(size: int) -> int:
+    """Small splits, but no more of them than ``FX_SPLITS`` or so: a split costs a task and a file a kind, however small."""
+    return max(FX_SPLIT_BYTES, size // FX_SPLITS)
+
+
 def q_rdf_plain_split(spark, sf_dir):
     """Q05 on plain text files that are read in many splits."""
     c = load_corpus(spark, sf_dir)
@@ -322,7 +328,8 @@ def q_rdf_plain_split(spark, sf_dir):
     path = _scratch(spark, sf_dir, "n3plain")
     RDF.write_dump(RDF.render_dump(c.tweets, c.entities, m).withColumn("year_month", F.substring("year_month", 1, 4)), path,
                    files_per_month=1, compression="none")
-    small = {"spark.sql.files.maxPartitionBytes": str(FX_SPLIT_BYTES)}
+    size = RDF.dump_labels(spark, path).agg(F.sum("size")).first()[0] or 0
+    small = {"spark.sql.files.maxPartitionBytes": str(_split_bytes(size))}
     tweets = _with_conf(spark, small, lambda: RDF.rdf_to_tables(spark, path))[0]
     return tweets.withColumn("year_month", F.date_format("created_at", "yyyy-MM"))
 
