@@ -74,6 +74,10 @@ _PATTERNS = [RE_HEADER, RE_LIKE, RE_SHARE, RE_POS, RE_NEG, RE_LINK, RE_ENTITY, R
 _MARKERS = ["rdf:type sioc:Post", "schema:LikeAction", "schema:ShareAction", "wna:positive-emotion",
             "wna:negative-emotion", "schema:mentions", "rdf:type nee:Entity", "rdf:type sioc:UserAccount"]
 
+# What a pattern needs besides its marker, tested once for the rules that share it:
+# most lines are searched for a few short strings and not for all the markers.
+_SHARED = {"t": (0, 5), "i": (1, 2), "c": (3, 4), "r": (6, 7)}
+
 _RECORD_SCHEMA = ("fid long, block long, first long, line long, kind string, id string, a string, "
                   "b string, c string, like string, share string, pos string, neg string")
 
@@ -99,13 +103,18 @@ def _classify(lines: DataFrame) -> DataFrame:
 
     def caught(i: int):
         got = F.regexp_replace(v, *map(F.lit, several[i])) if i in several else F.regexp_extract(v, anchored[i], 1)
-        return F.when(v.contains(_MARKERS[i]), got).alias(f"c{i}")
+        shared = next(name for name, rules in _SHARED.items() if i in rules)
+        return F.when(F.col(f"has_{shared}") & v.contains(_MARKERS[i]), got).alias(f"c{i}")
 
     def matched(i: int):                     # replacing leaves a line as it is where the pattern does not match
         return F.col(f"c{i}") != (v if i in several else F.lit(""))
 
     rules = range(len(_PATTERNS))
-    found = lines.withColumnRenamed("value", "v").select("fid", "block", "line", "v", *[caught(i) for i in rules])
+    lines = lines.withColumnRenamed("value", "v").select(
+        "fid", "block", "line", "v", (v.startswith("_:t") | (v < F.lit("!"))).alias("has_t"),       # or begins with a blank
+        v.contains("schema:interactionType").alias("has_i"), v.contains("onyx:hasEmotionCategory").alias("has_c"),
+        v.contains("rdf:type ").alias("has_r"))
+    found = lines.select("fid", "block", "line", "v", *[caught(i) for i in rules])
     prefix = v.contains("@prefix") & F.btrim(v, F.lit(WS_CHARS)).startswith("@prefix")
     code = F.coalesce(*[F.when(matched(i), F.concat(F.lit(f"{i}|"), F.col(f"c{i}"))) for i in rules])
     return found.select("fid", "block", "line", F.when(~prefix, code).alias("code"))
@@ -114,21 +123,6 @@ def _classify(lines: DataFrame) -> DataFrame:
 _ATTRS = ("like", "share", "pos", "neg")
 
 
-def _posts_from(rows):
-    """One row per post: header fields + the last value of each attribute (pyarrow)."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    out = rows.filter(pc.equal(rows.column("kind"), "header")).select(
-        ["fid", "block", "first", "post_line", "a", "b", "c"])
-    attrs = rows.filter(pc.is_in(rows.column("kind"), pa.array(list(_ATTRS), pa.string())))
-    last = attrs.group_by(["post_line", "kind"], use_threads=False).aggregate([("a", "last")])
-    for k in _ATTRS:
-        one = last.filter(pc.equal(last.column("kind"), k)).select(["post_line", "a_last"])
-        out = out.join(one.rename_columns(["post_line", k]), "post_line", join_type="left outer")
-    return out
-
-
 def _last_of_each(rows):
     """A post's header and its last row of each attribute: at most five rows, however many there were."""
     import numpy as np
@@ -157,12 +151,13 @@ def _carry_forward(cut_files: bool):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        kinds = pa.array(KINDS)
+        kinds, header, entity = pa.array(KINDS), KINDS.index("header"), KINDS.index("entity")
+        link, attrs = KINDS.index("link"), [KINDS.index(k) for k in _ATTRS]
         names = ["fid", "block", "first", "line", "kind", "id", "a", "b", "c", *_ATTRS]
         types = [pa.int64()] * 4 + [pa.string()] * 9
         read = None                           # (fid, block, first, line) of the last line read
         carry = None                          # (fid, block, first, post_line, cur_id) after the last line with a code
-        pending = None                        # header and last values of the post still open
+        opened = None                         # ((fid, block, first, line) of the post still open, its header and last values)
         patch: dict[str, str] = {}            # of the current split
 
         def table(**cols):
@@ -170,17 +165,21 @@ def _carry_forward(cut_files: bool):
             return pa.table([cols[c] if c in cols else pa.nulls(n, t) for c, t in zip(names, types)],
                             schema=pa.schema(list(zip(names, types))))
 
-        def posts_of(rows):
-            posts = _posts_from(rows)
-            return table(fid=posts.column("fid"), block=posts.column("block"), first=posts.column("first"),
-                         line=posts.column("post_line"), kind=pa.array(["post"] * posts.num_rows, pa.string()),
-                         id=posts.column("a"), a=posts.column("b"), b=posts.column("c"),
-                         **{k: posts.column(k) for k in _ATTRS})
+        def split(texts):
+            """The three captures of header and entity lines."""
+            parts = pc.split_pattern(texts, SEP, max_splits=2)
+            return [pc.list_element(parts, i) for i in range(3)] if len(texts) else [texts] * 3
+
+        def picked(texts, at):
+            """``texts`` at these places; null where the place is below 0."""
+            return texts.take(pa.array(at, pa.int64(), mask=at < 0))
 
-        def refs_of(rows):
-            return table(fid=rows.column("fid"), block=rows.column("block"), first=rows.column("first"),
-                         line=rows.column("line"), kind=rows.column("kind"), id=rows.column("cur_id"),
-                         **{c: rows.column(c) for c in "abc"})
+        def close_post():
+            (fid, block, first, line), rows = opened
+            got = dict(zip(rows.column("kind").to_pylist(), rows.column("a").to_pylist()))
+            a, b, c = got["header"].split(SEP, 2)
+            return table(fid=[fid], block=[block], first=[first], line=[line], kind=["post"], id=[a], a=[b], b=[c],
+                         **{k: pa.array([got.get(k)], pa.string()) for k in _ATTRS})
 
         def end_of_split():
             fid, block, first, post_line, cur_id = carry
@@ -202,70 +201,93 @@ def _carry_forward(cut_files: bool):
                 begins[0] = read[2]
             first = begins[np.cumsum(new) - 1]
             read = (fid[-1], block[-1], first[-1], line[-1])
-            t = pa.Table.from_batches([rb]).append_column("first", pa.array(first))
-            t = t.filter(pc.is_valid(t.column("code"))).combine_chunks()
-            if t.num_rows == 0:
+            code = rb.column(rb.schema.get_field_index("code"))
+            known = pc.is_valid(code).to_numpy(zero_copy_only=False)
+            if not known.any():
                 continue
-            out = []
-            code = t.column("code").combine_chunks()
-            digit = pc.utf8_slice_codeunits(code, 0, 1)
-            kind = pc.take(kinds, pc.cast(digit, pa.int8()))
-            has_abc = pc.is_in(kind, pa.array(["header", "entity"]))
-            rest = pc.utf8_slice_codeunits(code, 2, 1 << 30)
-            parts = pc.split_pattern(pc.if_else(has_abc, rest, pa.scalar(SEP + SEP, pa.string())), SEP, max_splits=2)
-            a = pc.if_else(has_abc, pc.list_element(parts, 0), rest)
-            is_hdr = pc.equal(digit, "0")
-            post = pc.if_else(is_hdr, t.column("line").combine_chunks(), pa.scalar(None, pa.int64()))
-            cur = pc.if_else(pc.or_(is_hdr, pc.equal(digit, "5")), a, pa.scalar(None, pa.string()))
-            fid, block, first = (t.column(c).combine_chunks().to_numpy() for c in ("fid", "block", "first"))
-            new = first[1:] != first[:-1]
-            starts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(fid)]))
-            posts, curs = [], []
-            for s0, e0 in zip(starts[:-1], starts[1:]):
-                same = carry is not None and carry[2] == first[s0]
-                if carry is not None and not same and cut_files:
+            fid, block, line, first, code = fid[known], block[known], line[known], first[known], code.drop_null()
+            n, out = len(line), []
+            kind = pc.cast(pc.utf8_slice_codeunits(code, 0, 1), pa.int8()).to_numpy()
+            rest = pc.utf8_slice_codeunits(code, 2)
+            at = np.arange(n)
+            begin = np.append(True, first[1:] != first[:-1])               # of a run among these rows
+            starts = np.flatnonzero(begin)
+            run_start = starts[np.cumsum(begin) - 1]
+            same = carry is not None and carry[2] == first[0]
+            held = same & (run_start == 0)                                 # rows that the carried state reaches
+            is_hdr = kind == header
+            # the row of a line's post and of its id, -1 where it is not among these rows
+            post, cur = (np.maximum.accumulate(np.where(x, at, -1)) for x in (is_hdr, is_hdr | (kind == link)))
+            post, cur = (np.where(x >= run_start, x, -1) for x in (post, cur))
+            hdr = np.flatnonzero(is_hdr)
+            h_a, h_b, h_c = split(rest.take(pa.array(hdr)))
+            place = at.copy()
+            place[hdr] = n + np.arange(len(hdr))
+            ids = pa.concat_arrays([rest, h_a, pa.array([carry[4] if same else None], pa.string())])
+            id_at = np.where(cur >= 0, place[cur], np.where(held, n + len(hdr), -1))
+
+            # mention lines with a current id (or one to be joined)
+            is_ref = kind > link
+            if not cut_files and not (same and carry[4] is not None):
+                is_ref &= cur >= 0
+            elif not cut_files:
+                is_ref &= id_at >= 0
+            for k in (entity, KINDS.index("mention")):
+                ref = np.flatnonzero(is_ref & (kind == k))
+                if len(ref):
+                    texts = rest.take(pa.array(ref))
+                    caught = dict(zip("abc", split(texts))) if k == entity else {"a": texts}
+                    out.append(table(fid=fid[ref], block=block[ref], first=first[ref], line=line[ref],
+                                     kind=pa.array([KINDS[k]]).take(pa.array(np.zeros(len(ref), np.int8))),
+                                     id=picked(ids, id_at[ref]), **caught))
+
+            # header and attribute lines with a post
+            in_open = held & (post < 0) & (same and carry[3] is not None)
+            if len(hdr):
+                ordinal = np.cumsum(is_hdr) - 1
+                done, last = hdr[:-1], {}
+                for k, i in zip(_ATTRS, attrs):
+                    rows = np.flatnonzero((kind == i) & (post >= 0))
+                    last[k] = np.full(len(hdr), -1)
+                    last[k][ordinal[rows]] = rows                          # of several the last stays
+            mine = np.flatnonzero(in_open & (kind <= attrs[-1]))
+            if opened is not None and len(mine):
+                more = pa.table({"kind": kinds.take(pa.array(kind[mine])), "a": rest.take(pa.array(mine))})
+                opened = (opened[0], _last_of_each(pa.concat_tables([opened[1], more]).combine_chunks()))
+            if len(hdr):
+                if opened is not None:
+                    out.append(close_post())
+                if len(done):
+                    out.append(table(fid=fid[done], block=block[done], first=first[done], line=line[done],
+                                     kind=pa.array(["post"]).take(pa.array(np.zeros(len(done), np.int8))),
+                                     id=h_a[:-1], a=h_b[:-1], b=h_c[:-1],
+                                     **{k: picked(rest, last[k][:-1]) for k in _ATTRS}))
+                z = hdr[-1]
+                mine = np.array([z, *[last[k][-1] for k in _ATTRS if last[k][-1] >= 0]])
+                opened = ((int(fid[z]), int(block[z]), int(first[z]), int(line[z])),
+                          pa.table({"kind": kinds.take(pa.array(kind[mine])), "a": rest.take(pa.array(mine))}))
+
+            ends = np.append(starts[1:], n)
+            for s0, e0 in zip(starts, ends) if cut_files else [(starts[-1], n)]:
+                goes_on = bool(held[s0])
+                if carry is not None and not goes_on and cut_files:
                     out += end_of_split()
-                p_run, c_run = post.slice(s0, e0 - s0), cur.slice(s0, e0 - s0)
-                if same:
-                    p_run = pa.concat_arrays([pa.array([carry[3]], pa.int64()), p_run])
-                    c_run = pa.concat_arrays([pa.array([carry[4]], pa.string()), c_run])
-                p_run, c_run = pc.fill_null_forward(p_run), pc.fill_null_forward(c_run)
-                if same:
-                    p_run, c_run = p_run.slice(1), c_run.slice(1)
-                if cut_files and p_run.null_count:          # attributes before the split's first header
-                    early = pc.is_null(p_run)
-                    k_run, a_run = kind.slice(s0, e0 - s0).filter(early), a.slice(s0, e0 - s0).filter(early)
-                    for k in _ATTRS:
-                        at = np.flatnonzero(pc.equal(k_run, k).to_numpy(zero_copy_only=False))
-                        if len(at):
-                            patch[k] = a_run[int(at[-1])].as_py()
-                posts.append(p_run)
-                curs.append(c_run)
-                carry = (int(fid[s0]), int(block[s0]), int(first[s0]), p_run[-1].as_py(), c_run[-1].as_py())
-            post_f, cur_f = pa.concat_arrays(posts), pa.concat_arrays(curs)
-            b, c = (pc.if_else(has_abc, pc.list_element(parts, i), pa.scalar(None, pa.string())) for i in (1, 2))
-            rows = pa.table({"fid": t.column("fid"), "block": t.column("block"), "first": t.column("first"), "line": t.column("line"),
-                             "kind": kind, "post_line": post_f, "cur_id": cur_f, "a": a, "b": b, "c": c})
-            # header/attribute lines with a post; mention lines with a current id (or one to be joined)
-            is_post = pc.and_(pc.is_in(kind, pa.array(["header", *_ATTRS])), pc.is_valid(post_f))
-            is_ref = pc.is_in(kind, pa.array(["entity", "mention"]))
-            if not cut_files:
-                is_ref = pc.and_(is_ref, pc.is_valid(cur_f))
-            out.append(refs_of(rows.filter(is_ref)))
-            post_rows = rows.filter(is_post)
-            if pending is not None:
-                post_rows = pa.concat_tables([pending, post_rows])
-            if post_rows.num_rows:
-                open_line = post_rows.column("post_line")[-1]
-                still_open = pc.equal(post_rows.column("post_line"), open_line)
-                pending = _last_of_each(post_rows.filter(still_open))
-                out.append(posts_of(post_rows.filter(pc.invert(still_open))))
-            yield from pa.concat_tables(out).to_batches()
-        out = [posts_of(pending)] if pending is not None else []
+                if cut_files and post[s0] < 0 and not (goes_on and carry[3] is not None):   # attributes before the split's first header
+                    early = s0 + np.flatnonzero(post[s0:e0] < 0)
+                    for k, i in zip(_ATTRS, attrs):
+                        rows = early[kind[early] == i]
+                        if len(rows):
+                            patch[k] = rest[int(rows[-1])].as_py()
+                z, was = e0 - 1, (carry[3:] if goes_on else (None, None))
+                carry = (int(fid[s0]), int(block[s0]), int(first[s0]), int(line[post[z]]) if post[z] >= 0 else was[0],
+                         ids[int(place[cur[z]])].as_py() if cur[z] >= 0 else was[1])
+            if out:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+        out = [close_post()] if opened is not None else []
         if carry is not None and cut_files:
             out += end_of_split()
         if out:
-            yield from pa.concat_tables(out).to_batches()
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
 
     return run
 
@@ -448,55 +470,77 @@ def convert_dump(spark: SparkSession, src: str, out: str, skip_existing: bool =
 
 
 # Rendering
+FILE_RECORDS = 500_000              # posts and mentions in a rendered file, about
+_POST = ["tweet_id", "created_at", "user_id", "likes", "shares", "positive_emotion", "negative_emotion"]
+
+
 def render_dump(tweets: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Render model tables as dump lines ``(year_month, k0, k1, k2, k3, value)``.
+    """What a dump of the model tables holds, a row a post or mention: ``(year_month, k0, k1)`` and its fields.
 
-    Used to build parser inputs from the driver's tables.  Blank nodes are
-    numbered by the post id, so header id and link id agree.
+    Used to build parser inputs from the driver's tables.  ``write_dump``
+    orders the rows and spells them as lines only then, so that
+    fields are shuffled and not the lines, which are several times longer.
     """
+    k0 = F.col("tweet_id").cast("long").alias("k0")
+    p = tweets.select("year_month", k0, F.lit(0).alias("k1"), *_POST)
+    e = entities.select("year_month", k0, F.lit(1).alias("k1"), "tweet_id", "detected_as", "matched_uri", "confidence")
+    m = mentions.select("year_month", k0, F.lit(2).alias("k1"), "tweet_id", "username")
+    return p.unionByName(e, allowMissingColumns=True).unionByName(m, allowMissingColumns=True)
+
+
+def _lines():
+    """A rendered row's lines, in order, as one text.  Blank nodes are numbered by the post id, so header id and link id agree."""
+    def text(pattern, *cols):               # as format_string, which spells a null so too, but without a formatter a row
+        parts = pattern.split("%s")
+        fields = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("null")) for c in cols]
+        return F.concat(F.lit(parts[0]), *[x for pair in zip(fields, map(F.lit, parts[1:])) for x in pair])
+
     q = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
-    hdr = F.format_string(
+    hdr = text(
         '_:t%s rdf:type sioc:Post ; dc:created "%s"^^xsd:dateTime ; sioc:id "%s" ; '
         'sioc:has_creator _:u%s ;', "tweet_id",
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "tweet_id", "user_id")
-    post_lines = F.array(
+    post_lines = F.concat_ws(
+        "\n",
         hdr,
-        F.format_string('schema:interactionType schema:LikeAction ; '
-                        'schema:userInteractionCount "%s"^^xsd:integer .', q("likes")),
-        F.format_string('schema:interactionType schema:ShareAction ; '
-                        'schema:userInteractionCount "%s"^^xsd:integer .', q("shares")),
-        F.format_string('onyx:hasEmotionCategory wna:positive-emotion ; '
-                        'onyx:hasEmotionIntensity "%s"^^xsd:double .', q("positive_emotion")),
-        F.format_string('onyx:hasEmotionCategory wna:negative-emotion ; '
-                        'onyx:hasEmotionIntensity "%s"^^xsd:double .', q("negative_emotion")))
-    p = tweets.select("year_month", F.col("tweet_id").cast("long").alias("k0"),
-                      F.posexplode(post_lines).alias("k3", "value"))
-    p = p.select("year_month", "k0", F.lit(0).alias("k1"), F.lit("").alias("k2"), "k3", "value")
+        text('schema:interactionType schema:LikeAction ; '
+             'schema:userInteractionCount "%s"^^xsd:integer .', q("likes")),
+        text('schema:interactionType schema:ShareAction ; '
+             'schema:userInteractionCount "%s"^^xsd:integer .', q("shares")),
+        text('onyx:hasEmotionCategory wna:positive-emotion ; '
+             'onyx:hasEmotionIntensity "%s"^^xsd:double .', q("positive_emotion")),
+        text('onyx:hasEmotionCategory wna:negative-emotion ; '
+             'onyx:hasEmotionIntensity "%s"^^xsd:double .', q("negative_emotion")))
     node = F.concat(F.lit("e"), F.regexp_extract("matched_uri", r"(\d+)$", 1))
-    ent_lines = F.array(
-        F.format_string("_:t%s schema:mentions _:%s .", "tweet_id", node),
-        F.format_string('%s rdf:type nee:Entity ; nee:detectedAs "%s" ; nee:hasMatchedURI <%s> ; '
-                        'nee:confidence "%s"^^xsd:double .',
-                        F.concat(F.lit("_:"), node), "detected_as", "matched_uri",
-                        F.col("confidence").cast("string")))
-    e = entities.select("year_month", F.col("tweet_id").cast("long").alias("k0"), F.lit(1).alias("k1"),
-                        F.concat_ws("|", "matched_uri", F.col("confidence").cast("string")).alias("k2"),
-                        F.posexplode(ent_lines).alias("k3", "value"))
-    m = mentions.select("year_month", F.col("tweet_id").cast("long").alias("k0"), F.lit(2).alias("k1"),
-                        F.col("username").alias("k2"), F.lit(0).alias("k3"),
-                        F.format_string('_:m%s rdf:type sioc:UserAccount ; sioc:name "%s" .',
-                                        "tweet_id", "username").alias("value"))
-    return p.unionByName(e).unionByName(m)
-
-
-def write_dump(lines: DataFrame, out: str, files_per_month: int = 2, compression: str = "gzip") -> None:
-    """Write rendered lines as text, posts contiguous and in order per file.
+    ent_lines = F.concat_ws(
+        "\n",
+        text("_:t%s schema:mentions _:%s .", "tweet_id", node),
+        text('%s rdf:type nee:Entity ; nee:detectedAs "%s" ; nee:hasMatchedURI <%s> ; '
+             'nee:confidence "%s"^^xsd:double .',
+             F.concat(F.lit("_:"), node), "detected_as", "matched_uri",
+             F.col("confidence").cast("string")))
+    user = text('_:m%s rdf:type sioc:UserAccount ; sioc:name "%s" .', "tweet_id", "username")
+    return F.when(F.col("k1") == 0, post_lines).when(F.col("k1") == 1, ent_lines).otherwise(user)
+
+
+def write_dump(rows: DataFrame, out: str, files_per_month: int = 2, compression: str = "gzip",
+               file_records: int = FILE_RECORDS) -> None:
+    """Write rendered rows as text, posts contiguous and in order per file.
 
     Each month is spread over ``files_per_month`` hash buckets of the post
-    key, so a month is never one task and a post never spans two files.
+    key, or over as many more as keep a file to about ``file_records`` rows:
+    a file is a task's work, whatever the month holds, and a post never spans
+    two files.
     """
-    bucket = F.pmod(F.xxhash64("k0"), F.lit(max(1, files_per_month)))
-    (lines.repartition("year_month", bucket)
-     .sortWithinPartitions("year_month", "k0", "k1", "k2", "k3")
-     .select("year_month", "value")
+    rows = cut_lineage(rows, "dump-rows")
+    files = cut_lineage(rows.groupBy("year_month").agg(
+        F.greatest(F.lit(max(1, files_per_month)), F.ceil(F.count(F.lit(1)) / file_records)).alias("files")), "dump-files-of")   # a row a month
+    n_files = files.agg(F.sum("files")).first()[0] or 1
+    of = F.broadcast(files.withColumnRenamed("year_month", "of_month"))
+    k2 = F.when(F.col("k1") == 1, F.concat_ws("|", "matched_uri", F.col("confidence").cast("string"))).otherwise(F.col("username"))
+    # A row is written as one text: no step after the sort may ask for another.
+    (rows.join(of, F.col("year_month").eqNullSafe(F.col("of_month")))
+     .repartition(int(n_files), "year_month", F.pmod(F.xxhash64("k0"), "files")).drop("of_month", "files")
+     .withColumn("k2", k2).sortWithinPartitions("year_month", "k0", "k1", "k2")
+     .select("year_month", _lines().alias("value"))
      .write.mode("overwrite").partitionBy("year_month").option("compression", compression).text(out))

@@ -249,3 +249,46 @@ def test_blanks_before_a_line(spark, blank):
     lines = [HEADER % (1, 1), LIKE % 5, LINK % 9, ENTITY % ("a", 1)]
     assert parsed(spark, [blank + x + blank for x in lines]) == brute(lines)
     assert parsed(spark, [blank + "@prefix x: " + x for x in lines]) == ([], [])
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_a_large_month_is_written_in_more_files_with_posts_whole(spark, compression):
+    """A file is a task's work: it holds about so many rows, whatever its month holds."""
+    from postlens.sources import rdf
+    n = 400
+    tweets = spark.range(n).selectExpr(
+        "CAST(id AS string) tweet_id", "TIMESTAMP_NTZ '2013-01-05 10:00:00' created_at", "'ab' user_id", "CAST(id % 9 AS int) likes",
+        "IF(id % 5 = 0, NULL, 1) shares", "CAST(0.5 AS float) positive_emotion", "CAST(NULL AS float) negative_emotion",
+        "IF(id < 390, '2013-01', '2013-02') year_month")
+    entities = spark.range(3 * n).selectExpr(
+        "CAST(id % 400 AS string) tweet_id", "concat('n', id) detected_as", "concat('u:', id) matched_uri",
+        "CAST(-1 AS float) confidence", "IF(id % 400 < 390, '2013-01', '2013-02') year_month")
+    mentions = tweets.selectExpr("tweet_id", "concat('m', tweet_id) username", "year_month")
+    out = os.path.join(tempfile.mkdtemp(prefix="postlens-dump-"), "d")
+    rdf.write_dump(rdf.render_dump(tweets, entities, mentions), out, 1, compression, file_records=100)
+    files = [x for x in os.listdir(f"{out}/year_month=2013-01") if x.startswith("part")]
+    assert len(files) > 10 and len([x for x in os.listdir(f"{out}/year_month=2013-02") if x.startswith("part")]) == 1
+    tw, ent, men = rdf.rdf_to_tables(spark, out)
+    keys = ["tweet_id", "likes", "year_month"]
+    assert sorted(map(tuple, tw.select(*keys).collect())) == sorted(map(tuple, tweets.select(*keys).collect()))
+    assert {r.shares for r in tw.collect()} == {0, 1} and {r.negative_emotion for r in tw.collect()} == {0.0}
+    names = ["tweet_id", "detected_as", "year_month"]
+    assert sorted(map(tuple, ent.select(*names).collect())) == sorted(map(tuple, entities.select(*names).collect()))
+    assert sorted(map(tuple, men.collect())) == sorted(map(tuple, mentions.collect()))
+
+
+def test_a_dump_row_is_shuffled_as_fields_and_sorted_once(spark):
+    from postlens.sources import rdf
+    rows = rdf.render_dump(*[spark.createDataFrame([], s + ", year_month string") for s in (
+        "tweet_id string, created_at timestamp_ntz, user_id string, likes int, shares int, positive_emotion float, negative_emotion float",
+        "tweet_id string, detected_as string, matched_uri string, confidence float", "tweet_id string, username string")])
+    assert "value" not in rows.columns
+    text = rows.sortWithinPartitions("year_month", "k0").select("year_month", rdf._lines().alias("value"))
+    assert "Generate" not in text._jdf.queryExecution().executedPlan().toString()
+
+
+def test_splits_of_a_plain_dump_grow_with_it():
+    from postlens.plans import catalog
+    assert catalog._split_bytes(0) == catalog._split_bytes(1 << 24) == catalog.FX_SPLIT_BYTES
+    for size in (1 << 34, 1 << 37):
+        assert size / catalog._split_bytes(size) <= catalog.FX_SPLITS + 1
