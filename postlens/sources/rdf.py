@@ -489,7 +489,7 @@ def render_dump(tweets: DataFrame, entities: DataFrame, mentions: DataFrame) ->
 
 
 def _lines():
-    """A rendered row's lines, in order, as one text.  Blank nodes are numbered by the post id, so header id and link id agree."""
+    """A rendered row as one text: line ``k3`` of a post, both lines of an entity.  Blank nodes are numbered by the post id, so header id and link id agree."""
     def text(pattern, *cols):               # as format_string, which spells a null so too, but without a formatter a row
         parts = pattern.split("%s")
         fields = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("null")) for c in cols]
@@ -500,17 +500,17 @@ def _lines():
         '_:t%s rdf:type sioc:Post ; dc:created "%s"^^xsd:dateTime ; sioc:id "%s" ; '
         'sioc:has_creator _:u%s ;', "tweet_id",
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "tweet_id", "user_id")
-    post_lines = F.concat_ws(
-        "\n",
-        hdr,
-        text('schema:interactionType schema:LikeAction ; '
-             'schema:userInteractionCount "%s"^^xsd:integer .', q("likes")),
-        text('schema:interactionType schema:ShareAction ; '
-             'schema:userInteractionCount "%s"^^xsd:integer .', q("shares")),
-        text('onyx:hasEmotionCategory wna:positive-emotion ; '
-             'onyx:hasEmotionIntensity "%s"^^xsd:double .', q("positive_emotion")),
-        text('onyx:hasEmotionCategory wna:negative-emotion ; '
-             'onyx:hasEmotionIntensity "%s"^^xsd:double .', q("negative_emotion")))
+    at = F.col("k3")
+    post_line = (
+        F.when(at == 0, hdr)
+        .when(at == 1, text('schema:interactionType schema:LikeAction ; '
+                            'schema:userInteractionCount "%s"^^xsd:integer .', q("likes")))
+        .when(at == 2, text('schema:interactionType schema:ShareAction ; '
+                            'schema:userInteractionCount "%s"^^xsd:integer .', q("shares")))
+        .when(at == 3, text('onyx:hasEmotionCategory wna:positive-emotion ; '
+                            'onyx:hasEmotionIntensity "%s"^^xsd:double .', q("positive_emotion")))
+        .otherwise(text('onyx:hasEmotionCategory wna:negative-emotion ; '
+                        'onyx:hasEmotionIntensity "%s"^^xsd:double .', q("negative_emotion"))))
     node = F.concat(F.lit("e"), F.regexp_extract("matched_uri", r"(\d+)$", 1))
     ent_lines = F.concat_ws(
         "\n",
@@ -520,7 +520,7 @@ def _lines():
              F.concat(F.lit("_:"), node), "detected_as", "matched_uri",
              F.col("confidence").cast("string")))
     user = text('_:m%s rdf:type sioc:UserAccount ; sioc:name "%s" .', "tweet_id", "username")
-    return F.when(F.col("k1") == 0, post_lines).when(F.col("k1") == 1, ent_lines).otherwise(user)
+    return F.when(F.col("k1") == 0, post_line).when(F.col("k1") == 1, ent_lines).otherwise(user)
 
 
 def write_dump(rows: DataFrame, out: str, files_per_month: int = 2, compression: str = "gzip",
@@ -538,9 +538,10 @@ def write_dump(rows: DataFrame, out: str, files_per_month: int = 2, compression:
     n_files = files.agg(F.sum("files")).first()[0] or 1
     of = F.broadcast(files.withColumnRenamed("year_month", "of_month"))
     k2 = F.when(F.col("k1") == 1, F.concat_ws("|", "matched_uri", F.col("confidence").cast("string"))).otherwise(F.col("username"))
-    # A row is written as one text: no step after the sort may ask for another.
+    k3 = F.when(F.col("k1") == 0, F.sequence(F.lit(0), F.lit(4))).otherwise(F.array(F.lit(0)))    # of a repeated post all headers come first
+    # A sorted row is written as one text: no step after the sort may ask for another.
     (rows.join(of, F.col("year_month").eqNullSafe(F.col("of_month")))
      .repartition(int(n_files), "year_month", F.pmod(F.xxhash64("k0"), "files")).drop("of_month", "files")
-     .withColumn("k2", k2).sortWithinPartitions("year_month", "k0", "k1", "k2")
+     .withColumns({"k2": k2, "k3": F.explode(k3)}).sortWithinPartitions("year_month", "k0", "k1", "k2", "k3")
      .select("year_month", _lines().alias("value"))
      .write.mode("overwrite").partitionBy("year_month").option("compression", compression).text(out))

@@ -283,7 +283,7 @@ def test_a_dump_row_is_shuffled_as_fields_and_sorted_once(spark):
         "tweet_id string, created_at timestamp_ntz, user_id string, likes int, shares int, positive_emotion float, negative_emotion float",
         "tweet_id string, detected_as string, matched_uri string, confidence float", "tweet_id string, username string")])
     assert "value" not in rows.columns
-    text = rows.sortWithinPartitions("year_month", "k0").select("year_month", rdf._lines().alias("value"))
+    text = rows.withColumn("k3", F.lit(0)).sortWithinPartitions("year_month", "k0", "k3").select("year_month", rdf._lines().alias("value"))
     assert "Generate" not in text._jdf.queryExecution().executedPlan().toString()
 
 
@@ -292,3 +292,15 @@ def test_splits_of_a_plain_dump_grow_with_it():
     assert catalog._split_bytes(0) == catalog._split_bytes(1 << 24) == catalog.FX_SPLIT_BYTES
     for size in (1 << 34, 1 << 37):
         assert size / catalog._split_bytes(size) <= catalog.FX_SPLITS + 1
+
+
+def test_of_a_repeated_post_the_last_header_has_the_values(spark):
+    from postlens.sources import rdf
+    post = ("7", None, "ab", 3, 4, 0.5, 0.25, "2013-01")
+    tweets = spark.createDataFrame([post, post], "tweet_id string, created_at string, user_id string, likes int, shares int, "
+                                                 "positive_emotion float, negative_emotion float, year_month string")
+    tweets = tweets.withColumn("created_at", F.expr("TIMESTAMP_NTZ '2013-01-05 10:00:00'"))
+    none = spark.createDataFrame([], "tweet_id string, detected_as string, matched_uri string, confidence float, year_month string")
+    out = os.path.join(tempfile.mkdtemp(prefix="postlens-dump-"), "d")
+    rdf.write_dump(rdf.render_dump(tweets, none, none.selectExpr("tweet_id", "detected_as username", "year_month")), out)
+    assert sorted((r.likes, r.shares) for r in rdf.rdf_to_tables(spark, out)[0].collect()) == [(0, 0), (3, 4)]
