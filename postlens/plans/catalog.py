@@ -410,8 +410,9 @@ def _merged_state(spark, sf_dir):
         cut = F.col("created_at") <= F.to_timestamp(F.lit(FX_FIRST_WAVE_END + " 23:59:59"))
         first = F.pmod(F.col("tweet_id").cast("long"), F.lit(3)) == 0
         for posts, mentions in ((cut, first), (~cut, ~first)):
-            tw.filter(posts).write.mode("append").partitionBy("year_month").parquet(f"{root}/tweets")
-            ent.filter(mentions).write.mode("append").partitionBy("year_month").parquet(f"{root}/entities")
+            for rows, source in ((tw.filter(posts), "tweets"), (ent.filter(mentions), "entities")):
+                # a month's rows in files of Spark's advisory size, not one a task
+                rows.hint("rebalance", "year_month").write.mode("append").partitionBy("year_month").parquet(f"{root}/{source}")
             STATE.merge_months(spark, f"{root}/tweets", f"{root}/entities", f"{root}/state", DATE_TOP_N)
         _MERGED[key] = f"{root}/state"
     return _MERGED[key]

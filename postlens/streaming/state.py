@@ -32,7 +32,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.columns import signal_mean
@@ -56,6 +56,9 @@ SCHEMAS = {
     "rest": f"year_month string, label string, {_MEASURES}",
     "files": f"{FILE_SCHEMA}, v int",
 }
+_SUMS = "positive_sentiment:double,negative_sentiment:double,likes:bigint,shares:bigint,n:bigint"
+_HELD = f"struct<new:boolean,{_SUMS}>"                         # a post's sums by sentiments
+_MOVE = f"struct<name:string,label:string,{_SUMS}>"
 MOST_DELTAS = 16
 
 
@@ -100,7 +103,7 @@ class MonthState:
         """Rows to be added up; those of ``months`` only, by the files' own statistics."""
         folders = [f"{self.place}/{self.tables[self.name(table, v)]}" for v in self.deltas]
         if not folders:
-            return self.spark.createDataFrame([], SCHEMAS[table])
+            return self.spark.createDataFrame([], SCHEMAS[table]).limit(0)      # known to be empty: joins with it are left out
         rows = self.spark.read.schema(SCHEMAS[table]).parquet(*folders)
         if months is not None:
             rows = rows.filter(F.col("year_month").isin(months))
@@ -130,6 +133,68 @@ def _read_files(spark: SparkSession, files: list[str], schema) -> DataFrame:
             .withColumn("year_month", month_label()))
 
 
+def _touched(posts: DataFrame, pairs: DataFrame, d_posts: DataFrame, d_pairs: DataFrame, tops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The state's rows of the posts that a merge may change, if these are few enough to broadcast; else all its rows.
+
+    A post is touched by new rows and new names, and by a name of its own that entered or left the top.
+    """
+    if d_posts.count() + d_pairs.count() > MOST_BROADCAST_NAMES:
+        return posts, pairs
+    moved = pairs.join(tops.filter("was != now"), ["year_month", "name"], "left_semi")
+    touched = cut_lineage(d_posts.select(*KEY).unionByName(d_pairs.select(*KEY)).unionByName(moved.select(*KEY)), "touched-posts")
+    if touched.count() > MOST_BROADCAST_NAMES:
+        return posts, pairs
+    return tuple(rows.join(F.broadcast(touched), KEY, "left_semi") for rows in (posts, pairs))
+
+
+def _moves(posts: DataFrame, pairs: DataFrame, d_posts: DataFrame, d_pairs: DataFrame, tops: DataFrame) -> DataFrame:
+    """What a merge adds to ``sums`` (rows with a ``name``) and to ``rest`` (rows with a ``label``).
+
+    Posts and their names meet in one shuffle: every row of a post sees the
+    post's sums by sentiments (``held``, some few) and whether names of it
+    were, and are now, at the top.
+    """
+    measures = [*SENTIMENTS, "likes", "shares", "n"]
+    mentions = (pairs.withColumn("new", F.lit(False)).unionByName(d_pairs.withColumn("new", F.lit(True)))
+                .join(tops, ["year_month", "name"], "left")
+                .select(*KEY, "name", "new", "was", "now", F.lit(None).cast(_HELD).alias("post")))
+    own = (posts.withColumn("new", F.lit(False)).unionByName(d_posts.filter("tweet_id IS NOT NULL").withColumn("new", F.lit(True)))
+           .select(*KEY, F.lit(None).cast("string").alias("name"), "new", F.lit(None).cast("boolean").alias("was"),
+                   F.lit(None).cast("boolean").alias("now"), F.struct("new", *measures).alias("post")))
+    post, mention = Window.partitionBy(*KEY), F.col("post").isNull()
+
+    def seen(c: Column) -> Column:
+        return F.coalesce(F.max(c).over(post), F.lit(False))
+
+    def bucket(mentioned: Column, named: Column) -> Column:
+        return F.when(~mentioned, NONE).when(~named, OTHER)
+
+    rows = mentions.unionByName(own).select(
+        "year_month", "name", "new", "post", F.collect_list("post").over(post).alias("held"),
+        bucket(seen(mention & ~F.col("new")), seen(~F.col("new") & F.col("was"))).alias("before"),
+        bucket(seen(mention), seen(F.col("now"))).alias("after"))
+    none = F.lit(None).cast("string")
+    # A new name takes all rows of its post, a known one the new rows; a new row goes under its label, a known one may change it.
+    to_sums = F.transform(F.filter("held", lambda h: F.col("new") | h["new"]),
+                          lambda h: F.struct(F.col("name").alias("name"), none.alias("label"), *[h[c].alias(c) for c in measures]))
+
+    def under(label: str, sign: int) -> Column:
+        return F.struct(none.alias("name"), F.col(label).alias("label"), *[F.col(f"post.{c}").alias(c) for c in SENTIMENTS],
+                        *[(F.lit(sign) * F.col(f"post.{c}")).alias(c) for c in ("likes", "shares", "n")])
+
+    nothing = F.array().cast(f"array<{_MOVE}>")
+    to_rest = (F.when(F.col("new"), F.array(under("after", 1)))
+               .when(~F.col("before").eqNullSafe(F.col("after")), F.array(under("before", -1), under("after", 1)))
+               .otherwise(nothing))
+    found = rows.select("year_month", F.explode(F.when(~mention, to_rest).when(F.col("name").isNotNull(), to_sums)
+                                                .otherwise(nothing)).alias("x")).select("year_month", "x.*")
+    whole = d_posts.select("year_month", none.alias("name"), F.lit(ALL).alias("label"),
+                           *[F.lit(0.0).alias(c) for c in SENTIMENTS], "likes", "shares", "n")
+    unkeyed = d_posts.filter("tweet_id IS NULL").select("year_month", none.alias("name"), F.lit(NONE).alias("label"), *measures)
+    return _total(found.filter("name IS NOT NULL OR label IS NOT NULL").unionByName(unkeyed).unionByName(whole),
+                  "year_month", "name", "label", *SENTIMENTS)
+
+
 def _merge(state: MonthState, new: DataFrame, months: list[str], v: int) -> dict[str, DataFrame]:
     """The differences that the new files make to each table of the state."""
     spark = state.spark
@@ -143,45 +208,25 @@ def _merge(state: MonthState, new: DataFrame, months: list[str], v: int) -> dict
     posts, pairs = state.read("posts", months).drop("v"), state.read("pairs", months).drop("v")
 
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in KEY] + [F.col("a.name").eqNullSafe(F.col("b.name"))]
-    met = pairs.join(mentioned.select(*KEY).distinct(), KEY, "left_semi")
-    d_pairs = cut_lineage(mentioned.alias("a").join(met.alias("b"), same, "left_anti"), "new-pairs")
-    every = pairs.withColumn("old", F.lit(True)).unionByName(d_pairs.withColumn("old", F.lit(False)))
+    d_pairs = mentioned
+    if state.deltas:
+        met = pairs.alias("a").join(mentioned.alias("b"), same, "left_semi")
+        d_pairs = cut_lineage(mentioned.alias("a").join(met.alias("b"), same, "left_anti"), "new-pairs")
 
     counts = state.read("counts", months).drop("v")
-    d_counts = d_pairs.filter("name IS NOT NULL").groupBy("year_month", "name").agg(F.count(F.lit(1)).alias("n_posts"))
+    d_counts = cut_lineage(d_pairs.filter("name IS NOT NULL").groupBy("year_month", "name")
+                           .agg(F.count(F.lit(1)).alias("n_posts")), "new-counts")
     tops = (state.top(counts).withColumn("was", F.lit(True))
             .join(state.top(counts.unionByName(d_counts)).withColumn("now", F.lit(True)), ["year_month", "name"], "full_outer")
             .filter(F.col("name") != OTHER).na.fill(False, ["was", "now"]))
     tops = _small(cut_lineage(tops, "tops"), state.top_n)
 
-    d_sums = (d_posts.join(every.filter("name IS NOT NULL").drop("old"), KEY)
-              .unionByName(posts.join(d_pairs.filter("name IS NOT NULL"), KEY)))
-
-    moved = pairs.join(tops.filter("was != now"), ["year_month", "name"], "left_semi")
-    touched = (d_posts.filter("tweet_id IS NOT NULL").select(*KEY).unionByName(d_pairs.select(*KEY))
-               .unionByName(moved.select(*KEY)).distinct())
-    touched = cut_lineage(touched, "touched-posts")
-    held = (every.join(touched, KEY, "left_semi").join(tops, ["year_month", "name"], "left").groupBy(*KEY)
-            .agg(F.bool_or("old").alias("had"), F.coalesce(F.bool_or(F.col("old") & F.col("was")), F.lit(False)).alias("was"),
-                 F.coalesce(F.bool_or("now"), F.lit(False)).alias("now")))
-
-    def bucket(mentions: Column, named: str) -> Column:
-        return F.when(~F.coalesce(mentions, F.lit(False)), NONE).when(~F.col(named), OTHER)
-
-    labels = touched.join(held, KEY, "left").select(
-        *KEY, bucket(F.col("had"), "was").alias("before"), bucket(F.col("had").isNotNull(), "now").alias("after"))
-    labels = cut_lineage(labels, "labels")
-    measures = ["year_month", "label", *SENTIMENTS, "likes", "shares", "n"]
-    changed = posts.join(labels.filter(~F.col("before").eqNullSafe(F.col("after"))), KEY)
-    back = changed.withColumns({c: -F.col(c) for c in ("likes", "shares", "n")}).withColumn("label", F.col("before"))
-    fresh = (d_posts.join(labels, KEY, "left")
-             .withColumn("label", F.when(F.col("tweet_id").isNull(), NONE).otherwise(F.col("after"))))
-    whole = d_posts.withColumns({"label": F.lit(ALL), **{c: F.lit(0.0) for c in SENTIMENTS}})
-    d_rest = (back.select(*measures).unionByName(changed.withColumn("label", F.col("after")).select(*measures))
-              .unionByName(fresh.select(*measures)).filter("label IS NOT NULL").unionByName(whole.select(*measures)))
+    if state.deltas:
+        posts, pairs = _touched(posts, pairs, d_posts, d_pairs, tops)
+    moves = cut_lineage(_moves(posts, pairs, d_posts, d_pairs, tops), "moves")
     return {"posts": d_posts.filter("tweet_id IS NOT NULL"), "pairs": d_pairs, "counts": d_counts,
-            "sums": _total(d_sums, "year_month", "name", *SENTIMENTS),
-            "rest": _total(d_rest, "year_month", "label", *SENTIMENTS).filter("n != 0 OR likes != 0 OR shares != 0"),
+            "sums": moves.filter("name IS NOT NULL").drop("label"),
+            "rest": moves.filter("label IS NOT NULL AND (n != 0 OR likes != 0 OR shares != 0)").drop("name"),
             "files": new.select(*FILE)}
 
 

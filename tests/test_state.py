@@ -150,3 +150,31 @@ def test_streamed_merges_and_another_top_n(spark):
         check(spark, root)
     with pytest.raises(ValueError):
         ST.state_rows(spark, f"{root}/state", "date", 5)
+
+
+def test_a_merge_too_large_to_look_posts_up(spark, monkeypatch):
+    """All posts of the months are gone through instead of the touched ones: the same state, and one shuffle of posts and names."""
+    monkeypatch.setattr(ST, "MOST_BROADCAST_NAMES", 0)
+    root = start(spark)
+    put(tweets(spark, [("2013-01", i, 5, 1, 0.5, 0) for i in ("2", "2", "5", "9", None)]), f"{root}/tweets")
+    put(entities(spark, [("2013-01", i, n) for i in "01259" for n in ("c", "d", None)] + [("2013-02", "5", None)]), f"{root}/entities")
+    seen, moves = [], ST._moves
+    monkeypatch.setattr(ST, "_moves", lambda *a: seen.append(moves(*a)) or seen[-1])
+    assert merge(spark, root) == {m: "built" for m in MONTHS[:2]}
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(year_month#") == 2 and "tweet_id" in plan     # by post, and the sums
+    check(spark, root)
+
+
+def test_the_fixture_writes_a_month_in_few_files(spark, tmp_path):
+    from postlens.plans import catalog
+    orders = spark.range(240).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "1.0D * id AS o_totalprice",
+                                         "CAST(add_months(DATE '1998-01-05', CAST(id % 3 AS INT)) AS TIMESTAMP) AS o_orderdate")
+    lines = spark.range(480).selectExpr("id % 240 AS l_orderkey", "id % 5 AS l_partkey", "0.0D AS l_discount")
+    parts = spark.range(5).selectExpr("id AS p_partkey", "concat('B', id) AS p_brand", "'PROMO' AS p_type")
+    for name, rows, n in (("orders", orders, 8), ("lineitem", lines, 8), ("part", parts, 1)):
+        rows.repartition(n).write.parquet(f"{tmp_path}/{name}.parquet")
+    root = os.path.dirname(catalog._merged_state(spark, str(tmp_path)))
+    for source, of in (("tweets", 240), ("entities", 480)):
+        assert spark.read.parquet(f"{root}/{source}").count() == of
+        assert sum(len(files(f"{root}/{source}/{m}")) for m in os.listdir(f"{root}/{source}") if m.startswith("year_month=")) <= 12
