@@ -37,22 +37,36 @@ def gold_month(spark, sf_dir):
     return materialize(spark, sf_dir, "month", lambda: q_month_table(spark, sf_dir))
 
 
-def _gold_with_redactions(spark, sf_dir, kind):
+def _gold_paths(spark, sf_dir, kind):
+    """(table, its redaction list), and whether both were written."""
+    paths = [gold_path(spark, sf_dir, name) for name in (kind, f"{kind}_redactions")]
+    return paths, all(is_complete(spark, p) for p in paths)
+
+
+def _gold_with_redactions(spark, sf_dir, kind, facts=None):
     """Build a table once and write it with its redaction list (as the builders do).
 
     Both are read back when both exist; if either is missing both are rebuilt.
     """
-    t_path, r_path = gold_path(spark, sf_dir, kind), gold_path(spark, sf_dir, f"{kind}_redactions")
-    if is_complete(spark, t_path) and is_complete(spark, r_path):
-        return spark.read.parquet(t_path), spark.read.parquet(r_path)
-    c = load_corpus(spark, sf_dir)
-    fn, n = (TB.date_table, DATE_TOP_N) if kind == "date" else (TB.entity_table, ENTITY_TOP_N)
-    table, red = fn(c.tweets, c.entities, n, c.words, with_redactions=True)
-    red.write.mode("overwrite").parquet(r_path)
-    table.write.mode("overwrite").parquet(t_path)
+    (t_path, r_path), complete = _gold_paths(spark, sf_dir, kind)
+    if not complete:
+        c = load_corpus(spark, sf_dir)
+        fn, n = (TB.date_table, DATE_TOP_N) if kind == "date" else (TB.entity_table, ENTITY_TOP_N)
+        table, red = fn(c.tweets, c.entities, n, c.words, with_redactions=True, facts=facts)
+        red.write.mode("overwrite").parquet(r_path)
+        table.write.mode("overwrite").parquet(t_path)
     return spark.read.parquet(t_path), spark.read.parquet(r_path)
 
 
+def _gold_date_and_entity(spark, sf_dir):
+    """Both tables with their redactions; if both are missing, posts and mentions are read and joined once for the two."""
+    kinds, facts = ("date", "entity"), None
+    if not any(_gold_paths(spark, sf_dir, k)[1] for k in kinds):
+        c = load_corpus(spark, sf_dir)
+        facts = TB.post_facts(c.tweets, c.entities)
+    return {k: _gold_with_redactions(spark, sf_dir, k, facts) for k in kinds}
+
+
 def gold_date(spark, sf_dir):
     return _gold_with_redactions(spark, sf_dir, "date")[0]
 
@@ -63,9 +77,8 @@ def gold_entity(spark, sf_dir):
 
 def q_redaction_table(spark, sf_dir):
     """Q04: the side table after the date run, then the entity run (S9 upsert)."""
-    red_d = _gold_with_redactions(spark, sf_dir, "date")[1]
-    red_e = _gold_with_redactions(spark, sf_dir, "entity")[1]
-    return redaction_table(red_e, existing=redaction_table(red_d))
+    gold = _gold_date_and_entity(spark, sf_dir)
+    return redaction_table(gold["entity"][1], existing=redaction_table(gold["date"][1]))
 
 
 QUERIES: dict[str, Query] = {
@@ -164,10 +177,9 @@ def q_entity_sentiment_profile(spark, sf_dir):
 
 def q_quality_checks(spark, sf_dir):
     c = load_corpus(spark, sf_dir)
-    red = (_gold_with_redactions(spark, sf_dir, "date")[1]
-           .unionByName(_gold_with_redactions(spark, sf_dir, "entity")[1]))
-    return quality_checks(c.tweets, c.entities, gold_month(spark, sf_dir), gold_date(spark, sf_dir),
-                          gold_entity(spark, sf_dir), DATE_TOP_N, ENTITY_TOP_N, red)
+    (date, red_d), (entity, red_e) = _gold_date_and_entity(spark, sf_dir).values()
+    return quality_checks(c.tweets, c.entities, gold_month(spark, sf_dir), date, entity,
+                          DATE_TOP_N, ENTITY_TOP_N, red_d.unionByName(red_e))
 
 
 QUERIES.update({
@@ -439,7 +451,7 @@ class _Interrupted(Exception):
 def _published(spark, sf_dir):
     """The date and entity tables published by swap, with a writer that dies between its data and the pointer."""
     root = _scratch(spark, sf_dir, "published")
-    gold = {k: _gold_with_redactions(spark, sf_dir, k) for k in ("date", "entity")}
+    gold = _gold_date_and_entity(spark, sf_dir)
 
     def version(kind, table, red):
         side = redaction_table(red, PUB.read_published(spark, root, "redactions"))

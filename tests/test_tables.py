@@ -1,5 +1,7 @@
 """Hand-written trap cases for the table builders (FIXTURES.md §2.3)."""
 
+import pytest
+
 from postlens.operators import tables as TB
 from tests.helpers import entities, rows, tweets
 
@@ -159,3 +161,39 @@ def test_ordered_results(spark):
     assert [r.year_month for r in R.monthly_volume(t).collect()] == ["2013-01", "2013-02"]
     assert [(r.year_month, r.redacted) for r in X.redacted_share(t).collect()] == [("2013-01", False), ("2013-01", True), ("2013-02", False)]
     assert [r.entity for r in X.keyword_group(t, {"g": "x"}).collect()] == ["a x", "c x", "b x"]
+
+
+@pytest.mark.parametrize("listed", [TB.MOST_LISTED_NAMES, 0])
+def test_tables_of_shared_facts_equal_those_of_the_rows(spark, monkeypatch, listed):
+    monkeypatch.setattr(TB, "MOST_LISTED_NAMES", listed)
+    t = tweets(spark, [(M, "1", 2, 1, 1.0, 0), (M, "1", 3, 1, 0.0, -0.1), (M, "1", 3, 1, 0.0, -0.1), (M, "2", None, 4, None, 0.3),
+                       (M, "3", 7, 0, 0.6, 0), (M, "4", 1, 1, 0, 0), (M, "5", 9, 9, 0, 1.0), (M, None, 5, 5, 0, 0),
+                       (None, "1", 6, 6, 0, 0), (None, None, 8, 8, 0, 0), ("2013-02", "1", 1, 0, 0.5, 0), ("2013-03", "1", 1, 0, 0, 0)])
+    e = entities(spark, [(M, "1", "a"), (M, "1", "a"), (M, "1", "b"), (M, "2", "a"), (M, "2", "Other"), (M, "3", "Other"),
+                         (M, "3", None), (M, "4", None), (M, "9", "ghost"), (M, "8", "ghost"), (M, "7", "ghost"), (M, "7", "None"),
+                         (M, None, "a"), (None, "1", "a"), ("2013-02", "1", "None"), ("2013-02", "6", "z")])
+    facts = TB.post_facts(t, e)
+    for build in (TB.date_rows, TB.entity_rows):
+        for n in (1, 2, 3, 10):
+            want, got = build(t, e, n), build(t, e, n, facts)
+            assert got.dtypes == want.dtypes
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), (build.__name__, n)
+
+
+def test_published_tables_read_the_mentions_once(spark, monkeypatch):
+    import uuid
+
+    from postlens.plans import catalog as C
+    from postlens.sources.fixtures import Corpus
+    words = spark.createDataFrame([("bad",)], "word string")
+    t = tweets(spark, [(M, "1", 1, 0, 0, 0), (M, "2", 2, 0, 0.5, 0), (M, "3", 4, 0, 0, 0)])
+    e = entities(spark, [(M, "1", "bad name"), (M, "2", "good name"), (M, "2", "bad name")])
+    seen, post_names = [], TB.post_names
+    monkeypatch.setattr(C, "load_corpus", lambda *a: Corpus(t, e, words))
+    monkeypatch.setattr(TB, "post_names", lambda *a: seen.append(a) or post_names(*a))
+    place = f"/nowhere/{uuid.uuid4().hex}"
+    got = rows(C.q_published_date_table(spark, place), "year_month", "positive_sentiment", "entity", "total_likes", "redacted")
+    want = rows(TB.date_table(t, e, C.DATE_TOP_N, words), "year_month", "positive_sentiment", "entity", "total_likes", "redacted")
+    assert got == want and len(got) == 4
+    assert [r.original for r in C.q_published_redactions(spark, place).collect()] == ["bad name"]
+    assert len(seen) == 2                     # once for both tables, once for what this test wants
