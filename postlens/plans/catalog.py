@@ -244,11 +244,11 @@ def q_incremental_date_table(spark, sf_dir):
     wave1, wave2 = _waves(spark, sf_dir, root)
     staging = f"{root}/staging"
     wave1()
-    INC.run_incremental(spark, f"{root}/tweets", f"{root}/entities", staging, "date", DATE_TOP_N)
+    require_whole(INC.run_incremental(spark, f"{root}/tweets", f"{root}/entities", staging, "date", DATE_TOP_N))
     wave2()
     # resume: new months are built, the half-arrived month is rebuilt
     # because its new file is newer than its staged rows
-    INC.run_incremental(spark, f"{root}/tweets", f"{root}/entities", staging, "date", DATE_TOP_N)
+    require_whole(INC.run_incremental(spark, f"{root}/tweets", f"{root}/entities", staging, "date", DATE_TOP_N))
     return INC.assemble(spark, staging, "date", load_corpus(spark, sf_dir).words)
 
 
@@ -258,7 +258,7 @@ def q_streaming_date_table(spark, sf_dir):
     staging, ckpt = f"{root}/staging", f"{root}/_stream_checkpoint"
     for wave in (wave1, wave2):
         wave()
-        INC.stream_months(spark, f"{root}/tweets", f"{root}/entities", staging, ckpt, "date", DATE_TOP_N)
+        require_whole(INC.stream_months(spark, f"{root}/tweets", f"{root}/entities", staging, ckpt, "date", DATE_TOP_N))
     return INC.assemble(spark, staging, "date", load_corpus(spark, sf_dir).words)
 
 
@@ -288,6 +288,7 @@ QUERIES.update({
 from postlens.operators.redaction import dirty_names  # noqa: E402
 from postlens.sources import publish as PUB  # noqa: E402
 from postlens.sources import tables as SRC  # noqa: E402
+from postlens.sources.manifest import require_whole  # noqa: E402
 from postlens.sources.publish import delete_file, put_bytes  # noqa: E402
 
 FX_HOLE_EVERY = 97                  # in the hole dump one post in so many has a header
@@ -361,7 +362,7 @@ def q_incremental_entity_table(spark, sf_dir):
     root = _scratch(spark, sf_dir, "incremental-entity")
     for wave in _waves(spark, sf_dir, root):
         wave()
-        INC.run_incremental(spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging", "entity", ENTITY_TOP_N)
+        require_whole(INC.run_incremental(spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging", "entity", ENTITY_TOP_N))
     return INC.assemble(spark, f"{root}/staging", "entity", load_corpus(spark, sf_dir).words)
 
 
@@ -370,7 +371,7 @@ def q_incremental_month_table(spark, sf_dir):
     root = _scratch(spark, sf_dir, "incremental-month")
     for wave, resume in zip(_waves(spark, sf_dir, root), (True, False)):
         wave()
-        INC.run_incremental(spark, f"{root}/tweets", f"{root}/none", f"{root}/staging", "month", resume=resume)
+        require_whole(INC.run_incremental(spark, f"{root}/tweets", f"{root}/none", f"{root}/staging", "month", resume=resume))
     return INC.assemble(spark, f"{root}/staging", "month", None)
 
 
@@ -383,7 +384,8 @@ def q_streaming_late_entities(spark, sf_dir):
     first = F.pmod(F.col("tweet_id").cast("long"), F.lit(3)) == 0
     for part in (first, ~first):
         ent.filter(part).write.mode("append").partitionBy("year_month").parquet(f"{root}/entities")
-        INC.stream_months(spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging", f"{root}/_ckpt", "date", DATE_TOP_N)
+        require_whole(INC.stream_months(spark, f"{root}/tweets", f"{root}/entities", f"{root}/staging", f"{root}/_ckpt", "date",
+                                        DATE_TOP_N))
     return INC.assemble(spark, f"{root}/staging", "date", c.words)
 
 
@@ -425,7 +427,7 @@ def _merged_state(spark, sf_dir):
             for rows, source in ((tw.filter(posts), "tweets"), (ent.filter(mentions), "entities")):
                 # a month's rows in files of Spark's advisory size, not one a task
                 rows.hint("rebalance", "year_month").write.mode("append").partitionBy("year_month").parquet(f"{root}/{source}")
-            STATE.merge_months(spark, f"{root}/tweets", f"{root}/entities", f"{root}/state", DATE_TOP_N)
+            require_whole(STATE.merge_months(spark, f"{root}/tweets", f"{root}/entities", f"{root}/state", DATE_TOP_N))
         _MERGED[key] = f"{root}/state"
     return _MERGED[key]
 
@@ -494,7 +496,7 @@ def _stream_with_a_bad_month(spark, sf_dir):
     status = run()
     delete_file(spark, bad)
     wave2()
-    run()
+    require_whole(run())
     return root, status
 
 
@@ -514,7 +516,9 @@ def _converted(spark, sf_dir):
 
 
 def q_converted_posts(spark, sf_dir):
-    return spark.read.parquet(f"{_converted(spark, sf_dir)[0]}/tweets")
+    out, status = _converted(spark, sf_dir)
+    require_whole(status)
+    return spark.read.parquet(f"{out}/tweets")
 
 
 def q_conversion_status(spark, sf_dir):

@@ -8,6 +8,7 @@ or was delivered anew.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -18,6 +19,8 @@ from postlens.session import cut_lineage
 
 FILE = ["source", "year_month", "file", "size", "mtime"]
 SCHEMA = "source string, file string, size long, mtime timestamp, year_month string"
+# What a month's own files can bring about: they cannot be read, are gone, or hold values that do not convert.
+OF_FILES = re.compile(r"SQLSTATE: (KD|22)|\[PATH_NOT_FOUND\]")
 
 
 def list_files(spark: SparkSession, path: str, source: str, month_of: Callable[[Column], Column]) -> DataFrame:
@@ -80,18 +83,41 @@ def run_isolated(months: list[str], build: Callable[[list[str]], None]) -> dict[
     """Build all months in one job; if that fails, each half on its own, and so on.  Returns the months that failed, with why.
 
     One bad month among many costs a job for each halving, not one a month.
+    Only what a month's own files can bring about is reported as that month's
+    failure.  Any other (the code, the disk, a lost executor) says nothing of
+    the month and is raised once the other months are built.
     """
+    failed = _build_apart(months, build)
+    for month, e in failed.items():
+        if not (isinstance(e, OSError) or OF_FILES.search(str(e))):
+            e.add_note(f"while month {month} was built; {len(failed)} of {len(months)} months were not")
+            raise e
+    return {month: _why(e) for month, e in failed.items()}
+
+
+def _build_apart(months: list[str], build: Callable[[list[str]], None]) -> dict[str, Exception]:
     if not months:
         return {}
     try:
         build(months)
         return {}
-    except Exception as e:  # noqa: BLE001 - reported by month
+    except Exception as e:  # noqa: BLE001 - reported by month, or raised by run_isolated
         if len(months) == 1:
-            return {months[0]: _why(e)}
+            return {months[0]: e}
     half = len(months) // 2
-    return {**run_isolated(months[:half], build), **run_isolated(months[half:], build)}
+    return {**_build_apart(months[:half], build), **_build_apart(months[half:], build)}
+
+
+def require_whole(status: DataFrame) -> DataFrame:
+    """A run's status if no month of it failed: what the other months left must not pass for the whole."""
+    failed = status.filter("status = 'failed'").orderBy("year_month").collect()
+    if failed:
+        raise RuntimeError("months that could not be built: " + "; ".join(f"{r.year_month}: {r.error}" for r in failed))
+    return status
 
 
 def _why(e: Exception) -> str:
-    return (str(e).strip().splitlines() or [type(e).__name__])[0][:500]
+    lines = str(e).strip().splitlines() or [type(e).__name__]
+    if len(lines) > 1 and lines[0].startswith("An error occurred while calling"):      # py4j's own line; Java's follows
+        lines = lines[1:]
+    return lines[0].removeprefix(": ")[:500]

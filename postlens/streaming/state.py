@@ -258,8 +258,9 @@ def merge_months(spark: SparkSession, tweets_path: str, entities_path: str, plac
                  most_deltas: int = MOST_DELTAS) -> DataFrame:
     """Merge the files that the state at ``place`` does not hold; (year_month, status, error) for every month with posts.
 
-    A month that cannot be read fails alone and keeps what the state had of
-    it.  ``top_n`` is the date table's; a state is built for one.
+    A month that cannot be read fails alone, is reported (without posts, too)
+    and keeps what the state had of it.  ``top_n`` is the date table's; a state
+    is built for one.
     """
     place = place.rstrip("/")
     files = cut_lineage(source_files(spark, tweets_path, entities_path, "date"), "source-files")
@@ -291,11 +292,14 @@ def merge_months(spark: SparkSession, tweets_path: str, entities_path: str, plac
         raise lost[0]
     if len(MonthState.open(spark, place, top_n).deltas) > most_deltas:
         compact(spark, place, top_n)
-    return _status(spark, _months_with_posts(files), set(pending), failed)
+    return _status(spark, sorted({*_months_with_posts(files), *failed}), set(pending), failed)
 
 
-def stream_merge(spark: SparkSession, tweets_path: str, entities_path: str, place: str, checkpoint: str, top_n: int = 100) -> None:
-    """M7 on the state: micro-batches of new file names of either source, each merged once (a replay finds nothing new)."""
+def stream_merge(spark: SparkSession, tweets_path: str, entities_path: str, place: str, checkpoint: str, top_n: int = 100) -> DataFrame:
+    """M7 on the state: micro-batches of new file names of either source, each merged once (a replay finds nothing new).
+
+    Returns the status as ``merge_months`` does, of a last look at what the state does not hold.
+    """
     def batch(names: DataFrame, _epoch: int) -> None:
         if not names.isEmpty():
             merge_months(spark, tweets_path, entities_path, place, top_n)
@@ -307,6 +311,7 @@ def stream_merge(spark: SparkSession, tweets_path: str, entities_path: str, plac
             continue                                           # not there yet: a later run sees it
         (stream.select("path").writeStream.foreachBatch(batch)
          .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}").trigger(availableNow=True).start().awaitTermination())
+    return merge_months(spark, tweets_path, entities_path, place, top_n)
 
 
 def state_rows(spark: SparkSession, place: str, kind: str, top_n: int, entity_top_n: int = 10_000) -> DataFrame:

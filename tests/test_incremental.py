@@ -218,3 +218,36 @@ def test_isolation_halves_the_months():
     built = [m for some in asked if not {"m07", "m50"} & set(some) for m in some]
     assert sorted(built) == sorted(set(months) - {"m07", "m50"}) and len(asked) <= 4 * 6 + 1
     assert run_isolated([], build) == {}
+
+
+def test_a_failure_that_is_not_of_the_months_files_is_raised():
+    """Code, disk or cluster: no month is to blame; the others are built first."""
+    from postlens.sources.manifest import run_isolated
+    months, built = [f"m{i:02d}" for i in range(8)], []
+
+    def build(some):
+        if "m01" in some:
+            raise OSError("unreadable")
+        if "m03" in some:
+            raise KeyError("a fault of the code")
+        built.extend(some)
+
+    with pytest.raises(KeyError, match="a fault of the code") as e:
+        run_isolated(months, build)
+    assert sorted(built) == sorted(set(months) - {"m01", "m03"}) and "m03" in e.value.__notes__[0]
+
+
+@pytest.mark.parametrize("kind", ["vanished", "values"])
+def test_a_months_own_files_fail_their_month(spark, kind, tmp_path):
+    from postlens.sources.manifest import run_isolated
+    src = f"{tmp_path}/src"
+    spark.createDataFrame([("99999999999",)], "a string").coalesce(1).write.parquet(src)
+
+    def build(_some):
+        rows = spark.read.parquet(src).selectExpr("CAST(a AS int) AS a")
+        if kind == "vanished":
+            for f in os.listdir(src):
+                os.remove(f"{src}/{f}")
+        rows.write.parquet(f"{tmp_path}/out")
+
+    assert list(run_isolated(["m01"], build)) == ["m01"]

@@ -178,3 +178,37 @@ def test_the_fixture_writes_a_month_in_few_files(spark, tmp_path):
     for source, of in (("tweets", 240), ("entities", 480)):
         assert spark.read.parquet(f"{root}/{source}").count() == of
         assert sum(len(files(f"{root}/{source}/{m}")) for m in os.listdir(f"{root}/{source}") if m.startswith("year_month=")) <= 12
+
+
+def test_a_merge_that_failed_for_a_month_is_no_result(spark, tmp_path, monkeypatch):
+    """The query names the month and why; it does not return the other months as if they were all."""
+    from postlens.plans import catalog
+    orders = spark.range(60).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "1.0D * id AS o_totalprice",
+                                        "CAST(add_months(DATE '1998-01-05', CAST(id % 3 AS INT)) AS TIMESTAMP) AS o_orderdate")
+    lines = spark.range(120).selectExpr("id % 60 AS l_orderkey", "id % 5 AS l_partkey", "0.0D AS l_discount")
+    parts = spark.range(5).selectExpr("id AS p_partkey", "concat('B', id) AS p_brand", "'SMALL' AS p_type")
+    for name, rows in (("orders", orders), ("lineitem", lines), ("part", parts)):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    real = ST.merge_months
+
+    def merge_broken(spark, tweets_path, *a, **kw):
+        with open(f"{tweets_path}/year_month=1998-02/part-broken.parquet", "wb") as f:
+            f.write(b"not parquet")
+        return real(spark, tweets_path, *a, **kw)
+
+    monkeypatch.setattr(ST, "merge_months", merge_broken)
+    with pytest.raises(RuntimeError, match="1998-02: .*part-broken"):
+        catalog.QUERIES["merged_entity_table"](spark, str(tmp_path))
+    monkeypatch.setattr(ST, "merge_months", real)
+    got = catalog.QUERIES["merged_entity_table"](spark, str(tmp_path))      # a failure is not kept as the session's state
+    assert {r.year_month for r in got.collect()} == {"1998-01", "1998-02", "1998-03"}
+
+
+def test_a_month_of_mentions_alone_that_fails_is_reported(spark):
+    root = start(spark)
+    os.makedirs(f"{root}/entities/year_month=2013-03")
+    with open(f"{root}/entities/year_month=2013-03/part-broken.parquet", "wb") as f:
+        f.write(b"not parquet")
+    assert merge(spark, root) == {"2013-01": "skipped", "2013-02": "skipped", "2013-03": "failed"}
+    got = ST.stream_merge(spark, f"{root}/tweets", f"{root}/entities", f"{root}/state", f"{root}/ckpt", 2)
+    assert {r.year_month: r.status for r in got.collect()}["2013-03"] == "failed"
