@@ -294,6 +294,7 @@ from postlens.sources.publish import delete_file, put_bytes  # noqa: E402
 FX_HOLE_EVERY = 97                  # in the hole dump one post in so many has a header
 FX_SPLIT_BYTES = 1 << 18            # splits of the plain dump, at least
 FX_SPLITS = 2_000                   # splits of the plain dump, about, where it is larger
+FX_DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}      # when a query ends
 FX_INFLATED_LINES = 20_000          # lines that a task parses of an inflated dump
 FX_SWAPPED = ("1995-03", "1997-08")
 FX_BAD_MONTH = "1996-04"            # has an unreadable file when the stream first runs
@@ -335,16 +336,21 @@ def _split_bytes(size: int) -> int:
 
 
 def q_rdf_plain_split(spark, sf_dir):
-    """Q05 on plain text files that are read in many splits."""
+    """Q05 on plain text files that are read in many splits; of a large dump some files at a time are on disk."""
     c = load_corpus(spark, sf_dir)
     m = mentions_from_orders(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
-    path = _scratch(spark, sf_dir, "n3plain")
-    RDF.write_dump(RDF.render_dump(c.tweets, c.entities, m).withColumn("year_month", F.substring("year_month", 1, 4)), path,
-                   files_per_month=1, compression="none")
-    size = RDF.dump_labels(spark, path).agg(F.sum("size")).first()[0] or 0
-    small = {"spark.sql.files.maxPartitionBytes": str(_split_bytes(size))}
-    tweets = _with_conf(spark, small, lambda: RDF.rdf_to_tables(spark, path))[0]
-    return tweets.withColumn("year_month", F.date_format("created_at", "yyyy-MM"))
+    path, posts = _scratch(spark, sf_dir, "n3plain"), []
+
+    def read(dump, share):
+        size = RDF.dump_labels(spark, dump).agg(F.sum("size")).first()[0] or 0
+        small = {"spark.sql.files.maxPartitionBytes": str(_split_bytes(int(size / share)))}
+        tweets = _with_conf(spark, small, lambda: RDF.rdf_to_tables(spark, dump))[0]
+        posts.append(f"{path}/posts-{len(posts):04d}")
+        tweets.write.parquet(posts[-1])
+
+    rows = RDF.render_dump(c.tweets, c.entities, m).withColumn("year_month", F.substring("year_month", 1, 4))
+    _with_conf(spark, FX_DROP_SHUFFLES, lambda: RDF.use_in_turns(rows, f"{path}/dump", read, files_per_month=1, compression="none"))
+    return spark.read.parquet(*posts).withColumn("year_month", F.date_format("created_at", "yyyy-MM"))
 
 
 def q_rdf_long_streams(spark, sf_dir):

@@ -5,6 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -58,6 +62,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing stages", default=None)
+
+
+def stage_path(spark: SparkSession, tag: str) -> str:
+    """A new folder for a staged table under the shared checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{tag}-{uuid.uuid4().hex}"
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def passing_stages(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block are deleted when it ends: what is made of them must be written by then."""
+    outer = _PASSING.set([])
+    try:
+        yield
+    finally:
+        made = _PASSING.get()
+        _PASSING.reset(outer)
+        for path in made:
+            delete_folder(spark, path)
+
+
 def cut_lineage(df, tag: str = "stage"):
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
 
@@ -65,10 +98,7 @@ def cut_lineage(df, tag: str = "stage"):
     twice (a count, then the checkpoint write).  The written table survives
     executor loss; the folder is the cluster's ``spark.checkpoint.dir``.
     """
-    import uuid
-
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/stage/{tag}-{uuid.uuid4().hex}"
+    path = stage_path(spark, tag)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -31,13 +31,13 @@ half-read month is ever written.
 from __future__ import annotations
 
 import sys
-import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postlens.session import cut_lineage, ensure_checkpoint_dir
+from postlens.session import cut_lineage, delete_folder, passing_stages, stage_path
 from postlens.sources.manifest import changed_months, list_files, read_manifest, run_isolated, write_manifest
 
 # The Arrow step runs in Python workers; ship this module's functions by
@@ -342,13 +342,9 @@ def dump_labels(spark: SparkSession, paths) -> DataFrame:
                                     F.col("length").alias("size")), "dump-labels")
 
 
-def _stage_path(spark: SparkSession, tag: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{tag}-{uuid.uuid4().hex}"
-
-
 def inflate(lines: DataFrame, per_file: int = INFLATED_LINES) -> DataFrame:
     """``lines`` as a table of many files: inflated once, then read by many tasks, also after a lost executor."""
-    spark, path = lines.sparkSession, _stage_path(lines.sparkSession, "dump-lines")
+    spark, path = lines.sparkSession, stage_path(lines.sparkSession, "dump-lines")
     (lines.write.option("compression", "zstd").option("maxRecordsPerFile", per_file)
      .option("parquet.enable.dictionary#value", "false").parquet(path))
     return spark.read.parquet(path)
@@ -382,7 +378,7 @@ def parse_dump(spark: SparkSession, paths, spread: bool | None = None, staged: b
 
 def _stage_by_kind(p: DataFrame) -> DataFrame:
     """Written once, a folder a kind, so that each table reads its own records only."""
-    path = _stage_path(p.sparkSession, "parsed-dump")
+    path = stage_path(p.sparkSession, "parsed-dump")
     p.write.partitionBy("kind").parquet(path)
     return p.sparkSession.read.schema(p.schema).parquet(path).select(*p.columns)
 
@@ -471,6 +467,8 @@ def convert_dump(spark: SparkSession, src: str, out: str, skip_existing: bool =
 
 # Rendering
 FILE_RECORDS = 500_000              # posts and mentions in a rendered file, about
+TURN_RECORDS = 8_000_000            # and in the files that are there at once, where a dump is used in turns
+MOST_TURNS = 24                     # or so: a turn costs its jobs, however small
 _POST = ["tweet_id", "created_at", "user_id", "likes", "shares", "positive_emotion", "negative_emotion"]
 
 
@@ -545,3 +543,49 @@ def write_dump(rows: DataFrame, out: str, files_per_month: int = 2, compression:
      .withColumns({"k2": k2, "k3": F.explode(k3)}).sortWithinPartitions("year_month", "k0", "k1", "k2", "k3")
      .select("year_month", _lines().alias("value"))
      .write.mode("overwrite").partitionBy("year_month").option("compression", compression).text(out))
+
+
+def _turns(counts: list[tuple[str | None, int]], turn_records: int) -> list[list[tuple[str | None, int, int]]]:
+    """Parts ``(month, i, of)`` of the months, in order, that each make about ``turn_records`` rows."""
+    size = max(1, turn_records, -(-sum(n for _, n in counts) // MOST_TURNS))
+    turns, room = [[]], size
+    for month, n in counts:
+        parts = -(-n // size)
+        for i in range(parts):
+            if turns[-1] and room < n / parts:
+                turns.append([])
+                room = size
+            turns[-1].append((month, i, parts))
+            room -= n / parts
+    return turns
+
+
+def use_in_turns(rows: DataFrame, out: str, use: Callable[[str, float], None], files_per_month: int = 2, compression: str = "gzip",
+                 file_records: int = FILE_RECORDS, turn_records: int = TURN_RECORDS) -> None:
+    """``write_dump`` for uses that take some files at a time: a dump has many times the bytes of its rows.
+
+    The rows are written once, and of them ``turn_records`` or a
+    ``MOST_TURNS``-th, whichever is more, as files below ``out``.  For each
+    turn ``use`` gets the folder and which share of all rows it holds; both the
+    files and what ``use`` stages are deleted then, so it must write what it
+    keeps.  Every row is in one turn, and a post of a month never spans two.
+    """
+    spark, columns = rows.sparkSession, rows.columns
+    with passing_stages(spark):
+        path = stage_path(spark, "turn-rows")
+        rows.write.option("compression", "zstd").partitionBy("year_month").parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path).select(*columns)
+        counts = sorted(map(tuple, rows.groupBy("year_month").count().collect()), key=lambda c: (c[0] is not None, c[0]))    # calendar-sized
+        total = sum(n for _, n in counts)
+        for t, parts in enumerate(_turns(counts, turn_records)):
+            of_month, of_turn = F.lit(False), F.lit(False)
+            for month, i, of in parts:
+                mine = F.col("year_month").eqNullSafe(F.lit(month))
+                of_month = of_month | mine
+                of_turn = of_turn | (mine & (F.pmod(F.xxhash64("k0", F.lit(of)), F.lit(of)) == i))
+            held = sum(n / of for month, n in counts for m, _, of in parts if m == month)
+            folder = f"{out.rstrip('/')}/turn-{t:04d}"
+            with passing_stages(spark):
+                write_dump(rows.filter(of_month).filter(of_turn), folder, files_per_month, compression, file_records)
+                use(folder, held / total if total else 1.0)
+            delete_folder(spark, folder)

@@ -304,3 +304,75 @@ def test_of_a_repeated_post_the_last_header_has_the_values(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="postlens-dump-"), "d")
     rdf.write_dump(rdf.render_dump(tweets, none, none.selectExpr("tweet_id", "detected_as username", "year_month")), out)
     assert sorted((r.likes, r.shares) for r in rdf.rdf_to_tables(spark, out)[0].collect()) == [(0, 0), (3, 4)]
+
+
+def test_turns_hold_every_row_once_and_about_as_many_each():
+    from postlens.sources import rdf
+    counts = [(None, 3), ("1995", 1000), ("1996", 10), ("1997", 0), ("1998", 95)]
+    for size in (1, 50, 100, 10_000):
+        turns = rdf._turns(counts, size)
+        most = max(size, -(-sum(n for _, n in counts) // rdf.MOST_TURNS))
+        rows = dict(counts)
+        assert all(sum(rows[m] / of for m, _, of in t) <= most + 1e-6 for t in turns) and len(turns) <= 2 * rdf.MOST_TURNS
+        for month, n in counts:
+            mine = [(i, of) for t in turns for m, i, of in t if m == month]
+            assert sorted(i for i, _ in mine) == list(range(len(mine))) and {of for _, of in mine} <= {len(mine)} and bool(mine) == (n > 0)
+    assert rdf._turns([], 10) == [[]]
+
+
+@pytest.mark.parametrize("turn_records", [60, 100_000])
+def test_a_dump_used_in_turns_is_there_a_turn_at_a_time(spark, turn_records):
+    from postlens.session import ensure_checkpoint_dir
+    from postlens.sources import rdf
+    n = 120
+    tweets = spark.range(n).selectExpr(
+        "CAST(id DIV 2 AS string) tweet_id", "TIMESTAMP_NTZ '2013-01-05 10:00:00' created_at", "'ab' user_id", "CAST(id DIV 2 AS int) likes",
+        "1 shares", "CAST(0.5 AS float) positive_emotion", "CAST(NULL AS float) negative_emotion",
+        "CASE WHEN id < 90 THEN '2013' WHEN id < 116 THEN '2014' END year_month")
+    entities = tweets.selectExpr("tweet_id", "'n' detected_as", "concat('u:', tweet_id) matched_uri", "CAST(-1 AS float) confidence", "year_month")
+    mentions = tweets.selectExpr("tweet_id", "concat('m', tweet_id) username", "year_month")
+    out = os.path.join(tempfile.mkdtemp(prefix="postlens-dump-"), "d")
+    stages = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "stage")
+    before, seen, shares, ids = set(os.listdir(stages)) if os.path.isdir(stages) else set(), [], [], []
+
+    def use(folder, share):
+        assert os.listdir(out) == [os.path.basename(folder)]                      # the turns before are gone
+        tables = rdf.rdf_to_tables(spark, folder)
+        ids.append({(r.tweet_id, r.year_month) for r in tables[0].collect()})
+        seen.append([sorted(map(tuple, t.collect())) for t in tables])
+        shares.append(share)
+
+    rdf.use_in_turns(rdf.render_dump(tweets, entities, mentions), out, use, 1, "none", 20, turn_records)
+    assert (len(seen) > 3) == (turn_records == 60) and abs(sum(shares) - 1) < 1e-6 and len(seen) == len(shares)
+    assert sum(map(len, ids)) == len(set().union(*ids))                           # a post of a month never spans two
+    assert os.listdir(out) == [] and set(os.listdir(stages)) == before
+    whole = f"{out}-whole"
+    rdf.write_dump(rdf.render_dump(tweets, entities, mentions), whole, 1, "none", 20)
+    for got, want in zip(zip(*seen), rdf.rdf_to_tables(spark, whole)):
+        assert sorted(x for part in got for x in part) == sorted(map(tuple, want.collect()))
+
+
+def test_the_plain_dump_does_not_stay_on_disk(spark, tmp_path, monkeypatch):
+    from functools import partial
+
+    from postlens.plans import catalog
+    from postlens.session import ensure_checkpoint_dir
+    from postlens.sources import rdf
+    orders = spark.range(90).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "1.0D * id AS o_totalprice",
+                                        "CAST(add_months(DATE '1997-01-05', CAST(id % 30 AS INT)) AS TIMESTAMP) AS o_orderdate")
+    lines = spark.range(180).selectExpr("id % 90 AS l_orderkey", "id % 5 AS l_partkey", "0.0D AS l_discount")
+    parts = spark.range(5).selectExpr("id AS p_partkey", "concat('B', id) AS p_brand", "'SMALL' AS p_type")
+    customers = spark.range(7).selectExpr("id AS c_custkey", "concat('C#', id) AS c_name")
+    for name, rows in (("orders", orders), ("lineitem", lines), ("part", parts), ("customer", customers)):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(rdf, "use_in_turns", partial(rdf.use_in_turns, turn_records=100), raising=False)
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+
+    def there():
+        return {os.path.join(d, f) for d, _, names in os.walk(root) for f in names}
+
+    before = there()
+    got = catalog.QUERIES["rdf_plain_split"](spark, str(tmp_path))
+    made = there() - before
+    assert made and not [f for f in made if f.endswith(".txt") or "/stage/" in f]
+    assert got.count() == 90 and {r.year_month for r in got.collect()} == {f"{1997 + m // 12}-{m % 12 + 1:02d}" for m in range(30)}
